@@ -26,22 +26,26 @@ DEPTH = 4
 #: Share of a line's words that its template keeps, at least.
 SIMILAR = 0.8
 MASK = "<*>"
+#: Tables of up to so many line keys (24 bytes each) are broadcast; larger ones are joined by shuffle.
+BROADCAST_LINES = 300_000
 _LAST = (1 << 63) - 1
+_ODD_SPACE = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20[\x20\x09\x0B-\x0D]++"
 _WITH_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
 def masked(text: Column) -> Column:
-    """Text whose lines are their words, masked, with single spaces between (and maybe around)."""
-    return F.regexp_replace(F.regexp_replace(text, _WITH_DIGIT, MASK), r"[\x20\x09\x0B-\x0D]+", " ")
+    """Text whose lines are their words, masked, with single spaces between (and maybe around).
 
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), masked(F.col("text")).alias("m"))
+    Most texts need no rewriting, and finding that out is cheap.
+    """
+    text = F.when(text.rlike(_ODD_SPACE), F.regexp_replace(text, _ODD_SPACE, " ")).otherwise(text)
+    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, _WITH_DIGIT, MASK)).otherwise(text)
 
 
 def _lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
     """(doc, row, pos, m, n, leaf, h) of the lines of at least `least` words."""
-    each = _keyed(docs).select("doc", "row", F.posexplode(F.split("m", "\n")).alias("pos", "m")).withColumn("m", F.trim("m"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), masked(F.col("text")).alias("m"))
+    each = keyed.select("doc", "row", F.posexplode(F.split("m", "\n")).alias("pos", "m")).withColumn("m", F.trim("m"))
     each = each.withColumn("n", F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1)
     each = each.where((F.col("m") != "") & (F.col("n") >= least))
     return each.withColumn("leaf", F.xxhash64("n", F.substring_index("m", " ", depth))).withColumn("h", F.xxhash64("m"))
@@ -54,8 +58,9 @@ def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH,
     variants = checkpointed(slim.groupBy("leaf", "h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
     several = variants.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf")
     asked = checkpointed(variants.join(several, "leaf", "left_semi").select("leaf", "h", F.col("low").alias("doc")))
+    few = F.broadcast(asked) if asked.count() <= BROADCAST_LINES else asked
     # one whole line for each distinct line that shares its leaf
-    text = lines.select("doc", "leaf", "h", "n", "m").join(asked, ["leaf", "h", "doc"], "left_semi").dropDuplicates(["leaf", "h"])
+    text = lines.select("doc", "leaf", "h", "n", "m").join(few, ["leaf", "h", "doc"], "left_semi").dropDuplicates(["leaf", "h"])
     text = checkpointed(text.select("leaf", "h", "n", "m"))
     words = text.select("leaf", "h", F.posexplode(F.split("m", " ")).alias("at", "word")).where(F.col("at") >= depth)
     alone = words.groupBy("leaf", "at", F.xxhash64("word").alias("w")).agg(F.count("*").alias("k"), F.min("h").alias("h")).where("k = 1")
