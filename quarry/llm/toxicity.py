@@ -17,10 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_TABLE, text_bytes, without
+from .common import LOWER_TABLE, checkpointed, text_bytes, without
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of their id.
-SAMPLE = 20_000
+SAMPLE = 12_000
 SLOTS = 1 << 20
 #: Slots with a weight, at most.
 PICKED = 4096
@@ -86,34 +86,55 @@ class Model:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def fit(rows: list[tuple[list, int]]) -> Model:
-    """Model of (slots, label) rows. Without both labels the score is the share of label 1."""
+def chi_square(n_all: float, n_pos: float, k: float, k_pos: float) -> float:
+    """Yates-corrected score of a slot in k of n_all rows, k_pos of them among the n_pos of label 1; 0 if it speaks for label 0."""
+    a, b, c, d = k_pos, k - k_pos, n_pos - k_pos, n_all - n_pos - (k - k_pos)
+    if a * d <= b * c:
+        return 0.0
+    return n_all * max(0.0, abs(a * d - b * c) - n_all / 2) ** 2 / ((a + b) * (c + d) * n_pos * (n_all - n_pos))
+
+
+def screen(own: DataFrame, n_all: int, n_pos: int) -> list[int]:
+    """The slots, at most PICKED, that speak most for label 1 in (toxic, slots) rows.
+
+    Slots are counted in each task first and then summed by slot.
+    """
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        both = np.zeros((2, SLOTS), dtype=np.int32)
+        for b in batches:
+            y = b.column(0).to_numpy()
+            lists = b.column(1)
+            flat, owner = lists.flatten().to_numpy(), np.repeat(y, lists.value_lengths().to_numpy())
+            both[0] += np.bincount(flat, minlength=SLOTS).astype(np.int32)
+            both[1] += np.bincount(flat[owner == 1], minlength=SLOTS).astype(np.int32)
+        own = np.nonzero(both[0])[0]
+        yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array(both[0][own].astype(np.int64)), pa.array(both[1][own].astype(np.int64))], names=["slot", "n", "pos"])
+
+    k = own.mapInArrow(count, "slot int, n long, pos long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where("n >= 3")
+    n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
+    neg, c, d = n - pos, n_pos - pos, (n_all - n_pos) - (n - pos)
+    score = F.pow(F.greatest(F.lit(0.0), F.abs(pos * d - neg * c) - n_all / 2), F.lit(2.0)) * n_all / (n * (c + d) * n_pos * (n_all - n_pos))
+    best = k.where((pos * d > neg * c) & (c + d > 0)).withColumn("score", score).where(F.col("score") >= LEAST)
+    return sorted(r["slot"] for r in best.orderBy(F.col("score").desc(), "slot").limit(PICKED).collect())
+
+
+def fit(picked: list[int], rows: list, labels: list) -> Model:
+    """Model of rows (lists of positions in picked) and their labels. Without both labels the score is the share of label 1."""
     import numpy as np
 
     n = len(rows)
-    y = np.array([r[1] for r in rows], dtype=np.float64)
+    y = np.array(labels, dtype=np.float64)
     share = float((y.sum() + 0.5) / (n + 1)) if n else 0.0
     none = Model(float(np.log(max(share, 1e-6) / (1 - min(share, 1 - 1e-6)))), {}, np.zeros(0), np.zeros((0, RANK)))
-    if not n or y.min() == y.max():
-        return none
-    flat = np.concatenate([np.asarray(r[0], dtype=np.int64) for r in rows]) if n else np.zeros(0, dtype=np.int64)
-    owner = np.repeat(np.arange(n), [len(r[0]) for r in rows])
-    all_ = np.bincount(flat, minlength=SLOTS).astype(np.float64)
-    pos = np.bincount(flat, weights=y[owner], minlength=SLOTS)
-    p, q = y.sum(), n - y.sum()
-    neg = all_ - pos
-    a, b, c, d = pos, neg, p - pos, q - neg
-    chi = n * (np.abs(a * d - b * c) - n / 2).clip(0) ** 2 / ((a + b) * (c + d) * p * q + 1e-9)
-    chi[(all_ < 3) | (a * d < b * c)] = 0
-    best = np.argsort(-chi, kind="stable")[:PICKED]
-    best = np.sort(best[chi[best] >= LEAST])
-    if not len(best):
+    if not n or not picked or y.min() == y.max():
         return none
-    where = np.full(SLOTS, -1, dtype=np.int64)
-    where[best] = np.arange(len(best))
-    col = where[flat]
-    keep = col >= 0
-    col, owner = col[keep], owner[keep]
+    best = picked
+    col = np.concatenate([np.asarray(r, dtype=np.int64) for r in rows])
+    owner = np.repeat(np.arange(n), [len(r) for r in rows])
     rng = np.random.default_rng(SEED)
     w, v, bias = np.zeros(len(best)), rng.normal(0, 0.01, (len(best), RANK)), none.bias
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(v), np.zeros_like(v)]
@@ -168,10 +189,25 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     d = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
     # the bounded sample of ids meets the documents; a million ids at most are sent round
     few = F.broadcast(picked) if sample <= 1_000_000 else picked
-    own = d.join(few, "doc_id").select("toxic", F.arrow_udf(hashed, T.ArrayType(T.IntegerType()))(F.col("text")).alias("slots"), "doc_id")
-    got = own.toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
-    rows = sorted(zip(got.column("doc_id").to_pylist(), got.column("toxic").to_pylist(), got.column("slots").to_pylist()))
-    return fit([(s, y) for _, y, s in rows])
+    own = checkpointed(d.join(few, "doc_id").select("toxic", F.arrow_udf(hashed, T.ArrayType(T.IntegerType()))(F.col("text")).alias("slots"), "doc_id"))
+    n = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return fit([], [[]] * sum(n.values()), [y for y, k in n.items() for _ in range(k)])
+    best = screen(own.select("toxic", "slots"), n[0] + n[1], n[1])
+
+    def kept(slots):
+        import numpy as np
+        import pyarrow as pa
+
+        flat, size = slots.flatten().to_numpy(), slots.value_lengths().to_numpy()
+        at = np.searchsorted(best, flat).clip(max=max(len(best) - 1, 0))
+        ok = np.asarray(best, dtype=np.int64)[at] == flat if len(best) else np.zeros(len(flat), dtype=bool)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(size)), size)[ok], minlength=len(size)))])
+        return pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(at[ok].astype(np.int32)))
+
+    lean = own.select("doc_id", "toxic", F.arrow_udf(kept, T.ArrayType(T.IntegerType()))(F.col("slots")).alias("rows"))
+    got = sorted(tuple(r) for r in lean.collect())
+    return fit(best, [r[2] for r in got], [r[1] for r in got])
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
