@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -49,16 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def text_bytes(array) -> list:
-    """UTF-8 bytes (None for null) of an Arrow string column."""
+def text_bytes(array, rows: int = 200):
+    """UTF-8 bytes (None for null) of an Arrow string column, a few rows at a time so that a
+    worker holds little beside the column itself."""
     import pyarrow as pa
 
-    return array.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+    for at in range(0, len(array), rows):
+        yield from array.slice(at, rows).cast(pa.binary()).to_pylist()
+    pa.default_memory_pool().release_unused()
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
-def java_quote(s: str) -> str:
-    return re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", s)

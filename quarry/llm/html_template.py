@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, without
+from .common import checkpointed, text_bytes, without
 
 #: A class is valid on hosts of at least PAGES pages, if it covers this share of them.
 PAGES, SHARE = 5, 0.9
@@ -220,7 +220,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("token", pa.int64()), ("is_text", pa.bool_()), ("parent", pa.int64()), ("times", pa.int32())]))
-        return pa.array([[{"token": t, "is_text": x[1], "parent": x[2], "times": x[0]} for t, x in tokens(parse(h or "")).items()] for h in htmls.to_pylist()], type=kind)
+        return pa.array([[{"token": t, "is_text": x[1], "parent": x[2], "times": x[0]} for t, x in tokens(parse(h)).items()] for h in (x.decode() if x else "" for x in text_bytes(htmls))], type=kind)
 
     marked = pages.select(host_key(F.col("url")).alias("host"), F.xxhash64("page_id", "url").alias("page"), F.arrow_udf(of, entry)(F.col("html")).alias("t"))
     return marked.select("host", "page", F.explode("t").alias("t")).select("host", "page", "t.*")
@@ -262,11 +262,11 @@ def extract_main_text(pages: DataFrame, template: DataFrame | None = None) -> Da
 
         known: dict[tuple, frozenset] = {}
         out = []
-        for h, f in zip(htmls.to_pylist(), fixed.to_pylist()):
+        for h, f in zip(text_bytes(htmls), fixed.to_pylist()):
             key = tuple(f or ())
             if key not in known:
                 known[key] = frozenset(key)
-            out.append(main_text(parse(h or ""), known[key]))
+            out.append(main_text(parse(h.decode() if h else ""), known[key]))
         return pa.array(out, type=pa.string())
 
     own = pages.withColumn("_host", host_key(F.col("url")))

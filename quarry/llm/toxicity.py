@@ -28,7 +28,7 @@ RANK, EPOCHS, SEED = 4, 30, 6
 #: Least chi-square of a picked slot.
 LEAST = 12.0
 #: Words that a worker remembers the slots of; then it starts anew.
-_REMEMBER = 400_000
+_REMEMBER = 60_000
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -182,9 +182,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     picked = lab.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
 
     def hashed(texts):
+        import numpy as np
         import pyarrow as pa
 
-        return pa.array([slots(t or b"") for t in text_bytes(texts)], type=pa.list_(pa.int32()))
+        own = [np.array(slots(t or b""), dtype=np.int32) for t in text_bytes(texts)]
+        ends = np.cumsum([0, *map(len, own)], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *own])))
 
     d = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
     # the bounded sample of ids meets the documents; a million ids at most are sent round
