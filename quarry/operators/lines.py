@@ -83,7 +83,11 @@ def connection_strings(files: DataFrame) -> DataFrame:
     lines = explode_lines(scanned)
     urls = list_files(lines, lambda t: t.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^\t\n\f\r ]+\z"))
     lines = lines.where(F.col("line").contains("://") | F.col("line").contains("jdbc:")).join(urls, ["project", "path"], "left_anti")
-    candidates = F.concat(*[F.transform(X.find_all(F.col("line"), p), lambda m, k=k: F.struct(F.lit(k).alias("rank"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text"))) for k, (_, _, p) in enumerate(R.CONNECTION_PATTERNS)])
+
+    def ranked(k: int, pattern: str):
+        return F.transform(X.find_all(F.col("line"), pattern), lambda m: F.struct(F.lit(k).alias("rank"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text")))
+
+    candidates = F.concat(*[ranked(k, p) for k, (_, _, p) in enumerate(R.CONNECTION_PATTERNS)])
     rest = lambda c: F.regexp_extract(c["text"], r"(?s)^.*?://(.*)$", 1)
     uri_host = lambda c: F.regexp_replace(rest(c), r"^[^@/]*@", "")
     before = lambda c: F.substring(F.col("line"), F.lit(1), c["start"])
