@@ -250,12 +250,12 @@ def extract_main_text(pages: DataFrame, template: DataFrame | None = None) -> Da
     Repeated rows are extracted alike and stay; input columns named like the added ones
     are replaced.
     """
-    pages = without(pages, "text", "n_chars", "fixed", "_host")
+    pages = without(pages, "text", "n_chars", "fixed", "_host", "_of_host", "_text")
     if template is None:
         template = templates(pages)
     template = checkpointed(template.select("host", "token"))
     few = template.count() <= BROADCAST_TOKENS
-    fixed = template.groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("fixed"))
+    fixed = template.groupBy(F.col("host").alias("_of_host")).agg(F.sort_array(F.collect_set("token")).alias("fixed"))
 
     def of(htmls, fixed):
         import pyarrow as pa
@@ -270,7 +270,7 @@ def extract_main_text(pages: DataFrame, template: DataFrame | None = None) -> Da
         return pa.array(out, type=pa.string())
 
     own = pages.withColumn("_host", host_key(F.col("url")))
-    own = own.join(F.broadcast(fixed) if few else fixed, F.col("_host") == F.col("host"), "left")
+    own = own.join(F.broadcast(fixed) if few else fixed, F.col("_host") == F.col("_of_host"), "left")
     text = F.arrow_udf(of, T.StringType())(pages["html"], F.col("fixed"))
     own = own.withColumn("_text", text)
     return own.select(*[pages[c] for c in pages.columns], F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))

@@ -225,8 +225,8 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     docs = without(docs, "fingerprint", "component_id")
     marked = fingerprints(docs, text)
     slim = checkpointed(marked.select("doc_id", "fingerprint").groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
-    roots = component_roots(slim)
-    return marked.join(roots, marked["fingerprint"] == roots["f"]).select(*docs.columns, "fingerprint", "component_id")
+    roots = component_roots(slim).withColumnRenamed("f", "_fingerprint")
+    return marked.join(roots, marked["fingerprint"] == roots["_fingerprint"]).select(*docs.columns, "fingerprint", "component_id")
 
 
 def component_roots(slim: DataFrame) -> DataFrame:
