@@ -78,9 +78,7 @@ def host_exempt(rest: Column) -> Column:
     n = ipv4(host)
     reserved = classify_ipv4(n).isin("loopback", "private", "unspecified") | n.between(*_range("169.254.0.0/16")) | n.between(*_range("100.64.0.0/10"))
     names = host.isin("", "localhost", "0.0.0.0", "::1", "example.com", "internal") | host.rlike(r"\.(example\.com|test|localhost|invalid|local|internal)\z")
-    spec = host.isin(R.SPEC_HOSTS)
-    for h in R.SPEC_HOSTS:
-        spec = spec | host.endswith("." + h)
+    spec = host.rlike(r"(?:^|\.)(?:" + "|".join(h.replace(".", r"\.") for h in R.SPEC_HOSTS) + r")\z")
     return names | F.coalesce(reserved, F.lit(False)) | ~host.contains(".") | spec
 
 
