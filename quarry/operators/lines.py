@@ -5,7 +5,7 @@ files: (project, path, text, ...). Lines are split once; path predicates run bef
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -117,3 +117,31 @@ def config_parse_errors(files: DataFrame, most: int = 5 << 20) -> DataFrame:
     """(project, path) of JSON files of 1 byte to the cap that don't parse."""
     own = files.where((P.config_kind() == "json") & (F.col("size") > 0) & (F.col("size") <= most) & ~P.should_skip_content())
     return own.where(~X.valid_json(F.col("text")) & ~X.valid_json(X.jsonc_stripped(F.col("text")))).select("project", "path")
+
+
+def is_synthetic(token: Column) -> Column:
+    """A run of eight consecutive code points, a stand-in's word, or too little entropy to be random."""
+    codes = F.transform(F.split(token, ""), lambda c: F.ascii(c))
+    step = lambda acc, c: F.struct(c.alias("last"), F.when(c == acc["last"] + 1, acc["run"] + 1).otherwise(1).alias("run"), F.greatest(acc["most"], F.when(c == acc["last"] + 1, acc["run"] + 1).otherwise(1)).alias("most"))
+    run = F.aggregate(codes, F.struct(F.lit(-9).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most")), step, lambda acc: acc["most"])
+    return (run >= 8) | token.rlike(R.SECRET_STAND_IN) | (X.shannon_entropy(token) < 3.5)
+
+
+def secrets_scan(files: DataFrame) -> DataFrame:
+    """(project, path, line_no, pattern): credentials of known vendors, one row a line and pattern, and private keys.
+
+    Matches that look made up are dropped. A key's header counts only with key material next to
+    it, or in a file named as a key.
+    """
+    anything = "|".join(f"(?:{p})" for _, p in R.SECRET_PATTERNS) + f"|{R.PEM_HEADER}"
+    lines = explode_lines(files.where(~P.is_detection_rule() & F.col("text").rlike(anything)))
+    hits = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_extract_all("line", F.lit(p), F.lit(0)).alias("found")) for n, p in R.SECRET_PATTERNS])
+    each = lines.where(F.col("line").rlike(anything)).select("project", "path", "line_no", F.explode(hits).alias("h"))
+    tokens = each.where(F.exists("h.found", lambda t: ~is_synthetic(t))).select("project", "path", "line_no", "h.pattern")
+    # The material stands behind the header on its own line, as "\n" escapes, or on the first line below that is no field of the header.
+    after = W.partitionBy("project", "path").orderBy("line_no").rowsBetween(1, 8)
+    material = lambda c: c.rlike(r"""^(?:[\s"'+,]|\\[nr])*[A-Za-z0-9+/=]{40,}""") & c.rlike("[a-z]") & c.rlike("[A-Z]") & c.rlike("[0-9]")
+    below = F.first(F.when(F.col("line").rlike(r"\S") & ~F.col("line").rlike("^[A-Za-z-]+: "), F.col("line")), ignorenulls=True).over(after)
+    key = material(F.regexp_replace("line", rf"^.*?{R.PEM_HEADER}", "")) | F.coalesce(material(F.col("below")), F.lit(False)) | F.col("path").rlike(R.KEY_FILE)
+    keys = lines.withColumn("below", below).where(F.col("line").rlike(R.PEM_HEADER) & key)
+    return tokens.unionByName(keys.select("project", "path", "line_no", F.lit("private_key").alias("pattern")))

@@ -158,3 +158,52 @@ def large_blobs(blobs: DataFrame, most: int = 5 << 20) -> DataFrame:
 
 def existing(files: DataFrame) -> DataFrame:
     return ancestor_dirs(files)
+
+
+def _glob(pattern: Column) -> Column:
+    """Anchored regex of a glob with *, ? and classes; ** crosses folders, **/ is none or more."""
+    out = F.regexp_replace(pattern, r"([.+()|^$\\{}])", r"\\$1")
+    out = F.regexp_replace(out, r"\*\*/", "\x01")
+    out = F.regexp_replace(out, r"\*\*", "\x02")
+    out = F.regexp_replace(F.regexp_replace(out, r"\*", "[^/]*"), r"\?", "[^/]")
+    out = F.replace(F.replace(out, F.lit("\x01"), F.lit("(?:.*/)?")), F.lit("\x02"), F.lit(".*"))
+    return F.concat(F.lit("^(?:"), out, F.lit(r")\z"))
+
+
+def _own_lines(files: DataFrame, name: str) -> DataFrame:
+    """(project, rule_line) of a file in the root, trimmed, without comments."""
+    each = files.where(F.col("path") == name).select("project", F.explode(F.split("text", "\n")).alias("l"))
+    return each.select("project", F.trim(F.regexp_replace("l", r"\r\z", "")).alias("rule_line")).where("rule_line <> '' AND NOT startswith(rule_line, '#')")
+
+
+def gitignore_coverage(files: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """(project, pattern): what a project's stack asks .gitignore to cover and it doesn't. Silent without .gitignore.
+
+    One join by project: a project's required patterns are few, its lines are one file.
+    """
+    root = files.where(F.col("path").isin(*R.STACK_MARKERS, ".gitignore")).groupBy("project").agg(F.collect_set("path").alias("names"))
+    asks = F.array_union(F.lit(list(R.IGNORE_ALWAYS)), F.flatten(F.filter(F.array(*[F.when(F.array_contains("names", m), F.lit(list(p))) for m, p in R.IGNORE_BY_MARKER.items()]), lambda x: x.isNotNull())))
+    off = F.lit([d.strip("/") for d in disabled]) if disabled else F.array().cast("array<string>")
+    wanted = root.where(F.array_contains("names", ".gitignore") & F.arrays_overlap("names", F.lit(list(R.STACK_MARKERS)))).select("project", F.explode(F.array_distinct(F.array_except(asks, off))).alias("pattern"))
+    has = _own_lines(files, ".gitignore").where("NOT startswith(rule_line, '!')").select("project", F.regexp_replace("rule_line", "^/|/$", "").alias("have")).distinct()
+    whole, last = F.col("pattern"), F.substring_index("pattern", "/", -1)
+    covers = (F.col("have") == whole) | _safe_match(whole) | _safe_match(last)
+    covered = wanted.join(has, "project").where(covers).select("project", "pattern")
+    return wanted.join(covered, ["project", "pattern"], "left_anti")
+
+
+def _safe_match(name: Column) -> Column:
+    """`have` as a glob matches name; lines with a class are compared with the class taken as one character."""
+    return F.coalesce(F.regexp_like(name, _glob(F.regexp_replace("have", r"\[[^\]]*\]|\[", "?"))), F.lit(False))
+
+
+def lfs_managed(files: DataFrame) -> DataFrame:
+    """(project, path) of files that a line of the root's .gitattributes hands to large-file storage.
+
+    A pattern without a slash holds at any depth. The join is by project; the lines are one small file of each.
+    """
+    lines = _own_lines(files, ".gitattributes").where("contains(rule_line, 'filter=lfs')").select("project", F.split("rule_line", r"\s+")[0].alias("glob")).distinct()
+    glob = F.regexp_replace("glob", "^/|/$", "")
+    deep = F.when(F.rtrim(F.col("glob"), F.lit("/")).contains("/"), glob).otherwise(F.concat(F.lit("**/"), glob))
+    rules = lines.select("project", _glob(deep).alias("rule"))
+    return files.select("project", "path").join(rules, "project").where(F.regexp_like("path", F.col("rule"))).select("project", "path").distinct()

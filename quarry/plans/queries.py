@@ -12,6 +12,7 @@ from ..operators import lifecycle as L
 from ..operators import lines as N
 from ..operators import project_gates as G
 from ..operators import stats as S
+from . import markup_queries
 from .corpus import EMISSIONS_SQL, FILES_SQL, emissions, files, projects
 
 #: The time of the runs in the queries, in epoch ms.
@@ -372,3 +373,6 @@ t AS (SELECT *, CASE WHEN file IS NOT NULL THEN greatest(coalesce(try_cast(l0 AS
 b AS (SELECT project, file, line, max('c' || id::VARCHAR) AS hash, 'dev' AS author, max(created_at) AS author_time FROM t WHERE emit_seq % 5 = 0 AND file IS NOT NULL GROUP BY ALL)
 SELECT id, hash, author, author_time FROM t LEFT JOIN b USING (project, file, line)""",
 }
+
+QUERIES |= markup_queries.QUERIES
+SQL |= markup_queries.SQL
