@@ -10,17 +10,25 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, line_templates, mixing, simhash, toxicity
-from quarry.llm.common import read, shared_dir
+from quarry.llm.common import read, shared_dir, without
+
+
+def _apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
+    """docs with all columns but the used ones renamed, so that none clashes with what an
+    operator adds, and the columns that restore the names."""
+    names = {c: c if c in used else f"in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[docs[c].alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine, fitted on the labelled ones, rejects go."""
-    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+    own, restored = _apart(docs, "doc_id", "text")
+    model = toxicity.train(own, read(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(own, model).where("predicted = 0").select(*restored)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,28 +36,33 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents of which under a fifth of the words are left are copies of earlier ones and go.
     """
-    out = line_templates.without_copies(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    own, restored = _apart(docs, "doc_id", "text", "n_chars")
+    out = line_templates.without_copies(own)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*restored)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays.
-
-    Rows that repeat a doc_id with the same text are one document.
+    """Of each group of near copies the document with the smallest id stays; of rows that share
+    that id, one does. A group whose rows have no id keeps one row too.
     """
-    marked = simhash.near_duplicates(docs)
-    return marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["doc_id"]).select(*docs.columns)
+    own, restored = _apart(docs, "doc_id", "text")
+    marked = simhash.near_duplicates(own, group="near_group")
+    return marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["near_group"]).select(*restored)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    out = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), spans=False)
-    return out.where(~F.col("contaminated")).select(*docs.columns)
+    own, restored = _apart(docs, "doc_id", "text")
+    out = decontaminate.decontaminate(own, read(spark, sf_dir, "benchmark"), spans=False)
+    return out.where(~F.col("contaminated")).select(*restored)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each copy that the mix takes, with shard and position in the shard."""
-    return mixing.mix(docs).select(*docs.columns, "size", "shard", "position")
+    """A row for each copy that the mix takes, with size, shard and position in the shard, which
+    replace input columns of these names."""
+    added = ("size", "shard", "position")
+    own, restored = _apart(without(docs, *added), "doc_id", "text", "source")
+    return mixing.mix(own).select(*restored, *added)
 
 
 STAGES = [

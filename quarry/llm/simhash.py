@@ -213,26 +213,30 @@ def near_links(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return grouped, checkpointed(found.select("root_a", "root_b", "l.f", "l.g"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", group: str | None = None) -> DataFrame:
     """docs with fingerprint (signed 64 bits) and component_id, the smallest doc_id that
     links of at most 3 differing bits reach.
 
+    group: name of a further column with a fingerprint that stands for the component, which
+    tells components apart even where rows repeat a doc_id or have none.
+
     Fingerprints alone decide: texts without words (null too) have fingerprint zero and
     are linked like any other. Repeated rows have the same component. Null doc_ids are
     never a component's id unless all its ids are null. Input columns named like the added
     ones are replaced.
     """
-    docs = without(docs, "fingerprint", "component_id")
+    added = ["fingerprint", "component_id", *([group] if group else [])]
+    docs = without(docs, *added)
     marked = fingerprints(docs, text)
     slim = checkpointed(marked.select("doc_id", "fingerprint").groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
-    roots = component_roots(slim).withColumnRenamed("f", "_fingerprint")
-    return marked.join(roots, marked["fingerprint"] == roots["_fingerprint"]).select(*docs.columns, "fingerprint", "component_id")
+    roots = component_roots(slim).withColumnsRenamed({"f": "_fingerprint", "top": group or "top"})
+    return marked.join(roots, marked["fingerprint"] == roots["_fingerprint"]).select(*[marked[c] for c in docs.columns], *added)
 
 
 def component_roots(slim: DataFrame) -> DataFrame:
-    """(f, component_id) of (fingerprint, low: its smallest doc_id)."""
+    """(f, top, component_id) of (fingerprint, low: its smallest doc_id); top is a fingerprint for each component."""
     grouped, links = near_links(slim.select(F.col("fingerprint").alias("f")))
     above = connected_components(links.select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))).withColumnRenamed("root", "top")
     own = grouped.join(above, grouped["root"] == above["node"], "left").select("f", F.coalesce("top", grouped["root"]).alias("top"))
     low = slim.join(own, slim["fingerprint"] == own["f"]).groupBy("top").agg(F.min("low").alias("component_id"))
-    return own.join(low, "top").select("f", "component_id")
+    return own.join(low, "top").select("f", "top", "component_id")
