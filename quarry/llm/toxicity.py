@@ -176,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on at most `sample` labelled rows that are not held out.
 
     Only hashed terms of the sample come to the driver. Rows that contradict each other
-    (one doc_id, both labels) count once each.
+    (one doc_id, both labels) count once each; documents that repeat a doc_id are one row, of
+    the text with the smallest hash, so that the bound holds however often an id occurs.
     """
     lab = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     picked = lab.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
@@ -192,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     d = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
     # the bounded sample of ids meets the documents; a million ids at most are sent round
     few = F.broadcast(picked) if sample <= 1_000_000 else picked
-    own = checkpointed(d.join(few, "doc_id").select("toxic", F.arrow_udf(hashed, T.ArrayType(T.IntegerType()))(F.col("text")).alias("slots"), "doc_id"))
+    once = d.join(few, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    own = checkpointed(once.select("toxic", F.arrow_udf(hashed, T.ArrayType(T.IntegerType()))(F.col("text")).alias("slots"), "doc_id"))
     n = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return fit([], [[]] * sum(n.values()), [y for y, k in n.items() for _ in range(k)])

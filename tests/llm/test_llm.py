@@ -191,6 +191,14 @@ def test_toxicity_held_out(spark):
     assert held.where("predicted <> toxic").count() == 0 and held.count() > 50
 
 
+def test_toxicity_fits_on_one_text_per_id(spark):
+    docs = [(k, "snarlish tree" if k % 2 else "river stone") for k in range(100)]
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(100)], LABELS)
+    once = toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), labels)
+    again = toxicity.train(spark.createDataFrame(docs + [docs[1]] * 500, "doc_id long, text string"), labels)
+    assert once.row == again.row and once.row and once.bias == again.bias and (once.weights == again.weights).all()
+
+
 def components(fps):
     """Smallest id reachable over links of at most 3 bits, by brute force."""
     ids = sorted(fps)
