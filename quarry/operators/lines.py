@@ -127,16 +127,18 @@ def is_synthetic(token: Column) -> Column:
     return (run >= 8) | token.rlike(R.SECRET_STAND_IN) | (X.shannon_entropy(token) < 3.5)
 
 
+_ANY_SECRET = "|".join(f"(?:{p})" for _, p in R.SECRET_PATTERNS) + f"|{R.PEM_HEADER}"
+
+
 def secrets_scan(files: DataFrame) -> DataFrame:
     """(project, path, line_no, pattern): credentials of known vendors, one row a line and pattern, and private keys.
 
     Matches that look made up are dropped. A key's header counts only with key material next to
     it, or in a file named as a key.
     """
-    anything = "|".join(f"(?:{p})" for _, p in R.SECRET_PATTERNS) + f"|{R.PEM_HEADER}"
-    lines = explode_lines(files.where(~P.is_detection_rule() & F.col("text").rlike(anything)))
+    lines = explode_lines(files.where(~P.is_detection_rule() & F.col("text").rlike(_ANY_SECRET)))
     hits = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_extract_all("line", F.lit(p), F.lit(0)).alias("found")) for n, p in R.SECRET_PATTERNS])
-    each = lines.where(F.col("line").rlike(anything)).select("project", "path", "line_no", F.explode(hits).alias("h"))
+    each = lines.where(F.col("line").rlike(_ANY_SECRET)).select("project", "path", "line_no", F.explode(hits).alias("h"))
     tokens = each.where(F.exists("h.found", lambda t: ~is_synthetic(t))).select("project", "path", "line_no", "h.pattern")
     # The material stands behind the header on its own line, as "\n" escapes, or on the first line below that is no field of the header.
     after = W.partitionBy("project", "path").orderBy("line_no").rowsBetween(1, 8)
@@ -145,3 +147,23 @@ def secrets_scan(files: DataFrame) -> DataFrame:
     key = material(F.regexp_replace("line", rf"^.*?{R.PEM_HEADER}", "")) | F.coalesce(material(F.col("below")), F.lit(False)) | F.col("path").rlike(R.KEY_FILE)
     keys = lines.withColumn("below", below).where(F.col("line").rlike(R.PEM_HEADER) & key)
     return tokens.unionByName(keys.select("project", "path", "line_no", F.lit("private_key").alias("pattern")))
+
+
+def secrets_history(blobs: DataFrame, most: int | None = None) -> DataFrame:
+    """(project, file_path, severity) of credentials in any version that history holds: blobs (project, sha, path, seq, text).
+
+    A blob is scanned once, under its first path, and its location is history:sha:path:line:pattern.
+    most: scan only so many blobs of a project, by seq; a project that has more gets an info row.
+    """
+    once = blobs.groupBy("project", "sha").agg(F.min(F.struct("seq", "path")).alias("first")).select("project", "sha", "first.*")
+    if most is not None:
+        once = once.withColumn("nth", F.row_number().over(W.partitionBy("project").orderBy("seq", "sha")))
+        more = once.where(F.col("nth") == most + 1).select("project", F.lit("history:limit").alias("file_path"), F.lit("info").alias("severity"))
+        once = once.where(F.col("nth") <= most).drop("nth")
+    # only blobs that may hold one move
+    first = blobs.where(F.col("text").rlike(_ANY_SECRET)).join(once, ["project", "sha", "seq", "path"], "left_semi").dropDuplicates(["project", "sha"])
+    # lines of a blob stay apart from those of other versions under the same path
+    found = secrets_scan(first.select(F.struct("project", "sha").alias("project"), "path", "text"))
+    place = F.concat_ws(":", F.lit("history"), F.substring("project.sha", 1, 8), "path", F.col("line_no").cast("string"), "pattern")
+    out = found.select("project.project", place.alias("file_path"), F.lit("warning").alias("severity"))
+    return out if most is None else out.unionByName(more)
