@@ -138,13 +138,23 @@ def shard_bounds(plan: DataFrame, shards: int, seed: int = 8, max_sources: int =
     return spark.createDataFrame(rows, schema)
 
 
+def dealt(plan: DataFrame, shards: int, seed: int = 8) -> DataFrame:
+    """(source, block, copy, shard): a row for each copy of a block that the tree deals to a shard."""
+    each = plan.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    each = each.withColumn("number", F.row_number().over(W.partitionBy("source").orderBy("copy", "turn", "block")) - 1)
+    bounds = shard_bounds(plan, shards, seed)
+    each = each.alias("e").join(F.broadcast(bounds).alias("s"), F.col("e.source").eqNullSafe(F.col("s.source")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("last")))
+    return each.select("e.source", "e.block", "copy", "shard")
+
+
 def mix(docs: DataFrame, shards: int = 16, blocks: int = BLOCKS, seed: int = 8, weights=WEIGHTS, share=(3, 2), most: int = MOST, copies: bool = True) -> DataFrame:
     """docs (doc_id, text, source, ...) mixed to the target weights.
 
     copies=True: one row for each copy taken, with `shard`, `position` (a seeded order
     within the shard) and `size`; every document's copies follow its block's. Sort a
     shard by `position` to read it shuffled.
-    copies=False: one row for each document, with size, source_size, target and taken.
+    copies=False: one row for each document, with size, source_size, target and taken, the
+    words of its copies over all shards.
 
     Repeated rows are documents of their own and share a block. Null and empty texts
     have no words and target 0 if their source has none. A null source is a source, the
@@ -161,13 +171,11 @@ def mix(docs: DataFrame, shards: int = 16, blocks: int = BLOCKS, seed: int = 8,
         r = right.withColumnRenamed("source", "_source").withColumnRenamed("block", "_block")
         return d.join(hint(r), (d["block"] == r["_block"]) & d["source"].eqNullSafe(r["_source"])).drop("_source", "_block")
 
+    each = dealt(plan, shards, seed)
     if not copies:
-        return joined(plan.drop("turn")).withColumn("taken", F.col("size") * F.col("copies")).drop("block", "copies")
-    each = plan.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    each = each.withColumn("number", F.row_number().over(W.partitionBy("source").orderBy("copy", "turn", "block")) - 1)
-    bounds = shard_bounds(plan, shards, seed)
-    each = each.alias("e").join(F.broadcast(bounds).alias("s"), F.col("e.source").eqNullSafe(F.col("s.source")) & (F.col("number") >= F.col("first")) & (F.col("number") < F.col("last")))
-    each = each.select("e.source", "e.block", "copy", "shard")
+        got = each.groupBy(F.col("source").alias("_s"), F.col("block").alias("_b")).agg(F.count("*").alias("got"))
+        own = plan.join(got, (plan["block"] == got["_b"]) & plan["source"].eqNullSafe(got["_s"]), "left").select("source", "block", "source_size", "target", F.coalesce("got", F.lit(0)).alias("copies"))
+        return joined(own).withColumn("taken", F.col("size") * F.col("copies")).drop("block", "copies")
     place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("place"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("copy").cast("string")).cast("binary"))
     return joined(each).withColumn("position", place).drop("block", "copy")
 

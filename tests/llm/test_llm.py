@@ -271,6 +271,15 @@ def test_mixing_targets_and_shards(spark):
     assert mixed.exceptAll(mixing.mix(docs, shards=5)).count() == 0
 
 
+def test_mixing_query_takes_what_the_tree_deals(spark, monkeypatch):
+    """A block that no shard gets isn't taken; one of a source's copies gone, it is missing from the sum."""
+    docs = spark.createDataFrame([(k, "w w", "ab"[k % 2] if k % 5 else None) for k in range(200)], "doc_id long, text string, source string")
+    shards = {r["source"]: r["size"] for r in mixing.mix(docs).groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    assert {r["source"]: r["taken"] for r in mixing.mix(docs, copies=False).groupBy("source").agg(F.sum("taken").alias("taken")).collect()} == shards
+    monkeypatch.setattr(mixing, "_split", lambda quota, shards, rng: np.zeros((shards, len(quota)), dtype=np.int64))
+    assert mixing.mix(docs, copies=False).agg(F.sum("taken"), F.count("*")).first() == (0, 200)
+
+
 def test_secrets_ledger_scans_only_unseen(spark):
     docs = spark.createDataFrame([(1, "é password = hunter22 AKIA" + "A" * 16), (2, "token: token: abcdefgh"), (3, None), (4, "é password = hunter22 AKIA" + "A" * 16)], "doc_id long, text string")
     ledger, found = secrets.scan_secrets(docs)
