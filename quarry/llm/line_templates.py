@@ -7,6 +7,11 @@ words don't vary, the line stands for the template with the varying words masked
 for itself. A template that occurs in several documents is dropped from all but the
 first (smallest doc_id).
 
+That is the contract of the query. With `common`, as in the pipeline, a leaf's similar lines
+have one template whatever the number of lines that share a field's value: lines with at
+least 80 % of their words in common are linked, and a line of a group of linked ones stands
+for the group if at least 80 % of its words are the majority's at their positions.
+
 Lines move as hashes. Words are laid out only for distinct lines in leaves that hold
 several, and then only those that no other line shares come together again. DataFrame
 functions only.
@@ -18,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed, without
+from .components import connected_components
 
 #: Lines of fewer words (headings, list marks, closing words) stay.
 LEAST_WORDS = 5
@@ -51,7 +57,50 @@ def _lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
     return each.withColumn("leaf", F.xxhash64("n", F.substring_index("m", " ", depth))).withColumn("h", F.xxhash64("m"))
 
 
-def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
+def _own_templates(text: DataFrame, depth: int, similar: float) -> DataFrame:
+    """(leaf, h, template) of the lines whose unshared words leave enough others."""
+    words = text.select("leaf", "h", F.posexplode(F.split("m", " ")).alias("at", "word")).where(F.col("at") >= depth)
+    alone = words.groupBy("leaf", "at", F.xxhash64("word").alias("w")).agg(F.count("*").alias("k"), F.min("h").alias("h")).where("k = 1")
+    varying = alone.groupBy("leaf", "h").agg(F.array_sort(F.collect_list("at")).alias("vary"))
+    own = text.join(varying, ["leaf", "h"]).where(F.size("vary") <= F.col("n") * (1 - similar) + 1e-9)
+    # the template is its constant words and the places of the others
+    gap = F.split("m", " ")
+    ends = F.concat(F.array(F.lit(-1)), F.col("vary"), F.array(F.size(gap)))
+    kept = F.transform(F.sequence(F.lit(0), F.size("vary")), lambda i: F.array_join(F.slice(gap, F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1), " "))
+    return own.select("leaf", "h", F.xxhash64("n", "vary", F.array_join(kept, f" {MASK} ")).alias("template"))
+
+
+def _common_templates(text: DataFrame, depth: int, similar: float) -> DataFrame:
+    """(leaf, h, template, off) of the lines that are similar to the majority of a group of linked
+    lines; off: the number of words that aren't the majority's.
+
+    Of two lines that differ in k words, one of k + 1 segments is equal. In each segment's
+    key all lines meet the one with the smallest hash only, so that links stay in proportion
+    to lines; groups join what doesn't meet directly.
+    """
+    most = F.floor(F.col("n") * (1 - similar) + 1e-9).cast("int")
+    free = F.greatest(F.col("n") - depth, F.lit(0))
+    begin = lambda i: F.floor(i * free / (most + 1)).cast("int") + depth
+    segment = lambda w, i: F.xxhash64("leaf", i, F.array_join(F.slice(w, begin(i) + 1, begin(i + 1) - begin(i)), " "))
+    # the array of one array: words are split once a line, not once a segment
+    keys = F.flatten(F.transform(F.array(F.split("m", " ")), lambda w: F.transform(F.sequence(F.lit(0), most), lambda i: segment(w, i))))
+    keyed = checkpointed(text.select("h", F.explode(keys).alias("key")))
+    centre = keyed.groupBy("key").agg(F.min("h").alias("g"), F.count("*").alias("k")).where("k > 1").select("key", "g")
+    pairs = keyed.join(centre, "key").where("h <> g").select("h", "g").distinct()
+    one, other = text.select("h", "n", F.col("m").alias("m1")), text.select(F.col("h").alias("g"), F.col("m").alias("m2"))
+    same = F.size(F.filter(F.zip_with(F.split("m1", " "), F.split("m2", " "), lambda a, b: a == b), lambda x: x))
+    links = pairs.join(one, "h").join(other, "g").where(F.col("n") - same <= F.col("n") * (1 - similar) + 1e-9)
+    root = connected_components(links.select(F.col("h").alias("a"), F.col("g").alias("b")))
+    group = checkpointed(text.join(root, text["h"] == root["node"]).select("leaf", "h", "n", "m", "root"))
+    words = group.select("root", "h", F.posexplode(F.split("m", " ")).alias("at", "word")).where(F.col("at") >= depth).select("root", "h", "at", F.xxhash64("word").alias("w"))
+    count = words.groupBy("root", "at", "w").agg(F.count("*").alias("k"), F.min("h").alias("low"))
+    chief = count.groupBy("root", "at").agg(F.max(F.struct("k", F.bitwise_not("low"), "w"))["w"].alias("chief"))
+    off = words.join(chief, ["root", "at"]).groupBy("h").agg(F.count_if(F.col("w") != F.col("chief")).alias("off"))
+    own = group.join(off, "h").where(F.col("off") <= F.col("n") * (1 - similar) + 1e-9)
+    return own.select("leaf", "h", F.xxhash64(F.lit("common"), "root").alias("template"), "off")
+
+
+def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH, similar: float = SIMILAR, common: bool = False) -> DataFrame:
     """(row, dropped): the ordered 0-based numbers of the lines to drop, for rows that have some."""
     lines = _lines(docs, least, depth)
     slim = checkpointed(lines.select("doc", "row", "pos", "leaf", "h"))
@@ -62,15 +111,7 @@ def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH,
     # one whole line for each distinct line that shares its leaf
     text = lines.select("doc", "leaf", "h", "n", "m").join(few, ["leaf", "h", "doc"], "left_semi").dropDuplicates(["leaf", "h"])
     text = checkpointed(text.select("leaf", "h", "n", "m"))
-    words = text.select("leaf", "h", F.posexplode(F.split("m", " ")).alias("at", "word")).where(F.col("at") >= depth)
-    alone = words.groupBy("leaf", "at", F.xxhash64("word").alias("w")).agg(F.count("*").alias("k"), F.min("h").alias("h")).where("k = 1")
-    varying = alone.groupBy("leaf", "h").agg(F.array_sort(F.collect_list("at")).alias("vary"))
-    own = text.join(varying, ["leaf", "h"]).where(F.size("vary") <= F.col("n") * (1 - similar) + 1e-9)
-    # the template is its constant words and the places of the others
-    gap = F.split("m", " ")
-    ends = F.concat(F.array(F.lit(-1)), F.col("vary"), F.array(F.size(gap)))
-    kept = F.transform(F.sequence(F.lit(0), F.size("vary")), lambda i: F.array_join(F.slice(gap, F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1), " "))
-    template = own.select("leaf", "h", F.xxhash64("n", "vary", F.array_join(kept, f" {MASK} ")).alias("template"))
+    template = (_common_templates if common else _own_templates)(text, depth, similar).select("leaf", "h", "template")
     known = variants.join(template, ["leaf", "h"], "left").withColumn("template", F.coalesce("template", "h"))
     known = checkpointed(known)
     again = known.groupBy("leaf", "template").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last")
@@ -79,7 +120,7 @@ def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH,
     return out.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH, similar: float = SIMILAR, common: bool = False) -> DataFrame:
     """docs whose text lacks the dropped lines, with n_lines and n_dropped.
 
     Rows that share a doc_id are one document; all rows without a doc_id are one, the
@@ -88,7 +129,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH, s
     ones are replaced.
     """
     docs = without(docs, "n_lines", "n_dropped", "dropped")
-    drops = dropped_lines(docs.select("doc_id", "text"), least, depth, similar).withColumnRenamed("row", "_row")
+    drops = dropped_lines(docs.select("doc_id", "text"), least, depth, similar, common).withColumnRenamed("row", "_row")
     out = docs.withColumn("_r", F.xxhash64("doc_id", "text")).join(drops, F.col("_r") == F.col("_row"), "left").drop("_r", "_row")
     lines = F.split("text", "\n")
     ends = F.concat(F.array(F.lit(-1)), F.col("dropped"), F.array(F.size(lines)))
@@ -99,13 +140,13 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH, s
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
-def without_copies(docs: DataFrame, least_left: float = 0.2, **options) -> DataFrame:
+def without_copies(docs: DataFrame, least_left: float = 0.2, common: bool = True, **options) -> DataFrame:
     """docs with their recurring lines dropped, less the documents that keep under `least_left`
     of their words: those are copies, in the sense of a similarity over 1 - least_left, of
     earlier documents. Columns stay as they are.
     """
     before = docs.withColumn("_before", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    out = dedup_lines(before, **options)
+    out = dedup_lines(before, common=common, **options)
     left = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
     out = out.where((F.col("n_dropped") == 0) | (left >= least_left * F.col("_before")))
     return out.select(*docs.columns)

@@ -134,6 +134,23 @@ def test_shared_passage_goes_from_all_but_one(spark):
     assert len(out) == 6 and sum(passage in r["text"] for r in out) == 1
 
 
+def test_common_template_of_crossed_values_and_of_edits_at_different_places(spark):
+    """In the pipeline's stage: field values that two lines share, and copies edited here and there."""
+    line = "the service on host {} was started by user {} at boot time of the day before"
+    crossed = [line.format(h, u) for h in ("alpha", "beta") for u in ("root", "admin")]
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(57)]
+    rng, edited = random.Random(2), []
+    for k in range(12):
+        own = list(words)
+        for at in rng.sample(range(4, 57), k % 4 + 1):
+            own[at] = f"new{chr(97 + rng.randrange(3))}"
+        edited.append(" ".join(own))
+    for lines in (crossed, edited):
+        docs = spark.createDataFrame([(k, f"own words of number {chr(97 + k)}{chr(97 + k)} that {' '.join([chr(97 + k) * 3] * 90)}\n{x}") for k, x in enumerate(lines)], "doc_id long, text string")
+        got = {r["doc_id"]: r["text"].split("\n")[1:] for r in line_templates.without_copies(docs).collect()}
+        assert got == {k: [lines[0]] if k == 0 else [] for k in range(len(lines))}
+
+
 def test_html_main_text():
     html = """<html><head><title>t</title><style>p{}</style></head><body><nav><p>menu</p></nav><div class="cookie-notice">We use cookies</div><article><h1>Head &amp; more</h1>
     <p>One <b>two</b>
