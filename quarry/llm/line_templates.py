@@ -49,16 +49,17 @@ def masked(text: Column) -> Column:
 
 
 def _lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
-    """(doc, row, pos, m, n, leaf, h) of the lines of at least `least` words."""
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), masked(F.col("text")).alias("m"))
-    each = keyed.select("doc", "row", F.posexplode(F.split("m", "\n")).alias("pos", "m")).withColumn("m", F.trim("m"))
+    """(doc, row, whole, total, pos, m, n, leaf, h) of the lines of at least `least` words; whole: hash of the text, total: its words."""
+    total = F.regexp_count("text", F.lit(WORD)).alias("total")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("whole"), total, masked(F.col("text")).alias("m"))
+    each = keyed.select("doc", "row", "whole", "total", F.posexplode(F.split("m", "\n")).alias("pos", "m")).withColumn("m", F.trim("m"))
     each = each.withColumn("n", F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1)
     each = each.where((F.col("m") != "") & (F.col("n") >= least))
     return each.withColumn("leaf", F.xxhash64("n", F.substring_index("m", " ", depth))).withColumn("h", F.xxhash64("m"))
 
 
 def _own_templates(text: DataFrame, depth: int, similar: float) -> DataFrame:
-    """(leaf, h, template) of the lines whose unshared words leave enough others."""
+    """(leaf, h, template, off) of the lines whose off unshared words leave enough others."""
     words = text.select("leaf", "h", F.posexplode(F.split("m", " ")).alias("at", "word")).where(F.col("at") >= depth)
     alone = words.groupBy("leaf", "at", F.xxhash64("word").alias("w")).agg(F.count("*").alias("k"), F.min("h").alias("h")).where("k = 1")
     varying = alone.groupBy("leaf", "h").agg(F.array_sort(F.collect_list("at")).alias("vary"))
@@ -67,7 +68,7 @@ def _own_templates(text: DataFrame, depth: int, similar: float) -> DataFrame:
     gap = F.split("m", " ")
     ends = F.concat(F.array(F.lit(-1)), F.col("vary"), F.array(F.size(gap)))
     kept = F.transform(F.sequence(F.lit(0), F.size("vary")), lambda i: F.array_join(F.slice(gap, F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1), " "))
-    return own.select("leaf", "h", F.xxhash64("n", "vary", F.array_join(kept, f" {MASK} ")).alias("template"))
+    return own.select("leaf", "h", F.xxhash64("n", "vary", F.array_join(kept, f" {MASK} ")).alias("template"), F.size("vary").alias("off"))
 
 
 def _common_templates(text: DataFrame, depth: int, similar: float) -> DataFrame:
@@ -100,10 +101,14 @@ def _common_templates(text: DataFrame, depth: int, similar: float) -> DataFrame:
     return own.select("leaf", "h", F.xxhash64(F.lit("common"), "root").alias("template"), "off")
 
 
-def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH, similar: float = SIMILAR, common: bool = False) -> DataFrame:
-    """(row, dropped): the ordered 0-based numbers of the lines to drop, for rows that have some."""
+def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH, similar: float = SIMILAR, common: bool = False, least_left: float | None = None) -> DataFrame:
+    """(row, dropped): the ordered 0-based numbers of the lines to drop, for rows that have some.
+
+    least_left: adds `copied`, whether the row is a copy in the sense of `without_copies`.
+    """
     lines = _lines(docs, least, depth)
-    slim = checkpointed(lines.select("doc", "row", "pos", "leaf", "h"))
+    extra = [] if least_left is None else ["n", "total", "whole", ((F.length("m") - F.length(F.replace("m", F.lit(MASK), F.lit("")))) / len(MASK)).cast("int").alias("masks")]
+    slim = checkpointed(lines.select("doc", "row", "pos", "leaf", "h", *extra))
     variants = checkpointed(slim.groupBy("leaf", "h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
     several = variants.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf")
     asked = checkpointed(variants.join(several, "leaf", "left_semi").select("leaf", "h", F.col("low").alias("doc")))
@@ -111,26 +116,56 @@ def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH,
     # one whole line for each distinct line that shares its leaf
     text = lines.select("doc", "leaf", "h", "n", "m").join(few, ["leaf", "h", "doc"], "left_semi").dropDuplicates(["leaf", "h"])
     text = checkpointed(text.select("leaf", "h", "n", "m"))
-    template = (_common_templates if common else _own_templates)(text, depth, similar).select("leaf", "h", "template")
+    template = (_common_templates if common else _own_templates)(text, depth, similar)
     known = variants.join(template, ["leaf", "h"], "left").withColumn("template", F.coalesce("template", "h"))
     known = checkpointed(known)
     again = known.groupBy("leaf", "template").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last")
     recurring = known.select("leaf", "h", "template").join(again, ["leaf", "template"]).select("leaf", "h", "first")
     out = slim.join(recurring, ["leaf", "h"]).where("doc <> first")
-    return out.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    if least_left is None:
+        return out.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
+    drops = out.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("p"), F.min("total").alias("total"), F.min("whole").alias("whole"), F.min("doc").alias("doc"))
+    lost = F.aggregate("p", F.lit(0), lambda a, x: a + x["n"].cast("int"))
+    drops = checkpointed(drops.select("row", "total", "whole", "doc", F.col("p.pos").alias("dropped"), (F.col("total") - lost < least_left * F.col("total")).alias("short")))
+    copied = _copied(slim, known, out, drops.where("short"), 1 - least_left).withColumn("copied", F.lit(True))
+    return drops.join(copied, "row", "left").select("row", "dropped", F.coalesce("copied", F.lit(False)).alias("copied"))
 
 
-def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH, similar: float = SIMILAR, common: bool = False) -> DataFrame:
+def _copied(slim: DataFrame, known: DataFrame, cut: DataFrame, short: DataFrame, share: float) -> DataFrame:
+    """(row): those of `short` of which one earlier document has the whole text or at least `share` of the words.
+
+    Asked are the documents that are the first with one of the row's dropped lines. A line
+    counts with the words that it surely has in common with the other document's: masked words
+    and words that vary in either don't count.
+    """
+    off = F.coalesce("off", F.lit(0))
+    lines = cut.join(short.select("row"), "row", "left_semi").select("row", "first", "pos", "leaf", "h", "n", "masks").distinct()
+    lines = checkpointed(lines.join(known.select("leaf", "h", "template", off.alias("off")), ["leaf", "h"]).select("row", "first", "pos", "leaf", "h", "template", (F.col("n") - F.col("masks")).alias("words"), "off"))
+    asked = lines.select("row", F.col("first").alias("owner")).distinct()
+    held = slim.join(asked.select(F.col("owner").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("owner"), "leaf", "h").distinct()
+    held = held.join(known.select("leaf", "h", "template", off.alias("its")), ["leaf", "h"]).groupBy("owner", "leaf", "template").agg(F.min(F.struct("its", F.col("h").alias("g"))).alias("best"), F.collect_set("h").alias("hs"))
+    met = lines.drop("first").join(asked, "row").join(held, ["owner", "leaf", "template"])
+    same = F.when(F.array_contains("hs", F.col("h")), F.col("words")).otherwise(F.greatest(F.col("words") - F.col("off") - F.col("best.its"), F.lit(0)))
+    sure = met.groupBy("row", "owner").agg(F.sum(same).alias("same")).join(short.select("row", "total"), "row")
+    # a text that is an earlier one's, masked words and all
+    earlier = slim.join(short.select("whole").distinct(), "whole", "left_semi").groupBy("whole").agg(F.min("doc").alias("low"))
+    again = short.join(earlier, "whole").where("low < doc").select("row")
+    return sure.where(F.col("same") >= share * F.col("total") - 1e-9).select("row").union(again).distinct()
+
+
+def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH, similar: float = SIMILAR, common: bool = False, least_left: float | None = None) -> DataFrame:
     """docs whose text lacks the dropped lines, with n_lines and n_dropped.
 
     Rows that share a doc_id are one document; all rows without a doc_id are one, the
     last. Null text stays null and has no lines; an empty text has one, empty. Repeated
     rows lose the same lines. Other columns pass through; columns named like the added
-    ones are replaced.
+    ones are replaced. least_left: without the copies in the sense of `without_copies`.
     """
-    docs = without(docs, "n_lines", "n_dropped", "dropped")
-    drops = dropped_lines(docs.select("doc_id", "text"), least, depth, similar, common).withColumnRenamed("row", "_row")
+    docs = without(docs, "n_lines", "n_dropped", "dropped", *([] if least_left is None else ["copied"]))
+    drops = dropped_lines(docs.select("doc_id", "text"), least, depth, similar, common, least_left).withColumnRenamed("row", "_row")
     out = docs.withColumn("_r", F.xxhash64("doc_id", "text")).join(drops, F.col("_r") == F.col("_row"), "left").drop("_r", "_row")
+    if least_left is not None:
+        out = out.where(~F.coalesce("copied", F.lit(False)))
     lines = F.split("text", "\n")
     ends = F.concat(F.array(F.lit(-1)), F.col("dropped"), F.array(F.size(lines)))
     runs = F.transform(F.sequence(F.lit(0), F.size("dropped")), lambda i: F.slice(lines, F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1))
@@ -142,14 +177,11 @@ def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH, s
 
 def without_copies(docs: DataFrame, least_left: float = 0.2, common: bool = True, **options) -> DataFrame:
     """docs with their recurring lines dropped, less the documents that keep under `least_left`
-    of their words: those are copies, in the sense of a similarity over 1 - least_left, of
-    earlier documents. Columns stay as they are.
+    of their words and are copies: one single earlier document has at least 1 - least_left of
+    their words, in lines of the same templates. What is left of others stays. Columns stay
+    as they are.
     """
-    before = docs.withColumn("_before", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)))
-    out = dedup_lines(before, common=common, **options)
-    left = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    out = out.where((F.col("n_dropped") == 0) | (left >= least_left * F.col("_before")))
-    return out.select(*docs.columns)
+    return dedup_lines(docs, common=common, least_left=least_left, **options).select(*docs.columns)
 
 
 SQL = rf"""

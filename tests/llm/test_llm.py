@@ -151,6 +151,19 @@ def test_common_template_of_crossed_values_and_of_edits_at_different_places(spar
         assert got == {k: [lines[0]] if k == 0 else [] for k in range(len(lines))}
 
 
+def test_a_copy_has_one_single_owner(spark):
+    """Lines of several earlier documents, or lines that are alike only as numbers, make no copy."""
+    word = lambda k: "".join(chr(97 + int(c)) for c in f"{k:04}")
+    line = lambda d, k: " ".join(word(500 * d + 20 * k + j) for j in range(12))
+    texts = {d: [line(d, k) for k in range(8)] for d in range(4)}
+    texts[4] = [texts[d][k] for d in range(4) for k in range(2)]  # of four documents
+    texts[5] = texts[1][:7] + [texts[2][0]]  # 7/8 of document 1
+    texts |= {d: ["row of numbers: " + " ".join(str(n + k) for k in range(40))] for d, n in ((6, 100), (7, 500), (8, 500))}
+    docs = spark.createDataFrame([(d, "\n".join(x)) for d, x in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_templates.without_copies(docs).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 6, 7} and got[4] == got[7] == ""
+
+
 def test_html_main_text():
     html = """<html><head><title>t</title><style>p{}</style></head><body><nav><p>menu</p></nav><div class="cookie-notice">We use cookies</div><article><h1>Head &amp; more</h1>
     <p>One <b>two</b>
