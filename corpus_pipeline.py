@@ -13,8 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, line_templates, mixing, simhash, toxicity
-from quarry.llm.common import read, shared_dir, without
+from quarry.llm import decontaminate, line_templates, mixing, shingles, simhash, toxicity
+from quarry.llm.common import checkpointed, read, shared_dir, without
 
 
 def _apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
@@ -43,11 +43,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays; of rows that share
-    that id, one does. A group whose rows have no id keeps one row too.
+    that id, one does. A group whose rows have no id keeps one row too. Near copies are texts at
+    most 3 bits of their fingerprints apart and, of those that stay, texts that have at least
+    80 % of their 5-word shingles in common.
     """
     own, restored = _apart(docs, "doc_id", "text")
-    marked = simhash.near_duplicates(own, group="near_group")
-    return marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).dropDuplicates(["near_group"]).select(*restored)
+    own = own.withColumn("_row", F.xxhash64("doc_id", "text"))
+    marked = simhash.near_duplicates(own.select("doc_id", "text", "_row"), group="near_group")
+    kept = checkpointed(marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("near_group").agg(F.min("_row").alias("_row")).select("_row"))
+    left = kept.join(shingles.near_copy_rows(own.select("doc_id", "text", "_row"), kept), "_row", "left_anti")
+    return own.join(left, "_row", "left_semi").dropDuplicates(["_row"]).select(*restored)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

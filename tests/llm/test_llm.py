@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import chat, decontaminate, html_template, line_templates, mixing, quality, queries, secrets, simhash, toxicity, url_rules
+from quarry.llm import chat, decontaminate, html_template, line_templates, mixing, quality, queries, secrets, shingles, simhash, toxicity, url_rules
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, SIZE int, kept string, score string, findings string, n_words string, component_id string, n_lines string"
@@ -97,6 +97,26 @@ def test_near_copies_stage_with_repeated_and_missing_ids(spark):
     assert got == [(0, a), (0, b), (7, "c d e f"), (7, "x y z w")]
 
 
+def test_near_copies_stage_finds_similar_texts_with_distant_fingerprints(spark):
+    """Texts with 80 to 90 % of their 5-word shingles in common; brute force says which."""
+    rng, texts = random.Random(4), []
+    for g in range(12):
+        words = [f"g{g}w{k}" for k in range(150)]
+        for copy in range(2):
+            own = list(words)
+            for at in rng.sample(range(150), 2 * copy + g % 2):
+                own[at] = f"x{rng.random()}"
+            texts.append(" ".join(own))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(146)} for t in texts]
+    near = {2 * g + 1 for g in range(12) if len(sets[2 * g] & sets[2 * g + 1]) >= 0.8 * len(sets[2 * g] | sets[2 * g + 1])}
+    fps = [simhash.fingerprint(t.encode()) for t in texts]
+    assert sum(bin(fps[i] ^ fps[i - 1]).count("1") > 3 for i in near) > 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    far = {i for i in range(1, 24, 2) if i not in near and bin(fps[i] ^ fps[i - 1]).count("1") > 3}
+    assert got == {2 * g for g in range(12)} | far
+
+
 def test_preferences_common_prefix(spark):
     s = "pair_id long, turn long, role string, text string"
     a = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 1, "assistant", "yes"), (2, 0, "user", "same"), (3, 0, "user", "only")], s)
