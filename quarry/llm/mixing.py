@@ -21,7 +21,7 @@ from .common import WORD, checkpointed, without
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (3, 1, 2)
-#: Blocks of a source. The error of a source's words is about half a block.
+#: Blocks of a source. The error of a source's words is at most about half of the block that is tried last; a block has no size bound.
 BLOCKS = 4096
 #: Copies of a document at most.
 MOST = 2
