@@ -32,12 +32,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines stay in their first document only; n_chars follows the text.
-
-    Documents of which under a fifth of the words are left are copies of earlier ones and go.
-    """
+    """Recurring lines stay in their first document only; n_chars follows the text. All documents
+    stay, those without a line of their own with an empty text."""
     own, restored = _apart(docs, "doc_id", "text", "n_chars")
-    out = line_templates.without_copies(own)
+    out = line_templates.dedup_lines(own)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*restored)
 
 

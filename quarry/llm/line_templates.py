@@ -1,206 +1,177 @@
 """Line deduplication by a log-template tree.
 
 A line's words with a digit in them are masked, and the line falls down a tree of fixed
-depth: by its number of words, then by its first words. In a leaf, a position varies for
-a line if no other line of the leaf has its word there; if at least 80 % of a line's
-words don't vary, the line stands for the template with the varying words masked, else
-for itself. A template that occurs in several documents is dropped from all but the
+depth: by its number of words, then by its four first words, of which one may be anything,
+so a line is in four leaves. In its leaves a line stands for the most typical line that
+shares a segment of its further words and at least 80 % of all words, place by place.
+Typical is a line whose words many lines of its leaves have at the same places; ties go by
+digest. So field values, however many lines share one, and edits at different places lead
+to one template. A template that occurs in several documents is dropped from all but the
 first (smallest doc_id).
 
-That is the contract of the query. With `common`, as in the pipeline, a leaf's similar lines
-have one template whatever the number of lines that share a field's value: lines with at
-least 80 % of their words in common are linked, and a line of a group of linked ones stands
-for the group if at least 80 % of its words are the majority's at their positions.
+Of two lines that differ in k words, one of k + 1 segments is equal: lines meet only the most
+typical line of a segment, so that pairs stay in proportion to lines. A line whose most
+typical line itself stands for a third one stands for that. Lines of under 5 words have no
+word to spare and stand for themselves; lines without a word that isn't masked (numbers)
+have no template and stay. Lines whose first words differ in more than one place don't
+meet.
 
-Lines move as hashes. Words are laid out only for distinct lines in leaves that hold
-several, and then only those that no other line shares come together again. DataFrame
-functions only.
+Lines move as hashes; words are laid out only for distinct lines in leaves that hold
+several. DataFrame functions only.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD, checkpointed, without
-from .components import connected_components
+from .common import checkpointed, without
 
-#: Lines of fewer words (headings, list marks, closing words) stay.
-LEAST_WORDS = 5
-#: Leading words that the tree splits on.
+#: Leading words that the tree splits on; at one of them a leaf takes any word.
 DEPTH = 4
-#: Share of a line's words that its template keeps, at least.
+#: Share of a line's words that it has in common with its template, at least.
 SIMILAR = 0.8
 MASK = "<*>"
 #: Tables of up to so many line keys (24 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_LINES = 300_000
 _LAST = (1 << 63) - 1
+#: Above any text of Unicode characters that are in use.
+_LAST_TEXT = "\U0010ffff"
 _ODD_SPACE = r"[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20[\x20\x09\x0B-\x0D]++"
 _WITH_DIGIT = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def masked(text: Column) -> Column:
-    """Text whose lines are their words, masked, with single spaces between (and maybe around).
+def masked(line: Column) -> Column:
+    """A line's words, masked, with single spaces between. Most lines need no rewriting, and finding that out is cheap."""
+    again = line.contains("  ") | line.rlike(r"[0-9\x09\x0B-\x0D]")
+    return F.trim(F.when(again, F.regexp_replace(F.regexp_replace(line, _ODD_SPACE, " "), _WITH_DIGIT, MASK)).otherwise(line))
 
-    Most texts need no rewriting, and finding that out is cheap.
-    """
-    text = F.when(text.rlike(_ODD_SPACE), F.regexp_replace(text, _ODD_SPACE, " ")).otherwise(text)
-    return F.when(text.rlike("[0-9]"), F.regexp_replace(text, _WITH_DIGIT, MASK)).otherwise(text)
-
-
-def _lines(docs: DataFrame, least: int, depth: int) -> DataFrame:
-    """(doc, row, whole, total, pos, m, n, leaf, h) of the lines of at least `least` words; whole: hash of the text, total: its words."""
-    total = F.regexp_count("text", F.lit(WORD)).alias("total")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text").alias("whole"), total, masked(F.col("text")).alias("m"))
-    each = keyed.select("doc", "row", "whole", "total", F.posexplode(F.split("m", "\n")).alias("pos", "m")).withColumn("m", F.trim("m"))
-    each = each.withColumn("n", F.length("m") - F.length(F.replace("m", F.lit(" "), F.lit(""))) + 1)
-    each = each.where((F.col("m") != "") & (F.col("n") >= least))
-    return each.withColumn("leaf", F.xxhash64("n", F.substring_index("m", " ", depth))).withColumn("h", F.xxhash64("m"))
-
-
-def _own_templates(text: DataFrame, depth: int, similar: float) -> DataFrame:
-    """(leaf, h, template, off) of the lines whose off unshared words leave enough others."""
-    words = text.select("leaf", "h", F.posexplode(F.split("m", " ")).alias("at", "word")).where(F.col("at") >= depth)
-    alone = words.groupBy("leaf", "at", F.xxhash64("word").alias("w")).agg(F.count("*").alias("k"), F.min("h").alias("h")).where("k = 1")
-    varying = alone.groupBy("leaf", "h").agg(F.array_sort(F.collect_list("at")).alias("vary"))
-    own = text.join(varying, ["leaf", "h"]).where(F.size("vary") <= F.col("n") * (1 - similar) + 1e-9)
-    # the template is its constant words and the places of the others
-    gap = F.split("m", " ")
-    ends = F.concat(F.array(F.lit(-1)), F.col("vary"), F.array(F.size(gap)))
-    kept = F.transform(F.sequence(F.lit(0), F.size("vary")), lambda i: F.array_join(F.slice(gap, F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1), " "))
-    return own.select("leaf", "h", F.xxhash64("n", "vary", F.array_join(kept, f" {MASK} ")).alias("template"), F.size("vary").alias("off"))
-
-
-def _common_templates(text: DataFrame, depth: int, similar: float) -> DataFrame:
-    """(leaf, h, template, off) of the lines that are similar to the majority of a group of linked
-    lines; off: the number of words that aren't the majority's.
-
-    Of two lines that differ in k words, one of k + 1 segments is equal. In each segment's
-    key all lines meet the one with the smallest hash only, so that links stay in proportion
-    to lines; groups join what doesn't meet directly.
-    """
-    most = F.floor(F.col("n") * (1 - similar) + 1e-9).cast("int")
+
+def doc_key(docs: DataFrame) -> Column:
+    """doc_id as something to order by, null last: whole numbers as such, other types as text."""
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(_LAST_TEXT))
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc, row, pos, m, n, h) of the lines with a constant word; row: hash of id and text."""
+    keyed = docs.select(doc_key(docs).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    each = keyed.select("doc", "row", "pos", masked(F.col("line")).alias("m"))
+    constant = F.trim(F.replace(F.concat(F.lit(" "), "m", F.lit(" ")), F.lit(f" {MASK}"), F.lit(""))) != ""
+    each = each.where((F.col("m") != "") & F.when(F.col("m").contains(MASK), constant).otherwise(True))
+    n = F.octet_length("m") - F.octet_length(F.replace("m", F.lit(" "), F.lit(""))) + 1
+    return each.withColumn("n", n).withColumn("h", F.xxhash64("m"))
+
+
+def _most(n: Column, similar: float) -> Column:
+    """Words of n in which a line may differ from its template."""
+    return F.floor(n * (1 - similar) + 1e-9).cast("int")
+
+
+def _leaves(variants: DataFrame, depth: int, similar: float) -> DataFrame:
+    """(h, leaf) of the lines that may differ in a word, in leaves that hold several."""
+    open_at = lambda i: F.xxhash64("n", F.lit(i), *[f"w{j}" for j in range(depth) if j != i])
+    keys = variants.where(_most(F.col("n"), similar) > 0).select("h", F.explode(F.array(*[open_at(i) for i in range(depth)])).alias("leaf"))
+    several = keys.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf")
+    return keys.join(several, "leaf")
+
+
+def _templates(text: DataFrame, leaves: DataFrame, depth: int, similar: float) -> DataFrame:
+    """(h, template: the h of the line that it stands for) of the lines that don't stand for themselves."""
+    places = text.select("h", F.posexplode(F.split("m", " ")).alias("at", "word")).select("h", "at", F.xxhash64("word").alias("w"))
+    places = places.join(leaves, "h")
+    count = places.groupBy("leaf", "at", "w").agg(F.count("*").alias("k"))
+    typical = places.join(count, ["leaf", "at", "w"]).groupBy("h").agg((-F.sum("k")).alias("rank"))
+    known = checkpointed(text.join(typical, "h").select("h", "n", "m", F.struct("rank", F.md5(F.col("m").cast("binary")).alias("tie"), "h").alias("who")))
+    most = _most(F.col("n"), similar)
     free = F.greatest(F.col("n") - depth, F.lit(0))
     begin = lambda i: F.floor(i * free / (most + 1)).cast("int") + depth
     segment = lambda w, i: F.xxhash64("leaf", i, F.array_join(F.slice(w, begin(i) + 1, begin(i + 1) - begin(i)), " "))
     # the array of one array: words are split once a line, not once a segment
     keys = F.flatten(F.transform(F.array(F.split("m", " ")), lambda w: F.transform(F.sequence(F.lit(0), most), lambda i: segment(w, i))))
-    keyed = checkpointed(text.select("h", F.explode(keys).alias("key")))
-    centre = keyed.groupBy("key").agg(F.min("h").alias("g"), F.count("*").alias("k")).where("k > 1").select("key", "g")
-    pairs = keyed.join(centre, "key").where("h <> g").select("h", "g").distinct()
-    one, other = text.select("h", "n", F.col("m").alias("m1")), text.select(F.col("h").alias("g"), F.col("m").alias("m2"))
+    keyed = checkpointed(known.join(leaves, "h").select("h", "who", F.explode(keys).alias("key")))
+    chief = keyed.groupBy("key").agg(F.min("who").alias("chief"))
+    pairs = keyed.join(chief, "key").where(F.col("chief.h") != F.col("h")).select("h", "chief").distinct()
+    one, other = known.select("h", "n", F.col("m").alias("m1")), known.select(F.col("h").alias("g"), F.col("m").alias("m2"))
     same = F.size(F.filter(F.zip_with(F.split("m1", " "), F.split("m2", " "), lambda a, b: a == b), lambda x: x))
-    links = pairs.join(one, "h").join(other, "g").where(F.col("n") - same <= F.col("n") * (1 - similar) + 1e-9)
-    root = connected_components(links.select(F.col("h").alias("a"), F.col("g").alias("b")))
-    group = checkpointed(text.join(root, text["h"] == root["node"]).select("leaf", "h", "n", "m", "root"))
-    words = group.select("root", "h", F.posexplode(F.split("m", " ")).alias("at", "word")).where(F.col("at") >= depth).select("root", "h", "at", F.xxhash64("word").alias("w"))
-    count = words.groupBy("root", "at", "w").agg(F.count("*").alias("k"), F.min("h").alias("low"))
-    chief = count.groupBy("root", "at").agg(F.max(F.struct("k", F.bitwise_not("low"), "w"))["w"].alias("chief"))
-    off = words.join(chief, ["root", "at"]).groupBy("h").agg(F.count_if(F.col("w") != F.col("chief")).alias("off"))
-    own = group.join(off, "h").where(F.col("off") <= F.col("n") * (1 - similar) + 1e-9)
-    return own.select("leaf", "h", F.xxhash64(F.lit("common"), "root").alias("template"), "off")
-
-
-def dropped_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH, similar: float = SIMILAR, common: bool = False, least_left: float | None = None) -> DataFrame:
-    """(row, dropped): the ordered 0-based numbers of the lines to drop, for rows that have some.
-
-    least_left: adds `copied`, whether the row is a copy in the sense of `without_copies`.
-    """
-    lines = _lines(docs, least, depth)
-    extra = [] if least_left is None else ["n", "total", "whole", ((F.length("m") - F.length(F.replace("m", F.lit(MASK), F.lit("")))) / len(MASK)).cast("int").alias("masks")]
-    slim = checkpointed(lines.select("doc", "row", "pos", "leaf", "h", *extra))
-    variants = checkpointed(slim.groupBy("leaf", "h").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
-    several = variants.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf")
-    asked = checkpointed(variants.join(several, "leaf", "left_semi").select("leaf", "h", F.col("low").alias("doc")))
+    met = pairs.withColumn("g", F.col("chief.h")).join(one, "h").join(other, "g").where(F.col("n") - same <= most)
+    first = checkpointed(met.groupBy("h").agg(F.min("chief")["h"].alias("g")))
+    further = first.select(F.col("h").alias("g"), F.col("g").alias("g2"))
+    return first.join(further, "g", "left").select("h", F.coalesce("g2", "g").alias("template"))
+
+
+def dropped_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
+    """(row, dropped): the 0-based numbers of the lines to drop, for rows that have some."""
+    lines = _lines(docs)
+    lead = [F.hash(F.substring_index(F.substring_index("m", " ", j + 1), " ", -1)).alias(f"w{j}") for j in range(depth)]
+    slim = checkpointed(lines.select("doc", "row", "pos", "h", "n", *lead))
+    # lines with one hash are alike in all but doc, row and pos
+    variants = checkpointed(slim.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *[F.min(c).alias(c) for c in ("n", *(f"w{j}" for j in range(depth)))]))
+    leaves = checkpointed(_leaves(variants, depth, similar))
+    asked = checkpointed(variants.join(leaves.select("h").distinct(), "h", "left_semi").select("h", F.col("low").alias("doc")))
     few = F.broadcast(asked) if asked.count() <= BROADCAST_LINES else asked
-    # one whole line for each distinct line that shares its leaf
-    text = lines.select("doc", "leaf", "h", "n", "m").join(few, ["leaf", "h", "doc"], "left_semi").dropDuplicates(["leaf", "h"])
-    text = checkpointed(text.select("leaf", "h", "n", "m"))
-    template = (_common_templates if common else _own_templates)(text, depth, similar)
-    known = variants.join(template, ["leaf", "h"], "left").withColumn("template", F.coalesce("template", "h"))
+    # one whole line for each distinct line that shares a leaf
+    text = checkpointed(lines.select("doc", "h", "n", "m").join(few, ["h", "doc"], "left_semi").dropDuplicates(["h"]).select("h", "n", "m"))
+    known = variants.join(_templates(text, leaves, depth, similar), "h", "left").select("h", "low", "high", F.coalesce("template", "h").alias("template"))
     known = checkpointed(known)
-    again = known.groupBy("leaf", "template").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last")
-    recurring = known.select("leaf", "h", "template").join(again, ["leaf", "template"]).select("leaf", "h", "first")
-    out = slim.join(recurring, ["leaf", "h"]).where("doc <> first")
-    if least_left is None:
-        return out.groupBy("row").agg(F.array_sort(F.collect_set("pos")).alias("dropped"))
-    drops = out.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("p"), F.min("total").alias("total"), F.min("whole").alias("whole"), F.min("doc").alias("doc"))
-    lost = F.aggregate("p", F.lit(0), lambda a, x: a + x["n"].cast("int"))
-    drops = checkpointed(drops.select("row", "total", "whole", "doc", F.col("p.pos").alias("dropped"), (F.col("total") - lost < least_left * F.col("total")).alias("short")))
-    copied = _copied(slim, known, out, drops.where("short"), 1 - least_left).withColumn("copied", F.lit(True))
-    return drops.join(copied, "row", "left").select("row", "dropped", F.coalesce("copied", F.lit(False)).alias("copied"))
-
-
-def _copied(slim: DataFrame, known: DataFrame, cut: DataFrame, short: DataFrame, share: float) -> DataFrame:
-    """(row): those of `short` of which one earlier document has the whole text or at least `share` of the words.
-
-    Asked are the documents that are the first with one of the row's dropped lines. A line
-    counts with the words that it surely has in common with the other document's: masked words
-    and words that vary in either don't count.
-    """
-    off = F.coalesce("off", F.lit(0))
-    lines = cut.join(short.select("row"), "row", "left_semi").select("row", "first", "pos", "leaf", "h", "n", "masks").distinct()
-    lines = checkpointed(lines.join(known.select("leaf", "h", "template", off.alias("off")), ["leaf", "h"]).select("row", "first", "pos", "leaf", "h", "template", (F.col("n") - F.col("masks")).alias("words"), "off"))
-    asked = lines.select("row", F.col("first").alias("owner")).distinct()
-    held = slim.join(asked.select(F.col("owner").alias("doc")).distinct(), "doc", "left_semi").select(F.col("doc").alias("owner"), "leaf", "h").distinct()
-    held = held.join(known.select("leaf", "h", "template", off.alias("its")), ["leaf", "h"]).groupBy("owner", "leaf", "template").agg(F.min(F.struct("its", F.col("h").alias("g"))).alias("best"), F.collect_set("h").alias("hs"))
-    met = lines.drop("first").join(asked, "row").join(held, ["owner", "leaf", "template"])
-    same = F.when(F.array_contains("hs", F.col("h")), F.col("words")).otherwise(F.greatest(F.col("words") - F.col("off") - F.col("best.its"), F.lit(0)))
-    sure = met.groupBy("row", "owner").agg(F.sum(same).alias("same")).join(short.select("row", "total"), "row")
-    # a text that is an earlier one's, masked words and all
-    earlier = slim.join(short.select("whole").distinct(), "whole", "left_semi").groupBy("whole").agg(F.min("doc").alias("low"))
-    again = short.join(earlier, "whole").where("low < doc").select("row")
-    return sure.where(F.col("same") >= share * F.col("total") - 1e-9).select("row").union(again).distinct()
-
-
-def dedup_lines(docs: DataFrame, least: int = LEAST_WORDS, depth: int = DEPTH, similar: float = SIMILAR, common: bool = False, least_left: float | None = None) -> DataFrame:
+    again = known.groupBy("template").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last")
+    recurring = known.select("h", "template").join(again, "template").select("h", "first")
+    return slim.join(recurring, "h").where("doc <> first").groupBy("row").agg(F.collect_set("pos").alias("dropped"))
+
+
+def dedup_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
     """docs whose text lacks the dropped lines, with n_lines and n_dropped.
 
     Rows that share a doc_id are one document; all rows without a doc_id are one, the
-    last. Null text stays null and has no lines; an empty text has one, empty. Repeated
-    rows lose the same lines. Other columns pass through; columns named like the added
-    ones are replaced. least_left: without the copies in the sense of `without_copies`.
+    last. doc_ids that are no whole numbers are ordered as text. Null text stays null and has
+    no lines; an empty text has one, empty. All documents stay; one whose lines all recur has
+    an empty text. Very long texts are spread by line. Repeated rows lose the same lines.
+    An empty table gives an empty one. Other columns pass through; columns named like the
+    added ones are replaced.
     """
-    docs = without(docs, "n_lines", "n_dropped", "dropped", *([] if least_left is None else ["copied"]))
-    drops = dropped_lines(docs.select("doc_id", "text"), least, depth, similar, common, least_left).withColumnRenamed("row", "_row")
-    out = docs.withColumn("_r", F.xxhash64("doc_id", "text")).join(drops, F.col("_r") == F.col("_row"), "left").drop("_r", "_row")
-    if least_left is not None:
-        out = out.where(~F.coalesce("copied", F.lit(False)))
-    lines = F.split("text", "\n")
-    ends = F.concat(F.array(F.lit(-1)), F.col("dropped"), F.array(F.size(lines)))
-    runs = F.transform(F.sequence(F.lit(0), F.size("dropped")), lambda i: F.slice(lines, F.get(ends, i) + 2, F.get(ends, i + 1) - F.get(ends, i) - 1))
-    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    docs = without(docs, "n_lines", "n_dropped", "dropped", "_row", "_r")
+    drops = dropped_lines(docs.select("doc_id", "text"), depth, similar).withColumnRenamed("row", "_row")
+    out = docs.withColumn("_r", F.xxhash64("doc_id", "text")).join(drops, F.col("_r") == F.col("_row"), "left")
+    left = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("dropped"))
+    # the array of one array: the text is split once, not once a line
+    kept = F.transform(F.array(F.split("text", "\n")), lambda ls: F.array_join(F.transform(left(ls), lambda i: F.get(ls, i)), "\n"))[0]
+    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long")
     n_dropped = F.when(F.col("dropped").isNull(), 0).otherwise(F.size("dropped")).cast("long")
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in docs.columns], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
-def without_copies(docs: DataFrame, least_left: float = 0.2, common: bool = True, **options) -> DataFrame:
-    """docs with their recurring lines dropped, less the documents that keep under `least_left`
-    of their words and are copies: one single earlier document has at least 1 - least_left of
-    their words, in lines of the same templates. What is left of others stays. Columns stay
-    as they are.
-    """
-    return dedup_lines(docs, common=common, least_left=least_left, **options).select(*docs.columns)
-
-
-SQL = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, {_LAST}) AS doc, text FROM documents),
+_SQL_SAME = "len(list_filter(generate_series(1, {a}.n), lambda i: {a}.ws[i] = {b}.ws[i]))"
+#: The query's rows; SQL_TEXTS gives the texts themselves.
+_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, *, coalesce(doc_id, {_LAST}) AS doc FROM documents),
 s AS (SELECT rid, doc, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM d WHERE text IS NOT NULL),
-t AS (SELECT rid, doc, pos, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS ws FROM s),
-l AS (SELECT rid, doc, pos, ws, len(ws) AS n, array_to_string(ws, ' ') AS m, array_to_string(ws[1:{DEPTH}], ' ') AS lead FROM t WHERE len(ws) >= {LEAST_WORDS}),
-v AS (SELECT n, lead, m, any_value(ws) AS ws, min(doc) AS low, max(doc) AS high FROM l GROUP BY n, lead, m),
-w AS (SELECT n, lead, m, place, ws[place] AS word FROM (SELECT n, lead, m, ws, unnest(generate_series({DEPTH + 1}, n)) AS place FROM v WHERE n > {DEPTH})),
-a AS (SELECT n, lead, place, min(m) AS m FROM w GROUP BY n, lead, place, word HAVING count(*) = 1),
-x AS (SELECT n, lead, m, list(place) AS vary FROM a GROUP BY n, lead, m),
-k AS (SELECT v.n, v.lead, v.m, low, high, CASE WHEN vary IS NULL OR len(vary) > v.n * (1 - {SIMILAR}) + 1e-9 THEN 'line ' || v.m
-    ELSE 'template ' || array_to_string(list_transform(generate_series(1, v.n), lambda i: CASE WHEN list_contains(vary, i) THEN '<?>' ELSE ws[i] END), ' ') END AS template
-  FROM v LEFT JOIN x ON v.n = x.n AND v.lead = x.lead AND v.m = x.m),
-r AS (SELECT n, lead, template, min(low) AS first FROM k GROUP BY n, lead, template HAVING min(low) <> max(high)),
-z AS (SELECT rid, pos FROM l JOIN k USING (n, lead, m) JOIN r USING (n, lead, template) WHERE doc <> first),
-g AS (SELECT rid, list(pos) AS ps FROM z GROUP BY rid)
-SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_dropped,
-  CASE WHEN text IS NULL THEN NULL WHEN ps IS NULL THEN sha256(text)
-    ELSE sha256(array_to_string(list_filter(string_split(text, chr(10)), lambda y, i: NOT list_contains(ps, i)), chr(10))) END AS text_sha256
-FROM d LEFT JOIN g USING (rid)
+t AS (SELECT rid, doc, pos, list_transform(regexp_extract_all(line, '[^ 	-]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{MASK}' ELSE w END) AS ws FROM s),
+l AS (SELECT rid, doc, pos, ws, len(ws) AS n, array_to_string(ws, ' ') AS m FROM t WHERE len(list_filter(ws, lambda w: w <> '{MASK}')) > 0),
+v AS (SELECT m, any_value(ws) AS ws, any_value(n) AS n, floor(any_value(n) * (1 - {SIMILAR}) + 1e-9)::BIGINT AS most, min(doc) AS low, max(doc) AS high FROM l GROUP BY m),
+k0 AS (SELECT m, unnest(list_transform(generate_series(1, {DEPTH}), lambda o: n || ':' || o || ':' || array_to_string(list_transform(ws[1:{DEPTH}], lambda w, j: CASE WHEN j = o THEN '' ELSE w END), ' '))) AS leaf
+  FROM v WHERE most > 0),
+k AS (SELECT m, leaf FROM k0 WHERE leaf IN (SELECT leaf FROM k0 GROUP BY leaf HAVING count(*) > 1)),
+a AS (SELECT v.* FROM v WHERE m IN (SELECT m FROM k)),
+w AS (SELECT m, leaf, place, ws[place] AS word FROM (SELECT a.m, leaf, ws, unnest(generate_series(1, n)) AS place FROM a JOIN k USING (m))),
+c AS (SELECT leaf, place, word, count(*) AS n FROM w GROUP BY ALL),
+r AS (SELECT m, row_number() OVER (ORDER BY sum(c.n) DESC, md5(m)) AS rank FROM w JOIN c USING (leaf, place, word) GROUP BY m),
+g AS (SELECT m, leaf, i, array_to_string(ws[{DEPTH} + 1 + floor(i * (n - {DEPTH}) / (most + 1))::BIGINT : {DEPTH} + floor((i + 1) * (n - {DEPTH}) / (most + 1))::BIGINT], ' ') AS part
+  FROM (SELECT a.m, leaf, ws, n, most, unnest(generate_series(0, most)) AS i FROM a JOIN k USING (m))),
+h AS (SELECT leaf, i, part, min(rank) AS rank FROM g JOIN r USING (m) GROUP BY ALL),
+p AS (SELECT DISTINCT g.m, h.rank, r.m AS chief FROM g JOIN h USING (leaf, i, part) JOIN r ON r.rank = h.rank WHERE r.m <> g.m),
+q AS (SELECT p.m, arg_min(chief, rank) AS chief FROM p JOIN a x ON x.m = p.m JOIN a y ON y.m = p.chief WHERE x.n - {_SQL_SAME.format(a="x", b="y")} <= x.most GROUP BY p.m),
+u AS (SELECT v.m, low, high, coalesce(q2.chief, q1.chief, v.m) AS template FROM v LEFT JOIN q q1 ON q1.m = v.m LEFT JOIN q q2 ON q2.m = q1.chief),
+f AS (SELECT template, min(low) AS first FROM u GROUP BY template HAVING min(low) <> max(high)),
+z AS (SELECT rid, pos FROM l JOIN u USING (m) JOIN f USING (template) WHERE doc <> first),
+e AS (SELECT rid, list(pos) AS ps FROM z GROUP BY rid),
+o AS (SELECT d.*, ps, CASE WHEN ps IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda y, i: NOT list_contains(ps, i)), chr(10)) END AS kept
+  FROM d LEFT JOIN e USING (rid))
 """
+SQL = (
+    _SQL
+    + "SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(len(ps), 0)::BIGINT AS n_dropped, sha256(kept) AS text_sha256 FROM o"
+)
+SQL_TEXTS = _SQL + "SELECT doc_id, kept AS text FROM o"
