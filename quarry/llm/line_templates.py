@@ -4,8 +4,7 @@ A line's words with a digit in them are masked, and the line falls down a tree o
 depth: by its number of words, then by its four first words, of which one may be anything,
 so a line is in four leaves. In its leaves a line stands for the most typical line that
 shares a segment of its further words and at least 80 % of all words, place by place.
-Typical is a line whose words many lines of its leaves have at the same places; ties go by
-digest. So field values, however many lines share one, and edits at different places lead
+Typical is a line whose segments many lines of its leaves share; ties go by digest. So field values, however many lines share one, and edits at different places lead
 to one template. A template that occurs in several documents is dropped from all but the
 first (smallest doc_id).
 
@@ -55,14 +54,18 @@ def doc_key(docs: DataFrame) -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.lit(_LAST_TEXT))
 
 
+def _n_words(line: str) -> Column:
+    """Words of a masked line."""
+    return F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, row, pos, m, n, h) of the lines with a constant word; row: hash of id and text."""
     keyed = docs.select(doc_key(docs).alias("doc"), F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     each = keyed.select("doc", "row", "pos", masked(F.col("line")).alias("m"))
     constant = F.trim(F.replace(F.concat(F.lit(" "), "m", F.lit(" ")), F.lit(f" {MASK}"), F.lit(""))) != ""
     each = each.where((F.col("m") != "") & F.when(F.col("m").contains(MASK), constant).otherwise(True))
-    n = F.octet_length("m") - F.octet_length(F.replace("m", F.lit(" "), F.lit(""))) + 1
-    return each.withColumn("n", n).withColumn("h", F.xxhash64("m"))
+    return each.withColumn("n", _n_words("m")).withColumn("h", F.xxhash64("m"))
 
 
 def _most(n: Column, similar: float) -> Column:
@@ -71,30 +74,32 @@ def _most(n: Column, similar: float) -> Column:
 
 
 def _leaves(variants: DataFrame, depth: int, similar: float) -> DataFrame:
-    """(h, leaf) of the lines that may differ in a word, in leaves that hold several."""
+    """(h, leaf) of the lines that may differ in a word, in leaves that hold several.
+
+    A leaf is named by the lines that it holds, so leaves of the same lines are one.
+    """
     open_at = lambda i: F.xxhash64("n", F.lit(i), *[f"w{j}" for j in range(depth) if j != i])
-    keys = variants.where(_most(F.col("n"), similar) > 0).select("h", F.explode(F.array(*[open_at(i) for i in range(depth)])).alias("leaf"))
-    several = keys.groupBy("leaf").agg(F.count("*").alias("k")).where("k > 1").select("leaf")
-    return keys.join(several, "leaf")
+    keys = variants.where(_most(F.col("n"), similar) > 0).select("h", F.explode(F.array(*[open_at(i) for i in range(depth)])).alias("key"))
+    several = keys.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s"), F.bit_xor("h").alias("x")).where("k > 1")
+    return keys.join(several.select("key", F.xxhash64("k", "s", "x").alias("leaf")), "key").select("h", "leaf").distinct()
 
 
 def _templates(text: DataFrame, leaves: DataFrame, depth: int, similar: float) -> DataFrame:
     """(h, template: the h of the line that it stands for) of the lines that don't stand for themselves."""
-    places = text.select("h", F.posexplode(F.split("m", " ")).alias("at", "word")).select("h", "at", F.xxhash64("word").alias("w"))
-    places = places.join(leaves, "h")
-    count = places.groupBy("leaf", "at", "w").agg(F.count("*").alias("k"))
-    typical = places.join(count, ["leaf", "at", "w"]).groupBy("h").agg((-F.sum("k")).alias("rank"))
-    known = checkpointed(text.join(typical, "h").select("h", "n", "m", F.struct("rank", F.md5(F.col("m").cast("binary")).alias("tie"), "h").alias("who")))
     most = _most(F.col("n"), similar)
     free = F.greatest(F.col("n") - depth, F.lit(0))
     begin = lambda i: F.floor(i * free / (most + 1)).cast("int") + depth
     segment = lambda w, i: F.xxhash64("leaf", i, F.array_join(F.slice(w, begin(i) + 1, begin(i + 1) - begin(i)), " "))
     # the array of one array: words are split once a line, not once a segment
     keys = F.flatten(F.transform(F.array(F.split("m", " ")), lambda w: F.transform(F.sequence(F.lit(0), most), lambda i: segment(w, i))))
-    keyed = checkpointed(known.join(leaves, "h").select("h", "who", F.explode(keys).alias("key")))
-    chief = keyed.groupBy("key").agg(F.min("who").alias("chief"))
-    pairs = keyed.join(chief, "key").where(F.col("chief.h") != F.col("h")).select("h", "chief").distinct()
-    one, other = known.select("h", "n", F.col("m").alias("m1")), known.select(F.col("h").alias("g"), F.col("m").alias("m2"))
+    keyed = checkpointed(text.join(leaves, "h").select("h", F.md5(F.col("m").cast("binary")).alias("tie"), F.explode(keys).alias("key")))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    keyed = checkpointed(keyed.join(shared, "key"))
+    who = keyed.groupBy("h").agg(F.struct((-F.sum("k")).alias("rank"), F.min("tie").alias("tie")).alias("who"))
+    ranked = keyed.select("h", "key").join(who, "h")
+    chief = ranked.groupBy("key").agg(F.min(F.struct("who", "h")).alias("chief"))
+    pairs = ranked.select("h", "key").join(chief, "key").where(F.col("chief.h") != F.col("h")).select("h", "chief").distinct()
+    one, other = text.select("h", "n", F.col("m").alias("m1")), text.select(F.col("h").alias("g"), F.col("m").alias("m2"))
     same = F.size(F.filter(F.zip_with(F.split("m1", " "), F.split("m2", " "), lambda a, b: a == b), lambda x: x))
     met = pairs.withColumn("g", F.col("chief.h")).join(one, "h").join(other, "g").where(F.col("n") - same <= most)
     first = checkpointed(met.groupBy("h").agg(F.min("chief")["h"].alias("g")))
@@ -102,23 +107,32 @@ def _templates(text: DataFrame, leaves: DataFrame, depth: int, similar: float) -
     return first.join(further, "g", "left").select("h", F.coalesce("g2", "g").alias("template"))
 
 
+def _texts_of(docs: DataFrame, slim: DataFrame, asked: DataFrame) -> DataFrame:
+    """(h, n, m): one whole line for each asked (h, doc)."""
+    few = asked.count() <= BROADCAST_LINES
+    hint = F.broadcast if few else (lambda x: x)
+    places = slim.join(hint(asked), ["h", "doc"]).groupBy("h").agg(F.min(F.struct("row", "pos")).alias("at"))
+    places = checkpointed(places.groupBy("at.row").agg(F.collect_list(F.struct("at.pos", "h")).alias("places")))
+    own = docs.withColumn("_r", F.xxhash64("doc_id", "text")).join(hint(places), F.col("_r") == F.col("row")).dropDuplicates(["_r"])
+    # the array of one array: the text is split once, not once a line
+    found = F.transform(F.array(F.split("text", "\n")), lambda ls: F.transform("places", lambda p: F.struct(p["h"].alias("h"), masked(F.get(ls, p["pos"])).alias("m"))))[0]
+    return own.select(F.inline(found)).withColumn("n", _n_words("m"))
+
+
 def dropped_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
     """(row, dropped): the 0-based numbers of the lines to drop, for rows that have some."""
-    lines = _lines(docs)
     lead = [F.hash(F.substring_index(F.substring_index("m", " ", j + 1), " ", -1)).alias(f"w{j}") for j in range(depth)]
-    slim = checkpointed(lines.select("doc", "row", "pos", "h", "n", *lead))
+    slim = checkpointed(_lines(docs).select("doc", "row", "pos", "h", "n", *lead))
     # lines with one hash are alike in all but doc, row and pos
     variants = checkpointed(slim.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *[F.min(c).alias(c) for c in ("n", *(f"w{j}" for j in range(depth)))]))
     leaves = checkpointed(_leaves(variants, depth, similar))
     asked = checkpointed(variants.join(leaves.select("h").distinct(), "h", "left_semi").select("h", F.col("low").alias("doc")))
-    few = F.broadcast(asked) if asked.count() <= BROADCAST_LINES else asked
-    # one whole line for each distinct line that shares a leaf
-    text = checkpointed(lines.select("doc", "h", "n", "m").join(few, ["h", "doc"], "left_semi").dropDuplicates(["h"]).select("h", "n", "m"))
+    text = checkpointed(_texts_of(docs, slim, asked))
     known = variants.join(_templates(text, leaves, depth, similar), "h", "left").select("h", "low", "high", F.coalesce("template", "h").alias("template"))
     known = checkpointed(known)
     again = known.groupBy("template").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last")
     recurring = known.select("h", "template").join(again, "template").select("h", "first")
-    return slim.join(recurring, "h").where("doc <> first").groupBy("row").agg(F.collect_set("pos").alias("dropped"))
+    return slim.select("doc", "row", "pos", "h").join(recurring, "h").where("doc <> first").groupBy("row").agg(F.collect_set("pos").alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
@@ -148,18 +162,19 @@ _SQL_SAME = "len(list_filter(generate_series(1, {a}.n), lambda i: {a}.ws[i] = {b
 _SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, *, coalesce(doc_id, {_LAST}) AS doc FROM documents),
 s AS (SELECT rid, doc, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS pos FROM d WHERE text IS NOT NULL),
-t AS (SELECT rid, doc, pos, list_transform(regexp_extract_all(line, '[^ 	-]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{MASK}' ELSE w END) AS ws FROM s),
+t AS (SELECT rid, doc, pos, list_transform(regexp_extract_all(line, '[^ 	-
+]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '{MASK}' ELSE w END) AS ws FROM s),
 l AS (SELECT rid, doc, pos, ws, len(ws) AS n, array_to_string(ws, ' ') AS m FROM t WHERE len(list_filter(ws, lambda w: w <> '{MASK}')) > 0),
 v AS (SELECT m, any_value(ws) AS ws, any_value(n) AS n, floor(any_value(n) * (1 - {SIMILAR}) + 1e-9)::BIGINT AS most, min(doc) AS low, max(doc) AS high FROM l GROUP BY m),
 k0 AS (SELECT m, unnest(list_transform(generate_series(1, {DEPTH}), lambda o: n || ':' || o || ':' || array_to_string(list_transform(ws[1:{DEPTH}], lambda w, j: CASE WHEN j = o THEN '' ELSE w END), ' '))) AS leaf
   FROM v WHERE most > 0),
-k AS (SELECT m, leaf FROM k0 WHERE leaf IN (SELECT leaf FROM k0 GROUP BY leaf HAVING count(*) > 1)),
+k1 AS (SELECT leaf AS key, md5(string_agg(m, chr(10) ORDER BY m)) AS leaf FROM k0 GROUP BY k0.leaf HAVING count(*) > 1),
+k AS (SELECT DISTINCT m, k1.leaf FROM k0 JOIN k1 ON k1.key = k0.leaf),
 a AS (SELECT v.* FROM v WHERE m IN (SELECT m FROM k)),
-w AS (SELECT m, leaf, place, ws[place] AS word FROM (SELECT a.m, leaf, ws, unnest(generate_series(1, n)) AS place FROM a JOIN k USING (m))),
-c AS (SELECT leaf, place, word, count(*) AS n FROM w GROUP BY ALL),
-r AS (SELECT m, row_number() OVER (ORDER BY sum(c.n) DESC, md5(m)) AS rank FROM w JOIN c USING (leaf, place, word) GROUP BY m),
 g AS (SELECT m, leaf, i, array_to_string(ws[{DEPTH} + 1 + floor(i * (n - {DEPTH}) / (most + 1))::BIGINT : {DEPTH} + floor((i + 1) * (n - {DEPTH}) / (most + 1))::BIGINT], ' ') AS part
   FROM (SELECT a.m, leaf, ws, n, most, unnest(generate_series(0, most)) AS i FROM a JOIN k USING (m))),
+c AS (SELECT leaf, i, part, count(*) AS n FROM g GROUP BY ALL HAVING count(*) > 1),
+r AS (SELECT m, row_number() OVER (ORDER BY sum(c.n) DESC, md5(m)) AS rank FROM g JOIN c USING (leaf, i, part) GROUP BY m),
 h AS (SELECT leaf, i, part, min(rank) AS rank FROM g JOIN r USING (m) GROUP BY ALL),
 p AS (SELECT DISTINCT g.m, h.rank, r.m AS chief FROM g JOIN h USING (leaf, i, part) JOIN r ON r.rank = h.rank WHERE r.m <> g.m),
 q AS (SELECT p.m, arg_min(chief, rank) AS chief FROM p JOIN a x ON x.m = p.m JOIN a y ON y.m = p.chief WHERE x.n - {_SQL_SAME.format(a="x", b="y")} <= x.most GROUP BY p.m),
