@@ -68,6 +68,12 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.withColumn("n", _n_words("m")).withColumn("h", F.xxhash64("m"))
 
 
+def _lead(depth: int) -> list[Column]:
+    """Hashes of the first words, two in a number."""
+    word = lambda j: F.hash(F.substring_index(F.substring_index("m", " ", j + 1), " ", -1)).cast("long").bitwiseAND(F.lit((1 << 32) - 1))
+    return [word(j).bitwiseOR(F.shiftleft(word(j + 1), 32)) if j + 1 < depth else word(j) for j in range(0, depth, 2)]
+
+
 def _most(n: Column, similar: float) -> Column:
     """Words of n in which a line may differ from its template."""
     return F.floor(n * (1 - similar) + 1e-9).cast("int")
@@ -78,10 +84,13 @@ def _leaves(variants: DataFrame, depth: int, similar: float) -> DataFrame:
 
     A leaf is named by the lines that it holds, so leaves of the same lines are one.
     """
-    open_at = lambda i: F.xxhash64("n", F.lit(i), *[f"w{j}" for j in range(depth) if j != i])
+    word = lambda j: F.shiftright(F.col(f"w{j // 2}"), 32 * (j % 2)).bitwiseAND(F.lit((1 << 32) - 1))
+    open_at = lambda i: F.xxhash64("n", F.lit(i), *[word(j) for j in range(depth) if j != i])
     keys = variants.where(_most(F.col("n"), similar) > 0).select("h", F.explode(F.array(*[open_at(i) for i in range(depth)])).alias("key"))
-    several = keys.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s"), F.bit_xor("h").alias("x")).where("k > 1")
-    return keys.join(several.select("key", F.xxhash64("k", "s", "x").alias("leaf")), "key").select("h", "leaf").distinct()
+    several = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    held = checkpointed(keys.join(several, "key"))
+    named = held.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s"), F.bit_xor("h").alias("x"))
+    return held.join(named.select("key", F.xxhash64("k", "s", "x").alias("leaf")), "key").select("h", "leaf").distinct()
 
 
 def _templates(text: DataFrame, leaves: DataFrame, depth: int, similar: float) -> DataFrame:
@@ -121,10 +130,10 @@ def _texts_of(docs: DataFrame, slim: DataFrame, asked: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
     """(row, dropped): the 0-based numbers of the lines to drop, for rows that have some."""
-    lead = [F.hash(F.substring_index(F.substring_index("m", " ", j + 1), " ", -1)).alias(f"w{j}") for j in range(depth)]
-    slim = checkpointed(_lines(docs).select("doc", "row", "pos", "h", "n", *lead))
+    lead = _lead(depth)
+    slim = checkpointed(_lines(docs).select("doc", "row", "pos", "h", "n", *[c.alias(f"w{k}") for k, c in enumerate(lead)]))
     # lines with one hash are alike in all but doc, row and pos
-    variants = checkpointed(slim.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *[F.min(c).alias(c) for c in ("n", *(f"w{j}" for j in range(depth)))]))
+    variants = checkpointed(slim.groupBy("h").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), *[F.min(c).alias(c) for c in ("n", *(f"w{k}" for k in range(len(lead))))]))
     leaves = checkpointed(_leaves(variants, depth, similar))
     asked = checkpointed(variants.join(leaves.select("h").distinct(), "h", "left_semi").select("h", F.col("low").alias("doc")))
     text = checkpointed(_texts_of(docs, slim, asked))
