@@ -61,13 +61,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs: the first scans every blob, the second asks the ledger on addresses and finds nothing new."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    _, findings = secrets.scan_secrets(docs)
-    out = secrets.with_findings(docs, findings)
+    ledger, findings = secrets.scan_secrets(docs)
+    ledger, findings = secrets.scan_secrets(docs, ledger, findings)
+    out = secrets.with_findings(docs, ledger, findings)
     n = lambda kind: F.size(F.filter("findings", lambda f: f["rule"] == kind)).cast("long")
     joined = lambda fs: F.array_join(F.transform(fs, lambda f: F.concat_ws(":", f["rule"], f["start"].cast("string"), f["end"].cast("string"))), ",")
     base = F.filter("findings", lambda f: f["rank"] < len(secrets.BASE))
-    return out.select("doc_id", *[n(k).alias(f"n_{k}") for k in secrets.BASE], _sha(joined(base)).alias("base_sha256"), joined(F.col("findings")).alias("spans"))
+    return out.select("doc_id", *[n(k).alias(f"n_{k}") for k in secrets.BASE], _sha(joined(base)).alias("base_sha256"), joined(F.col("findings")).alias("spans"), "n_scanned")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

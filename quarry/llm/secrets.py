@@ -1,7 +1,7 @@
 """Secret scans over an incremental ledger of blobs.
 
 A version of a document is a blob, addressed by the SHA-256 of its text. The ledger has
-the (blob, rule version) pairs that were scanned. A run scans the distinct blobs of the
+the (rule, version) pairs that each blob was scanned with. A run scans the distinct blobs of the
 pairs it has not seen, adds them to the ledger and to the findings, and joins findings
 back to every path (document row) that has the blob. DataFrame functions only.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import checkpointed, without
 
 
 @dataclass(frozen=True)
@@ -46,8 +46,11 @@ RULES = (
     SecretRule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 BASE = ("assign", "access", "hex")
+#: The ledger's rows and the findings' rows. A blob has a ledger row for each run that scanned it.
+LEDGER = "blob string, scanned array<string>"
 FINDING = "blob string, rule string, rule_version string, start int, end int"
-LEDGER = "blob string, rule string, rule_version string"
+#: Up to so many addresses to scan are broadcast; more meet their texts by shuffle.
+BROADCAST_BLOBS = 300_000
 
 
 def blob_of(text: Column) -> Column:
@@ -55,11 +58,11 @@ def blob_of(text: Column) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
-    """Findings of (blob, text, rules: array of the kinds to scan).
+    """(blob, rules, findings: array of (rule, start, end)) of (blob, text, rules: array of the kinds to scan).
 
     Matches are leftmost and don't overlap within a kind; too short ones are dropped
-    after matching. Positions come from the lengths of the pieces between matches, summed
-    in order over the blob's own matches, so cost stays in proportion to the text.
+    after matching. A match ends behind the pieces between matches and the matches up to it, so
+    positions are running sums over a kind's own matches and cost stays in proportion to the text.
     """
     kinds = []
     for r in rules:
@@ -71,59 +74,74 @@ def scan_blobs(blobs: DataFrame, rules=RULES) -> DataFrame:
         )
         # lengths only: the text itself is not carried on
         lean = F.transform(parts, lambda p: F.struct(F.length(p["piece"]).alias("gap"), F.length(p["match"]).alias("size"), (F.length(p["value"]) if r.group else F.length(p["match"])).alias("key")))
-        kinds.append(F.when(hit, F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("rule_version"), F.lit(r.least).alias("least"), lean.alias("parts"))))
-    found = blobs.select("blob", F.explode(F.array_compact(F.array(*kinds))).alias("k")).select("blob", "k.rule", "k.rule_version", "k.least", F.posexplode("k.parts").alias("n", "p"))
-    order = W.partitionBy("blob", "rule", "rule_version").orderBy("n")
+        kinds.append(F.when(hit, F.struct(F.lit(r.kind).alias("rule"), F.lit(r.least).alias("least"), lean.alias("parts"))))
+    found = blobs.select("blob", "rules", F.array_compact(F.array(*kinds)).alias("kinds"))
+    each = found.select("blob", "rules", F.explode_outer("kinds").alias("k")).select("blob", "rules", "k.rule", "k.least", F.posexplode_outer("k.parts").alias("n", "p"))
+    order = W.partitionBy("blob", "rule").orderBy("n")
     ends = F.sum(F.col("p.gap") + F.coalesce("p.size", F.lit(0))).over(order)
-    found = found.withColumn("end", ends.cast("int")).where("p.size is not null and p.key >= least")
-    return found.select("blob", "rule", "rule_version", (F.col("end") - F.col("p.size")).alias("start"), "end")
+    each = each.withColumn("end", ends.cast("int"))
+    kept = F.when(F.col("p.size").isNotNull() & (F.col("p.key") >= F.col("least")), F.struct("rule", (F.col("end") - F.col("p.size")).alias("start"), "end"))
+    return each.groupBy("blob").agg(F.first("rules").alias("rules"), F.collect_list(kept).alias("findings"))
 
 
-def unseen(versions: DataFrame, ledger: DataFrame | None, rules=RULES) -> DataFrame:
-    """(blob, text, rules) of the distinct blobs with the kinds whose present rule version hasn't scanned them."""
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
-    blobs = versions.groupBy("blob", "text").agg(F.count("*").alias("n")).select("blob", "text")
-    if ledger is None:
-        return blobs.withColumn("rules", kinds)
-    current = None
-    for r in rules:
-        own = (F.col("rule") == r.kind) & (F.col("rule_version") == r.version)
-        current = own if current is None else current | own
-    done = ledger.where(current).groupBy("blob").agg(F.collect_set("rule").alias("done"))
-    # the blobs to scan are found on their addresses first
-    out = blobs.join(done, "blob", "left").withColumn("rules", F.array_except(kinds, F.coalesce("done", F.array().cast("array<string>"))))
-    return out.where(F.size("rules") > 0).select("blob", "text", "rules")
+def pairs(rules=RULES) -> Column:
+    """The present (rule, version) pairs, as "rule:version"."""
+    return F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
+
+
+def unseen(docs: DataFrame, ledger: DataFrame | None, rules=RULES, text: str = "text") -> DataFrame:
+    """(blob, text, rules) of the distinct blobs of docs with the kinds whose present version hasn't scanned them.
+
+    The ledger is asked on addresses. Where what it leaves is at most BROADCAST_BLOBS, only texts
+    to be scanned move; else, as without a ledger, texts meet by their address.
+    """
+    versions = docs.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if ledger is not None:
+        done = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("scanned"))).alias("done"))
+        todo = versions.select("blob").distinct().join(done, "blob", "left")
+        todo = todo.select("blob", F.array_except(pairs(rules), F.coalesce("done", F.array().cast("array<string>"))).alias("todo")).where(F.size("todo") > 0)
+        todo = checkpointed(todo)
+        versions = versions.join(F.broadcast(todo) if todo.count() <= BROADCAST_BLOBS else todo, "blob")
+    else:
+        versions = versions.withColumn("todo", pairs(rules))
+    once = versions.groupBy("blob", "text", "todo").agg(F.count("*").alias("n"))
+    return once.select("blob", "text", F.transform("todo", lambda x: F.substring_index(x, ":", 1)).alias("rules"))
 
 
 def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, findings: DataFrame | None = None, rules=RULES, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(ledger, findings) after a run over all rows of docs, each a version of a document.
 
-    ledger and findings: those of the runs before; None: none. Null and empty texts are
-    the one empty blob, which is scanned like any other. Repeated rows share a blob and
-    are scanned once. Findings are kept under the rule version that made them.
+    ledger and findings: those of the runs before; None: none. What the run adds is computed
+    once and kept in the shared folder. Null and empty texts are the one empty blob, which is
+    scanned like any other. Repeated rows share a blob and are scanned once; very long texts
+    are scanned whole. Findings are kept under the rule version that made them. An empty
+    table adds nothing.
     """
-    versions = docs.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    todo = unseen(versions, ledger, rules)
+    todo = unseen(docs, ledger, rules, text)
     version = F.element_at(F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))]), F.col("rule"))
-    marks = todo.select("blob", F.explode("rules").alias("rule")).select("blob", "rule", version.alias("rule_version"))
-    new = scan_blobs(todo, rules)
+    # a row for each blob, found or not, so that one pass over the texts gives ledger and findings
+    run = checkpointed(scan_blobs(todo, rules))
+    new = run.select("blob", F.explode("findings").alias("f")).select("blob", "f.*").select("blob", "rule", version.alias("rule_version"), "start", "end")
+    marks = run.select("blob", F.transform("rules", lambda k: F.concat_ws(":", k, F.element_at(F.create_map(*[x for r in rules for x in (F.lit(r.kind), F.lit(r.version))]), k))).alias("scanned"))
     return (marks if ledger is None else ledger.unionByName(marks)), (new if findings is None else findings.unionByName(new))
 
 
-def with_findings(docs: DataFrame, findings: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
-    """docs with `findings`: the array of (start, rule, end) of its blob under the present rules, by start, then kind as listed.
+def with_findings(docs: DataFrame, ledger: DataFrame, findings: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
+    """docs with `findings`, the array of (start, rank, rule, end) of its blob under the present rules, by
+    start, then kind as listed, and `n_scanned`, the number of present rules that the ledger has for the blob.
 
-    Every row gets its blob's findings; rows without any get an empty array. An input
-    column `findings` is replaced.
+    Every row gets its blob's findings; rows without any get an empty array. Input columns
+    named like the added ones are replaced.
     """
-    docs = without(docs, "findings", "_blob")
+    docs = without(docs, "findings", "n_scanned", "_blob", "_of")
     rank = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(i))])
-    current = F.array(*[F.lit(f"{r.kind}:{r.version}") for r in rules])
-    own = findings.where(F.array_contains(current, F.concat_ws(":", "rule", "rule_version"))).distinct()
+    own = findings.where(F.array_contains(pairs(rules), F.concat_ws(":", "rule", "rule_version"))).distinct()
     own = own.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", F.element_at(rank, F.col("rule")).alias("rank"), "rule", "end"))).alias("findings"))
-    out = docs.withColumn("_blob", blob_of(F.col(text))).join(own.withColumnRenamed("blob", "_of"), F.col("_blob") == F.col("_of"), "left")
+    seen = ledger.groupBy("blob").agg(F.size(F.array_intersect(pairs(rules), F.flatten(F.collect_list("scanned")))).cast("long").alias("n_scanned"))
+    own = seen.join(own, "blob", "left").withColumnRenamed("blob", "_of")
+    out = docs.withColumn("_blob", blob_of(F.col(text))).join(own, F.col("_blob") == F.col("_of"), "left")
     empty = F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("rank"), F.lit("").alias("rule"), F.lit(0).alias("end"))), lambda x: F.lit(False))
-    return out.select(*[docs[c] for c in docs.columns], F.coalesce("findings", empty).alias("findings"))
+    return out.select(*[docs[c] for c in docs.columns], F.coalesce("findings", empty).alias("findings"), F.coalesce("n_scanned", F.lit(0).cast("long")).alias("n_scanned"))
 
 
 def _sql_spans(rule: SecretRule) -> str:
@@ -138,14 +156,14 @@ def _sql_spans(rule: SecretRule) -> str:
 SQL = (
     "WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),\nf AS ("
     + "\nUNION ALL ".join(_sql_spans(r) for r in RULES)
-    + """),
+    + f"""),
 g AS (
   SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, rank) FILTER (rank < 3) AS base,
     string_agg(kind || ':' || s::BIGINT || ':' || e::BIGINT, ',' ORDER BY s, rank) AS spans
   FROM f GROUP BY rid)
 SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, {len(RULES)}::BIGINT AS n_scanned
 FROM d LEFT JOIN g USING (rid)
 """
 )
