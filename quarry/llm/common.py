@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +11,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes.translate table that lower-cases A-Z and nothing else.
 LOWER_TABLE = bytes(range(65)) + LOWER.encode() + bytes(range(91, 256))
 #: The white space of bytes.split() is exactly \x20 and \x09-\x0D.
+#: Bytes of a batch that goes to a Python worker, and back.
+BATCH_BYTES = 4 << 20
 
 
 def ascii_lower(col: Column) -> Column:
@@ -28,11 +28,7 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the cluster's shared checkpoint folder.
-
-    The folder is the session's spark.checkpoint.dir; only where none is set, as
-    in tests, a temporary one is made.
-    """
+    """df, computed once and kept in the cluster's shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(shared_dir(df.sparkSession))
@@ -40,14 +36,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; its own only where the cluster names none."""
+    """The shared folder of the session. Only a session in one process, as in tests, may do without
+    and gets a temporary one; on a cluster a local folder would lose data."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
         where = tempfile.mkdtemp(prefix="spark-quarry-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on texts go to Python workers in batches of BATCH_BYTES, or what the session has set below that."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).removesuffix("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_bytes(array, rows: int = 200):
     """UTF-8 bytes (None for null) of an Arrow string column, a few rows at a time so that a
     worker holds little beside the column itself."""

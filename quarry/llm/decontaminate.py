@@ -5,6 +5,10 @@ is shorter) are the automaton's patterns. Each text is normalised to its words w
 single spaces between, scanned once, and the occurrences are mapped back to word numbers
 and, for the spans, to offsets in the original text. No shuffle: texts stay where
 they are.
+
+A benchmark whose windows are too long for one automaton is dealt by window to several; then
+every one has a pass of its own over the texts, so that a worker never holds two, and the
+passes' hits, which are slim, are put together by document.
 """
 
 from __future__ import annotations
@@ -16,22 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes, without
+from .common import checkpointed, small_batches, text_bytes, without
 
 WINDOW = 10
-#: Benchmark characters of one automaton. A larger benchmark is split by item into
-#: several, applied one after the other, so that no worker holds more.
-AUTOMATON_CHARS = 4_000_000
+#: Characters of the windows of one automaton, about as many nodes of some 40 bytes each.
+AUTOMATON_CHARS = 6_000_000
 #: Words are runs of characters outside \x00-\x2F, \x3A-\x60 and \x7B-\x7F, after A-Z are lower-cased.
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_SCHEMA = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("hits", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
+_RUNS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
+_SCHEMA = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", _RUNS), T.StructField("items", T.ArrayType(T.StringType()))])
+#: The automaton that a worker has built last.
 _cache: dict[str, object] = {}
 
 
@@ -40,35 +39,28 @@ def normalise(text: bytes) -> bytes:
 
 
 def windows(item: bytes, n: int = WINDOW) -> list[bytes]:
-    words = normalise(item).split(b" ") if item else []
-    words = [w for w in words if w]
-    if not words:
-        return []
-    return [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))]
+    words = normalise(item).split()
+    return [b" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
 
 
-def automaton(items: list[tuple[str | None, str]], n: int = WINDOW):
-    """The automaton over all windows; a match gives (length, words, items that have the window)."""
+def automaton(owners: list[tuple[str, list]]):
+    """The automaton over (window, items that have it); a match gives (length, words, items)."""
     import ahocorasick
 
-    owners: dict[bytes, set] = {}
-    for item_id, text in items:
-        for w in windows((text or "").encode("utf-8", "replace"), n):
-            owners.setdefault(w, set()).add(item_id)
     a = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        padded = f" {w.decode('latin-1')} "
-        a.add_word(padded, (len(padded), w.count(b" ") + 1, tuple(ids)))
+    for w, ids in owners:
+        padded = f" {w.encode().decode('latin-1')} "
+        a.add_word(padded, (len(padded), w.count(" ") + 1, tuple(ids)))
     if owners:
         a.make_automaton()
     return a if owners else None
 
 
-def _automaton(items, n):
-    key = hashlib.sha256(repr((items, n)).encode()).hexdigest()
+def _automaton(owners):
+    key = hashlib.sha256(repr(owners).encode()).hexdigest()
     if key not in _cache:
         _cache.clear()
-        _cache[key] = automaton(items, n)
+        _cache[key] = automaton(owners)
     return _cache[key]
 
 
@@ -77,11 +69,11 @@ def scan(text: bytes, a) -> tuple[int, list[list[int]], set]:
     norm = normalise(text)
     if not norm:
         return 0, [], set()
-    n_words, runs, found = norm.count(b" ") + 1, [], set()
+    n_words, found = norm.count(b" ") + 1, set()
     if a is None:
-        return n_words, runs, found
-    ends, seen, at, counted = [], f" {norm.decode('latin-1')} ", 0, 0
-    for end, (length, words, ids) in a.iter(seen):
+        return n_words, [], found
+    ends, at, counted, hits = [], 0, 0, []
+    for end, (length, words, ids) in a.iter(f" {norm.decode('latin-1')} "):
         found.update(ids)
         ends.append((end - length + 1, words))
     for start, words in sorted(ends):
@@ -89,11 +81,31 @@ def scan(text: bytes, a) -> tuple[int, list[list[int]], set]:
         at = start
         # `start` is the space before the first word, at `start - 1` in norm
         first = counted if start else 0
-        if runs and first <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], first + words)
+        hits.append((first, first + words))
+    return n_words, merged(hits), found
+
+
+def merged(runs) -> list[list[int]]:
+    """Overlapping and touching [first, last) runs joined."""
+    out: list[list[int]] = []
+    for first, last in sorted(runs):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], last)
         else:
-            runs.append([first, first + words])
-    return n_words, runs, found
+            out.append([first, last])
+    return out
+
+
+def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+    """(window, items): the distinct windows of all items and the ids, sorted, of those that have them."""
+
+    def of(texts):
+        import pyarrow as pa
+
+        return pa.array([sorted({w.decode("utf-8", "replace") for w in windows(t or b"", n)}) for t in text_bytes(texts)], type=pa.list_(pa.string()))
+
+    each = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.explode(F.arrow_udf(of, T.ArrayType(T.StringType())).asNondeterministic()(F.col("text"))).alias("window"))
+    return each.groupBy("window").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit: int = AUTOMATON_CHARS, spans: bool = True, text: str = "text") -> DataFrame:
@@ -103,36 +115,49 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit:
     words. Null texts and items have no words. Windows of an item whose id is null hit
     words, but such items are not listed or counted; rows that repeat an item_id are one
     item with the windows of all of them. Repeated documents are judged alike and stay.
-    Input columns named like the added ones are replaced.
+    Very long texts are scanned whole. Empty tables: no documents, or none hit. Input
+    columns named like the added ones are replaced.
     """
-    docs = without(docs, "n_words", "n_hit", "n_items", "items", "contaminated", "spans", "_r")
-    b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("item")).where(F.col("item").isNotNull())
-    chars = b.agg(F.coalesce(F.sum(F.length("item")), F.lit(0))).first()[0]
+    docs = without(docs, "n_words", "n_hit", "n_items", "items", "contaminated", "spans", "_r", "_row", "_key")
+    small_batches(docs.sparkSession)
+    all_windows = checkpointed(benchmark_windows(benchmark, n))
+    chars = all_windows.agg(F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()[0]
     parts = max(1, -(-chars // limit))
     sc = docs.sparkSession.sparkContext
-    out = docs
-    for part in range(parts):
-        own = b if parts == 1 else b.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(parts)) == part)
-        # at most about `limit` characters, as checked above
-        items = sc.broadcast(sorted(((r[0], r[1]) for r in own.collect()), key=lambda x: (x[0] or "", x[1])))
 
-        def find(texts, items=items):
+    def finder(part: int):
+        own = all_windows.where(F.pmod(F.xxhash64("window"), F.lit(parts)) == part)
+        # at most about `limit` characters, as counted above
+        owners = sc.broadcast(sorted((r["window"], r["items"]) for r in own.collect()))
+
+        def find(texts):
             import pyarrow as pa
 
-            a, rows = _automaton(items.value, n), []
+            a, counts, hits, items = _automaton(owners.value), [], [], []
             for t in text_bytes(texts):
                 words, runs, found = scan(t or b"", a)
-                rows.append({"n_words": words, "hits": [{"first": f, "last": e} for f, e in runs], "items": sorted(x for x in found if x is not None)})
+                counts.append(words)
+                hits.append([{"first": f, "last": e} for f, e in runs])
+                items.append(sorted(found))
             run = pa.struct([("first", pa.int64()), ("last", pa.int64())])
-            return pa.array(rows, type=pa.struct([("n_words", pa.int64()), ("hits", pa.list_(run)), ("items", pa.list_(pa.string()))]))
-
-        out = out.withColumn(f"_r{part}", F.arrow_udf(find, _SCHEMA)(F.col(text)))
-    names = [f"_r{p}" for p in range(parts)]
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{x}.items") for x in names]))))
-    runs = F.array_sort(F.flatten(F.array(*[F.col(f"{x}.hits") for x in names])))
-    if parts > 1:  # runs of several automata may overlap
-        runs = merged(runs)
-    out = out.withColumn("_runs", runs).withColumn("n_words", F.col("_r0.n_words")).withColumn("items", items)
+            return pa.StructArray.from_arrays([pa.array(counts, type=pa.int64()), pa.array(hits, type=pa.list_(run)), pa.array(items, type=pa.list_(pa.string()))], names=["n_words", "hits", "items"])
+
+        return F.arrow_udf(find, _SCHEMA)(F.col(text))
+
+    if parts == 1:
+        out = docs.withColumn("_r", finder(0))
+    else:
+        # documents are told apart by all their columns: equal rows have equal hits
+        keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+        hits = None
+        for part in range(parts):
+            own = keyed.select("_row", finder(part).alias("r"))
+            own = checkpointed(own.select("_row", "r.*").where((F.size("hits") > 0) if part else F.lit(True)).dropDuplicates(["_row"]))
+            hits = own if hits is None else hits.union(own)
+        put = hits.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        put = put.select(F.col("_row").alias("_key"), F.struct("n_words", F.arrow_udf(_joined, _RUNS)(F.col("hits")).alias("hits"), "items").alias("_r"))
+        out = keyed.join(put, F.col("_row") == F.col("_key")).select(*docs.columns, "_r")
+    out = out.withColumn("_runs", F.col("_r.hits")).withColumn("n_words", F.col("_r.n_words")).withColumn("items", F.col("_r.items"))
     out = out.withColumn("n_hit", F.aggregate("_runs", F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"])).withColumn("n_items", F.size("items").cast("long"))
     out = out.withColumn("contaminated", F.col("n_hit") > 0)
     added = ["n_words", "n_hit", "n_items", "items", "contaminated"]
@@ -143,12 +168,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, limit:
     return out.select(*docs.columns, *added)
 
 
-def merged(runs):
-    """Overlapping and touching runs of an ordered array joined."""
-    empty = F.slice(runs, 1, 0)
-    last = lambda acc: F.element_at(acc, -1)
-    grow = lambda acc, r: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["first"].alias("first"), F.greatest(last(acc)["last"], r["last"]).alias("last"))))
-    return F.aggregate(runs, empty, lambda acc, r: F.when((F.size(acc) > 0) & (r["first"] <= F.try_element_at(acc, F.lit(-1))["last"]), grow(acc, r)).otherwise(F.concat(acc, F.array(r))))
+def _joined(hits):
+    """Runs of several passes, merged."""
+    import pyarrow as pa
+
+    run = pa.struct([("first", pa.int64()), ("last", pa.int64())])
+    return pa.array([[{"first": f, "last": e} for f, e in merged((r["first"], r["last"]) for r in own)] for own in hits.to_pylist()], type=pa.list_(run))
 
 
 def _offsets(texts, runs):

@@ -1,10 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Every document gets its counts in one pass over its text. The rules that judge those
-counts run one after the other and stop at the first rejection; their order comes from
-a bounded sample, on which each rule's cost and rejection rate are measured: the rule
-with the most rejections per cost goes first. All rules must pass, so the order changes
-the work and never the verdict.
+All rules must pass. A document is judged by one rule after the other, up to the first that
+rejects it, and what a rule counts in the text is counted when it is first asked for. On a
+bounded random sample each rule's cost and rejections are measured, by the executors; the
+rule with the most rejections per cost goes first, and so on with the documents that it leaves.
+The order changes the work and never the verdict.
 """
 
 from __future__ import annotations
@@ -13,32 +13,72 @@ import re
 import time
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 from typing import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes, without
+from .common import small_batches, text_bytes, without
 
 #: Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
-#: Documents that the order of the rules is estimated on. The verdict doesn't depend on it.
-SAMPLE = 200
-_BLANK_CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
+#: Documents that the order of the rules is estimated on: those with the smallest hash of their text. The verdict doesn't depend on them.
+SAMPLE = 400
+#: Counts of the contract.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_BLANK = b" \t\n\r\x0b\x0c"
+_CONTROL = re.compile(rb"[\x00-\x08\x0e-\x1f\x7f]")
 
 
-@dataclass
 class Doc:
-    """A text and what has been counted in it."""
-
-    text: bytes
-    words: list
-    n_words: int = 0
-    word_chars: int = 0
-    n_symbols: int = 0
-    n_dup_lines: int = 0
-    n_repeat_words: int = 0
+    """A text and what is counted in it, when asked for."""
+
+    def __init__(self, text: bytes):
+        self.text = text
+
+    @cached_property
+    def words(self) -> list:
+        return self.text.split()
+
+    @cached_property
+    def n_words(self) -> int:
+        return len(self.words)
+
+    @cached_property
+    def word_chars(self) -> int:
+        return len(b"".join(self.words).decode("utf-8", "replace"))
+
+    @cached_property
+    def n_symbols(self) -> int:
+        return len(self.text) - len(self.text.translate(None, SYMBOLS)) if self.words else 0
+
+    @cached_property
+    def lines(self) -> list:
+        """Lines with a word."""
+        return [x for x in self.text.split(b"\n") if x.strip(_BLANK)]
+
+    @cached_property
+    def n_dup_lines(self) -> int:
+        return len(self.lines) - len(set(self.lines))
+
+    @cached_property
+    def n_repeat_words(self) -> int:
+        words, total, reach = self.words, 0, 0
+        windows = list(zip(words, words[1:], words[2:]))
+        if len(set(windows)) < len(windows):
+            count = Counter(windows)
+            for i, w in enumerate(windows):
+                if count[w] > 1:  # words up to `reach` are counted
+                    total += i + 3 - max(reach, i)
+                    reach = i + 3
+        return total
+
+    @cached_property
+    def n_top(self) -> int:
+        """How often the most frequent word occurs."""
+        return max(Counter(self.words).values(), default=0)
 
 
 @dataclass(frozen=True)
@@ -47,95 +87,99 @@ class Rule:
     rejects: Callable[[Doc], bool]
 
 
-def _lines(d: Doc) -> int:
-    return sum(1 for x in d.text.split(b"\n") if x.strip(b" \t\n\r\x0b\x0c"))
-
-
-def _top_word(d: Doc) -> bool:
-    """One word makes up over a third of 100 words or more."""
-    return d.n_words >= 100 and 3 * max(Counter(d.words).values()) > d.n_words
-
-
-#: The method's rules, beside the base rules that the contract fixes.
-RULES = (
-    Rule("symbol_per_word", lambda d: 2 * d.n_symbols > d.n_words),
-    Rule("word_length", lambda d: not 2 * d.n_words <= d.word_chars <= 15 * d.n_words),
-    Rule("dup_lines", lambda d: d.n_dup_lines > 0 and 2 * d.n_dup_lines > _lines(d)),
-    Rule("top_word", _top_word),
-    Rule("control_chars", lambda d: 10 * len(_BLANK_CONTROL.findall(d.text)) > d.word_chars),
-)
+#: The base rules, which the contract fixes.
 BASE = (
     Rule("few_words", lambda d: d.n_words < 50),
     Rule("repeat_words", lambda d: 100 * d.n_repeat_words > 50 * d.n_words),
 )
+#: All rules; the last five are the method's own.
+RULES = (
+    *BASE,
+    Rule("symbol_per_word", lambda d: 2 * d.n_symbols > d.n_words),
+    Rule("word_length", lambda d: not 2 * d.n_words <= d.word_chars <= 15 * d.n_words),
+    Rule("dup_lines", lambda d: d.n_dup_lines > 0 and 2 * d.n_dup_lines > len(d.lines)),
+    Rule("top_word", lambda d: d.n_words >= 100 and 3 * d.n_top > d.n_words),
+    Rule("control_chars", lambda d: 10 * len(_CONTROL.findall(d.text)) > d.word_chars),
+)
+
+
+def ordered(cost: dict, rejected: dict, n: int) -> list[str]:
+    """Names of the rules, by rejections per cost among the documents that the earlier ones leave.
+
+    cost: seconds of each rule on all n documents; rejected: the set of documents that it rejects.
+    """
+    left, out, rest = set(range(n)), [], sorted(cost)
+    while rest:
+        best = max(rest, key=lambda r: ((len(rejected[r] & left) + 0.5) / max(cost[r], 1e-9), r))
+        out.append(best)
+        rest.remove(best)
+        left -= rejected[best]
+    return out
+
+
+def cascade_order(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> list[str]:
+    """Names of the rules in the order in which a sample of docs is judged at the least cost.
+
+    The sample is drawn and measured on the executors; what comes to the driver are its numbers.
+    """
+
+    def measured(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for t in text_bytes(b.column(0)):
+                cost, bad = [], []
+                for r in RULES:
+                    d, began = Doc(t or b""), time.perf_counter()
+                    bad.append(bool(r.rejects(d)))
+                    cost.append(time.perf_counter() - began)
+                yield pa.record_batch([pa.array([cost]), pa.array([bad])], names=["cost", "bad"])
+
+    drawn = docs.select(text).orderBy(F.xxhash64(F.lit("sample"), text)).limit(sample)
+    got = drawn.mapInArrow(measured, "cost array<double>, bad array<boolean>").collect()
+    names = [r.name for r in RULES]
+    return ordered({x: sum(g["cost"][k] for g in got) for k, x in enumerate(names)}, {x: {i for i, g in enumerate(got) if g["bad"][k]} for k, x in enumerate(names)}, len(got))
 
 
-def measure(text: bytes) -> Doc:
-    """Counts of a whole text."""
-    words = text.split()
-    n = len(words)
-    d = Doc(text, words, n)
-    if not n:
-        return d
-    d.word_chars = len(b"".join(words).decode("utf-8", "replace"))
-    d.n_symbols = len(text) - len(text.translate(None, SYMBOLS))
-    seen: set[bytes] = set()
-    for line in text.split(b"\n"):
-        if line in seen:
-            d.n_dup_lines += 1
-        elif line.strip(b" \t\n\r\x0b\x0c"):
-            seen.add(line)
-    windows = list(zip(words, words[1:], words[2:]))
-    if len(set(windows)) < len(windows):
-        count = Counter(windows)
-        reach = 0  # words up to here are counted
-        for i, w in enumerate(windows):
-            if count[w] > 1:
-                d.n_repeat_words += i + 3 - max(reach, i)
-                reach = i + 3
-    return d
-
-
-def cascade_order(sample: list[bytes], rules=RULES) -> list[str]:
-    """Names of the rules, by rejections per second on the sample."""
-    docs = [measure(t) for t in sample]
-    score = {}
-    for i, r in enumerate(rules):
-        began = time.perf_counter()
-        rejected = sum(r.rejects(d) for d in docs)
-        score[r.name] = ((rejected + 0.5) / max(time.perf_counter() - began, 1e-9), -i)
-    return sorted(score, key=score.get, reverse=True)
-
-
-def judge_quality(docs: DataFrame, sample: int = SAMPLE, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept and failed_rule.
+def judge_quality(docs: DataFrame, sample: int = SAMPLE, text: str = "text", counts: bool = True) -> DataFrame:
+    """docs with kept and failed_rule and, if asked for, n_words, word_chars, n_symbols, n_dup_lines,
+    n_repeat_words and base_failed.
 
+    With counts every document's five counts are taken in any case, and only what the other
+    rules count is saved; without them the cascade alone decides what is counted.
     failed_rule is the first rule that rejected (it may differ between runs where several
     do, as the order is measured), null for kept documents. Null text counts as empty: no
-    words, so base_failed. Repeated rows are judged alike and stay. The sample only orders
-    the rules. Input columns named like the added ones are replaced.
+    words, so base_failed. Very long texts are counted whole. Repeated rows are judged alike
+    and stay. The sample only orders the rules. An empty table gives an empty one. Input
+    columns named like the added ones are replaced.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    docs = without(docs, *names, "base_failed", "kept", "failed_rule")
-    drawn = docs.select(text).limit(sample).collect() if sample else []
-    order = cascade_order([(r[0] or "").encode("utf-8", "replace") for r in drawn])
-    schema = T.StructType([T.StructField(n, T.LongType()) for n in names] + [T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("failed_rule", T.StringType())])
+    kinds = [*([(n, "long") for n in COUNTS] + [("base_failed", "boolean")] if counts else []), ("kept", "boolean"), ("failed_rule", "string")]
+    docs = without(docs, *COUNTS, "base_failed", "kept", "failed_rule", "_q")
+    small_batches(docs.sparkSession)
+    order = cascade_order(docs, sample, text) if sample else [r.name for r in RULES]
+    own = {"long": T.LongType(), "boolean": T.BooleanType(), "string": T.StringType()}
+    schema = T.StructType([T.StructField(n, own[k]) for n, k in kinds])
 
     def judge(texts):
         import pyarrow as pa
 
         by_name = {r.name: r for r in RULES}
-        chain = [*BASE, *[by_name[n] for n in order]]
-        rows = []
+        chain = [by_name[n] for n in order]
+        out: dict[str, list] = {n: [] for n, _ in kinds}
         for t in text_bytes(texts):
-            d = measure(t or b"")
-            base = any(r.rejects(d) for r in BASE)
+            d = Doc(t or b"")
             failed = next((r.name for r in chain if r.rejects(d)), None)
-            rows.append({n: getattr(d, n) for n in names} | {"base_failed": base, "kept": failed is None, "failed_rule": failed})
-        return pa.array(rows, type=pa.struct([pa.field(n, pa.int64()) for n in names] + [pa.field("base_failed", pa.bool_()), pa.field("kept", pa.bool_()), pa.field("failed_rule", pa.string())]))
+            out["kept"].append(failed is None)
+            out["failed_rule"].append(failed)
+            if counts:
+                for n in COUNTS:
+                    out[n].append(getattr(d, n))
+                out["base_failed"].append(any(r.rejects(d) for r in BASE))
+        arrow = {"long": pa.int64(), "boolean": pa.bool_(), "string": pa.string()}
+        return pa.StructArray.from_arrays([pa.array(out[n], type=arrow[k]) for n, k in kinds], names=[n for n, _ in kinds])
 
     judged = docs.withColumn("_q", F.arrow_udf(judge, schema)(F.col(text)))
-    return judged.select(*docs.columns, *[F.col(f"_q.{f.name}").alias(f.name) for f in schema])
+    return judged.select(*docs.columns, *[F.col(f"_q.{n}").alias(n) for n, _ in kinds])
 
 
 SQL = r"""
