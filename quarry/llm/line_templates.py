@@ -122,10 +122,10 @@ def _texts_of(docs: DataFrame, slim: DataFrame, asked: DataFrame) -> DataFrame:
     hint = F.broadcast if few else (lambda x: x)
     places = slim.join(hint(asked), ["h", "doc"]).groupBy("h").agg(F.min(F.struct("row", "pos")).alias("at"))
     places = checkpointed(places.groupBy("at.row").agg(F.collect_list(F.struct("at.pos", "h")).alias("places")))
-    own = docs.withColumn("_r", F.xxhash64("doc_id", "text")).join(hint(places), F.col("_r") == F.col("row")).dropDuplicates(["_r"])
+    own = docs.withColumn("_r", F.xxhash64("doc_id", "text")).join(hint(places), F.col("_r") == F.col("row"))
     # the array of one array: the text is split once, not once a line
     found = F.transform(F.array(F.split("text", "\n")), lambda ls: F.transform("places", lambda p: F.struct(p["h"].alias("h"), masked(F.get(ls, p["pos"])).alias("m"))))[0]
-    return own.select(F.inline(found)).withColumn("n", _n_words("m"))
+    return own.select(F.inline(found)).dropDuplicates(["h"]).withColumn("n", _n_words("m"))
 
 
 def dropped_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
