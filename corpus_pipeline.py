@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, line_templates, mixing, shingles, simhash, toxicity
-from quarry.llm.common import checkpointed, read, shared_dir, without
+from quarry.llm.common import checkpointed, read, shared_dir, small_batches, without
 
 
 def _apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
@@ -46,10 +46,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     80 % of their 5-word shingles in common.
     """
     own, restored = _apart(docs, "doc_id", "text")
+    small_batches(spark)
     own = own.withColumn("_row", F.xxhash64("doc_id", "text"))
-    marked = simhash.near_duplicates(own.select("doc_id", "text", "_row"), group="near_group")
-    kept = checkpointed(marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("near_group").agg(F.min("_row").alias("_row")).select("_row"))
-    left = kept.join(shingles.near_copy_rows(own.select("doc_id", "text", "_row"), kept), "_row", "left_anti")
+    # both from one pass over the texts
+    marked = checkpointed(own.select("doc_id", "_row", simhash.fingerprint_of(F.col("text")).alias("fingerprint"), shingles.bands_of(F.col("text")).alias("bands")))
+    group = simhash.linked(marked.drop("bands"), group="near_group")
+    kept = checkpointed(group.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("near_group").agg(F.min("_row").alias("_row")).select("_row"))
+    banded = checkpointed(marked.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select("_row", F.explode("bands").alias("key")))
+    left = kept.join(shingles.near_copy_rows(own.select("doc_id", "text", "_row"), banded), "_row", "left_anti")
     return own.join(left, "_row", "left_semi").dropDuplicates(["_row"]).select(*restored)
 
 

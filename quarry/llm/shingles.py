@@ -8,7 +8,7 @@ themselves. Links are closed by connected components.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,11 +62,8 @@ def similarity(a: bytes, b: bytes) -> float:
     return common / max(1, len(x) + len(y) - common)
 
 
-def near_copy_rows(docs: DataFrame, kept: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(_row) of the documents of kept (_row) that are near copies of others of kept: in each group
-    the one with the smallest id isn't listed, those without an id last. docs: doc_id, text, _row,
-    a hash of both, which repeated rows share. Texts without words are no copies here.
-    """
+def bands_of(text: Column) -> Column:
+    """The band keys of a text; null and wordless texts have none."""
 
     def keys(texts):
         import numpy as np
@@ -75,13 +72,21 @@ def near_copy_rows(docs: DataFrame, kept: DataFrame, similar: float = SIMILAR) -
         factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         return pa.array([band_keys(t or b"", factors) for t in text_bytes(texts)], type=pa.list_(pa.int64()))
 
+    return F.arrow_udf(keys, T.ArrayType(T.LongType()))(text)
+
+
+def near_copy_rows(docs: DataFrame, banded: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(_row) of the documents of banded (_row, key: one of its bands) that are near copies of others
+    of banded: in each group the one with the smallest id isn't listed, those without an id last.
+    docs: doc_id, text, _row, a hash of both, which repeated rows share. Texts without words are no
+    copies here.
+    """
+
     def close(one, other):
         import pyarrow as pa
 
         return pa.array([similarity(a or b"", b or b"") >= similar - 1e-9 for a, b in zip(text_bytes(one), text_bytes(other))], type=pa.bool_())
 
-    banded = docs.select("_row", F.explode(F.arrow_udf(keys, T.ArrayType(T.LongType()))(F.col("text"))).alias("key"))
-    banded = checkpointed(banded.join(kept, "_row", "left_semi"))
     centre = banded.groupBy("key").agg(F.min("_row").alias("other"), F.count("*").alias("k")).where("k > 1").select("key", "other")
     pairs = checkpointed(banded.join(centre, "key").where("_row <> other").select("_row", "other").distinct())
     # only texts that have a candidate move

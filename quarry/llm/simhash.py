@@ -10,23 +10,22 @@ exactly one, or some segment has none and another at most one. So fingerprints m
 (exact segment, Golay index of another), or on the Golay indices of the first two
 segments with their parities flipped. Pairs that meet are verified on all 64 bits.
 
-Groups of copies: equal fingerprints are one node. Within a key, neighbours in sorted
-order are linked first, which joins most of a dense group by a number of links in
-proportion to its size; the join proper then only lets pairs through that lie in
-different groups so far. Links between different groups are all found, so components
-are exact.
+Groups of copies: equal fingerprints are one node. Neighbours in the order of (key,
+fingerprint) are linked first, which joins most of a dense group by a number of links in
+proportion to its size; a large key is spread over many tasks there. The join proper then
+leaves out keys that hold one group only, and lets only pairs through that lie in different
+groups so far. Links between different groups are all found, so components are exact.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_TABLE, checkpointed, text_bytes, without
+from .common import LOWER_TABLE, checkpointed, small_batches, text_bytes, without
 from .components import connected_components
 
 BITS, NEAR, SEED, SHINGLE = 64, 3, 42, 3
@@ -59,16 +58,15 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `fingerprint`, a signed 64-bit number. Null and wordless texts have 0."""
+def fingerprint_of(text: Column) -> Column:
+    """Fingerprint, a signed 64-bit number. Null and wordless texts have 0."""
 
     def of(texts):
         import pyarrow as pa
 
         return pa.array([(f := fingerprint(t or b"")) - (f >> 63 << 64) for t in text_bytes(texts)], type=pa.int64())
 
-    docs = without(docs, "fingerprint")
-    return docs.withColumn("fingerprint", F.arrow_udf(of, T.LongType())(F.col(text)))
+    return F.arrow_udf(of, T.LongType())(text)
 
 
 @lru_cache(maxsize=1)
@@ -168,69 +166,89 @@ def _stored(batches):
     import pyarrow as pa
 
     for b in batches:
-        f = b.column(0).to_numpy()
+        f, root = b.column(0).to_numpy(), b.column(1).to_numpy()
         if not len(f):
             continue
         keys = stored_keys(f)
-        yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(f, keys.shape[1]))], names=["key", "f"])
+        yield pa.record_batch([pa.array(keys.ravel()), pa.array(np.repeat(f, keys.shape[1])), pa.array(np.repeat(root, keys.shape[1]))], names=["key", "f", "root"])
 
 
 def _asked(batches):
     import pyarrow as pa
 
     for b in batches:
-        f = b.column(0).to_numpy()
+        f, root = b.column(0).to_numpy(), b.column(1).to_numpy()
         for at in range(0, len(f), 2000):  # about 60 keys each
             own = f[at : at + 2000]
             rows, keys = asked_keys(own)
-            yield pa.record_batch([pa.array(keys), pa.array(own[rows])], names=["key", "f"])
+            yield pa.record_batch([pa.array(keys), pa.array(own[rows]), pa.array(root[at : at + 2000][rows])], names=["key", "g", "g_root"])
 
 
-def _apart(a, b):
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _neighbours(batches):
+    """Links between rows that follow each other, within a key."""
+    import numpy as np
+    import pyarrow as pa
+
+    last = None
+    for b in batches:
+        key, f = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not len(f):
+            continue
+        if last is not None:
+            key, f = np.concatenate([last[0], key]), np.concatenate([last[1], f])
+        last = key[-1:].copy(), f[-1:].copy()
+        x = (f[1:] ^ f[:-1]).view(np.uint64)
+        bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=1) if len(x) else np.zeros(0)
+        near = (key[1:] == key[:-1]) & (bits <= NEAR) & (x != 0)
+        yield pa.record_batch([pa.array(np.minimum(f[1:], f[:-1])[near]), pa.array(np.maximum(f[1:], f[:-1])[near])], names=["a", "b"])
 
 
 def near_links(fps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((f, root), (root_a, root_b, f, g)): groups by links within keys, and one link at
+    """((f, root), (root_a, root_b, f, g)): groups by links between neighbours, and one link at
     most 3 bits long between any two groups that have one. fps: distinct `f`.
     """
-    stored = checkpointed(fps.mapInArrow(_stored, "key long, f long"))
+    keyed = "key long, f long, root long"
+    stored = checkpointed(fps.select("f", F.col("f").alias("root")).mapInArrow(_stored, keyed).select("key", "f"))
     # neighbours in three orders of the bits, so that differences in any part of the word come together
     first = None
     for turn in (0, 21, 43):
         turned = F.shiftleft("f", turn).bitwiseOR(F.shiftrightunsigned("f", 64 - turn)) if turn else F.col("f")
-        own = stored.withColumn("g", F.lag("f").over(W.partitionBy("key").orderBy(turned)))
-        own = own.where(F.col("g").isNotNull() & (_apart("f", "g") <= NEAR)).select(F.least("f", "g").alias("a"), F.greatest("f", "g").alias("b"))
+        own = stored.withColumn("t", turned).repartitionByRange("key", "t").sortWithinPartitions("key", "t").select("key", "f").mapInArrow(_neighbours, "a long, b long")
         first = own if first is None else first.union(own)
     root = connected_components(first)
     grouped = checkpointed(fps.join(root, fps["f"] == root["node"], "left").select("f", F.coalesce("root", "f").alias("root")))
-    # pairs within a group are not let through: links that are already there are not found again
-    s = stored.join(grouped, "f").select("key", "f", "root")
-    a = grouped.select("f").mapInArrow(_asked, "key long, f long").withColumnRenamed("f", "g")
-    a = a.join(grouped.select(F.col("f").alias("g"), F.col("root").alias("g_root")), "g")
-    found = s.join(a, "key").where((F.col("root") != F.col("g_root")) & (_apart("f", "g") <= NEAR))
+    s, a = grouped.mapInArrow(_stored, keyed), grouped.mapInArrow(_asked, "key long, g long, g_root long")
+    # where a key holds one group only, nobody of that group asks: links that are already there are not found again
+    held = s.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    a = a.join(held, "key").where((F.col("low") != F.col("high")) | (F.col("g_root") != F.col("low"))).select("key", "g", "g_root")
+    found = s.join(a, "key").where((F.col("root") != F.col("g_root")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= NEAR))
     found = found.groupBy(F.least("root", "g_root").alias("root_a"), F.greatest("root", "g_root").alias("root_b")).agg(F.min(F.struct("f", "g")).alias("l"))
     return grouped, checkpointed(found.select("root_a", "root_b", "l.f", "l.g"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", group: str | None = None) -> DataFrame:
-    """docs with fingerprint (signed 64 bits) and component_id, the smallest doc_id that
-    links of at most 3 differing bits reach.
+    """docs without their text, with fingerprint (signed 64 bits) and component_id, the smallest
+    doc_id that links of at most 3 differing bits reach.
 
+    Texts are read once and don't move; join a key of docs with them to have them again.
     group: name of a further column with a fingerprint that stands for the component, which
     tells components apart even where rows repeat a doc_id or have none.
 
     Fingerprints alone decide: texts without words (null too) have fingerprint zero and
-    are linked like any other. Repeated rows have the same component. Null doc_ids are
-    never a component's id unless all its ids are null. Input columns named like the added
-    ones are replaced.
+    are linked like any other. Very long texts are hashed whole, in parts. Repeated rows have
+    the same component. Null doc_ids are never a component's id unless all its ids are null.
+    An empty table gives an empty one. Input columns named like the added ones are replaced.
     """
-    added = ["fingerprint", "component_id", *([group] if group else [])]
-    docs = without(docs, *added)
-    marked = fingerprints(docs, text)
-    slim = checkpointed(marked.select("doc_id", "fingerprint").groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
+    docs = without(docs, "fingerprint", "component_id", *([group] if group else []))
+    small_batches(docs.sparkSession)
+    return linked(checkpointed(docs.withColumn("fingerprint", fingerprint_of(F.col(text))).drop(text)), group)
+
+
+def linked(marked: DataFrame, group: str | None = None) -> DataFrame:
+    """marked (doc_id, fingerprint, ...) with component_id and, if asked for, the column `group`."""
+    slim = checkpointed(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("low")))
     roots = component_roots(slim).withColumnsRenamed({"f": "_fingerprint", "top": group or "top"})
-    return marked.join(roots, marked["fingerprint"] == roots["_fingerprint"]).select(*[marked[c] for c in docs.columns], *added)
+    return marked.join(roots, marked["fingerprint"] == roots["_fingerprint"]).select(*[marked[c] for c in marked.columns], "component_id", *([group] if group else []))
 
 
 def component_roots(slim: DataFrame) -> DataFrame:
