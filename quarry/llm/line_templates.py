@@ -137,13 +137,24 @@ def dropped_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR)
     leaves = checkpointed(_leaves(variants, depth, similar))
     asked = checkpointed(variants.join(leaves.select("h").distinct(), "h", "left_semi").select("h", F.col("low").alias("doc")))
     text = checkpointed(_texts_of(docs, slim, asked))
-    known = variants.join(_templates(text, leaves, depth, similar), "h", "left").select("h", "low", "high", F.coalesce("template", "h").alias("template"))
-    known = checkpointed(known)
-    again = known.groupBy("template").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last")
-    recurring = known.select("h", "template").join(again, "template").select("h", "first")
+    moved = checkpointed(_templates(text, leaves, depth, similar))
+    recurring = _recurring(variants.select("h", "low", "high"), moved)
     return slim.select("doc", "row", "pos", "h").join(recurring, "h").where("doc <> first").groupBy("row").agg(F.collect_set("pos").alias("dropped"))
 
 
+def _recurring(variants: DataFrame, moved: DataFrame) -> DataFrame:
+    """(h, first): lines whose template occurs in several documents, with the first of these.
+
+    moved: (h, template) of the lines that don't stand for themselves. All others but the lines that these
+    stand for are templates of their own, and most occur in one document only.
+    """
+    group = checkpointed(moved.select("h", "template").union(moved.select("template", "template")).distinct())
+    known = checkpointed(variants.join(group, "h"))
+    again = known.groupBy("template").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first <> last")
+    alone = variants.where("low <> high").join(group.select("h"), "h", "left_anti")
+    return known.select("h", "template").join(again, "template").select("h", "first").union(alone.select("h", F.col("low").alias("first")))
+
+
 def dedup_lines(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
     """docs whose text lacks the dropped lines, with n_lines and n_dropped.
 
