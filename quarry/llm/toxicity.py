@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are a text's distinct words (A-Z lower-cased) and their first 4 and 5 characters,
-hashed to 2**20 slots. On a bounded sample of labelled rows the slots that tell the labels
+Terms are a text's distinct words (A-Z lower-cased) and their first 4 and 5 characters, and in
+scripts without spaces two and three characters in a row, hashed to 2**20 slots. On a bounded sample of labelled rows the slots that tell the labels
 apart are picked by a chi-square score, those that speak for toxicity; a factorization machine over them learns a weight
 for each and, by low-rank factors, one for each pair, so that a mild word beside another
 can count more than both alone. Texts are scored where they are, in one pass.
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_TABLE, checkpointed, text_bytes, without
+from .common import LOWER_TABLE, checkpointed, small_batches, text_bytes, without
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of their id.
 SAMPLE = 12_000
@@ -28,8 +28,11 @@ RANK, EPOCHS, SEED = 4, 30, 6
 #: Least chi-square of a picked slot.
 LEAST = 12.0
 #: Words that a worker remembers the slots of; then it starts anew.
-_REMEMBER = 60_000
+_REMEMBER = 20_000
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
+#: Letters and digits of any script, and those of scripts that put no spaces between words.
+_LETTERS = re.compile(r"[^\W_]+")
+_UNSPACED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -42,13 +45,16 @@ def distinct_words(text: bytes) -> set:
 
 
 def slots_of(word: bytes) -> tuple:
-    """Slots of a word and its prefixes; characters, not bytes."""
-    w = word.decode("utf-8", "ignore")
-    terms = {b"w" + word[:64]}
-    for n in (4, 5):
-        if len(w) >= n:
-            terms.add(b"p" + w[:n].encode())
-    return tuple(zlib.crc32(t) % SLOTS for t in terms)
+    """Slots of the words in a run and their prefixes; of a run in a script without spaces, of its characters two and three at a time."""
+    terms = set()
+    for w in (word.decode(),) if word.isascii() else _LETTERS.findall(word.decode("utf-8", "ignore")):
+        terms.add("w" + w)
+        for n in (4, 5):
+            if len(w) >= n:
+                terms.add("p" + w[:n])
+        for run in () if w.isascii() else _UNSPACED.findall(w):
+            terms.update("n" + run[k : k + n] for n in (2, 3) for k in range(len(run) - n + 1))
+    return tuple(zlib.crc32(t.encode()) % SLOTS for t in terms)
 
 
 def slots(text: bytes) -> list:
@@ -73,9 +79,11 @@ class Model:
         for w in distinct_words(text):
             own = memory.get(w)
             if own is None:
+                own = tuple(r for s in slots_of(w) if (r := self.row.get(s)) is not None)
                 if len(memory) >= _REMEMBER:
                     memory.clear()
-                own = memory[w] = tuple(r for s in slots_of(w) if (r := self.row.get(s)) is not None)
+                if len(w) <= 64:
+                    memory[w] = own
             if own:
                 rows.update(own)
         z = self.bias
@@ -86,33 +94,23 @@ class Model:
         return float(1 / (1 + np.exp(-max(-30.0, min(30.0, z)))))
 
 
-def chi_square(n_all: float, n_pos: float, k: float, k_pos: float) -> float:
-    """Yates-corrected score of a slot in k of n_all rows, k_pos of them among the n_pos of label 1; 0 if it speaks for label 0."""
-    a, b, c, d = k_pos, k - k_pos, n_pos - k_pos, n_all - n_pos - (k - k_pos)
-    if a * d <= b * c:
-        return 0.0
-    return n_all * max(0.0, abs(a * d - b * c) - n_all / 2) ** 2 / ((a + b) * (c + d) * n_pos * (n_all - n_pos))
-
-
 def screen(own: DataFrame, n_all: int, n_pos: int) -> list[int]:
     """The slots, at most PICKED, that speak most for label 1 in (toxic, slots) rows.
 
-    Slots are counted in each task first and then summed by slot.
+    Slots are counted in each batch first and then summed by slot.
     """
 
     def count(batches):
         import numpy as np
         import pyarrow as pa
 
-        both = np.zeros((2, SLOTS), dtype=np.int32)
         for b in batches:
             y = b.column(0).to_numpy()
             lists = b.column(1)
             flat, owner = lists.flatten().to_numpy(), np.repeat(y, lists.value_lengths().to_numpy())
-            both[0] += np.bincount(flat, minlength=SLOTS).astype(np.int32)
-            both[1] += np.bincount(flat[owner == 1], minlength=SLOTS).astype(np.int32)
-        own = np.nonzero(both[0])[0]
-        yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array(both[0][own].astype(np.int64)), pa.array(both[1][own].astype(np.int64))], names=["slot", "n", "pos"])
+            own, at = np.unique(flat, return_inverse=True)
+            n, pos = np.bincount(at, minlength=len(own)), np.bincount(at[owner == 1], minlength=len(own))
+            yield pa.record_batch([pa.array(own.astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(pos.astype(np.int64))], names=["slot", "n", "pos"])
 
     k = own.mapInArrow(count, "slot int, n long, pos long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where("n >= 3")
     n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
@@ -190,6 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         ends = np.cumsum([0, *map(len, own)], dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *own])))
 
+    small_batches(docs.sparkSession)
     d = docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
     # the bounded sample of ids meets the documents; a million ids at most are sent round
     few = F.broadcast(picked) if sample <= 1_000_000 else picked
@@ -218,10 +217,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from 0.5 on).
 
-    Null and empty texts have no terms: their score is that of the bias. Repeated rows
-    score alike and stay. Input columns named like the added ones are replaced.
+    Null and empty texts have no terms: their score is that of the bias. Very long texts are
+    scored whole. Repeated rows score alike and stay; an empty table gives an empty one.
+    Input columns named like the added ones are replaced.
     """
     docs = without(docs, "score", "predicted")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most PICKED rows of weights
     memory: dict = {}
 
