@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Turn numbers of one output row. Longer conversations have several rows, to be read in the order of `block`.
-BLOCK = 64
+#: Turn numbers of one output row. A conversation that goes beyond has its prompt, rendered once, and its completions in pieces, to be read in the order of `block`.
+BLOCK = 2048
 #: A turn is START + role + SEP + text + END + TAIL; text and END of an assistant's turn count for the loss.
 START, SEP, END, TAIL = "<|im_start|>", "\n", "<|im_end|>", "\n"
 _LAST = (1 << 63) - 1
@@ -50,21 +50,26 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, block: int = BLOC
     are spans of offsets into the block's completion; the prompt never counts.
 
     Repeated rows are one message; several messages of a turn number are ordered by role
-    and text. A null turn is the last one, null role and text are empty, null pair_ids are
-    one pair. Pairs that don't differ have empty completions; pairs with one side only
-    have an empty prompt and one empty completion. Other columns are not used.
+    and text. A null turn is the last one, null role and text are empty. A message without a
+    pair_id can't be paired: it is a pair of its own, with one side. Pairs that don't differ
+    have empty completions; pairs with one side only have an empty prompt and one empty
+    completion. Very long texts are rendered whole. Empty tables give an empty one. Other
+    columns are not used.
     """
     both = _side(chosen, True).unionByName(_side(rejected, False))
-    mark = F.xxhash64("role", "text")
-    on = lambda flag: F.when(F.col("is_chosen") == F.lit(flag), mark)
-    turns = both.groupBy("pair_id", "turn").agg(F.count(on(True)).alias("nc"), F.count(on(False)).alias("nr"), F.bit_xor(on(True)).alias("hc"), F.bit_xor(on(False)).alias("hr"))
-    differs = (F.col("nc") != F.col("nr")) | ~F.col("hc").eqNullSafe(F.col("hr"))
-    cut = turns.where(differs).groupBy("pair_id").agg(F.min("turn").alias("cut")).withColumnRenamed("pair_id", "_pair")
-    rows = both.join(cut, F.col("pair_id").eqNullSafe(F.col("_pair")), "left").drop("_pair")
+    alone = F.xxhash64("turn", "role", "text", "is_chosen")
+    both = both.withColumn("alone", F.when(F.col("pair_id").isNull(), alone).otherwise(0))
+    # 128 bits: of all pairs of turns that ever meet, none is equal by chance
+    on = lambda flag, seed: F.when(F.col("is_chosen") == F.lit(flag), F.xxhash64(F.lit(seed), "role", "text"))
+    marks = [F.bit_xor(on(flag, seed)).alias(f"{side}{seed}") for flag, side in ((True, "c"), (False, "r")) for seed in (1, 2)]
+    turns = both.groupBy("pair_id", "alone", "turn").agg(F.count(on(True, 1)).alias("nc"), F.count(on(False, 1)).alias("nr"), *marks)
+    differs = (F.col("nc") != F.col("nr")) | ~F.col("c1").eqNullSafe(F.col("r1")) | ~F.col("c2").eqNullSafe(F.col("r2"))
+    cut = turns.where(differs).groupBy("pair_id", "alone").agg(F.min("turn").alias("cut")).withColumnsRenamed({"pair_id": "_pair", "alone": "_alone"})
+    rows = both.join(cut, F.col("pair_id").eqNullSafe(F.col("_pair")) & (F.col("alone") == F.col("_alone")), "left").drop("_pair", "_alone")
     in_prompt = F.col("cut").isNull() | (F.col("turn") < F.col("cut"))
     rows = rows.withColumn("part", F.when(in_prompt, F.lit(0)).when(F.col("is_chosen"), 1).otherwise(2)).where(~in_prompt | F.col("is_chosen"))
-    rows = rows.withColumn("block", F.floor(F.col("turn") / block) if block <= 0 else F.expr(f"turn div {int(block)}"))
-    group = rows.groupBy("pair_id", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "part"))).alias("all"))
+    rows = rows.withColumn("block", F.expr(f"turn div {int(block)}"))
+    group = rows.groupBy("pair_id", "alone", "block").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "part"))).alias("all"))
     part = lambda k: F.filter("all", lambda m: m["part"] == k)
     names = ("prompt", "chosen", "rejected")
     for k, name in enumerate(names):
@@ -100,20 +105,21 @@ ends AS (SELECT a.conv_id, a.e.turn AS turn, coalesce(b.e.text, '') AS text FROM
 c AS (SELECT conv_id AS pair_id, turn, role, text, TRUE AS is_chosen FROM conversations),
 r AS (SELECT c.pair_id, c.turn, role, CASE WHEN ends.turn = c.turn AND role = 'assistant' THEN ends.text ELSE c.text END AS text, FALSE AS is_chosen
   FROM c LEFT JOIN ends ON c.pair_id = ends.conv_id),
-b AS (SELECT DISTINCT pair_id, coalesce(turn, {_LAST}) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text, is_chosen FROM (SELECT * FROM c UNION ALL SELECT * FROM r)),
-t AS (SELECT pair_id, turn FROM b GROUP BY pair_id, turn
+b0 AS (SELECT DISTINCT pair_id, coalesce(turn, {_LAST}) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text, is_chosen FROM (SELECT * FROM c UNION ALL SELECT * FROM r)),
+b AS (SELECT *, CASE WHEN pair_id IS NULL THEN md5(turn || ':' || role || chr(0) || text || is_chosen) ELSE '' END AS alone FROM b0),
+t AS (SELECT pair_id, alone, turn FROM b GROUP BY pair_id, alone, turn
   HAVING list_sort(list(role || chr(0) || text) FILTER (is_chosen)) IS DISTINCT FROM list_sort(list(role || chr(0) || text) FILTER (NOT is_chosen))),
-cut AS (SELECT pair_id, min(turn) AS cut FROM t GROUP BY pair_id),
+cut AS (SELECT pair_id, alone, min(turn) AS cut FROM t GROUP BY pair_id, alone),
 m AS (SELECT b.*, CASE WHEN cut IS NULL OR turn < cut THEN 0 WHEN is_chosen THEN 1 ELSE 2 END AS part
-  FROM b LEFT JOIN cut ON b.pair_id IS NOT DISTINCT FROM cut.pair_id),
+  FROM b LEFT JOIN cut ON b.pair_id IS NOT DISTINCT FROM cut.pair_id AND b.alone = cut.alone),
 n AS (SELECT *, turn // {BLOCK} AS block FROM m WHERE part > 0 OR is_chosen),
-o AS (SELECT *, sum(length(role) + length(text) + {len(START + SEP + END + TAIL)}) OVER (PARTITION BY pair_id, block, part ORDER BY turn, role, text) AS e FROM n),
+o AS (SELECT *, sum(length(role) + length(text) + {len(START + SEP + END + TAIL)}) OVER (PARTITION BY pair_id, alone, block, part ORDER BY turn, role, text) AS e FROM n),
 p AS (SELECT *, (e - {len(TAIL)})::BIGINT AS b_end, (e - {len(TAIL)} - {len(END)} - length(text))::BIGINT AS b_start FROM o)
 SELECT pair_id, block, count(*) FILTER (part = 0) AS n_prompt, count(*) FILTER (part = 1) AS n_chosen, count(*) FILTER (part = 2) AS n_rejected,
   sha256(prompt) AS prompt_sha256, sha256(chosen) AS chosen_sha256, sha256(rejected) AS rejected_sha256, chosen_mask, rejected_mask
-FROM (SELECT pair_id, block, {_sql_part(0, "prompt")}, {_sql_part(1, "chosen")}, {_sql_part(2, "rejected")},
+FROM (SELECT pair_id AS x_pair, alone AS x_alone, block AS x_block, {_sql_part(0, "prompt")}, {_sql_part(1, "chosen")}, {_sql_part(2, "rejected")},
   coalesce(string_agg(b_start || ':' || b_end, ',' ORDER BY turn, role, text) FILTER (part = 1 AND role = 'assistant'), '') AS chosen_mask,
   coalesce(string_agg(b_start || ':' || b_end, ',' ORDER BY turn, role, text) FILTER (part = 2 AND role = 'assistant'), '') AS rejected_mask
-  FROM p GROUP BY pair_id, block) x JOIN p USING (pair_id, block)
-GROUP BY ALL
+  FROM p GROUP BY pair_id, alone, block) x JOIN p ON pair_id IS NOT DISTINCT FROM x_pair AND alone = x_alone AND block = x_block
+GROUP BY x_pair, x_alone, x_block, pair_id, alone, block, prompt, chosen, rejected, chosen_mask, rejected_mask
 """

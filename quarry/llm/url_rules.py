@@ -3,7 +3,8 @@
 A url is expanded into every (host suffix, path prefix) expression whose number of
 labels and prefix length occur among the rules. The expressions meet the rules by an
 equi-join on the first bytes of their digest; the whole digest then confirms the hit,
-and the longest rule wins. Only urls move, never the pages' content.
+and the longest rule wins. Each different url is judged once; the last join brings the
+verdicts to the rows by url, with whatever columns they have: select the slim ones first.
 """
 
 from __future__ import annotations
@@ -48,8 +49,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, default: str =
     rules: (host, path, verdict); of repeated (host, path) the smallest verdict by name
     counts ("allow" before "block"). A rule fits its host and all subdomains where the
     url's path starts with the rule's; the longest rule text wins, ties go to the longer
-    host. Null urls and urls without `://` have empty host and path. Repeated rows are
-    judged alike and stay. Input columns named like the added ones are replaced.
+    host. Null urls and urls without `://` have empty host and path. Very long urls are
+    read whole. Repeated rows are judged alike and stay. Without rules every verdict is the
+    default; an empty table gives an empty one. Input columns named like the added ones are
+    replaced.
     """
     spark = pages.sparkSession
     given = rules is not None
@@ -67,10 +70,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame | None = None, default: str =
     prefixes = F.transform(F.filter(ints(shape["lengths"]), lambda n: n <= F.length("path")), lambda n: F.col("path").substr(F.lit(1), n))
     asked = urls.withColumn("suffix", F.explode(suffixes)).withColumn("prefix", F.explode(prefixes)).withColumn("digest", _digest(F.col("suffix"), F.col("prefix")))
     asked = asked.select("u_url", "digest", F.substring("digest", 1, SHORT).alias("short"))
-    keyed = rules.withColumn("r_short", F.substring("r_digest", 1, SHORT))
+    # the rules of a short prefix together: nearly always one
+    keyed = rules.withColumn("r_short", F.substring("r_digest", 1, SHORT)).groupBy("r_short").agg(F.collect_list(F.struct("r_digest", "r_host", "r_path", "r_verdict")).alias("rules"))
     if not given or shape["n"] <= BROADCAST_RULES:
         keyed = F.broadcast(keyed)
-    hits = asked.join(keyed, (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest")))
+    met = asked.join(keyed, F.col("short") == F.col("r_short")).select("u_url", "digest", F.explode("rules").alias("r"))
+    hits = met.where(F.col("digest") == F.col("r.r_digest")).select("u_url", "r.*")
     best = hits.groupBy("u_url").agg(F.max(F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))
     out = pages.join(best, pages[url] == best["u_url"], "left")
     return out.select(*[pages[c] for c in pages.columns], host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
