@@ -70,7 +70,7 @@ def nvmrc_missing(files: DataFrame) -> DataFrame:
 def tests_missing(projects: DataFrame, files: DataFrame) -> DataFrame:
     """(project, severity) without a test file, test folder or quoted runner name; warning with a project marker in the root."""
     pruned = F.exists(P.dirs(), lambda d: d.isin(R.PRUNED_DIRS) | d.startswith("."))
-    folder = F.exists(P.dirs(), lambda d: F.lower(d).isin(R.TEST_DIRS))
+    folder = F.coalesce(F.lower(F.try_element_at(P.dirs(), F.lit(-1))).isin(R.TEST_DIRS), F.lit(False))  # a file directly in it
     hits = files.where(~pruned & (P.is_test_file() | (P.base() == "conftest.py") | folder)).select("project")
     quoted = F.lit(False)
     for r in R.TEST_RUNNERS:
@@ -82,7 +82,9 @@ def tests_missing(projects: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def large_files(files: DataFrame, most: int = 5 << 20) -> DataFrame:
-    return files.where((F.col("size") > max(1, most)) & ~P.subsumed_by_vendored()).select("project", "path", "size")
+    """(project, path, size) of large files that are not in large-file storage."""
+    own = files.where((F.col("size") > max(1, most)) & ~P.subsumed_by_vendored()).select("project", "path", "size")
+    return own.join(lfs_managed(files), ["project", "path"], "left_anti")
 
 
 def executable_bits(files: DataFrame) -> DataFrame:
@@ -127,17 +129,25 @@ def vendored_dirs(files: DataFrame) -> DataFrame:
     return clear.where("not ambiguous").select("project", "key").union(backed)
 
 
-MANIFESTS = ("package.json", "composer.json", "pyproject.toml", "Cargo.toml", "setup.py", "pom.xml", "VERSION")
+#: Root files that declare a version.
+MANIFESTS = ("package.json", "Cargo.toml", "pyproject.toml", "mix.exs", "pom.xml", "VERSION", "version.txt")
+
+
+def _in_section(name: str) -> Column:
+    """The version in a section of a TOML file."""
+    section = F.regexp_extract("text", rf"(?ms)^\s*\[{name}\][^\n]*\n(.*?)(?=^\s*\[|\z)", 1)
+    return F.regexp_extract(section, r"(?m)^\s*version\s*=\s*[\"']([^\"']*)[\"']", 1)
 
 
 def manifest_versions(files: DataFrame) -> DataFrame:
     """(project, path, version) declared by root manifests, without a leading v."""
     own = files.where(F.col("path").isin(*MANIFESTS))
     raw = (
-        F.when(F.col("path").endswith(".json"), F.regexp_extract("text", r'"version"\s*:\s*"([^"]*)"', 1))
-        .when(F.col("path").endswith(".toml"), F.regexp_extract("text", r'(?m)^version\s*=\s*"([^"]*)"', 1))
-        .when(F.col("path") == "setup.py", F.regexp_extract("text", r"version\s*=\s*[\"']([^\"']*)[\"']", 1))
-        .when(F.col("path") == "pom.xml", F.regexp_extract("text", r"<version>([^<]*)</version>", 1))
+        F.when(F.col("path") == "package.json", F.get_json_object("text", "$.version"))
+        .when(F.col("path") == "Cargo.toml", _in_section("package"))
+        .when(F.col("path") == "pyproject.toml", F.coalesce(F.nullif(_in_section("project"), F.lit("")), _in_section(r"tool\.poetry")))
+        .when(F.col("path") == "mix.exs", F.regexp_extract("text", r"\bversion:\s*\"([^\"]*)\"", 1))
+        .when(F.col("path") == "pom.xml", F.regexp_extract(F.regexp_replace("text", r"(?s)<parent>.*?</parent>", ""), r"<version>([^<]*)</version>", 1))
         .otherwise(F.trim(F.substring_index("text", "\n", 1)))
     )
     version = F.regexp_replace(raw, "^v", "")

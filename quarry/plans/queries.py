@@ -112,7 +112,15 @@ def version_drift(spark, sf_dir):
     f = files(spark, sf_dir)
     path = F.get(F.array(*[F.lit(m) for m in G.MANIFESTS]), (F.col("seq") % len(G.MANIFESTS)).cast("int"))
     version = F.concat_ws(".", F.lit("v1"), (F.col("seq") % 3).cast("string"), F.lit("0"))
-    text = F.when(path.endswith(".json"), F.concat(F.lit('{"version": "'), version, F.lit('"}'))).when(path.endswith(".toml"), F.concat(F.lit('version = "'), version, F.lit('"'))).when(path == "setup.py", F.concat(F.lit("setup(version='"), version, F.lit("')"))).when(path == "pom.xml", F.concat(F.lit("<version>"), version, F.lit("</version>"))).otherwise(version)
+    whole = lambda before, after: F.concat(F.lit(before), version, F.lit(after), F.col("text"))  # noqa: E731  each document's text goes along
+    text = (
+        F.when(path == "package.json", F.concat(F.lit('{"version": "'), version, F.lit('", "description": '), F.to_json(F.struct("text")), F.lit("}")))
+        .when(path == "Cargo.toml", whole('[package]\nversion = "', '"\n[dependencies]\nversion = "9.9.9"\n'))
+        .when(path == "pyproject.toml", whole('[project]\nname = "x"\nversion = "', '"\n[tool.x]\nversion = "9.9.9"\n'))
+        .when(path == "mix.exs", whole('[app: :x, version: "', '"]\n'))
+        .when(path == "pom.xml", whole("<parent><version>9.9.9</version></parent><version>", "</version>"))
+        .otherwise(whole("", "\n"))
+    )
     return G.version_drift(f.select(F.concat(F.lit("g"), F.expr("seq div 7").cast("string")).alias("project"), path.alias("path"), text.alias("text")))
 
 
@@ -295,7 +303,7 @@ _PRESENT = {
     "issue_template_present": f"({_DIR} = '.github/ISSUE_TEMPLATE' AND ext IN ('.md', '.yml', '.yaml')) OR (base IN ('ISSUE_TEMPLATE.md', 'issue_template.md') AND {_DIR} IN {_in(_DOCS)})",
     "code_of_conduct_present": f"base IN ('CODE_OF_CONDUCT.md', 'CODE_OF_CONDUCT', 'code_of_conduct.md') AND {_DIR} IN {_in(_DOCS)}",
 }
-_TESTS = "is_test_file OR base = 'conftest.py' OR " + _any(R.TEST_DIRS)
+_TESTS = f"is_test_file OR base = 'conftest.py' OR coalesce(ldirs[len(ldirs)] IN {_in(R.TEST_DIRS)}, FALSE)"
 _LOCKS = [x for x in R.GENERATED_FILES if not x.endswith((".lock", ".sum"))]
 _IP = "(0|[1-9][0-9]{0,2})"
 
