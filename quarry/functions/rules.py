@@ -111,8 +111,33 @@ GATES = [
     ("large_blob_in_history", "Large blob in history", "warning", ["hygiene"]),
     ("dockerfile_lint", "Container file", "warning", ["quality"]),
     ("html_lint", "HTML", "warning", ["quality"]),
+    ("css_lint", "Stylesheet", "warning", ["quality"]),
+    ("markdown_lint", "Markdown", "warning", ["documentation"]),
+    ("compose_lint", "Compose file", "warning", ["quality"]),
+    ("secrets_scan", "Secret in a tracked file", "error", ["security"]),
+    ("secrets_scan_history", "Secret in history", "warning", ["security"]),
+    ("branch_protection_declared", "Branch protection not declared", "info", ["governance"]),
 ]
 
+# Images that need the container socket.
+ORCHESTRATOR_IMAGES = (
+    "traefik nginx jwilder/nginx-proxy nginxproxy/nginx-proxy haproxy envoyproxy/envoy caddy "
+    "portainer/portainer portainer/portainer-ce portainer/portainer-ee louislam/dockge louislam/portainer "
+    "containrrr/watchtower v2tec/watchtower willfarrell/autoheal autoheal "
+    "amir20/dozzle gcr.io/cadvisor/cadvisor google/cadvisor nicolargo/glances netdata/netdata prom/prometheus grafana/grafana grafana/loki grafana/promtail grafana/alloy prom/alertmanager "
+    "prom/node-exporter quay.io/prometheus/node-exporter diun crazymax/diun ghcr.io/nicholaswilde/diun containrrr/diun"
+).split()
+
+# Folders of build output that are only that with a marker beside them or in the root.
+BUILD_MARKERS = {
+    "target": ("Cargo.toml", "pom.xml", "build.gradle", "build.gradle.kts", "build.sbt"),
+    "dist": ("package.json", "pyproject.toml", "setup.py", "setup.cfg"),
+    "build": ("package.json", "pyproject.toml", "setup.py", "setup.cfg", "build.gradle", "build.gradle.kts", "CMakeLists.txt"),
+    ".cache": ("package.json",),
+}
+SERVED_ROOTS = "public static assets www htdocs wwwroot".split()
+SERVED_EXTENSIONS = ".woff2 .woff .ttf .eot .otf .css .js .mjs .svg .map".split()
+
 # Public shapes of vendors' credentials, and texts that only look like one.
 SECRET_PATTERNS = (
     ("aws_access_key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),

@@ -128,5 +128,17 @@ def valid_json(s: Column) -> Column:
 
 
 def jsonc_stripped(s: Column) -> Column:
-    out = F.regexp_replace(s, r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*[\s\S]*?\*/', "$1")
-    return F.regexp_replace(out, r'("(?:\\.|[^"\\])*")|,(?=[\s]*[}\]])', "$1")
+    """Possessive repeats keep long strings off the stack."""
+    out = F.regexp_replace(s, r'("(?:\\.|[^"\\])*+")|//[^\n]*|/\*[\s\S]*?\*/', "$1")
+    return F.regexp_replace(out, r'("(?:\\.|[^"\\])*+")|,(?=[\s]*[}\]])', "$1")
+
+
+def shell_quoted(s: Column) -> Column:
+    """In single quotes where a shell would read more than the characters."""
+    special = s.rlike(r"""[ \t\n"'\\$`!*?\[\]{}()<>|;&#~]""") | (s == "")
+    return F.when(special, F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("'\\''")), F.lit("'"))).otherwise(s)
+
+
+def one_line(s: Column) -> Column:
+    """A message's pieces in one line, with single spaces."""
+    return F.trim(F.regexp_replace(s, r"\s+", " "))

@@ -113,7 +113,7 @@ def env_example_uncommented(files: DataFrame) -> DataFrame:
     return own.where((F.col("key") != "") & ~unquoted.contains("#") & ~F.coalesce(F.col("above").startswith("#"), F.lit(False))).select("project", "path", "line_no", "key")
 
 
-def config_parse_errors(files: DataFrame, most: int = 5 << 20) -> DataFrame:
+def json_parse_errors(files: DataFrame, most: int = 5 << 20) -> DataFrame:
     """(project, path) of JSON files of 1 byte to the cap that don't parse."""
     own = files.where((P.config_kind() == "json") & (F.col("size") > 0) & (F.col("size") <= most) & ~P.should_skip_content())
     return own.where(~X.valid_json(F.col("text")) & ~X.valid_json(X.jsonc_stripped(F.col("text")))).select("project", "path")
@@ -136,7 +136,7 @@ def secrets_scan(files: DataFrame) -> DataFrame:
     Matches that look made up are dropped. A key's header counts only with key material next to
     it, or in a file named as a key.
     """
-    lines = explode_lines(files.where(~P.is_detection_rule() & F.col("text").rlike(_ANY_SECRET)))
+    lines = explode_lines(files.where(~P.should_skip_secrets() & ~P.is_detection_rule() & F.col("text").rlike(_ANY_SECRET)))
     hits = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_extract_all("line", F.lit(p), F.lit(0)).alias("found")) for n, p in R.SECRET_PATTERNS])
     each = lines.where(F.col("line").rlike(_ANY_SECRET)).select("project", "path", "line_no", F.explode(hits).alias("h"))
     tokens = each.where(F.exists("h.found", lambda t: ~is_synthetic(t))).select("project", "path", "line_no", "h.pattern")
@@ -146,7 +146,14 @@ def secrets_scan(files: DataFrame) -> DataFrame:
     below = F.first(F.when(F.col("line").rlike(r"\S") & ~F.col("line").rlike("^[A-Za-z-]+: "), F.col("line")), ignorenulls=True).over(after)
     key = material(F.regexp_replace("line", rf"^.*?{R.PEM_HEADER}", "")) | F.coalesce(material(F.col("below")), F.lit(False)) | F.col("path").rlike(R.KEY_FILE)
     keys = lines.withColumn("below", below).where(F.col("line").rlike(R.PEM_HEADER) & key)
-    return tokens.unionByName(keys.select("project", "path", "line_no", F.lit("private_key").alias("pattern")))
+    out = tokens.unionByName(keys.select("project", "path", "line_no", F.lit("private_key").alias("pattern")))
+    return out.unionByName(tracked_env(files)) if "tracked" in files.columns else out
+
+
+def tracked_env(files: DataFrame) -> DataFrame:
+    """Tracked .env files, whatever they hold, in the form of secrets_scan, at line 1."""
+    own = files.where(F.col("tracked") & (P.base() == ".env") & ~P.should_skip_secrets())
+    return own.select("project", "path", F.lit(1).alias("line_no"), F.lit("env_file").alias("pattern"))
 
 
 def secrets_history(blobs: DataFrame, most: int | None = None) -> DataFrame:

@@ -25,6 +25,10 @@ def _named(stems: tuple[str, ...], folders: tuple[str, ...]) -> Column:
     return own & _in(folders)
 
 
+PRESENCE = (
+    "readme_present", "license_present", "contributing_present", "security_present", "changelog_present", "gitignore_present", "ci_workflow_present", "pr_template_present",
+    "issue_template_present", "code_of_conduct_present",
+)
 
 
 def presence_hits() -> dict[str, Column]:
@@ -113,20 +117,42 @@ def odd_names(files: DataFrame) -> DataFrame:
 
 
 def vendored_dirs(files: DataFrame) -> DataFrame:
-    """(project, key): outermost vendored folders, by the first prefix in order that a path contains as a folder."""
+    """(project, key): outermost vendored folders, by the first prefix in order that a path contains as a folder.
+
+    Not those below a served root, a vendor folder that its package manager's files vouch for,
+    folders that hold served assets (vendor, dist, build), and folders with an ambiguous name but
+    without a build tool's marker beside them or in the root.
+    """
     out = F.lit(None).cast("string")
     for p in reversed(R.VENDORED_PREFIXES):
         name = p.rstrip("/").replace(".", r"\.")
         out = F.when(F.concat(F.lit("/"), F.col("path")).contains("/" + p), F.regexp_extract("path", rf"^((?:.*?/)?{name})/", 1)).otherwise(out)
-    keys = files.select("project", out.alias("key")).where(F.col("key").isNotNull()).distinct()
-    manifest = files.where(F.col("path").isin("go.mod", "composer.json", "Gemfile")).select("project", F.lit("vendor").alias("key")).distinct()
-    served = F.exists(F.split("key", "/"), lambda d: d.isin("public", "static", "assets", "www", "htdocs", "wwwroot"))
-    above = files.where(P.base().isin(R.PROJECT_MARKERS)).select("project", F.regexp_extract("path", "^(?:(.*)/)?[^/]*$", 1).alias("folder")).distinct()
-    ambiguous = F.element_at(F.split("key", "/"), -1).isin("target", "dist", "build", "vendor")
-    parent = F.coalesce(F.regexp_extract("key", "^(.*)/[^/]*$", 1), F.lit(""))
-    clear = keys.where(~served).join(manifest, ["project", "key"], "left_anti").withColumn("parent", parent).withColumn("ambiguous", ambiguous)
-    backed = clear.where("ambiguous").join(above, "project").where((F.col("folder") == "") | (F.col("folder") == F.col("parent"))).select("project", "key").distinct()
-    return clear.where("not ambiguous").select("project", "key").union(backed)
+    keys = files.where(~P.should_skip()).select("project", out.alias("key")).where(F.col("key").isNotNull()).distinct()
+    keys = keys.where(~F.arrays_overlap(F.split("key", "/"), F.lit(R.SERVED_ROOTS))).withColumn("name", F.element_at(F.split("key", "/"), -1))
+    has = lambda path: F.max(F.coalesce(path, F.lit(False)))
+    path = F.col("path")
+    root = files.where(path.isin("go.mod", "composer.json", "Gemfile", "vendor/modules.txt", "vendor/autoload.php") | (path == "vendor/bundle") | path.startswith("vendor/bundle/"))
+    vouched = root.groupBy("project").agg(
+        (has(path == "go.mod") & has(path == "vendor/modules.txt")).alias("go"), (has(path == "composer.json") & has(path == "vendor/autoload.php")).alias("php"),
+        (has(path == "Gemfile") & has(path.startswith("vendor/bundle"))).alias("ruby"),
+    ).where("go OR php OR ruby").select("project", F.lit("vendor").alias("name"))
+    at = F.transform(P.dirs(), lambda d, k: F.when(d.isin("vendor", "dist", "build"), F.array_join(F.slice(P.dirs(), F.lit(1), k + 1), "/")))
+    served = files.where(P.ext().isin(R.SERVED_EXTENSIONS)).select("project", F.explode(F.array_compact(at)).alias("key")).distinct()
+    clear = keys.join(vouched, ["project", "name"], "left_anti").join(served, ["project", "key"], "left_anti")
+    folders = F.array_distinct(F.array(F.lit(""), F.regexp_extract("key", "^(?:(.*)/)?[^/]*$", 1)))
+    asked = clear.where(F.col("name").isin(*R.BUILD_MARKERS)).withColumn("folder", F.explode(folders))
+    kinds = F.array_compact(F.array(*[F.when(P.base().isin(*m), F.lit(n)) for n, m in R.BUILD_MARKERS.items()]))
+    marked = files.select("project", F.regexp_extract("path", "^(?:(.*)/)?[^/]*$", 1).alias("folder"), F.explode(kinds).alias("name")).distinct()
+    backed = asked.join(marked, ["project", "folder", "name"], "left_semi").select("project", "key").distinct()
+    return clear.where(~F.col("name").isin(*R.BUILD_MARKERS)).select("project", "key").union(backed)
+
+
+def presence_hints(projects: DataFrame, files: DataFrame) -> DataFrame:
+    """(project, gate_id, file_path): projects without a container file, and without a Compose file. For those that asked."""
+    own = files.where(~P.should_skip_content()).select("project", P.file_kind().alias("kind")).where("kind IN ('dockerfile', 'compose')").distinct()
+    wanted = projects.select("project").distinct().withColumn("kind", F.explode(F.array(F.lit("dockerfile"), F.lit("compose"))))
+    without = wanted.join(own, ["project", "kind"], "left_anti")
+    return without.select("project", F.concat("kind", F.lit("_lint")).alias("gate_id"), F.when(F.col("kind") == "compose", "compose.yml").otherwise("Dockerfile").alias("file_path"))
 
 
 #: Root files that declare a version.
@@ -195,16 +221,25 @@ def gitignore_coverage(files: DataFrame, disabled: tuple[str, ...] = ()) -> Data
     asks = F.array_union(F.lit(list(R.IGNORE_ALWAYS)), F.flatten(F.filter(F.array(*[F.when(F.array_contains("names", m), F.lit(list(p))) for m, p in R.IGNORE_BY_MARKER.items()]), lambda x: x.isNotNull())))
     off = F.lit([d.strip("/") for d in disabled]) if disabled else F.array().cast("array<string>")
     wanted = root.where(F.array_contains("names", ".gitignore") & F.arrays_overlap("names", F.lit(list(R.STACK_MARKERS)))).select("project", F.explode(F.array_distinct(F.array_except(asks, off))).alias("pattern"))
-    has = _own_lines(files, ".gitignore").where("NOT startswith(rule_line, '!')").select("project", F.regexp_replace("rule_line", "^/|/$", "").alias("have")).distinct()
+    has = ignore_lines(files)
     whole, last = F.col("pattern"), F.substring_index("pattern", "/", -1)
     covers = (F.col("have") == whole) | _safe_match(whole) | _safe_match(last)
     covered = wanted.join(has, "project").where(covers).select("project", "pattern")
     return wanted.join(covered, ["project", "pattern"], "left_anti")
 
 
+def ignore_lines(files: DataFrame) -> DataFrame:
+    """(project, have): patterns of the root's .gitignore without slashes at either end."""
+    return _own_lines(files, ".gitignore").where("NOT startswith(rule_line, '!')").select("project", F.regexp_replace("rule_line", "^/|/$", "").alias("have")).distinct()
+
+
+def matches_glob(name: Column, glob: Column) -> Column:
+    """A class in the glob is taken as one character."""
+    return F.coalesce(F.regexp_like(name, _glob(F.regexp_replace(glob, r"\[[^\]]*\]|\[", "?"))), F.lit(False))
+
+
 def _safe_match(name: Column) -> Column:
-    """`have` as a glob matches name; lines with a class are compared with the class taken as one character."""
-    return F.coalesce(F.regexp_like(name, _glob(F.regexp_replace("have", r"\[[^\]]*\]|\[", "?"))), F.lit(False))
+    return matches_glob(name, F.col("have"))
 
 
 def lfs_managed(files: DataFrame) -> DataFrame:

@@ -109,3 +109,11 @@ def blame_enrich(findings: DataFrame, blame: DataFrame) -> DataFrame:
     own = findings.withColumn("_file", file).withColumn("_line", line)
     b = blame.select(F.col("project").alias("_p"), F.col("file").alias("_f"), F.col("line").alias("_l"), "hash", "author", "author_time")
     return own.join(b, (F.col("project") == F.col("_p")) & (F.col("_file") == F.col("_f")) & (F.col("_line") == F.col("_l")), "left").drop("_file", "_line", "_p", "_f", "_l")
+
+
+def find_findings(findings: DataFrame, ids: list[int] | None = None, key: tuple[str, str, str] | None = None) -> DataFrame:
+    """The findings with these ids, or the one with this (project, gate_id, file_path)."""
+    out = findings if ids is None else findings.where(F.col("id").isin(ids))
+    if key is None:
+        return out
+    return out.where((F.col("project") == key[0]) & (F.col("gate_id") == key[1]) & (F.col("file_path") == key[2]))

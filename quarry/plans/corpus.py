@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import rules as R
-
 #: Paths that documents are given by id; {} is the id.
 PATHS = (
     "README.md src/app{}.py src/app{}_test.go src/web/x{}.spec.ts tests/unit/t{}.txt AcmeTests/case{}.swift data/set{}.json data/rows{}.csv logs/run{}.log.json bak/old{}.py notes/plan{}.bak "
@@ -99,7 +97,3 @@ EMISSIONS_SQL = """emissions AS (
     CASE WHEN event_id % 7 = 0 THEN 'resolved' WHEN event_id % 11 = 0 THEN 'ignored' ELSE 'open' END AS status,
     epoch_us(ts) // 1000 AS created_at, epoch_us(ts) // 1000 AS updated_at, event_id AS emit_seq, event_id AS id
   FROM events)"""
-
-
-def gates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(R.GATES, "gate_id string, title string, severity string, tags array<string>")

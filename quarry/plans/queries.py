@@ -12,11 +12,9 @@ from ..operators import lifecycle as L
 from ..operators import lines as N
 from ..operators import project_gates as G
 from ..operators import stats as S
-from . import markup_queries
+from . import markup_queries, run_queries
 from .corpus import EMISSIONS_SQL, FILES_SQL, emissions, files, projects
-
-#: The time of the runs in the queries, in epoch ms.
-NOW = 1_900_000_000_000
+from .run_queries import NOW
 
 
 def _read(spark, sf_dir, table):
@@ -64,11 +62,6 @@ def env_example_uncommented(spark, sf_dir):
     return N.env_example_uncommented(files(spark, sf_dir).withColumn("path", F.when(F.col("seq") % 5 == 0, ".env.example").otherwise(F.col("path"))).withColumn("project", F.concat_ws("/", "project", F.col("seq").cast("string"))))
 
 
-def config_parse_errors(spark, sf_dir):
-    f = files(spark, sf_dir).where(P.config_kind() == "json").withColumn("text", F.concat(F.lit('{"id": '), F.col("seq").cast("string"), F.when(F.col("seq") % 2 == 0, "}").otherwise("")))
-    return N.config_parse_errors(f)
-
-
 def missing_files(spark, sf_dir):
     f = files(spark, sf_dir)
     return G.missing_files(projects(f), f)
@@ -229,7 +222,7 @@ def blame_enrich(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        ipv4_by_category, path_predicates, path_excluded, line_counts, merge_conflict_markers, dead_placeholders, network_scan, connection_strings, env_example_uncommented, config_parse_errors, missing_files,
+        ipv4_by_category, path_predicates, path_excluded, line_counts, merge_conflict_markers, dead_placeholders, network_scan, connection_strings, env_example_uncommented, missing_files,
         codeowners_missing, nvmrc_missing, tests_missing, large_files, executable_bits, ide_artifacts, odd_names, vendored_dirs, version_drift, large_blobs, ancestor_dirs, normalise_findings, dedupe_findings,
         merge_findings, retire_ignored, ignore_findings, delete_findings, newly_open, list_findings, search_findings, stats_by_status, stats_by_severity, stats_by_gate, stats_top_files, stats_by_tag, stats_trend,
         stats_totals, group_by_file, group_by_tag, blame_enrich,
@@ -382,5 +375,6 @@ b AS (SELECT project, file, line, max('c' || id::VARCHAR) AS hash, 'dev' AS auth
 SELECT id, hash, author, author_time FROM t LEFT JOIN b USING (project, file, line)""",
 }
 
-QUERIES |= markup_queries.QUERIES
+QUERIES |= markup_queries.QUERIES | run_queries.QUERIES
 SQL |= markup_queries.SQL
+SQL |= run_queries.sql(_WITH_P, SQL)

@@ -15,11 +15,12 @@ def stream_scan(files: DataFrame, gate) -> DataFrame:
     return gate(files)
 
 
-def stream_merge(emitted: DataFrame, store: str, now: int, checkpoint: str) -> StreamingQuery:
+def stream_merge(emitted: DataFrame, store: str, now: int, checkpoint: str, start: DataFrame | None = None) -> StreamingQuery:
     """Each micro-batch is deduplicated and merged into a findings table, judged for its own (project, file_path) keys only.
 
     Versions are written beside each other as <store>/v=<batch>; a batch that runs again
-    writes its own version again from the one before, so nothing is applied twice.
+    writes its own version again from the one before, so nothing is applied twice. start: the
+    findings before the first batch, if there are any.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -28,6 +29,8 @@ def stream_merge(emitted: DataFrame, store: str, now: int, checkpoint: str) -> S
         current = L.dedupe_keys(batch).select(*fields)
         if number:
             previous = spark.read.parquet(f"{store}/v={number - 1}").select(*fields)
+        elif start is not None:
+            previous = start.select(*fields)
         else:
             previous = spark.createDataFrame([], current.schema)
         out = L.merge_findings(previous, current, now, current.select("project", "file_path"))

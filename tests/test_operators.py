@@ -73,7 +73,7 @@ def test_env_and_markers(spark):
 
 def test_config_json(spark):
     bodies = ['{"a":1}', '{"a":1} x', '{"a":', '[1,2]', '{"a":1,} // c', "1 2"]
-    assert sorted(fired(N.config_parse_errors(texts(spark, *bodies, path="conf/a.json")), "project")) == [1, 2, 5]
+    assert sorted(fired(N.json_parse_errors(texts(spark, *bodies, path="conf/a.json")), "project")) == [1, 2, 5]
 
 
 def test_find_all_offsets(spark):
@@ -83,8 +83,13 @@ def test_find_all_offsets(spark):
 
 def test_paths(spark):
     assert P.glob_regex("a/*.go") == r"^a/[^/]*\.go\z" and P.glob_regex("[") is None
-    f = spark.createDataFrame([("p", "vendor/a.go"), ("p", "go.mod"), ("q", "pkg/build/x.js"), ("q", "package.json"), ("q", "public/dist/a.js"), ("q", "node_modules/z/i.js")], "project string, path string")
-    assert sorted(tuple(r) for r in G.vendored_dirs(f).collect()) == [("q", "node_modules"), ("q", "pkg/build")]
+    paths = {
+        "go": ["vendor/a.go", "go.mod"], "moved": ["vendor/a.go", "go.mod", "vendor/modules.txt", "x/vendor/b.go"], "gems": ["Gemfile", "vendor/bundle/a.rb"],
+        "q": ["pkg/build/x.o", "pkg/package.json", "public/dist/a.o", "node_modules/z/i.js", "lib/build/y.o", "lib/build.gradle/z", "tests/venv/a"],
+        "web": ["vendor/font.woff2", "dist/app.js", "package.json", ".cache/x"], "site": ["vendor/a.php", "composer.json", "target/x", "sub/target/y", "sub/Cargo.toml"],
+    }
+    f = spark.createDataFrame([(p, x) for p, xs in paths.items() for x in xs], "project string, path string")
+    assert sorted(tuple(r) for r in G.vendored_dirs(f).collect()) == [("go", "vendor"), ("q", "node_modules"), ("q", "pkg/build"), ("site", "sub/target"), ("site", "vendor"), ("web", ".cache")]
 
 
 def test_scoped_merge_and_sources(spark, tmp_path):
