@@ -140,10 +140,10 @@ def secrets_scan(files: DataFrame) -> DataFrame:
     hits = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_extract_all("line", F.lit(p), F.lit(0)).alias("found")) for n, p in R.SECRET_PATTERNS])
     each = lines.where(F.col("line").rlike(_ANY_SECRET)).select("project", "path", "line_no", F.explode(hits).alias("h"))
     tokens = each.where(F.exists("h.found", lambda t: ~is_synthetic(t))).select("project", "path", "line_no", "h.pattern")
-    # The material stands behind the header on its own line, as "\n" escapes, or on the first line below that is no field of the header.
-    after = W.partitionBy("project", "path").orderBy("line_no").rowsBetween(1, 8)
+    # The material stands behind the header on its own line, as "\n" escapes, or on the first line below that is no field of the header, however many fields there are.
+    after = W.partitionBy("project", "path").orderBy(F.col("line_no").desc()).rowsBetween(W.unboundedPreceding, -1)
     material = lambda c: c.rlike(r"""^(?:[\s"'+,]|\\[nr])*[A-Za-z0-9+/=]{40,}""") & c.rlike("[a-z]") & c.rlike("[A-Z]") & c.rlike("[0-9]")
-    below = F.first(F.when(F.col("line").rlike(r"\S") & ~F.col("line").rlike("^[A-Za-z-]+: "), F.col("line")), ignorenulls=True).over(after)
+    below = F.last(F.when(F.col("line").rlike(r"\S") & ~F.col("line").rlike("^[A-Za-z-]+: "), F.col("line")), ignorenulls=True).over(after)
     key = material(F.regexp_replace("line", rf"^.*?{R.PEM_HEADER}", "")) | F.coalesce(material(F.col("below")), F.lit(False)) | F.col("path").rlike(R.KEY_FILE)
     keys = lines.withColumn("below", below).where(F.col("line").rlike(R.PEM_HEADER) & key)
     out = tokens.unionByName(keys.select("project", "path", "line_no", F.lit("private_key").alias("pattern")))

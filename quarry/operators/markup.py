@@ -42,8 +42,9 @@ def _fired(df: DataFrame, rules: dict[str, Column], line: str = "line") -> DataF
 
 # Dockerfiles
 
-_INSTRUCTION_END = r"[\s\S]*?(?<!\\[ \t]{0,8})(?:\n|\z)"
-_HERE_DOCUMENT = r"[ \t]*(?i:RUN|COPY|ADD)[ \t][^\n]*(?:\\[ \t]*\n[^\n]*){0,50}?<<-?[\"']?([A-Za-z_]\w*)[\"']?[^\n]*\n(?:[\s\S]*?\n)?[ \t]*\1[ \t]*(?:\n|\z)"
+# Possessive repeats keep any number of continued lines, or attributes, off the stack.
+_INSTRUCTION_END = r"(?:[^\n\\]|\\[ \t]*\n|\\)*+(?:\n|\z)"
+_HERE_DOCUMENT = r"[ \t]*(?i:RUN|COPY|ADD)[ \t](?:[^\n\\<]|\\[ \t]*\n|\\|<(?!<-?[\"']?[A-Za-z_]))*+[^\n]*<<-?[\"']?([A-Za-z_]\w*)[\"']?[^\n]*\n(?:[\s\S]*?\n)?[ \t]*\1[ \t]*(?:\n|\z)"
 DOCKER_TOKEN = rf"[ \t]*(?:#[^\n]*)?(?:\n|\z)|{_HERE_DOCUMENT}|{_INSTRUCTION_END}"
 
 
@@ -79,7 +80,7 @@ def dockerfile_lint(files: DataFrame) -> DataFrame:
 
 # HTML
 
-_ATTRIBUTES = r"""[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*){0,200}"""
+_ATTRIBUTES = r"""[^>"']*+(?:"[^"]*"[^>"']*+|'[^']*'[^>"']*+)*+"""
 HTML_TOKEN = rf"<!--[\s\S]*?-->|(?i:<(script|style|textarea|title)\b{_ATTRIBUTES}>[\s\S]*?</\1\s*>)|</?[a-zA-Z]{_ATTRIBUTES}>|[^<]+|<"
 
 

@@ -12,7 +12,7 @@ from ..operators import lifecycle as L
 from ..operators import lines as N
 from ..operators import project_gates as G
 from ..operators import stats as S
-from . import markup_queries, run_queries
+from . import line_sql, markup_queries, run_queries
 from .corpus import EMISSIONS_SQL, FILES_SQL, emissions, files, projects
 from .run_queries import NOW
 
@@ -327,6 +327,9 @@ SELECT project, category, count(*) AS n FROM (SELECT project, {_CATEGORY} AS cat
     + f", {_LINES}, r(rule, pat) AS (VALUES "
     + ", ".join(f"('{n}', '{p.replace(R.B, chr(92) + 'b').replace(R.E, chr(92) + 'b').replace(chr(39), chr(39) * 2)}')" for n, p in R.PLACEHOLDER_PATTERNS)
     + ") SELECT project, path, line_no, rule, regexp_extract(line, pat) AS text FROM l, r WHERE NOT (should_skip_content OR is_changelog OR is_detection_rule OR is_placeholder_register) AND regexp_matches(line, pat)",
+    "network_scan": line_sql.network_scan(f"{_WITH_P}, {_LINES}", _CATEGORY),
+    "connection_strings": line_sql.connection_strings(f"{_WITH_P}, {_LINES}"),
+    "env_example_uncommented": line_sql.env_example_uncommented(f"WITH {FILES_SQL}"),
     "missing_files": _WITH_P
     + ", h AS ("
     + " UNION ".join(f"SELECT project, '{g}' AS gate_id FROM p WHERE {c}" for g, c in _PRESENT.items())
