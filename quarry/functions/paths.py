@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import rules as R
 
@@ -55,19 +57,36 @@ def glob_regex(glob: str) -> str | None:
             if end < 0:
                 return None
             inner = glob[i + 1 : end]
-            out += "[" + ("^" if inner[0] == "^" else "") + inner.lstrip("^").replace("\\", r"\\").replace("[", r"\[") + "]"
+            if inner.strip("^") == "":
+                return None
+            out += "[" + ("^" if inner[0] == "^" else "") + inner.lstrip("^").replace("\\", r"\\").replace("[", r"\[").replace("&", r"\&") + "]"
             i = end
         elif c == "\\":
             if i + 1 == len(glob):
                 return None
             i += 1
-            out += r"\Q" + glob[i] + r"\E"
+            out += glob[i] if glob[i].isalnum() else "\\" + glob[i]
         else:
             out += c if c.isalnum() or c in "/_- " else "\\" + c
         i += 1
+    try:  # ranges that go backwards
+        re.compile(out)
+    except re.error:
+        return None
     return rf"^{out}\z"
 
 
+def glob_regexes(globs: Column) -> Column:
+    """The regexes of an array of globs, without those of malformed ones. Null has none."""
+
+    def of(lists):
+        import pyarrow as pa
+
+        return pa.array([[r for g in own or [] if g is not None and (r := glob_regex(g))] for own in lists.to_pylist()], type=pa.list_(pa.string()))
+
+    return F.arrow_udf(of, T.ArrayType(T.StringType()))(globs)
+
+
 def path_excluded(globs: list[str], path="path") -> Column:
     known = [r for r in map(glob_regex, globs) if r]
     return reduce(lambda a, b: a | b, [_path(path).rlike(r) for r in known], F.lit(False))

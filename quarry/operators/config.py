@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import paths as P
+
 CONFIG = ".quarry.json"
 FIELDS = ("ignore", "severity", "gate_options", "exclude_paths")
 SEVERITIES = ("error", "warning", "info")
@@ -117,3 +119,17 @@ def apply_configs(findings: DataFrame, configs: DataFrame) -> DataFrame:
     out = findings.join(c, "project", "left").where(~F.coalesce(F.array_contains("_ignore", F.col("gate_id")), F.lit(False)))
     severity = F.coalesce(F.element_at("_severity", F.col("gate_id")), F.col("severity"))
     return out.select(*[severity.alias("severity") if n == "severity" else F.col(n) for n in findings.columns])
+
+
+def apply_excludes(findings: DataFrame, options: DataFrame, gates: list[str]) -> DataFrame:
+    """findings (project, gate_id, file_path, ...) of these gates, by line, less those in files that the
+    project excludes for the gate; those of other gates, or without a line, stay. Malformed patterns
+    exclude nothing.
+    """
+    o = options.select("project", F.col("gate_id").alias("_gate"), P.glob_regexes(F.col("exclude_paths")).alias("_own"))
+    shared = o.where("_gate IS NULL").select("project", F.col("_own").alias("_shared"))
+    own = o.where(F.col("_gate").isNotNull()).withColumnRenamed("_gate", "gate_id")
+    path = F.regexp_extract("file_path", r"(?s)^(.*):[0-9]+:[^:]*\z", 1)
+    hit = F.col("gate_id").isin(gates) & (path != "") & F.exists(F.coalesce("_own", "_shared"), lambda r: F.rlike(path, r))
+    out = findings.join(own, ["project", "gate_id"], "left").join(shared, "project", "left")
+    return out.where(~F.coalesce(hit, F.lit(False))).select(*findings.columns)

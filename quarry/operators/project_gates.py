@@ -85,10 +85,18 @@ def tests_missing(projects: DataFrame, files: DataFrame) -> DataFrame:
     return without.join(marked, "project", "left").select("project", F.when(F.col("marked"), "warning").otherwise("info").alias("severity"))
 
 
-def large_files(files: DataFrame, most: int = 5 << 20) -> DataFrame:
+def _over(sized: DataFrame, most: int, thresholds: DataFrame | None) -> DataFrame:
+    """Rows with a size over their project's threshold (project, threshold_mb), where it is a positive one, else over most."""
+    if thresholds is None:
+        return sized.where(F.col("size") > most)
+    own = thresholds.select("project", (F.col("threshold_mb") * (1 << 20)).alias("_most")).where("_most > 0")
+    return sized.join(own, "project", "left").where(F.col("size") > F.coalesce("_most", F.lit(most))).drop("_most")
+
+
+def large_files(files: DataFrame, most: int = 5 << 20, thresholds: DataFrame | None = None) -> DataFrame:
     """(project, path, size) of large files that are not in large-file storage."""
-    own = files.where((F.col("size") > max(1, most)) & ~P.subsumed_by_vendored()).select("project", "path", "size")
-    return own.join(lfs_managed(files), ["project", "path"], "left_anti")
+    own = files.where((F.col("size") > 1) & ~P.subsumed_by_vendored()).select("project", "path", "size")
+    return _over(own, most, thresholds).join(lfs_managed(files), ["project", "path"], "left_anti")
 
 
 def executable_bits(files: DataFrame) -> DataFrame:
@@ -188,8 +196,8 @@ def version_drift(files: DataFrame) -> DataFrame:
     return v.withColumn("leader", lead["version"]).where("version <> leader").select("project", "path", "version", "leader")
 
 
-def large_blobs(blobs: DataFrame, most: int = 5 << 20) -> DataFrame:
-    return blobs.where(F.col("size") > most).select("project", F.concat(F.lit("history:"), F.left("sha", F.lit(8))).alias("file_path"), "size").distinct()
+def large_blobs(blobs: DataFrame, most: int = 5 << 20, thresholds: DataFrame | None = None) -> DataFrame:
+    return _over(blobs.select("project", "sha", "size"), most, thresholds).select("project", F.concat(F.lit("history:"), F.left("sha", F.lit(8))).alias("file_path"), "size").distinct()
 
 
 def existing(files: DataFrame) -> DataFrame:

@@ -38,6 +38,13 @@ def _asked(options: DataFrame | None, gate: str, name: str) -> DataFrame | None:
     return options.where((F.col("gate_id") == gate) & on).select("project").distinct()
 
 
+def _thresholds(x: Inputs, gate: str) -> DataFrame | None:
+    """(project, threshold_mb) of the projects that have options for the gate."""
+    if x["options"] is None:
+        return None
+    return x["options"].where(F.col("gate_id") == gate).select("project", F.try_variant_get("value", "$.threshold_mb", "long").alias("threshold_mb"))
+
+
 def _missing(gate: str) -> Callable[[Inputs], DataFrame]:
     return lambda x: _rows(G.missing_files(x["projects"], x["files"]).where(F.col("gate_id") == gate), F.lit(""))
 
@@ -67,8 +74,8 @@ def _protection(x: Inputs) -> DataFrame | None:
     return None if asked is None else _rows(Y.branch_protection_missing(asked, x["files"]), F.lit(".github/settings.yml"))
 
 
-def _of_history(find: Callable[[DataFrame], DataFrame]) -> Callable[[Inputs], DataFrame | None]:
-    return lambda x: None if x["blobs"] is None else find(x["blobs"])
+def _of_history(find: Callable[[DataFrame, Inputs], DataFrame]) -> Callable[[Inputs], DataFrame | None]:
+    return lambda x: None if x["blobs"] is None else find(x["blobs"], x)
 
 
 #: Gate -> its findings (project, file_path, severity, rule); null severity is the gate's own. None if its input is absent.
@@ -77,7 +84,7 @@ REGISTRY: dict[str, Callable[[Inputs], DataFrame | None]] = {g: _missing(g) for
     "nvmrc_missing": lambda x: _rows(G.nvmrc_missing(x["files"]), F.lit("package.json")),
     "tests_present": lambda x: _rows(G.tests_missing(x["projects"], x["files"]), F.lit(""), F.col("severity")),
     "gitignore_coverage": lambda x: _rows(G.gitignore_coverage(x["files"]), F.concat(F.lit(".gitignore:"), "pattern")),
-    "large_file_tracked": lambda x: _rows(G.large_files(x["files"]), F.col("path")),
+    "large_file_tracked": lambda x: _rows(G.large_files(x["files"], thresholds=_thresholds(x, "large_file_tracked")), F.col("path")),
     "unexpected_executable_bit": lambda x: _rows(G.executable_bits(x["files"]), F.col("path")),
     "vendored_dir_tracked": lambda x: _rows(G.vendored_dirs(x["files"]), F.col("key")),
     "ide_artifact_tracked": lambda x: _rows(G.ide_artifacts(x["files"]), F.col("path")),
@@ -90,8 +97,8 @@ REGISTRY: dict[str, Callable[[Inputs], DataFrame | None]] = {g: _missing(g) for
     "env_example_uncommented": lambda x: _rows(N.env_example_uncommented(x["files"]), _place("path", "line_no", "key")),
     "config_parse_error": lambda x: _rows(config_parse_errors(x["files"]), F.col("path")),
     "secrets_scan": lambda x: _rows(N.secrets_scan(x["files"]), _place("path", "line_no", "pattern"), None, F.col("pattern")),
-    "secrets_scan_history": _of_history(lambda b: _rows(N.secrets_history(b), F.col("file_path"), F.col("severity"))),
-    "large_blob_in_history": _of_history(lambda b: _rows(G.large_blobs(b), F.col("file_path"))),
+    "secrets_scan_history": _of_history(lambda b, x: _rows(N.secrets_history(b), F.col("file_path"), F.col("severity"))),
+    "large_blob_in_history": _of_history(lambda b, x: _rows(G.large_blobs(b, thresholds=_thresholds(x, "large_blob_in_history")), F.col("file_path"))),
     "dockerfile_lint": _with_overrides("dockerfile_lint", lambda f: M.dockerfile_lint(_of_kind(f, "dockerfile"))),
     "compose_lint": _with_overrides("compose_lint", Y.compose_lint, Y.compose_overridden),
     "html_lint": _with_overrides("html_lint", lambda f: M.html_lint(_of_kind(f, "html"))),
@@ -120,7 +127,7 @@ def run_gates(files: DataFrame, projects: DataFrame, now: int, gates: Iterable[s
     """Findings (id, project, gate_id, file_path, severity, title, tags, status, created_at, updated_at), one row a key.
 
     gates: the ids to run, all by default; an unknown one raises. configs (see load_configs)
-    switch gates and rules off, set severities and options; options of the wrong form leave a
+    switch gates and rules off, exclude paths, set severities, thresholds and options; options of the wrong form leave a
     gate on its defaults. Gates of the history need blobs, opt-in gates need options.
     """
     wanted = list(REGISTRY) if gates is None else list(gates)
@@ -140,7 +147,8 @@ def run_gates(files: DataFrame, projects: DataFrame, now: int, gates: Iterable[s
         found = [spark.createDataFrame([], "project string, file_path string, severity string, rule string, gate_id string")]
     out = reduce(DataFrame.unionByName, found)
     if configs is not None:
-        out = C.apply_configs(C.switch_rules(out.withColumn("rule", F.coalesce("rule", F.lit(""))), options), configs)
+        out = C.apply_excludes(C.switch_rules(out.withColumn("rule", F.coalesce("rule", F.lit(""))), options), options, EXCLUDING)
+        out = C.apply_configs(out, configs)
     info = F.broadcast(catalogue(spark).selectExpr("gate_id", "title", "severity AS g_severity", "tags"))  # a row for each gate
     out = out.join(info, "gate_id").withColumn("severity", F.coalesce("severity", "g_severity"))
     stamp = F.lit(now).cast("long")
@@ -151,12 +159,14 @@ def run_gates(files: DataFrame, projects: DataFrame, now: int, gates: Iterable[s
 
 
 _RULED = {"disabled_rules": "strings", "exclude_paths": "strings"}
+#: Gates that leave out the paths that a project excludes.
+EXCLUDING = ["html_lint", "css_lint", "dead_placeholders", "connection_strings", "network_scan", "secrets_scan", "dockerfile_lint", "compose_lint", "markdown_lint"]
 
 
 def options_of_gates(spark: SparkSession) -> DataFrame:
     """(gate_id, options) as validate_gate_options takes them: kinds of the options that a gate has."""
     hinted = _RULED | {"suggest_when_missing": "bool"}
-    kinds = {g: _RULED for g in ("html_lint", "css_lint", "dead_placeholders", "connection_strings", "network_scan", "secrets_scan")}
+    kinds = dict.fromkeys(EXCLUDING, _RULED)
     kinds |= {"dockerfile_lint": hinted, "compose_lint": hinted, "markdown_lint": _RULED | {"enabled_rules": "strings"}, "branch_protection_declared": {"enabled": "bool"}}
     kinds |= {"large_blob_in_history": {"threshold_mb": "int"}, "large_file_tracked": {"threshold_mb": "int"}}
     return spark.createDataFrame([(g, kinds.get(g)) for g in REGISTRY], "gate_id string, options map<string,string>")

@@ -101,3 +101,22 @@ def test_shell_words_and_one_line(spark):
     got = spark.createDataFrame([(a,) for a, _ in rows], "s string").select("s", X.shell_quoted(F.col("s")).alias("q")).collect()
     assert [(r.s, r.q) for r in got] == rows
     assert spark.range(1).select(X.one_line(F.lit(" a\n\t b ")).alias("x")).first().x == "a b"
+
+
+def test_run_with_excludes_and_thresholds(spark):
+    texts = {"src/a.py": "# TODO: x\n", "gen/b.py": "# TODO: x\n", "gen/c/d.py": "# TODO: x\n", "k/Dockerfile": "FROM node:latest\nUSER x\n", "big.dat": ""}
+    f = spark.createDataFrame([(p, x, t, True, "100644", (3 << 20) if x == "big.dat" else 9) for p in "abc" for x, t in texts.items()], "project string, path string, text string, tracked boolean, mode string, size long")
+    blobs = f.select("project", F.md5("path").alias("sha"), "path", F.lit(1).alias("seq"), "size", "text")
+    bodies = {
+        "a": '{"exclude_paths": ["gen/*", "[^]", "[z-a]", "["], "gate_options": {"dockerfile_lint": {"exclude_paths": ["k/*"]}, "large_file_tracked": {"threshold_mb": 2}, "large_blob_in_history": {"threshold_mb": 3}}}',
+        "b": '{"gate_options": {"dead_placeholders": {"exclude_paths": ["*/*.p[xy]"]}, "large_file_tracked": {"threshold_mb": -1}, "large_blob_in_history": {"threshold_mb": 1}}}',
+    }
+    configs = C.load_configs(spark.createDataFrame([(p, C.CONFIG, t) for p, t in bodies.items()], "project string, path string, text string"))
+    gates = ["dead_placeholders", "dockerfile_lint", "large_file_tracked", "large_blob_in_history", "filename_quality"]
+    out = registry.run_gates(f, f.select("project").distinct(), 9, gates, blobs, configs).collect()
+    got = lambda gate: {p: sorted(r.file_path for r in out if (r.project, r.gate_id) == (p, gate)) for p in "abc"}
+    todo = [f"{p}:1:todo" for p in ("gen/b.py", "gen/c/d.py", "src/a.py")]
+    assert got("dead_placeholders") == {"a": todo[1:], "b": todo[1:2], "c": todo}
+    assert got("dockerfile_lint") == {"a": [], "b": ["k/Dockerfile:1:from_latest"], "c": ["k/Dockerfile:1:from_latest"]}
+    assert got("large_file_tracked") == {"a": ["big.dat"], "b": [], "c": []}
+    assert {p: len(x) for p, x in got("large_blob_in_history").items()} == {"a": 0, "b": 1, "c": 0}
