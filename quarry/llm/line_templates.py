@@ -4,9 +4,10 @@ A line's words with a digit in them are masked, and the line falls down a tree o
 depth: by its number of words, then by its four first words, of which one may be anything,
 so a line is in four leaves. In its leaves a line stands for the most typical line that
 shares a segment of its further words and at least 80 % of all words, place by place.
-Typical is a line whose segments many lines of its leaves share; ties go by digest. So field values, however many lines share one, and edits at different places lead
-to one template. A template that occurs in several documents is dropped from all but the
-first (smallest doc_id).
+Typical is a line whose segments many lines of its leaves share; ties go by digest. So
+field values, however many lines share one, and edits at different places lead to one
+template. A template that occurs in several documents is dropped from all but the first
+(smallest doc_id).
 
 Of two lines that differ in k words, one of k + 1 segments is equal: lines meet only the most
 typical line of a segment, so that pairs stay in proportion to lines. A line whose most

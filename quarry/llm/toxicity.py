@@ -1,10 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are a text's distinct words (A-Z lower-cased) and their first 4 and 5 characters, and in
-scripts without spaces two and three characters in a row, hashed to 2**20 slots. On a bounded sample of labelled rows the slots that tell the labels
-apart are picked by a chi-square score, those that speak for toxicity; a factorization machine over them learns a weight
-for each and, by low-rank factors, one for each pair, so that a mild word beside another
-can count more than both alone. Texts are scored where they are, in one pass.
+Terms are a text's distinct words (A-Z lower-cased) and their first 4 and 5 characters, and
+in scripts without spaces two and three characters in a row, hashed to 2**20 slots. On a
+bounded sample of labelled rows the slots that tell the labels apart are picked by a
+chi-square score, those that speak for toxicity; a factorization machine over them learns a
+weight for each and, by low-rank factors, one for each pair, so that a mild word beside
+another can count more than both alone. Texts are scored where they are, in one pass.
 """
 
 from __future__ import annotations
