@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_template, line_templates, mixing, quality, secrets, simhash, toxicity, url_rules
+from . import chat, decontaminate, html_template, line_templates, mixing, quality, secrets, simhash, suffix_dedup, toxicity, url_rules
 from .common import read
 
 
@@ -77,7 +77,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_preferences, op2_line_templates, op3_main_text, op4_url_rules, op5_decontaminate, op6_toxicity, op7_simhash, op8_mixing, op9_secrets, op10_quality)}
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    none = F.lit(0).cast("long")
+    n_bytes = F.coalesce(F.octet_length("text").cast("long"), none)
+    return out.select("doc_id", n_bytes.alias("n_bytes"), F.coalesce(removed, none).alias("n_removed"), F.when(F.col("spans").isNull(), none).otherwise(F.size("spans").cast("long")).alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_preferences, op2_line_templates, op3_main_text, op4_url_rules, op5_decontaminate, op6_toxicity, op7_simhash, op8_mixing, op9_secrets, op10_quality, op11_suffix_dedup)}
 #: op3, op6 and op7 have no SQL form; tests hold them against brute force, planted pages and held-out labels.
 SQL = {
     "op1_preferences": chat.SQL,
@@ -87,4 +95,5 @@ SQL = {
     "op8_mixing": mixing.SQL,
     "op9_secrets": secrets.SQL,
     "op10_quality": quality.SQL,
+    "op11_suffix_dedup": suffix_dedup.SQL,
 }
