@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_template, line_templates, mixing, quality, secrets, simhash, suffix_dedup, toxicity, url_rules
+from . import chat, decontaminate, html_template, line_templates, mixing, periodic, quality, secrets, simhash, subvectors, suffix_dedup, toxicity, url_rules
 from .common import read
 
 
@@ -85,7 +85,20 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", n_bytes.alias("n_bytes"), F.coalesce(removed, none).alias("n_removed"), F.when(F.col("spans").isNull(), none).otherwise(F.size("spans").cast("long")).alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_preferences, op2_line_templates, op3_main_text, op4_url_rules, op5_decontaminate, op6_toxicity, op7_simhash, op8_mixing, op9_secrets, op10_quality, op11_suffix_dedup)}
+def op12_subvectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subvectors.cluster_vectors(read(spark, sf_dir, "embeddings")).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.find_runs(periodic.with_planted(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = periodic.strongest()
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[n].cast("string") for n in ("start", "length", "period")]), F.lit("\n"))))
+    out = out.withColumn("best", best)
+    exact = F.expr("1000 * best.length div best.period")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exact.alias("exponent_milli"), _sha(lines).alias("runs_sha256"), _sha(F.col("collapsed")).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_preferences, op2_line_templates, op3_main_text, op4_url_rules, op5_decontaminate, op6_toxicity, op7_simhash, op8_mixing, op9_secrets, op10_quality, op11_suffix_dedup, op12_subvectors, op13_periodic_runs)}
 #: op3, op6 and op7 have no SQL form; tests hold them against brute force, planted pages and held-out labels.
 SQL = {
     "op1_preferences": chat.SQL,
@@ -96,4 +109,5 @@ SQL = {
     "op9_secrets": secrets.SQL,
     "op10_quality": quality.SQL,
     "op11_suffix_dedup": suffix_dedup.SQL,
+    "op12_subvectors": subvectors.SQL,
 }
