@@ -234,7 +234,7 @@ def _found(texts: list[bytes]):
     lists = [t.split() for t in texts]
     number: dict[bytes, int] = {}
     ids = np.array([number.setdefault(w, len(number)) for ws in lists for w in ws], dtype=np.int64)
-    sizes = np.array([len(ws) for ws in lists])
+    sizes = np.array([len(ws) for ws in lists], dtype=np.int64)
     of = np.repeat(np.arange(len(lists)), sizes)
     begin = np.cumsum(sizes) - sizes
     start, length, q = runs(ids, of)
@@ -282,7 +282,8 @@ def find_runs(docs: DataFrame, text: str = "text") -> DataFrame:
             if size >= TOGETHER:
                 drain()
                 held, size = [], 0
-        drain()
+        if held:
+            drain()
         kind = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "period")]))
         return pa.StructArray.from_arrays([pa.array(own[0], type=kind), pa.array(own[1], type=pa.string())], names=["runs", "collapsed"])
 
