@@ -7,10 +7,11 @@ the stretches of text around these to shards by anchor. In a shard, stretches th
 anchor and differ are suffix-sorted (`induced`): windows of a common prefix of 50 bytes are
 equal, and the smallest document among them is the one that keeps the bytes.
 
-Records travel packed, a few rows for each task and shard; texts don't move. A task sends an
-anchor that stands in many of its documents once, and the stretch of its first document only:
-its other ones lose the stretch there and then. Stretches of such anchors go window by window,
-to shards by content, so that contexts without number of one common gram are spread.
+Records travel packed, a few rows for each task and shard; texts don't move. Of the documents
+that share a whole stretch in a task all but the smallest lose it there and then (two hashes of
+64 bits tell stretches apart), and only that one is sent. An anchor of many contents goes
+window by window, to shards by content, so that contexts without number of one common gram
+are spread.
 """
 
 from __future__ import annotations
@@ -36,12 +37,14 @@ class Sizes:
     """Bounds of memory; results don't depend on them."""
 
     #: Bytes of text that a task reads before it sends its records, that are hashed at once (half), and that a shard stands for, about.
-    flush: int = 32 << 20
+    flush: int = 16 << 20
     piece: int = 1 << 20
     shard: int = 32 << 20
-    #: An anchor of so many documents of a task, or of all, is sent window by window.
+    #: An anchor of so many contents in a task, or of so many tasks' contents, is sent window by window.
     hot: int = 32
     hot_all: int = 4096
+    #: Stretches of text that a task sends at once.
+    strings: int = 200_000
     #: Entries of a shard's suffix queue, and suffixes of its sample, that are held in memory.
     held: int = 4_000_000
 
@@ -49,6 +52,7 @@ class Sizes:
 #: Bytes of marks or spans up to which these, and not the texts, are copied to all executors.
 BROADCAST = 32 << 20
 _HOT_BIT = np.uint32(1 << 31)
+_BASE = np.uint64(0xD1342543DE82EF95)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RANDOM = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)
 
@@ -78,40 +82,44 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: max(0, len(x) - (width - m))], x[width - m :]) if m < width else x
 
 
-def _stretches(pieces: list[bytes], length: int, gram: int):
-    """(piece, first window, last window, anchor's place, anchor's hash) of the windows in a row with one anchor."""
+def _stretches(pieces: list[bytes]):
+    """(piece, first window, last window, anchor's place, anchor's hash, content's hash) of the windows in a row with one anchor."""
     text = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     sizes = np.array([len(p) for p in pieces])
     begin = np.cumsum(sizes) - sizes
     of = np.repeat(np.arange(len(pieces)), sizes)
-    h = _gram_hashes(text, gram)
+    h = _gram_hashes(text, GRAM)
     low = np.uint64((1 << 24) - 1)
-    least = _sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), length - gram + 1)
+    least = _sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), LENGTH - GRAM + 1)
     at = (least & low).astype(np.int64)
-    inside = of[: len(at)] == of[length - 1 :]  # windows over the end of a piece are none
+    inside = of[: len(at)] == of[LENGTH - 1 :]  # windows over the end of a piece are none
     change = at[1:] != at[:-1]
     first = np.flatnonzero(inside & np.r_[True, change | ~inside[:-1]])
     last = np.flatnonzero(inside & np.r_[change | ~inside[1:], True])
+    # the sum of place's power times byte, moved to one place
+    n = len(text)
+    power = np.multiply.accumulate(np.full(n, _BASE, dtype=np.uint64))
+    sums = np.r_[np.uint64(0), np.cumsum(_RANDOM[text] * power, dtype=np.uint64)]
+    content = _mixed((sums[last + LENGTH] - sums[first]) * power[n - 1 - first], (last - first).astype(np.uint64))
     piece = of[first]
-    return piece, first - begin[piece], last - begin[piece], at[first] - begin[piece], h[at[first]]
+    return piece, first - begin[piece], last - begin[piece], at[first] - begin[piece], h[at[first]], content
 
 
 def _read_anchors(docs, piece: int):
     """For documents (doc, row, text, further), in batches: their list, and arrays (place in the list, number of the
-    stretch in its document, first window, last window, anchor's place, hash). Long texts are read in pieces that share
-    LENGTH - 1 bytes, so every window is in one."""
-    held, place, shift, pieces, size = [], [], [], [], 0
-    counted: list[int] = []
+    stretch in its document, first window, last window, anchor's place, its hash, the content's). Long texts are read
+    in pieces that share LENGTH - 1 bytes, so every window is in one."""
+    held, counted, place, shift, pieces, size = [], [], [], [], [], 0
 
     def drained():
-        p, first, last, at, h = _stretches(pieces, LENGTH, GRAM)
+        p, first, last, at, h, content = _stretches(pieces)
         where, by = np.array(place)[p], np.array(shift)[p]
-        starts = np.r_[True, where[1:] != where[:-1]] if len(where) else np.zeros(0, dtype=bool)
-        begin = np.flatnonzero(starts)
-        number = np.arange(len(where)) - np.repeat(begin, np.diff(np.r_[begin, len(where)])) + np.array(counted, dtype=np.int64)[where]
-        for w, n in zip(where[begin].tolist(), np.diff(np.r_[begin, len(where)]).tolist()):
-            counted[w] += n
-        return list(held), where, number, first + by, last + by, at + by, h
+        begin = np.flatnonzero(np.r_[True, where[1:] != where[:-1]][: len(where)])
+        n = np.diff(np.r_[begin, len(where)])
+        number = np.arange(len(where)) - np.repeat(begin, n) + np.array(counted, dtype=np.int64)[where]
+        for w, k in zip(where[begin].tolist(), n.tolist()):
+            counted[w] += k
+        return list(held), where, number, first + by, last + by, at + by, h, content
 
     for doc, row, text, more in docs:
         held.append((doc, row, text, more))
@@ -143,9 +151,9 @@ def _packed(x, kind) -> bytes:
     return np.ascontiguousarray(x, dtype=kind).tobytes()
 
 
-_ANCHORS = "shard int, docs binary, keys binary, at binary, number binary, known_at binary, known binary"
-_MARKS = "doc long, row long, marks binary"
-_TEXTS = "shard int, docs binary, texts binary, sizes binary, anchor binary, of binary, at binary, place binary, known_at binary, known binary"
+_ANCHORS = "shard int, docs binary, keys binary, at binary, number binary, known_at binary, known binary, solved_at binary, solved binary"
+_MARKS = "doc long, row long, marks binary, spans binary"
+_TEXTS = "shard int, docs binary, texts binary, sizes binary, anchor binary, at binary, place binary"
 _SPANS = "doc long, row long, spans binary"
 
 
@@ -157,41 +165,46 @@ def _sent(schema: str, rows: list[dict]):
     return pa.record_batch([pa.array([r[n] for r in rows], type=kinds[k]) for n, k in fields], names=[n for n, _ in fields])
 
 
-def _shares(shard: np.ndarray, sent: np.ndarray, own_shard: np.ndarray, known: np.ndarray):
-    """(shard, its ones of sent, its ones of known) for all shards that get some."""
-    sent, known = sent[np.argsort(shard[sent], kind="stable")], known[np.argsort(own_shard[known], kind="stable")]
-    of, known_of = shard[sent], own_shard[known]
-    for s in np.union1d(of, known_of).tolist():
-        a, b = np.searchsorted(of, (s, s + 1))
-        c, d = np.searchsorted(known_of, (s, s + 1))
-        yield s, sent[a:b], known[c:d]
+def _shares(*kinds: tuple[np.ndarray, np.ndarray]):
+    """(shard, the ones of each kind that go there) for all shards that get some; a kind: (ones, their shards)."""
+    kinds = [(x[by], of[by]) for x, of in kinds for by in (np.argsort(of, kind="stable"),)]
+    for s in np.unique(np.concatenate([of for _, of in kinds])).tolist():
+        yield s, *(x[slice(*np.searchsorted(of, (s, s + 1)))] for x, of in kinds)
 
 
 def _anchor_sender(shards: int, sizes: Sizes):
+    """Sends, for each anchor and content, the places in the smallest document of the task; the others lose the stretch at once."""
+
     def flushed(own: list, parts: list):
-        ids = np.array([(d, r) for d, r in own], dtype=np.int64).reshape(-1, 2)
-        at, number, key = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((number, at, key))
-        at, number, key = at[order], number[order].astype(np.uint32), key[order]
-        new = np.r_[True, key[1:] != key[:-1]]
-        group = np.cumsum(new) - 1
-        doc_new = new | np.r_[True, ids[at[1:], 0] != ids[at[:-1], 0]]
-        hot = np.bincount(group, weights=doc_new)[group] >= sizes.hot
-        send = ~hot | new  # a hot anchor's documents know of it here
-        number = np.where(hot, number | _HOT_BIT, number)
-        shard = (key % np.uint64(shards)).astype(np.int64)
-        own_shard = at % shards
-        rows = []
-        for s, x, y in _shares(shard, np.flatnonzero(send), own_shard, np.flatnonzero(hot)):
+        ids = np.array(own, dtype=np.int64).reshape(-1, 2)
+        at, number, first, end, key, content = (np.concatenate(x) for x in zip(*parts))
+        doc = ids[at, 0]
+        order = np.lexsort((number, doc, content, key))
+        at, number, first, end, key, content, doc = (x[order] for x in (at, number, first, end, key, content, doc))
+        new_key = np.r_[True, key[1:] != key[:-1]]
+        new = new_key | np.r_[True, content[1:] != content[:-1]]
+        lowest = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        lead, group = doc == lowest, np.cumsum(new_key) - 1
+        hot = np.bincount(group, weights=new)[group] >= sizes.hot
+        number = np.where(hot, number | int(_HOT_BIT), number).astype(np.uint32)
+        # spans that are known now, joined where they touch
+        solved = np.flatnonzero(~lead)
+        solved = solved[np.lexsort((first[solved], at[solved]))]
+        starts = np.flatnonzero(np.r_[True, (at[solved][1:] != at[solved][:-1]) | (first[solved][1:] > end[solved][:-1])][: len(solved)])
+        span_at, spans = at[solved[starts]], np.stack([first[solved[starts]], end[solved[np.r_[starts[1:], len(solved)] - 1]] if len(starts) else starts], axis=1).astype(np.uint32)
+        # an anchor of many contents is made known here, and sent once
+        send, known, rows = np.flatnonzero(lead & (~hot | new_key)), np.flatnonzero(lead & hot), []
+        for s, x, y, z in _shares((send, (key[send] % np.uint64(shards)).astype(np.int64)), (known, at[known] % shards), (np.arange(len(span_at)), span_at % shards)):
             x = x[np.argsort(at[x], kind="stable")]
-            used, place = np.unique(np.r_[at[x], at[y]], return_inverse=True)
-            rows.append({"shard": s, "docs": _packed(ids[used], np.int64), "keys": _packed(key[x], np.uint64), "at": _packed(place[: len(x)], np.uint32), "number": _packed(number[x], np.uint32), "known_at": _packed(place[len(x) :], np.uint32), "known": _packed(number[y], np.uint32)})
+            used, place = np.unique(np.r_[at[x], at[y], span_at[z]], return_inverse=True)
+            a, b, c = np.split(place, (len(x), len(x) + len(y)))
+            rows.append({"shard": s, "docs": _packed(ids[used], np.int64), "keys": _packed(key[x], np.uint64), "at": _packed(a, np.uint32), "number": _packed(number[x], np.uint32), "known_at": _packed(b, np.uint32), "known": _packed(number[y], np.uint32), "solved_at": _packed(c, np.uint32), "solved": _packed(spans[z], np.uint32)})
         return _sent(_ANCHORS, rows)
 
     def send(batches):
         own, parts, size = [], [], 0
-        for held, where, number, first, last, at, h in _read_anchors(_rows_of(batches), sizes.piece):
-            parts.append((where + len(own), number, h))
+        for held, where, number, first, last, _, h, content in _read_anchors(_rows_of(batches), sizes.piece):
+            parts.append((where + len(own), number, first, last + LENGTH, h, content))
             own += [(d, r) for d, r, _, _ in held]
             size += 2 * sizes.piece
             if size >= sizes.flush:
@@ -208,7 +221,7 @@ def _by_document(docs: np.ndarray, of: np.ndarray, values: np.ndarray, name: str
     order = np.argsort(of, kind="stable")
     of, values = of[order], values[order]
     cuts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)] if len(of) else [0]
-    return [{"doc": int(docs[of[a], 0]), "row": int(docs[of[a], 1]), name: _packed(values[a:b], np.uint32)} for a, b in zip(cuts[:-1], cuts[1:])]
+    return [{"doc": int(docs[of[a], 0]), "row": int(docs[of[a], 1]), "marks": None, "spans": None, name: _packed(values[a:b], np.uint32)} for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _unpacked(table, name: str, kind, docs_before=None) -> np.ndarray:
@@ -225,7 +238,7 @@ def _docs_of(table):
 
 
 def _mark_shared(table, hot_all: int):
-    """The anchors that several documents have, by document."""
+    """The anchors that several documents have, and spans that are known, by document."""
     import pyarrow as pa
 
     docs, before = _docs_of(table)
@@ -242,61 +255,43 @@ def _mark_shared(table, hot_all: int):
         number = np.where(hot, number | _HOT_BIT, number)
         rows = _by_document(docs, at[shared], number[shared], "marks")
     rows += _by_document(docs, _unpacked(table, "known_at", np.uint32, before), _unpacked(table, "known", np.uint32), "marks")
+    rows += _by_document(docs, _unpacked(table, "solved_at", np.uint32, before), _unpacked(table, "solved", np.uint32).reshape(-1, 2), "spans")
     return pa.Table.from_batches([_sent(_MARKS, rows)])
 
 
 def _text_sender(shards: int, sizes: Sizes):
-    """Sends the stretches at marked anchors: each text once, with the places of its smallest document here."""
+    """Sends the stretches at marked anchors, or each window of them."""
 
-    def flushed(ids: list, seen: dict):
+    def flushed(ids: list, found: list):
         ids, rows = np.array(ids, dtype=np.int64).reshape(-1, 2), []
-        texts, shard_of, known_at, known = [], [], [], []
-        for text, (anchor, shard, low, places) in seen.items():
-            texts.append((text, anchor, [p for p in places if ids[p[0], 0] == low]))
-            shard_of.append(shard)
-            for d, a in places:
-                if ids[d, 0] != low:
-                    known_at.append(d)
-                    known.append((a, a + len(text)))
-        known_at, known = np.array(known_at, dtype=np.int64), np.array(known, dtype=np.uint32).reshape(-1, 2)
-        for s, x, mine in _shares(np.array(shard_of), np.arange(len(texts)), known_at % shards, np.arange(len(known_at))):
-            own = [texts[i] for i in x.tolist()]
-            of, at, place = np.array([(k, d, a) for k, (_, _, ps) in enumerate(own) for d, a in ps], dtype=np.int64).reshape(-1, 3).T
-            used, where = np.unique(np.r_[at, known_at[mine]], return_inverse=True)
-            rows.append({"shard": s, "docs": _packed(ids[used], np.int64), "texts": b"".join(t for t, _, _ in own), "sizes": _packed([len(t) for t, _, _ in own], np.uint32), "anchor": _packed([a for _, a, _ in own], np.uint32), "of": _packed(of, np.uint32), "at": _packed(where[: len(at)], np.uint32), "place": _packed(place, np.uint32), "known_at": _packed(where[len(at) :], np.uint32), "known": _packed(known[mine], np.uint32)})
+        shard = np.array([f[0] for f in found], dtype=np.int64)
+        for s, x in _shares((np.arange(len(found)), shard)):
+            own = [found[i] for i in x.tolist()]
+            used, at = np.unique(np.array([f[3] for f in own]), return_inverse=True)
+            rows.append({"shard": s, "docs": _packed(ids[used], np.int64), "texts": b"".join(f[1] for f in own), "sizes": _packed([len(f[1]) for f in own], np.uint32), "anchor": _packed([f[2] for f in own], np.uint32), "at": _packed(at, np.uint32), "place": _packed([f[4] for f in own], np.uint32)})
         return _sent(_TEXTS, rows)
 
     def send(batches):
-        ids, seen, size = [], {}, 0
-
-        def add(text, anchor, shard, doc, place):
-            entry = seen.setdefault(text, [anchor, shard, ids[doc][0], []])
-            entry[2] = min(entry[2], ids[doc][0])
-            entry[3].append((doc, place))
-
-        for held, where, number, first, last, at, h in _read_anchors(_rows_of(batches), sizes.piece):
-            base = len(ids)
-            ids += [(d, r) for d, r, _, _ in held]
-            marks = [np.sort(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in m])) for _, _, _, m in held]
+        ids, found = [], []
+        for held, where, number, first, last, at, h, _ in _read_anchors(_rows_of(batches), sizes.piece):
             begin = np.searchsorted(where, np.arange(len(held) + 1))
-            for k, (_, _, text, _) in enumerate(held):
+            for k, (doc, row, text, own) in enumerate(held):
                 a, b = begin[k], begin[k + 1]
-                plain, hot = marks[k][marks[k] < _HOT_BIT], marks[k][marks[k] >= _HOT_BIT] ^ _HOT_BIT
-                for own, is_hot in ((plain, False), (hot, True)):
-                    i = np.flatnonzero(np.isin(number[a:b], own)) + a
-                    for f, g, x, shard in zip(first[i].tolist(), last[i].tolist(), at[i].tolist(), (h[i] % np.uint64(shards)).tolist()):
+                marks = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in own])
+                hot = marks >= _HOT_BIT
+                for numbers, is_hot in ((marks[~hot], False), (marks[hot] ^ _HOT_BIT, True)):
+                    i = np.flatnonzero(np.isin(number[a:b], numbers)) + a if len(numbers) else []
+                    for f, g, x, shard in zip(first[i].tolist(), last[i].tolist(), at[i].tolist(), (h[i] % np.uint64(shards)).tolist()) if len(i) else ():
                         if is_hot:
-                            for p in range(f, g + 1):
-                                window = text[p : p + LENGTH]
-                                add(window, LENGTH, zlib.crc32(window) % shards, base + k, p)
+                            found += [(zlib.crc32(w) % shards, w, LENGTH, len(ids), p) for p in range(f, g + 1) for w in (text[p : p + LENGTH],)]
                         else:
-                            add(text[f : g + LENGTH], x - f, shard, base + k, f)
-            size += 2 * sizes.piece
-            if size >= sizes.flush:
-                yield flushed(ids, seen)
-                ids, seen, size = [], {}, 0
-        if seen:
-            yield flushed(ids, seen)
+                            found.append((shard, text[f : g + LENGTH], x - f, len(ids), f))
+                ids.append((doc, row))
+                if len(found) >= sizes.strings:
+                    yield flushed(ids, found)
+                    ids, found = [], []
+        if found:
+            yield flushed(ids, found)
 
     return send
 
@@ -352,14 +347,14 @@ def _settle_shard(table, held: int):
     at, place = _unpacked(table, "at", np.uint32, before), _unpacked(table, "place", np.uint32).astype(np.int64)
     number: dict[bytes, int] = {}
     anchor, of = [], []
-    for joined, sizes, anchors, own in zip(*(table.column(c).to_pylist() for c in ("texts", "sizes", "anchor", "of"))):
+    for joined, sizes, anchors in zip(*(table.column(c).to_pylist() for c in ("texts", "sizes", "anchor"))):
         ends = np.cumsum(np.frombuffer(sizes, dtype=np.uint32)).tolist()
         mine = np.empty(len(ends), dtype=np.int64)
         for i, (a, b, x) in enumerate(zip([0, *ends], ends, np.frombuffer(anchors, dtype=np.uint32).tolist())):
             mine[i] = number.setdefault(joined[a:b], len(number))
             if mine[i] == len(anchor):
                 anchor.append(x)
-        of.append(mine[np.frombuffer(own, dtype=np.uint32)])
+        of.append(mine)
     of, texts, rows = np.concatenate(of), list(number), []
     if texts:
         low = np.full(len(texts), np.iinfo(np.int64).max)
@@ -386,15 +381,13 @@ def _settle_shard(table, held: int):
         owner = np.repeat(np.arange(len(of)), n)[starts]
         spans = np.stack([place[owner] + inside[starts], place[owner] + inside[ends] + LENGTH], axis=1).astype(np.uint32)
         rows = _by_document(docs, at[owner], spans, "spans")
-    rows += _by_document(docs, _unpacked(table, "known_at", np.uint32, before), _unpacked(table, "known", np.uint32).reshape(-1, 2), "spans")
     return pa.Table.from_batches([_sent(_SPANS, rows)])
 
 
-def _gathered(rows: DataFrame, name: str) -> tuple[DataFrame, bool]:
-    """A row for each document with all its packed values, and whether these are few enough to copy to all executors."""
-    out = checkpointed(rows.groupBy("doc", "row").agg(F.collect_list(name).alias(name)))
-    size = out.agg(F.sum(F.aggregate(name, F.lit(32).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0]
-    return out, (size or 0) <= BROADCAST
+def _few(packed: DataFrame, name: str) -> bool:
+    """Whether arrays of packed values are few enough to copy to all executors."""
+    size = packed.agg(F.sum(F.aggregate(name, F.lit(32).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0]
+    return (size or 0) <= BROADCAST
 
 
 def _cut(texts, spans):
@@ -445,16 +438,18 @@ def remove_repeats(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     slim = keyed.select(F.col("_doc").alias("doc"), F.col("_row").alias("row"), "text")
     size = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // sizes.shard))
+    hint = lambda df, name: F.broadcast(df) if _few(df, name) else df
     anchors = slim.mapInArrow(_anchor_sender(shards, sizes), _ANCHORS)
-    marks, few = _gathered(anchors.groupBy("shard").applyInArrow(lambda t: _mark_shared(t, sizes.hot_all), _MARKS), "marks")
-    hint = F.broadcast if few else (lambda x: x)
-    marked = slim.join(hint(marks), ["doc", "row"]).select("doc", "row", "text", "marks")
-    sent = marked.mapInArrow(_text_sender(shards, sizes), _TEXTS)
-    spans, few = _gathered(sent.groupBy("shard").applyInArrow(lambda t: _settle_shard(t, sizes.held), _SPANS), "spans")
-    hint = F.broadcast if few else (lambda x: x)
+    shared = anchors.groupBy("shard").applyInArrow(lambda t: _mark_shared(t, sizes.hot_all), _MARKS)
+    shared = checkpointed(shared.groupBy("doc", "row").agg(F.collect_list("marks").alias("marks"), F.collect_list("spans").alias("spans")))
+    marks = shared.where(F.size("marks") > 0).select("doc", "row", "marks")
+    sent = slim.join(hint(marks, "marks"), ["doc", "row"]).select("doc", "row", "text", "marks").mapInArrow(_text_sender(shards, sizes), _TEXTS)
+    found = sent.groupBy("shard").applyInArrow(lambda t: _settle_shard(t, sizes.held), _SPANS)
+    known = shared.select("doc", "row", F.explode("spans").alias("spans"))
+    spans = hint(checkpointed(found.union(known).groupBy("doc", "row").agg(F.collect_list("spans").alias("spans"))), "spans")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     cut = F.arrow_udf(_cut, T.StructType([T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())]))
-    out = keyed.join(hint(spans.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("spans").alias("_spans"))), ["_doc", "_row"], "left")
+    out = keyed.join(spans.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("spans").alias("_spans")), ["_doc", "_row"], "left")
     out = out.withColumn("_cut", cut(F.when(F.col("_spans").isNotNull(), F.col("text")), F.col("_spans")))
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return out.select(*names, F.col("_cut.spans").alias("spans"), F.coalesce(F.col("_cut.kept"), whole).alias("kept"))
