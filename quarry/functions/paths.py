@@ -176,7 +176,7 @@ def file_kind(path="path") -> Column:
     b, e = base(path), ext(path)
     return (
         F.when(e.isin(".html", ".htm"), "html")
-        .when((e == ".css") & ~F.lower(b).endswith(".min.css"), "css")
+        .when(e.isin(R.STYLESHEET_EXTENSIONS) & ~F.lower(b).endswith(".min.css"), "css")
         .when(e.isin(".md", ".markdown"), "markdown")
         .when((b == "Dockerfile") | b.startswith("Dockerfile."), "dockerfile")
         .when(b.isin(R.COMPOSE_NAMES), "compose")
@@ -184,18 +184,36 @@ def file_kind(path="path") -> Column:
     )
 
 
-def should_skip(globs=(), fixtures: Column | None = None, path="path") -> Column:
-    """fixtures: a nullable boolean option; null means true."""
-    on = F.coalesce(fixtures, F.lit(True)) if fixtures is not None else F.lit(True)
-    return path_excluded(list(globs), path) | (on & is_fixture_path(path))
+#: Options of path filters: all filters are on unless switched off.
+SWITCHES = (
+    "skip_default_fixture_paths", "skip_default_data_files", "skip_default_backup_paths", "skip_default_generated_files", "skip_default_data_dirs", "skip_default_dependency_paths",
+    "skip_default_generated_dirs",
+)
 
 
-def should_skip_secrets(globs=(), path="path") -> Column:
-    return should_skip(globs, None, path) | is_data_file(path) | is_backup_path(path) | is_generated_file(path)
+def _on(scan: Column | None, switch: str) -> Column:
+    return F.lit(True) if scan is None else F.coalesce(scan[switch], F.lit(True))
 
 
-def should_skip_content(globs=(), path="path") -> Column:
-    return should_skip_secrets(globs, path) | is_noisy_data_file(path) | is_minified(path) | is_dependency_path(path) | is_generated_dir_path(path) | is_binary_path(path)
+def should_skip(globs=(), fixtures: Column | None = None, path="path", scan: Column | None = None) -> Column:
+    """fixtures: a nullable boolean option; null means true. scan: a project's options as a struct with `excluded`, an
+    array of regexes, and the SWITCHES; null, or null in a field, means the default."""
+    on = F.coalesce(fixtures, F.lit(True)) if fixtures is not None else _on(scan, "skip_default_fixture_paths")
+    out = path_excluded(list(globs), path) | (on & is_fixture_path(path))
+    return out if scan is None else out | F.exists(F.coalesce(scan["excluded"], F.array().cast("array<string>")), lambda r: F.rlike(_path(path), r))
+
+
+def should_skip_secrets(globs=(), path="path", scan: Column | None = None) -> Column:
+    more = (("skip_default_data_files", is_data_file), ("skip_default_backup_paths", is_backup_path), ("skip_default_generated_files", is_generated_file))
+    return reduce(lambda a, m: a | (_on(scan, m[0]) & m[1](path)), more, should_skip(globs, None, path, scan))
+
+
+def should_skip_content(globs=(), path="path", scan: Column | None = None) -> Column:
+    more = (
+        ("skip_default_data_dirs", is_noisy_data_file), ("skip_default_generated_files", is_minified), ("skip_default_dependency_paths", is_dependency_path),
+        ("skip_default_generated_dirs", is_generated_dir_path),
+    )
+    return reduce(lambda a, m: a | (_on(scan, m[0]) & m[1](path)), more, should_skip_secrets(globs, path, scan)) | is_binary_path(path)
 
 
 PREDICATES = {

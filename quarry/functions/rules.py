@@ -48,6 +48,7 @@ SPEC_HOSTS = (
 DEFAULT_CREDENTIALS = "postgres root admin guest example password changeme test user username mysql redis mongo mongodb rabbitmq secret".split()
 PLACEHOLDER_PREFIXES = "your my change replace insert enter add todo".split()
 PLACEHOLDER_NOUNS = "me this it here pass password passwd pwd secret token key apikey value name user username db dbpass dbpassword credentials".split()
+STYLESHEET_EXTENSIONS = ".css .scss .sass .less .styl".split()
 COMPOSE_NAMES = "docker-compose.yml docker-compose.yaml docker-compose.override.yml docker-compose.override.yaml compose.yml compose.yaml compose.override.yml compose.override.yaml".split()
 MONOREPO_MARKERS = "pnpm-workspace.yaml pnpm-workspace.yml lerna.json nx.json turbo.json".split()
 
@@ -78,6 +79,8 @@ PLACEHOLDER_PATTERNS = [
     ("lorem_ipsum", "(?i)" + B + "Lorem" + WS + "+ipsum" + E),
 ]
 MARKUP_ATTRIBUTE = "(?i)" + B + r"(?:xmlns(?::[a-z0-9_.-]+)?|schemaLocation|xsi:schemaLocation|systemId|namespace)" + WS + "*=" + WS + r"""*["']\z"""
+#: What a line holds that has either of these two.
+MARKUP_LINE = "(?i)xmlns|schemaLocation|systemId|namespace|<!"
 DOCTYPE = "(?i)<!(?:DOCTYPE|ENTITY)" + E + r"[^>]*\z"
 
 #: (gate, title, severity, tags)

@@ -2,25 +2,135 @@
 
 from __future__ import annotations
 
+import ipaddress
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules as R
 
 
+#: Items that a fold takes together: outputs are copied once for each such lot, not once for each item.
+_LOT = 256
+
+
+def scan(items: Column, start: Column, none: Column, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """All outputs of a fold over an array, in order. step(state, item): the next state, and an array of outputs; none: an empty one.
+
+    Time grows with the number of items times its square root, at most.
+    """
+
+    def one(acc, x):
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def lot(acc, xs):
+        own = F.aggregate(xs, F.struct(acc["state"].alias("state"), none.alias("out")), one)
+        # the array of one array: what it holds is computed once, not at each use
+        return F.transform(F.array(own), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], r["out"]).alias("out")))[0]
+
+    def folded(xs):
+        starts = F.filter(F.sequence(F.lit(0), F.size(xs), F.lit(_LOT)), lambda i: i < F.size(xs))
+        return F.aggregate(F.transform(starts, lambda i: F.slice(xs, i + 1, F.lit(_LOT))), F.struct(start.alias("state"), none.alias("out")), lot, lambda acc: acc["out"])
+
+    return F.transform(F.array(items), folded)[0]
+
+
 def find_all(line: Column, pattern: str) -> Column:
     """All non-overlapping matches as array<struct<start, end, text>>; offsets are code points."""
     matches = F.regexp_extract_all(line, F.lit(pattern), F.lit(0))
-    sizes = F.zip_with(F.split(line, pattern, -1), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("text")))
-    empty = F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("").alias("text"))), lambda x: F.lit(False))
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    sizes = F.zip_with(F.slice(F.split(line, pattern, -1), 1, F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("text")))
+
+    def step(at, x):
+        begin = at + x["gap"]
+        return begin + x["size"], F.array(F.struct(begin.alias("start"), (begin + x["size"]).alias("end"), x["text"].alias("text")))
+
+    none = F.array().cast("array<struct<start:int,end:int,text:string>>")
+    return F.when(line.rlike(pattern), scan(sizes, F.lit(0), none, step)).otherwise(none)
+
+
+def claimed(spans: Column) -> Column:
+    """Of spans (rank, start, end, text) those that overlap none of a lower rank, or of the same rank before them, that is itself kept.
+
+    Spans are swept by start; only those whose overlaps hang together are held against each other.
+    """
+    kind = "struct<start:int,end:int,rank:int,text:string>"
+    none = F.array().cast(f"array<{kind}>")
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["text"].alias("text"))))
+    last = F.struct(F.lit((1 << 31) - 1).alias("start"), F.lit((1 << 31) - 1).alias("end"), F.lit(0).alias("rank"), F.lit("").alias("text"))
+
+    def step(state, x):
+        apart = x["start"] >= state["reach"]
+        own = F.array(x)
+        held = F.when(apart, own).otherwise(F.concat(state["held"], own))
+        reach = F.when(apart, x["end"]).otherwise(F.greatest(state["reach"], x["end"]))
+        full = F.when(apart & (F.size(state["held"]) > 0), F.array(state["held"])).otherwise(F.array().cast(f"array<array<{kind}>>"))
+        return F.struct(reach.alias("reach"), held.alias("held")), full
+
+    groups = scan(F.concat(by_start, F.array(last)), F.struct(F.lit(0).alias("reach"), none.alias("held")), F.array().cast(f"array<array<{kind}>>"), step)
+    ranked = lambda g: F.array_sort(F.transform(g, lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))))
+    none = F.array().cast("array<struct<rank:int,start:int,end:int,text:string>>")
+    clear = lambda kept, c: ~F.exists(kept, lambda k: (c["start"] < k["end"]) & (k["start"] < c["end"]))
+    chosen = lambda g: F.aggregate(ranked(g), none, lambda kept, c: F.when(clear(kept, c), F.concat(kept, F.array(c))).otherwise(kept))
+    return F.when(F.size(spans) > 0, F.flatten(F.transform(groups, chosen))).otherwise(none)
+
+
+def _half(groups: Column) -> Column:
+    """Four groups of hexadecimal digits as a number."""
+    return F.aggregate(groups, F.lit(0).cast("long"), lambda n, g: F.shiftleft(n, 16).bitwiseOR(F.conv(g, 16, 10).cast("long")))
+
+
+def ipv6(text: Column) -> Column:
+    """(high, low) of an IPv6 address, its 128 bits as two longs; null if it is none. A zone behind % is passed over; the last
+    two groups may be a dotted quad."""
+    own = F.regexp_replace(text, r"%[0-9A-Za-z._~-]+\z", "")
+    quad = F.regexp_extract(own, r"(?:^|:)([0-9]+(?:\.[0-9]+){3})\z", 1)
+    n = ipv4(quad)
+    hexed = F.concat_ws(":", F.lower(F.hex(F.shiftright(n, 16))), F.lower(F.hex(n.bitwiseAND(0xFFFF))))
+    plain = F.when(quad == "", own).when(n.isNotNull(), F.concat(F.left(own, F.length(own) - F.length(quad)), hexed))
+    shape = plain.rlike(r"^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?(?:::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)?\z")
+    groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
+    front, back = groups(F.substring_index(plain, "::", 1)), F.when(plain.contains("::"), groups(F.substring_index(plain, "::", -1))).otherwise(F.array().cast("array<string>"))
+    gap = 8 - F.size(front) - F.size(back)
+    whole = F.when(plain.contains("::"), F.concat(front, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), back)).otherwise(front)
+    valid = shape & F.when(plain.contains("::"), gap >= 1).otherwise(gap == 0)
+    return F.when(valid, F.struct(_half(F.slice(whole, 1, 4)).alias("high"), _half(F.slice(whole, 5, 4)).alias("low")))
+
+
+def _v6_range(net: str) -> tuple[int, int, int, int]:
+    """First and last address of a network, each as two signed longs."""
+    own = ipaddress.IPv6Network(net)
+    halves = [h for a in (int(own[0]), int(own[-1])) for h in (a >> 64, a & ((1 << 64) - 1))]
+    return tuple(h - (1 << 64) if h >> 63 else h for h in halves)
+
+
+#: Category -> networks of IPv6, in the order of precedence.
+V6_NETS = (
+    ("loopback", ["::1/128"]),
+    ("unspecified", ["::/128"]),
+    ("link-local", ["fe80::/10", "ff02::/16"]),
+    ("doc-range", ["2001:db8::/32", "3fff::/20"]),
+    ("private", ["fc00::/7"]),
+    ("multicast", ["ff00::/8"]),
+)
+
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["text"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["text"].alias("text")))).alias("found"))
+def classify_ipv6(n: Column) -> Column:
+    """Category of an address (high, low); a mapped IPv4 address has the category of that. Null for null."""
+    flip = lambda c: c.bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  unsigned order
 
-    return F.when(F.size(matches) > 0, F.aggregate(F.slice(sizes, 1, F.size(matches)), begin, step, lambda acc: acc["found"])).otherwise(empty)
+    def within(net):
+        a, b, c, d = (F.lit(x).cast("long") for x in _v6_range(net))
+        high, low = flip(n["high"]), flip(n["low"])
+        return ((high > flip(a)) | ((high == flip(a)) & (low >= flip(b)))) & ((high < flip(c)) | ((high == flip(c)) & (low <= flip(d))))
+
+    mapped = (n["high"] == 0) & (F.shiftrightunsigned(n["low"], 32) == 0xFFFF)
+    out = F.when(n.isNull(), F.lit(None).cast("string")).when(mapped, classify_ipv4(n["low"].bitwiseAND(F.lit(0xFFFFFFFF))))
+    for name, nets in V6_NETS:
+        for net in nets:
+            out = out.when(within(net), name)
+    return out.otherwise("public")
 
 
 def ipv4(text: Column) -> Column:

@@ -1,10 +1,16 @@
 """Gates over lines of text files.
 
-files: (project, path, text, ...). Lines are split once; path predicates run before.
+files: (project, path, text, ...). All line gates share one pass (`line_gates`): paths are
+judged first, by each project's options where the files carry them, then a text is split
+once, and lines that one alternation of all gates' marks doesn't find go no further.
+Nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,97 +26,239 @@ def explode_lines(files: DataFrame) -> DataFrame:
     return each.where(~((F.col("pos") == F.col("n") - 1) & (F.col("line") == ""))).select("project", "path", (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def merge_conflict_markers(files: DataFrame) -> DataFrame:
-    """(project, path, line_no) of the first marker line of each file."""
-    lines = explode_lines(files.where(~P.should_skip()))
-    marked = lines.where(F.regexp_replace("line", r"\r\z", "").rlike(r"^(?:<{7}|>{7}|\|{7})(?: |\z)"))
-    return marked.groupBy("project", "path").agg(F.min("line_no").alias("line_no"))
+def lines_of(text: Column) -> Column:
+    """The lines of a text as an array, as explode_lines has them."""
+    whole = F.when(text.endswith("\n"), F.left(text, F.length(text) - 1)).otherwise(text)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(whole, "\n", -1))
 
 
-def dead_placeholders(files: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
-    """(project, path, line_no, rule, text): the first hit of each pattern on each line."""
-    scanned = files.where(~(P.should_skip_content() | P.is_changelog() | P.is_detection_rule() | P.is_placeholder_register()))
-    hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.struct(F.lit(rule).alias("rule"), F.regexp_substr("line", F.lit(p)).alias("text"))) for rule, p in R.PLACEHOLDER_PATTERNS if rule not in disabled]))
-    return explode_lines(scanned).select("project", "path", "line_no", F.explode(hits).alias("h")).select("project", "path", "line_no", "h.rule", "h.text")
+_ENTRY = "struct<gate_id:string,line_no:int,rule:string,text:string,severity:string>"
+_NONE = f"array<{_ENTRY}>"
+
 
+def _entry(gate: str, line_no: Column, rule: Column | str, text: Column | None = None, severity: Column | str | None = None) -> Column:
+    string = lambda c: (F.lit(c) if c is None or isinstance(c, str) else c).cast("string")
+    return F.struct(F.lit(gate).alias("gate_id"), line_no.cast("int").alias("line_no"), string(rule).alias("rule"), string(text).alias("text"), string(severity).alias("severity"))
 
-def list_files(lines: DataFrame, item) -> DataFrame:
-    """(project, path) of files of at least 10 lines that are no blanks or comments, 80 % of which are bare items."""
-    body = lines.withColumn("t", F.trim("line")).where((F.col("t") != "") & ~F.col("t").rlike("^(#|;|//)"))
-    counts = body.groupBy("project", "path").agg(F.count("*").alias("n"), F.count_if(item(F.col("t"))).alias("k"))
-    return counts.where("n >= 10 and k * 5 >= n * 4").select("project", "path")
 
+def is_list(lines: Column, item) -> Column:
+    """At least 10 lines that are no blanks or comments, 80 % of which are bare items."""
+    body = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda t: (t != "") & ~t.rlike("^(#|;|//)"))
+    return F.transform(F.array(body), lambda b: (F.size(b) >= 10) & (F.size(F.filter(b, item)) * 5 >= F.size(b) * 4))[0]
 
-def _bare_address(t):
+
+def bare_address(t: Column) -> Column:
+    """One IPv4 or IPv6 address or network, before a comment."""
     t = F.trim(F.regexp_replace(t, "[#;].*$", ""))
-    host = F.regexp_extract(t, r"^([0-9.]+)(?:/(?:3[0-2]|[12]?[0-9]))?\z", 1)
-    v6 = t.rlike(r"^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*(?:/[0-9]{1,3})?\z")
-    return X.ipv4(host).isNotNull() | v6
+    host, bits = F.regexp_extract(t, r"^([0-9A-Fa-f.:]+)(?:/(?:0|[1-9][0-9]{0,2}))?\z", 1), F.regexp_extract(t, r"/([0-9]+)\z", 1)
+    within = lambda most: F.when(bits == "", True).otherwise(bits.cast("int") <= most)
+    return F.when(host.contains(":"), X.ipv6(host).isNotNull() & within(128)).otherwise(X.ipv4(host).isNotNull() & within(32))
 
 
-def network_scan(files: DataFrame, loopback: bool = False, unspecified: bool = False) -> DataFrame:
-    """(project, path, line_no, rule, text, severity, category) of CIDRs, IPv4 addresses and AS numbers."""
-    scanned = files.where(~(P.should_skip_content() | P.is_changelog() | P.is_license() | P.is_detection_rule()))
-    lines = explode_lines(scanned)
-    lines = lines.where(F.col("line").rlike(R.IPV4) | F.col("line").rlike(R.ASN))
-    blocks = list_files(explode_lines(scanned), _bare_address)
-    lines = lines.join(blocks, ["project", "path"], "left_anti")
-    svg = X.find_all(F.col("line"), R.SVG_GEOMETRY)
-    blank = F.aggregate(svg, F.col("line"), lambda s, m: F.overlay(s, F.repeat(F.lit(" "), m["end"] - m["start"]), m["start"] + 1, m["end"] - m["start"]))
-    lines = lines.withColumn("line", F.when(F.col("line").rlike(R.SVG_GEOMETRY), blank).otherwise(F.col("line")))
-    cidrs = F.regexp_extract_all("line", F.lit(R.CIDR), F.lit(0))
-    lines = lines.withColumn("cidrs", cidrs)
-    entry = lambda rule, text: F.struct(F.lit(rule).alias("rule"), text.alias("text"))
-    versioned = lambda m: F.lower(F.substring(F.col("line"), F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24)))).rlike(R.VERSION_CONTEXT) | F.substring(F.col("line"), m["end"] + 1, F.lit(2)).rlike(r"^\.[0-9]")
-    addresses = F.filter(X.find_all(F.col("line"), R.IPV4), lambda m: ~F.exists("cidrs", lambda c: c.startswith(F.concat(m["text"], F.lit("/")))) & ~versioned(m))
-    asns = F.when(P.is_prose(), F.array().cast("array<string>")).otherwise(F.filter(F.regexp_extract_all("line", F.lit(R.ASN), F.lit(0)), lambda a: F.substring(a, 3, 7).cast("int") > 0))
-    found = F.concat(F.transform("cidrs", lambda c: entry("cidr", c)), F.transform(addresses, lambda m: entry("ipv4", m["text"])), F.transform(asns, lambda a: entry("asn", a)))
-    out = lines.select("project", "path", "line_no", F.explode(found).alias("f")).select("project", "path", "line_no", "f.rule", "f.text")
-    n = X.ipv4(F.substring_index("text", "/", 1))
-    out = out.withColumn("category", F.when(F.col("rule") == "asn", "asn").otherwise(X.classify_ipv4(n))).where(F.col("category").isNotNull() & (F.col("category") != "doc-range"))
-    if not loopback:
-        out = out.where("category <> 'loopback'")
-    if not unspecified:
-        out = out.where("category <> 'unspecified'")
-    return out.withColumn("severity", F.when(F.col("category") == "public", "warning").otherwise("info"))
+def bare_url(t: Column) -> Column:
+    return t.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^\t\n\f\r ]+\z")
 
 
-def connection_strings(files: DataFrame) -> DataFrame:
-    """(project, path, line_no, rule, severity, text): patterns claim spans of a line in order of
-    priority; what overlaps a claimed span is dropped. Credentials that are no secret still claim
-    theirs; exempt hosts and markup identifiers don't."""
-    scanned = files.where(~(P.should_skip_content() | P.is_changelog() | P.is_license() | P.is_detection_rule()))
-    lines = explode_lines(scanned)
-    urls = list_files(lines, lambda t: t.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^\t\n\f\r ]+\z"))
-    lines = lines.where(F.col("line").contains("://") | F.col("line").contains("jdbc:")).join(urls, ["project", "path"], "left_anti")
+_MARKER = r"^(?:<{7}|>{7}|\|{7})(?: |\r?\z)"
+
+
+def _placeholder_hits(line: Column, line_no: Column, off: Column) -> Column:
+    """The first hit of each pattern."""
+    found = lambda rule, p: F.when(line.rlike(p) & ~F.array_contains(off, rule), _entry("dead_placeholders", line_no, rule, F.regexp_substr(line, F.lit(p))))
+    return F.array_compact(F.array(*[found(rule, p) for rule, p in R.PLACEHOLDER_PATTERNS]))
+
+
+def _network_hits(line: Column, line_no: Column, prose: Column) -> Column:
+    """CIDRs, IPv4 addresses and AS numbers, not classified yet."""
+    svg = X.find_all(line, R.SVG_GEOMETRY)
+    blank = F.aggregate(svg, line, lambda s, m: F.overlay(s, F.repeat(F.lit(" "), m["end"] - m["start"]), m["start"] + 1, m["end"] - m["start"]))
+    line = F.when(line.rlike(R.SVG_GEOMETRY), blank).otherwise(line)
+    cidrs = F.regexp_extract_all(line, F.lit(R.CIDR), F.lit(0))
+    before = lambda m: F.lower(F.substring(line, F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24))))
+    versioned = lambda m: before(m).rlike(R.VERSION_CONTEXT) | F.substring(line, m["end"] + 1, F.lit(2)).rlike(r"^\.[0-9]")
+    addresses = F.filter(X.find_all(line, R.IPV4), lambda m: ~F.exists(cidrs, lambda c: c.startswith(F.concat(m["text"], F.lit("/")))) & ~versioned(m))
+    asns = F.when(prose, F.array().cast("array<string>")).otherwise(F.filter(F.regexp_extract_all(line, F.lit(R.ASN), F.lit(0)), lambda a: F.substring(a, 3, 7).cast("int") > 0))
+    entry = lambda rule, text: _entry("network_scan", line_no, rule, text)
+    return F.concat(F.transform(cidrs, lambda c: entry("cidr", c)), F.transform(addresses, lambda m: entry("ipv4", m["text"])), F.transform(asns, lambda a: entry("asn", a)))
+
+
+def _connection_hits(line: Column, line_no: Column) -> Column:
+    """Patterns claim spans of a line in order of priority; what overlaps a claimed span is dropped. Credentials that are no
+    secret still claim theirs; exempt hosts and markup identifiers don't."""
 
     def ranked(k: int, pattern: str):
-        return F.transform(X.find_all(F.col("line"), pattern), lambda m: F.struct(F.lit(k).alias("rank"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text")))
+        return F.transform(X.find_all(line, pattern), lambda m: F.struct(F.lit(k).alias("rank"), m["start"].alias("start"), m["end"].alias("end"), m["text"].alias("text")))
 
     candidates = F.concat(*[ranked(k, p) for k, (_, _, p) in enumerate(R.CONNECTION_PATTERNS)])
     rest = lambda c: F.regexp_extract(c["text"], r"(?s)^.*?://(.*)$", 1)
     uri_host = lambda c: F.regexp_replace(rest(c), r"^[^@/]*@", "")
-    before = lambda c: F.substring(F.col("line"), F.lit(1), c["start"])
+    before = lambda c: F.substring(line, F.lit(1), c["start"])
     http = len(R.CONNECTION_PATTERNS) - 1
-    markup = lambda c: before(c).rlike(R.MARKUP_ATTRIBUTE) | before(c).rlike(R.DOCTYPE)
+    markup = lambda c: line.rlike(R.MARKUP_LINE) & (before(c).rlike(R.MARKUP_ATTRIBUTE) | before(c).rlike(R.DOCTYPE))
     exempt = lambda c: ((c["rank"] > 0) & (c["rank"] < 7) & X.host_exempt(rest(c))) | ((c["rank"] == http) & (X.host_exempt(rest(c)) | markup(c))) | (c["rank"].isin(7, 8) & ~rest(c).contains("@") & c["text"].contains("://") & X.host_exempt(uri_host(c)))
-    ordered = F.array_sort(F.filter(candidates, lambda c: ~exempt(c)))
-    empty = F.slice(ordered, 1, 0)
-    kept = F.aggregate(ordered, empty, lambda acc, c: F.when(F.exists(acc, lambda k: (c["start"] < k["end"]) & (k["start"] < c["end"])), acc).otherwise(F.concat(acc, F.array(c))))
+    kept = X.claimed(F.filter(candidates, lambda c: ~exempt(c)))
     real = F.filter(kept, lambda c: ~((c["rank"] == 0) & X.creds_non_secret(c["text"])))
-    names, severities = (F.array(*[F.lit(x[k]) for x in R.CONNECTION_PATTERNS]) for k in (0, 1))
-    out = lines.select("project", "path", "line_no", F.explode(real).alias("c"))
-    return out.select("project", "path", "line_no", F.get(names, F.col("c.rank")).alias("rule"), F.get(severities, F.col("c.rank")).alias("severity"), "c.text")
+    names, severities = (F.lit([x[k] for x in R.CONNECTION_PATTERNS]) for k in (0, 1))
+    return F.transform(real, lambda c: _entry("connection_strings", line_no, F.get(names, c["rank"]), c["text"], F.get(severities, c["rank"])))
+
+
+def _env_hits(lines: Column) -> Column:
+    """KEY= lines without a comment on them or on the nearest line above that isn't blank."""
+    unquoted = lambda x: F.regexp_replace(x, r"""'[^']*(?:'|\z)|"[^"]*(?:"|\z)""", "")
+
+    def step(above, x):
+        line = F.regexp_replace(x["line"], r"\r\z", "")
+        t = F.trim(line)
+        key = F.regexp_extract(t, "^([A-Za-z0-9_]+)=", 1)
+        hit = (key != "") & ~unquoted(line).contains("#") & ~above.startswith("#")
+        found = F.when(hit, F.array(_entry("env_example_uncommented", x["line_no"], "", key))).otherwise(F.array().cast(_NONE))
+        return F.when(t != "", t).otherwise(above), found
+
+    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), (i + 1).alias("line_no")))
+    return X.scan(numbered, F.lit(""), F.array().cast(_NONE), step)
+
+
+_ANY_SECRET = "|".join(f"(?:{p})" for _, p in R.SECRET_PATTERNS) + f"|{R.PEM_HEADER}"
+
+
+def _secret_hits(line: Column, line_no: Column) -> Column:
+    """Credentials of known vendors, one for each pattern, without those that look made up."""
+    real = lambda p: F.exists(F.regexp_extract_all(line, F.lit(p), F.lit(0)), lambda t: ~is_synthetic(t))
+    found = F.array_compact(F.array(*[F.when(line.rlike(p) & real(p), _entry("secrets_scan", line_no, n)) for n, p in R.SECRET_PATTERNS]))
+    return F.when(line.rlike(_ANY_SECRET), found).otherwise(F.array().cast(_NONE))
+
+
+def _key_hits(lines: Column, path: Column) -> Column:
+    """Private keys: a header with key material next to it, or in a file named as a key.
+
+    The material stands behind the header on its own line, as "\\n" escapes, or on the first line
+    below that is no field of the header, however many fields there are.
+    """
+    material = lambda c: c.rlike(r"""^(?:[\s"'+,]|\\[nr])*[A-Za-z0-9+/=]{40,}""") & c.rlike("[a-z]") & c.rlike("[A-Z]") & c.rlike("[0-9]")
+
+    def step(below, x):
+        line = x["line"]
+        behind = F.regexp_replace(line, rf"^.*?{R.PEM_HEADER}", "")
+        key = line.rlike(R.PEM_HEADER) & (material(behind) | material(below) | path.rlike(R.KEY_FILE))
+        found = F.when(key, F.array(_entry("secrets_scan", x["line_no"], "private_key"))).otherwise(F.array().cast(_NONE))
+        return F.when(line.rlike(r"\S") & ~line.rlike("^[A-Za-z-]+: "), line).otherwise(below), found
+
+    numbered = F.transform(lines, lambda x, i: F.struct(x.alias("line"), (i + 1).alias("line_no")))
+    return X.scan(F.reverse(numbered), F.lit(""), F.array().cast(_NONE), step)
+
+
+#: Gate -> a pattern that a line with a finding matches; the first of a file, env keys and private keys are found by file.
+_MARKS = {
+    "dead_placeholders": "(?i:todo|fixme|xxx|hack|later|lorem)",
+    "connection_strings": "://|jdbc:",
+    "network_scan": f"{R.IPV4}|{R.ASN}",
+    "secrets_scan": _ANY_SECRET,
+}
+LINE_GATES = ("merge_conflict_markers", "env_example_uncommented", *_MARKS)
+
+
+def own_options(files: DataFrame, gate: str) -> Column | None:
+    """The options of a gate that a file carries: those of its project for the gate, or else for every gate."""
+    if "_options" not in files.columns:
+        return None
+    return F.coalesce(F.try_element_at("_options", F.lit(gate)), F.try_element_at("_options", F.lit("")))
+
+
+def _asked(files: DataFrame, gate: str) -> Column:
+    """Whether a gate reads a file, by its path."""
+    scan = own_options(files, gate)
+    if gate == "env_example_uncommented":
+        return F.col("path").isin(R.ENV_EXAMPLES)
+    if gate == "merge_conflict_markers":
+        return ~P.should_skip(scan=scan)
+    if gate == "secrets_scan":
+        return ~P.should_skip_secrets(scan=scan) & ~P.is_detection_rule()
+    own = ~P.should_skip_content(scan=scan) & ~P.is_changelog() & ~P.is_detection_rule()
+    return own & ~(P.is_placeholder_register() if gate == "dead_placeholders" else P.is_license())
+
+
+def line_gates(files: DataFrame, gates: Iterable[str] = LINE_GATES, disabled: tuple[str, ...] = (), loopback: bool = False, unspecified: bool = False) -> DataFrame:
+    """(project, path, gate_id, line_no, rule, text, severity, category) of the findings of line gates, in one pass over the texts.
+
+    files may carry `_options` (see config.with_options), which stand before the arguments.
+    Null texts have no lines.
+    """
+    gates = [g for g in LINE_GATES if g in set(gates)]
+    by_line = [g for g in gates if g in _MARKS]
+    value = lambda gate, name, default: default if (o := own_options(files, gate)) is None else F.coalesce(o[name], default)
+    asked = files.select(
+        "project", "path", "text", P.is_prose().alias("prose"), *[_asked(files, g).alias(g) for g in gates],
+        value("dead_placeholders", "disabled_patterns", F.lit(list(disabled)).cast("array<string>")).alias("off"),
+        *[value("network_scan", f"report_{n}", F.lit(d)).alias(n) for n, d in (("loopback", loopback), ("unspecified", unspecified))],
+        *[value(g, "skip_default_data_files", F.lit(True)).alias(f"{g}_lists") for g in ("connection_strings", "network_scan") if g in gates],
+    )
+    asked = asked.where(reduce(lambda a, b: a | b, [F.col(g) for g in gates]))
+    # a gate goes on where the text holds its mark; the others aren't looked at again
+    text = F.col("text")
+    mark = _MARKS | {"merge_conflict_markers": "(?m)^(?:<{7}|>{7}|\\|{7})", "env_example_uncommented": "="}
+    asked = asked.select("*", *[(F.col(g) & text.rlike(mark[g])).alias(f"on_{g}") for g in gates])
+    on = {g: F.col(f"on_{g}") for g in gates}
+    asked = asked.where(reduce(lambda a, b: a | b, on.values()))
+    none, lines = F.array().cast(_NONE), lines_of(text)
+    whole = []  # findings by file
+    if "merge_conflict_markers" in gates:
+        first = F.array_position(F.transform(lines, lambda x: x.rlike(_MARKER)), True)
+        whole.append(F.when(on["merge_conflict_markers"], F.filter(F.array(_entry("merge_conflict_markers", first, "")), lambda e: e["line_no"] > 0)))
+    if "env_example_uncommented" in gates:
+        whole.append(F.when(on["env_example_uncommented"], _env_hits(lines)))
+    if "secrets_scan" in gates:
+        whole.append(F.when(on["secrets_scan"] & text.rlike(R.PEM_HEADER), _key_hits(lines, F.col("path"))))
+    lists = {"connection_strings": bare_url, "network_scan": bare_address}
+    own = [(on[g] & ~(F.col(f"{g}_lists") & is_list(lines, lists[g])) if g in lists else on[g]).alias(f"on_{g}") for g in by_line]
+    by_file = F.concat(*[F.coalesce(w, none) for w in whole]) if whole else none
+    judged = asked.select("project", "path", "text", "prose", "off", "loopback", "unspecified", *own, by_file.alias("by_file"))
+    each = judged.select("*", F.posexplode(lines).alias("at", "line")).drop("text")
+    any_mark = reduce(lambda a, b: a | b, [F.col(f"on_{g}") & F.col("line").rlike(_MARKS[g]) for g in by_line], F.lit(False))
+    each = each.where(any_mark | ((F.col("at") == 0) & (F.size("by_file") > 0)))
+    line, line_no = F.col("line"), F.col("at") + 1
+    hits = {
+        "dead_placeholders": lambda: _placeholder_hits(line, line_no, F.col("off")),
+        "connection_strings": lambda: _connection_hits(line, line_no),
+        "network_scan": lambda: _network_hits(line, line_no, F.col("prose")),
+        "secrets_scan": lambda: _secret_hits(line, line_no),
+    }
+    found = [F.when(F.col(f"on_{g}") & line.rlike(_MARKS[g]), hits[g]()).otherwise(none) for g in by_line]
+    out = each.select("project", "path", "loopback", "unspecified", F.explode(F.concat(F.when(F.col("at") == 0, F.col("by_file")).otherwise(none), *found)).alias("e"))
+    out = out.select("project", "path", "loopback", "unspecified", "e.*")
+    if "network_scan" not in gates:
+        return out.select("project", "path", "gate_id", "line_no", "rule", "text", "severity", F.lit(None).cast("string").alias("category"))
+    address = F.col("gate_id") == "network_scan"
+    category = F.when(F.col("rule") == "asn", "asn").otherwise(X.classify_ipv4(X.ipv4(F.substring_index("text", "/", 1))))
+    out = out.withColumn("category", F.when(address, category))
+    wanted = F.col("category").isNotNull() & (F.col("category") != "doc-range") & (F.col("loopback") | (F.col("category") != "loopback")) & (F.col("unspecified") | (F.col("category") != "unspecified"))
+    severity = F.when(address, F.when(F.col("category") == "public", "warning").otherwise("info")).otherwise(F.col("severity"))
+    return out.where(~address | wanted).select("project", "path", "gate_id", "line_no", "rule", "text", severity.alias("severity"), "category")
+
+
+def merge_conflict_markers(files: DataFrame) -> DataFrame:
+    """(project, path, line_no) of the first marker line of each file."""
+    return line_gates(files, ("merge_conflict_markers",)).select("project", "path", "line_no")
+
+
+def dead_placeholders(files: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
+    """(project, path, line_no, rule, text): the first hit of each pattern on each line."""
+    return line_gates(files, ("dead_placeholders",), disabled=disabled).select("project", "path", "line_no", "rule", "text")
+
+
+def network_scan(files: DataFrame, loopback: bool = False, unspecified: bool = False) -> DataFrame:
+    """(project, path, line_no, rule, text, severity, category) of CIDRs, IPv4 addresses and AS numbers."""
+    out = line_gates(files, ("network_scan",), loopback=loopback, unspecified=unspecified)
+    return out.select("project", "path", "line_no", "rule", "text", "severity", "category")
+
+
+def connection_strings(files: DataFrame) -> DataFrame:
+    """(project, path, line_no, rule, severity, text)."""
+    return line_gates(files, ("connection_strings",)).select("project", "path", "line_no", "rule", "severity", "text")
 
 
 def env_example_uncommented(files: DataFrame) -> DataFrame:
-    """(project, path, line_no, key) of KEY= lines without a comment on them or on the nearest line above that isn't blank."""
-    own = explode_lines(files.where(F.col("path").isin(R.ENV_EXAMPLES)).withColumn("text", F.replace("text", F.lit("\r\n"), F.lit("\n"))))
-    own = own.withColumn("t", F.trim("line"))
-    above = F.last(F.when(F.col("t") != "", F.col("t")), ignorenulls=True).over(W.partitionBy("project", "path").orderBy("line_no").rowsBetween(W.unboundedPreceding, -1))
-    own = own.withColumn("above", above).withColumn("key", F.regexp_extract("t", "^([A-Za-z0-9_]+)=", 1))
-    unquoted = F.regexp_replace("line", r"""'[^']*(?:'|\z)|"[^"]*(?:"|\z)""", "")
-    return own.where((F.col("key") != "") & ~unquoted.contains("#") & ~F.coalesce(F.col("above").startswith("#"), F.lit(False))).select("project", "path", "line_no", "key")
+    """(project, path, line_no, key) of KEY= lines without a comment."""
+    return line_gates(files, ("env_example_uncommented",)).select("project", "path", "line_no", F.col("text").alias("key"))
 
 
 def json_parse_errors(files: DataFrame, most: int = 5 << 20) -> DataFrame:
@@ -127,32 +275,15 @@ def is_synthetic(token: Column) -> Column:
     return (run >= 8) | token.rlike(R.SECRET_STAND_IN) | (X.shannon_entropy(token) < 3.5)
 
 
-_ANY_SECRET = "|".join(f"(?:{p})" for _, p in R.SECRET_PATTERNS) + f"|{R.PEM_HEADER}"
-
-
 def secrets_scan(files: DataFrame) -> DataFrame:
-    """(project, path, line_no, pattern): credentials of known vendors, one row a line and pattern, and private keys.
-
-    Matches that look made up are dropped. A key's header counts only with key material next to
-    it, or in a file named as a key.
-    """
-    lines = explode_lines(files.where(~P.should_skip_secrets() & ~P.is_detection_rule() & F.col("text").rlike(_ANY_SECRET)))
-    hits = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_extract_all("line", F.lit(p), F.lit(0)).alias("found")) for n, p in R.SECRET_PATTERNS])
-    each = lines.where(F.col("line").rlike(_ANY_SECRET)).select("project", "path", "line_no", F.explode(hits).alias("h"))
-    tokens = each.where(F.exists("h.found", lambda t: ~is_synthetic(t))).select("project", "path", "line_no", "h.pattern")
-    # The material stands behind the header on its own line, as "\n" escapes, or on the first line below that is no field of the header, however many fields there are.
-    after = W.partitionBy("project", "path").orderBy(F.col("line_no").desc()).rowsBetween(W.unboundedPreceding, -1)
-    material = lambda c: c.rlike(r"""^(?:[\s"'+,]|\\[nr])*[A-Za-z0-9+/=]{40,}""") & c.rlike("[a-z]") & c.rlike("[A-Z]") & c.rlike("[0-9]")
-    below = F.last(F.when(F.col("line").rlike(r"\S") & ~F.col("line").rlike("^[A-Za-z-]+: "), F.col("line")), ignorenulls=True).over(after)
-    key = material(F.regexp_replace("line", rf"^.*?{R.PEM_HEADER}", "")) | F.coalesce(material(F.col("below")), F.lit(False)) | F.col("path").rlike(R.KEY_FILE)
-    keys = lines.withColumn("below", below).where(F.col("line").rlike(R.PEM_HEADER) & key)
-    out = tokens.unionByName(keys.select("project", "path", "line_no", F.lit("private_key").alias("pattern")))
+    """(project, path, line_no, pattern): credentials of known vendors, one row a line and pattern, private keys, and tracked .env files."""
+    out = line_gates(files, ("secrets_scan",)).select("project", "path", "line_no", F.col("rule").alias("pattern"))
     return out.unionByName(tracked_env(files)) if "tracked" in files.columns else out
 
 
 def tracked_env(files: DataFrame) -> DataFrame:
     """Tracked .env files, whatever they hold, in the form of secrets_scan, at line 1."""
-    own = files.where(F.col("tracked") & (P.base() == ".env") & ~P.should_skip_secrets())
+    own = files.where(F.col("tracked") & (P.base() == ".env") & ~P.should_skip_secrets(scan=own_options(files, "secrets_scan")))
     return own.select("project", "path", F.lit(1).alias("line_no"), F.lit("env_file").alias("pattern"))
 
 
