@@ -51,7 +51,7 @@ class Sizes:
 
 #: Bytes of marks or spans up to which these, and not the texts, are copied to all executors.
 BROADCAST = 32 << 20
-_HOT_BIT = np.uint32(1 << 31)
+_HOT_BIT, _SOLVED_BIT = np.uint32(1 << 31), np.uint32(1 << 30)
 _BASE = np.uint64(0xD1342543DE82EF95)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _RANDOM = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)
@@ -148,12 +148,30 @@ def _rows_of(batches):
 
 
 def _packed(x, kind) -> bytes:
-    return np.ascontiguousarray(x, dtype=kind).tobytes()
+    """Numbers by planes of their bytes: upper ones are mostly zero, which compresses."""
+    x = np.ascontiguousarray(x, dtype=kind)
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
 
 
-_ANCHORS = "shard int, docs binary, keys binary, at binary, number binary, known_at binary, known binary, solved_at binary, solved binary"
+def _numbers(packed: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def _short(x: np.ndarray) -> bytes:
+    """48 bits of each hash; two hashes and the shard tell contents apart."""
+    return np.ascontiguousarray(x.astype(np.uint64).view(np.uint16).reshape(-1, 4)[:, :3]).tobytes()
+
+
+def _long(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 4), dtype=np.uint16)
+    out[:, :3] = np.frombuffer(packed, dtype=np.uint16).reshape(-1, 3)
+    return out.view(np.uint64).reshape(-1)
+
+
+_ANCHORS = "shard int, docs binary, keys binary, contents binary, at binary, number binary, known_at binary, known binary, solved_at binary, solved binary"
 _MARKS = "doc long, row long, marks binary, spans binary"
-_TEXTS = "shard int, docs binary, texts binary, sizes binary, anchor binary, at binary, place binary"
+_TEXTS = "shard int, docs binary, texts binary, sizes binary, anchor binary, at binary, place binary, solved_at binary, solved binary"
 _SPANS = "doc long, row long, spans binary"
 
 
@@ -198,7 +216,7 @@ def _anchor_sender(shards: int, sizes: Sizes):
             x = x[np.argsort(at[x], kind="stable")]
             used, place = np.unique(np.r_[at[x], at[y], span_at[z]], return_inverse=True)
             a, b, c = np.split(place, (len(x), len(x) + len(y)))
-            rows.append({"shard": s, "docs": _packed(ids[used], np.int64), "keys": _packed(key[x], np.uint64), "at": _packed(a, np.uint32), "number": _packed(number[x], np.uint32), "known_at": _packed(b, np.uint32), "known": _packed(number[y], np.uint32), "solved_at": _packed(c, np.uint32), "solved": _packed(spans[z], np.uint32)})
+            rows.append({"shard": s, "docs": _packed(ids[used], np.int64), "keys": _short(key[x] // np.uint64(shards)), "contents": _short(content[x]), "at": _packed(a, np.uint32), "number": _packed(number[x], np.uint32), "known_at": _packed(b, np.uint32), "known": _packed(number[y], np.uint32), "solved_at": _packed(c, np.uint32), "solved": _packed(spans[z], np.uint32)})
         return _sent(_ANCHORS, rows)
 
     def send(batches):
@@ -217,81 +235,108 @@ def _anchor_sender(shards: int, sizes: Sizes):
 
 
 def _by_document(docs: np.ndarray, of: np.ndarray, values: np.ndarray, name: str) -> list[dict]:
-    """A row for each document that has values (uint32), packed."""
+    """A row for each document that has values."""
+    values = np.asarray(values, dtype=np.uint32)
     order = np.argsort(of, kind="stable")
     of, values = of[order], values[order]
     cuts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)] if len(of) else [0]
-    return [{"doc": int(docs[of[a], 0]), "row": int(docs[of[a], 1]), "marks": None, "spans": None, name: _packed(values[a:b], np.uint32)} for a, b in zip(cuts[:-1], cuts[1:])]
+    return [{"doc": int(docs[of[a], 0]), "row": int(docs[of[a], 1]), "marks": None, "spans": None, name: values[a:b].tobytes()} for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def _unpacked(table, name: str, kind, docs_before=None) -> np.ndarray:
     """A packed column's values, all rows together; with docs_before, places are counted on from row to row."""
-    parts = [np.frombuffer(x, dtype=kind) for x in table.column(name).to_pylist()]
+    parts = [_numbers(x, kind) for x in table.column(name).to_pylist()]
     if docs_before is not None:
         parts = [p.astype(np.int64) + d for p, d in zip(parts, docs_before)]
     return np.concatenate(parts) if parts else np.zeros(0, dtype=kind)
 
 
 def _docs_of(table):
-    parts = [np.frombuffer(x, dtype=np.int64).reshape(-1, 2) for x in table.column("docs").to_pylist()]
+    parts = [_numbers(x, np.int64).reshape(-1, 2) for x in table.column("docs").to_pylist()]
     return np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1]
 
 
 def _mark_shared(table, hot_all: int):
-    """The anchors that several documents have, and spans that are known, by document."""
+    """By document the stretches that a smaller one has as well, those that may share windows with another one, and spans that are known."""
     import pyarrow as pa
 
     docs, before = _docs_of(table)
-    key, at, number = _unpacked(table, "keys", np.uint64), _unpacked(table, "at", np.uint32, before), _unpacked(table, "number", np.uint32)
-    order = np.argsort(key, kind="stable")
-    key, at, number = key[order], at[order], number[order]
+    key, content = (np.concatenate([_long(x) for x in table.column(c).to_pylist()]) for c in ("keys", "contents"))
+    at, number = _unpacked(table, "at", np.uint32, before), _unpacked(table, "number", np.uint32)
     rows = []
     if len(key):
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        doc = docs[at, 0]
+        order = np.lexsort((doc, content, key))
+        key, content, at, number, doc = (x[order] for x in (key, content, at, number, doc))
+        new_key = np.r_[True, key[1:] != key[:-1]]
+        new = new_key | np.r_[True, content[1:] != content[:-1]]
+        solved = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        starts = np.flatnonzero(new_key)
         size = np.diff(np.r_[starts, len(key)])
-        doc, spread = docs[at, 0], lambda x: np.repeat(x, size)
-        hot = spread((np.bitwise_or.reduceat(number, starts) & _HOT_BIT != 0) | (size >= hot_all))
-        shared = spread(np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)) | hot
-        number = np.where(hot, number | _HOT_BIT, number)
-        rows = _by_document(docs, at[shared], number[shared], "marks")
+        spread = lambda x: np.repeat(x, size)
+        contents = np.add.reduceat(new.astype(np.int64), starts)
+        hot = (np.bitwise_or.reduceat(number, starts) & _HOT_BIT != 0) | (contents >= hot_all)
+        several = (contents > 1) & (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))
+        number = np.where(solved, (number & ~_HOT_BIT) | _SOLVED_BIT, np.where(spread(hot), number | _HOT_BIT, number))
+        wanted = solved | spread(several | hot)
+        rows = _by_document(docs, at[wanted], number[wanted], "marks")
     rows += _by_document(docs, _unpacked(table, "known_at", np.uint32, before), _unpacked(table, "known", np.uint32), "marks")
     rows += _by_document(docs, _unpacked(table, "solved_at", np.uint32, before), _unpacked(table, "solved", np.uint32).reshape(-1, 2), "spans")
     return pa.Table.from_batches([_sent(_MARKS, rows)])
 
 
+def _joined_marks(lists):
+    """A document's marks, each once, compressed; null for none."""
+    import pyarrow as pa
+
+    out = []
+    for own in lists.to_pylist():
+        marks = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in own])) if own else []
+        out.append(zlib.compress(_packed(np.diff(marks, prepend=np.uint32(0)), np.uint32), 1) if len(marks) else None)
+    return pa.array(out, type=pa.binary())
+
+
+def _marks_of(packed: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(zlib.decompress(packed), np.uint32), dtype=np.uint32)
+
+
 def _text_sender(shards: int, sizes: Sizes):
-    """Sends the stretches at marked anchors, or each window of them."""
+    """Sends the stretches at marked anchors, or each window of them; of solved ones the span."""
 
-    def flushed(ids: list, found: list):
+    def flushed(ids: list, found: list, solved: list):
         ids, rows = np.array(ids, dtype=np.int64).reshape(-1, 2), []
-        shard = np.array([f[0] for f in found], dtype=np.int64)
-        for s, x in _shares((np.arange(len(found)), shard)):
+        shard, spans = np.array([f[0] for f in found], dtype=np.int64), np.array(solved, dtype=np.int64).reshape(-1, 3)
+        for s, x, y in _shares((np.arange(len(found)), shard), (np.arange(len(spans)), spans[:, 0] % shards)):
             own = [found[i] for i in x.tolist()]
-            used, at = np.unique(np.array([f[3] for f in own]), return_inverse=True)
-            rows.append({"shard": s, "docs": _packed(ids[used], np.int64), "texts": b"".join(f[1] for f in own), "sizes": _packed([len(f[1]) for f in own], np.uint32), "anchor": _packed([f[2] for f in own], np.uint32), "at": _packed(at, np.uint32), "place": _packed([f[4] for f in own], np.uint32)})
+            used, at = np.unique(np.r_[np.array([f[3] for f in own], dtype=np.int64), spans[y, 0]], return_inverse=True)
+            rows.append({"shard": s, "docs": _packed(ids[used], np.int64), "texts": b"".join(f[1] for f in own), "sizes": _packed([len(f[1]) for f in own], np.uint32), "anchor": _packed([f[2] for f in own], np.uint32), "at": _packed(at[: len(own)], np.uint32), "place": _packed([f[4] for f in own], np.uint32), "solved_at": _packed(at[len(own) :], np.uint32), "solved": _packed(spans[y, 1:], np.uint32)})
         return _sent(_TEXTS, rows)
 
     def send(batches):
-        ids, found = [], []
+        ids, found, solved = [], [], []
         for held, where, number, first, last, at, h, _ in _read_anchors(_rows_of(batches), sizes.piece):
             begin = np.searchsorted(where, np.arange(len(held) + 1))
             for k, (doc, row, text, own) in enumerate(held):
                 a, b = begin[k], begin[k + 1]
-                marks = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in own])
-                hot = marks >= _HOT_BIT
-                for numbers, is_hot in ((marks[~hot], False), (marks[hot] ^ _HOT_BIT, True)):
-                    i = np.flatnonzero(np.isin(number[a:b], numbers)) + a if len(numbers) else []
-                    for f, g, x, shard in zip(first[i].tolist(), last[i].tolist(), at[i].tolist(), (h[i] % np.uint64(shards)).tolist()) if len(i) else ():
+                marks = _marks_of(own)
+                chosen = lambda of: np.flatnonzero(np.isin(number[a:b], of)) + a if len(of) else np.zeros(0, dtype=np.int64)  # noqa: B023, E731
+                i = chosen(marks[marks & _SOLVED_BIT != 0] ^ _SOLVED_BIT)
+                if len(i):  # spans that touch are one
+                    cut = np.r_[True, first[i][1:] > last[i][:-1] + LENGTH]
+                    solved += [(len(ids), x, y) for x, y in zip(first[i[cut]].tolist(), (last[i[np.r_[cut[1:], True]]] + LENGTH).tolist())]
+                for numbers, is_hot in ((marks[marks < _SOLVED_BIT], False), (marks[marks >= _HOT_BIT] ^ _HOT_BIT, True)):
+                    i = chosen(numbers)
+                    for f, g, x, shard in zip(first[i].tolist(), last[i].tolist(), at[i].tolist(), (h[i] % np.uint64(shards)).tolist()):
                         if is_hot:
                             found += [(zlib.crc32(w) % shards, w, LENGTH, len(ids), p) for p in range(f, g + 1) for w in (text[p : p + LENGTH],)]
                         else:
                             found.append((shard, text[f : g + LENGTH], x - f, len(ids), f))
                 ids.append((doc, row))
-                if len(found) >= sizes.strings:
-                    yield flushed(ids, found)
-                    ids, found = [], []
-        if found:
-            yield flushed(ids, found)
+                if len(found) + len(solved) >= sizes.strings:
+                    yield flushed(ids, found, solved)
+                    ids, found, solved = [], [], []
+        if found or solved:
+            yield flushed(ids, found, solved)
 
     return send
 
@@ -348,9 +393,9 @@ def _settle_shard(table, held: int):
     number: dict[bytes, int] = {}
     anchor, of = [], []
     for joined, sizes, anchors in zip(*(table.column(c).to_pylist() for c in ("texts", "sizes", "anchor"))):
-        ends = np.cumsum(np.frombuffer(sizes, dtype=np.uint32)).tolist()
+        ends = np.cumsum(_numbers(sizes, np.uint32)).tolist()
         mine = np.empty(len(ends), dtype=np.int64)
-        for i, (a, b, x) in enumerate(zip([0, *ends], ends, np.frombuffer(anchors, dtype=np.uint32).tolist())):
+        for i, (a, b, x) in enumerate(zip([0, *ends], ends, _numbers(anchors, np.uint32).tolist())):
             mine[i] = number.setdefault(joined[a:b], len(number))
             if mine[i] == len(anchor):
                 anchor.append(x)
@@ -381,15 +426,10 @@ def _settle_shard(table, held: int):
         owner = np.repeat(np.arange(len(of)), n)[starts]
         spans = np.stack([place[owner] + inside[starts], place[owner] + inside[ends] + LENGTH], axis=1).astype(np.uint32)
         rows = _by_document(docs, at[owner], spans, "spans")
+    rows += _by_document(docs, _unpacked(table, "solved_at", np.uint32, before), _unpacked(table, "solved", np.uint32).reshape(-1, 2), "spans")
     return pa.Table.from_batches([_sent(_SPANS, rows)])
 
 
-def _few(packed: DataFrame, name: str) -> bool:
-    """Whether arrays of packed values are few enough to copy to all executors."""
-    size = packed.agg(F.sum(F.aggregate(name, F.lit(32).cast("long"), lambda a, x: a + F.octet_length(x)))).first()[0]
-    return (size or 0) <= BROADCAST
-
-
 def _cut(texts, spans):
     """(spans, kept): maximal spans and what is left."""
     import pyarrow as pa
@@ -438,15 +478,20 @@ def remove_repeats(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     slim = keyed.select(F.col("_doc").alias("doc"), F.col("_row").alias("row"), "text")
     size = slim.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // sizes.shard))
-    hint = lambda df, name: F.broadcast(df) if _few(df, name) else df
+
+    def hint(df: DataFrame, size: Column) -> DataFrame:
+        return F.broadcast(df) if (df.agg(F.sum(size + 64)).first()[0] or 0) <= BROADCAST else df
+
     anchors = slim.mapInArrow(_anchor_sender(shards, sizes), _ANCHORS)
-    shared = anchors.groupBy("shard").applyInArrow(lambda t: _mark_shared(t, sizes.hot_all), _MARKS)
-    shared = checkpointed(shared.groupBy("doc", "row").agg(F.collect_list("marks").alias("marks"), F.collect_list("spans").alias("spans")))
-    marks = shared.where(F.size("marks") > 0).select("doc", "row", "marks")
-    sent = slim.join(hint(marks, "marks"), ["doc", "row"]).select("doc", "row", "text", "marks").mapInArrow(_text_sender(shards, sizes), _TEXTS)
+    shared = anchors.groupBy("shard").applyInArrow(lambda t: _mark_shared(t, sizes.hot_all), _MARKS).groupBy("doc", "row")
+    shared = shared.agg(F.collect_list("marks").alias("marks"), F.collect_list("spans").alias("spans"))
+    shared = checkpointed(shared.withColumn("marks", F.arrow_udf(_joined_marks, T.BinaryType())("marks")))
+    marks = hint(shared.where("marks IS NOT NULL").select("doc", "row", "marks"), F.octet_length("marks"))
+    sent = slim.join(marks, ["doc", "row"]).select("doc", "row", "text", "marks").mapInArrow(_text_sender(shards, sizes), _TEXTS)
     found = sent.groupBy("shard").applyInArrow(lambda t: _settle_shard(t, sizes.held), _SPANS)
     known = shared.select("doc", "row", F.explode("spans").alias("spans"))
-    spans = hint(checkpointed(found.union(known).groupBy("doc", "row").agg(F.collect_list("spans").alias("spans"))), "spans")
+    spans = checkpointed(found.union(known).groupBy("doc", "row").agg(F.collect_list("spans").alias("spans")))
+    spans = hint(spans, F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + 32 + F.octet_length(x)))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     cut = F.arrow_udf(_cut, T.StructType([T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())]))
     out = keyed.join(spans.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("spans").alias("_spans")), ["_doc", "_row"], "left")
