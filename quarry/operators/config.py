@@ -7,7 +7,7 @@ stay variants, so that all checks run in the JVM. Names of fields are case-sensi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
@@ -18,6 +18,30 @@ SEVERITIES = ("error", "warning", "info")
 #: What an option may be, by its kind, as the schema of its value. A null value is any option's default.
 KINDS = {"int": r"BIGINT", "number": r"BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\)", "bool": "BOOLEAN", "string": "STRING", "strings": "ARRAY<(?:STRING|VOID)>"}
 _OPTIONS = "map<string,variant>"
+#: Options of every gate over files, by kind.
+SCAN = {"exclude_paths": "strings"} | dict.fromkeys(P.SWITCHES, "bool")
+_RULED = SCAN | {"disabled_rules": "strings"}
+_HINTED = _RULED | {"suggest_when_missing": "bool"}
+#: Gate -> kinds of its options by name; a gate that isn't named takes none.
+GATE_OPTIONS = dict.fromkeys(
+    ("secrets_scan", "config_parse_error", "merge_conflict_markers", "connection_strings", "unexpected_executable_bit", "vendored_dir_tracked", "ide_artifact_tracked", "filename_quality"), SCAN
+) | {
+    "large_file_tracked": SCAN | {"threshold_mb": "int"},
+    "network_scan": SCAN | {"report_loopback": "bool", "report_unspecified": "bool"},
+    "dockerfile_lint": _HINTED,
+    "compose_lint": _HINTED | {"additional_orchestrator_images": "strings"},
+    "html_lint": _RULED,
+    "css_lint": _RULED,
+    "markdown_lint": _RULED | {"enabled_rules": "strings"},
+    "gitignore_coverage": SCAN | {"disabled_patterns": "strings"},
+    "dead_placeholders": SCAN | {"disabled_patterns": "strings"},
+    "secrets_scan_history": SCAN | {"enabled": "bool", "max_blobs": "int"},
+    "large_blob_in_history": SCAN | {"enabled": "bool", "threshold_mb": "int"},
+    "branch_protection_declared": {"enabled": "bool"},
+}
+_TYPES = {"int": "long", "bool": "boolean", "strings": "array<string>"}
+#: A table of options of up to so many bytes is copied to all executors.
+BROADCAST = 16 << 20
 
 
 def _is(value: Column, pattern: str) -> Column:
@@ -133,3 +157,35 @@ def apply_excludes(findings: DataFrame, options: DataFrame, gates: list[str]) ->
     hit = F.col("gate_id").isin(gates) & (path != "") & F.exists(F.coalesce("_own", "_shared"), lambda r: F.rlike(path, r))
     out = findings.join(own, ["project", "gate_id"], "left").join(shared, "project", "left")
     return out.where(~F.coalesce(hit, F.lit(False))).select(*findings.columns)
+
+
+def options_of_gates(spark: SparkSession, gates: list[str]) -> DataFrame:
+    """(gate_id, options) as validate_gate_options takes them: kinds of the options that a gate has."""
+    return spark.createDataFrame([(g, GATE_OPTIONS.get(g)) for g in gates], "gate_id string, options map<string,string>")
+
+
+def option(options: DataFrame, gate: str, *names: str) -> DataFrame:
+    """(project, *names): options of a gate, for the projects that have some."""
+    kinds = GATE_OPTIONS[gate]
+    return options.where(F.col("gate_id") == gate).select("project", *[F.try_variant_get("value", f"$.{n}", _TYPES[kinds[n]]).alias(n) for n in names])
+
+
+def project_options(options: DataFrame) -> DataFrame:
+    """(project, _options): all that a project sets, as structs by gate with the patterns to exclude as regexes; under "" what
+    holds for the gates that it doesn't name."""
+    names = {n: k for kinds in GATE_OPTIONS.values() for n, k in kinds.items() if n != "exclude_paths"}
+    values = [F.try_variant_get("value", f"$.{n}", _TYPES[k]).alias(n) for n, k in sorted(names.items())]
+    each = options.select("project", F.coalesce("gate_id", F.lit("")).alias("gate_id"), P.glob_regexes(F.col("exclude_paths")).alias("excluded"), *values)
+    own = F.struct("excluded", *sorted(names)).alias("own")
+    # a project's rows are one for each gate at most
+    return each.groupBy("project").agg(F.map_from_entries(F.collect_list(F.struct("gate_id", own))).alias("_options"))
+
+
+def with_options(files: DataFrame, options: DataFrame) -> DataFrame:
+    """files with their project's `_options`, which path filters and gates read before any text; null for other projects.
+
+    The table of options is copied to where the files lie if it is small, else joined by shuffle.
+    """
+    own = project_options(options)
+    size = own.agg(F.sum(F.octet_length(F.to_json("_options")))).first()[0] or 0
+    return files.join(F.broadcast(own) if size <= BROADCAST else own, "project", "left")

@@ -164,9 +164,9 @@ def own_options(files: DataFrame, gate: str) -> Column | None:
     return F.coalesce(F.try_element_at("_options", F.lit(gate)), F.try_element_at("_options", F.lit("")))
 
 
-def _asked(files: DataFrame, gate: str) -> Column:
-    """Whether a gate reads a file, by its path."""
-    scan = own_options(files, gate)
+def _asked(files: DataFrame, gate: str, as_gate: str | None = None) -> Column:
+    """Whether a gate reads a file, by its path; as_gate: the gate whose options hold."""
+    scan = own_options(files, as_gate or gate)
     if gate == "env_example_uncommented":
         return F.col("path").isin(R.ENV_EXAMPLES)
     if gate == "merge_conflict_markers":
@@ -177,7 +177,7 @@ def _asked(files: DataFrame, gate: str) -> Column:
     return own & ~(P.is_placeholder_register() if gate == "dead_placeholders" else P.is_license())
 
 
-def line_gates(files: DataFrame, gates: Iterable[str] = LINE_GATES, disabled: tuple[str, ...] = (), loopback: bool = False, unspecified: bool = False) -> DataFrame:
+def line_gates(files: DataFrame, gates: Iterable[str] = LINE_GATES, disabled: tuple[str, ...] = (), loopback: bool = False, unspecified: bool = False, as_gate: str | None = None) -> DataFrame:
     """(project, path, gate_id, line_no, rule, text, severity, category) of the findings of line gates, in one pass over the texts.
 
     files may carry `_options` (see config.with_options), which stand before the arguments.
@@ -187,7 +187,7 @@ def line_gates(files: DataFrame, gates: Iterable[str] = LINE_GATES, disabled: tu
     by_line = [g for g in gates if g in _MARKS]
     value = lambda gate, name, default: default if (o := own_options(files, gate)) is None else F.coalesce(o[name], default)
     asked = files.select(
-        "project", "path", "text", P.is_prose().alias("prose"), *[_asked(files, g).alias(g) for g in gates],
+        "project", "path", "text", P.is_prose().alias("prose"), *[_asked(files, g, as_gate).alias(g) for g in gates],
         value("dead_placeholders", "disabled_patterns", F.lit(list(disabled)).cast("array<string>")).alias("off"),
         *[value("network_scan", f"report_{n}", F.lit(d)).alias(n) for n, d in (("loopback", loopback), ("unspecified", unspecified))],
         *[value(g, "skip_default_data_files", F.lit(True)).alias(f"{g}_lists") for g in ("connection_strings", "network_scan") if g in gates],
@@ -263,7 +263,7 @@ def env_example_uncommented(files: DataFrame) -> DataFrame:
 
 def json_parse_errors(files: DataFrame, most: int = 5 << 20) -> DataFrame:
     """(project, path) of JSON files of 1 byte to the cap that don't parse."""
-    own = files.where((P.config_kind() == "json") & (F.col("size") > 0) & (F.col("size") <= most) & ~P.should_skip_content())
+    own = files.where((P.config_kind() == "json") & (F.col("size") > 0) & (F.col("size") <= most) & ~P.should_skip_content(scan=own_options(files, "config_parse_error")))
     return own.where(~X.valid_json(F.col("text")) & ~X.valid_json(X.jsonc_stripped(F.col("text")))).select("project", "path")
 
 
@@ -287,21 +287,28 @@ def tracked_env(files: DataFrame) -> DataFrame:
     return own.select("project", "path", F.lit(1).alias("line_no"), F.lit("env_file").alias("pattern"))
 
 
-def secrets_history(blobs: DataFrame, most: int | None = None) -> DataFrame:
+def secrets_history(blobs: DataFrame, most: int | None = None, own_most: DataFrame | None = None) -> DataFrame:
     """(project, file_path, severity) of credentials in any version that history holds: blobs (project, sha, path, seq, text).
 
     A blob is scanned once, under its first path, and its location is history:sha:path:line:pattern.
-    most: scan only so many blobs of a project, by seq; a project that has more gets an info row.
+    most: scan only so many blobs of a project, by seq, or as many as own_most (project, max_blobs)
+    says; a project that has more gets an info row.
     """
     once = blobs.groupBy("project", "sha").agg(F.min(F.struct("seq", "path")).alias("first")).select("project", "sha", "first.*")
-    if most is not None:
+    limited = most is not None or own_most is not None
+    if limited:
         once = once.withColumn("nth", F.row_number().over(W.partitionBy("project").orderBy("seq", "sha")))
-        more = once.where(F.col("nth") == most + 1).select("project", F.lit("history:limit").alias("file_path"), F.lit("info").alias("severity"))
-        once = once.where(F.col("nth") <= most).drop("nth")
+        bound = F.lit(most).cast("long")
+        if own_most is not None:
+            once = once.join(own_most.where("max_blobs > 0"), "project", "left")
+            bound = F.coalesce("max_blobs", bound)
+        more = once.where(F.col("nth") == bound + 1).select("project", F.lit("history:limit").alias("file_path"), F.lit("info").alias("severity"))
+        once = once.where(bound.isNull() | (F.col("nth") <= bound)).select("project", "sha", "seq", "path")
     # only blobs that may hold one move
     first = blobs.where(F.col("text").rlike(_ANY_SECRET)).join(once, ["project", "sha", "seq", "path"], "left_semi").dropDuplicates(["project", "sha"])
     # lines of a blob stay apart from those of other versions under the same path
-    found = secrets_scan(first.select(F.struct("project", "sha").alias("project"), "path", "text"))
+    own = first.select(F.struct("project", "sha").alias("project"), "path", "text", *[c for c in ("_options",) if c in first.columns])
+    found = line_gates(own, ("secrets_scan",), as_gate="secrets_scan_history").withColumnRenamed("rule", "pattern")
     place = F.concat_ws(":", F.lit("history"), F.substring("project.sha", 1, 8), "path", F.col("line_no").cast("string"), "pattern")
     out = found.select("project.project", place.alias("file_path"), F.lit("warning").alias("severity"))
-    return out if most is None else out.unionByName(more)
+    return out.unionByName(more) if limited else out

@@ -35,30 +35,68 @@ def tokens(files: DataFrame, pattern: str) -> DataFrame:
     return each.withColumn("line", (F.coalesce(F.sum(_newlines(F.col("token"))).over(before), F.lit(0)) + 1).cast("int"))
 
 
-def _fired(df: DataFrame, rules: dict[str, Column], line: str = "line") -> DataFrame:
+def _fired(df: DataFrame, rules: dict[str, Column], line: str = "line", more: tuple[str, ...] = ()) -> DataFrame:
     hits = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))
-    return df.select(*_FILE, F.col(line).cast("int").alias("line"), F.explode(hits).alias("rule"))
+    return df.select(*_FILE, F.col(line).cast("int").alias("line"), *more, F.explode(hits).alias("rule"))
 
 
 # Dockerfiles
 
-# Possessive repeats keep any number of continued lines, or attributes, off the stack.
-_INSTRUCTION_END = r"(?:[^\n\\]|\\[ \t]*\n|\\)*+(?:\n|\z)"
-_HERE_DOCUMENT = r"[ \t]*(?i:RUN|COPY|ADD)[ \t](?:[^\n\\<]|\\[ \t]*\n|\\|<(?!<-?[\"']?[A-Za-z_]))*+[^\n]*<<-?[\"']?([A-Za-z_]\w*)[\"']?[^\n]*\n(?:[\s\S]*?\n)?[ \t]*\1[ \t]*(?:\n|\z)"
-DOCKER_TOKEN = rf"[ \t]*(?:#[^\n]*)?(?:\n|\z)|{_HERE_DOCUMENT}|{_INSTRUCTION_END}"
+_OVERRIDE = "struct<ids:array<string>,reason:string,o_line:int>"
 
 
-def docker_instructions(files: DataFrame) -> DataFrame:
-    """(project, path, pos, line, kind, args): continued lines folded, comments and blank lines
-    dropped, the body of a here-document kept out."""
-    first = F.regexp_replace("token", r"\\[ \t]*\n[ \t]*", " ")
-    head = F.trim(F.regexp_extract(first, r"^([^\n]*)", 1))
-    parts = tokens(files, DOCKER_TOKEN).where(F.col("token").rlike(r"\S") & ~F.col("token").rlike(r"^\s*#"))
-    return parts.select(*_FILE, "pos", "line", F.upper(F.regexp_extract(head, r"^(\S+)", 1)).alias("kind"), F.regexp_extract(head, r"^\S+\s+([\s\S]*)", 1).alias("args"))
+def _override(comment: Column, line: Column) -> Column:
+    """What stands behind `ignore` in a comment, as an override; null if it names no rule."""
+    ids = F.filter(F.transform(F.split(F.split(comment, "reason:")[0], ","), lambda x: F.trim(x)), lambda x: x != "")
+    reason = F.trim(F.regexp_extract(comment, "(?s)reason:(.*)", 1))
+    return F.when(F.size(ids) > 0, F.struct(ids.alias("ids"), reason.alias("reason"), line.cast("int").alias("o_line")))
 
 
-def dockerfile_lint(files: DataFrame) -> DataFrame:
-    """from_untagged, from_latest, add_instruction, missing_user (first CMD or ENTRYPOINT of a stage), user_root."""
+def docker_instructions(files: DataFrame, marker: str = "quarry") -> DataFrame:
+    """(project, path, pos, line, end_line, kind, args, override): continued lines folded, comments and blank lines dropped,
+    the bodies of here-documents, of which an instruction may open several, kept out.
+
+    override is that of the last comment `# marker: ignore id[, id] [reason: text]` right above: other comments may stand
+    between, but a blank line or another instruction ends it. One fold over a file's lines.
+    """
+    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
+    nothing, closed = F.lit(None).cast(_OVERRIDE), F.array().cast("array<string>")
+    kind = f"array<struct<line:int,end_line:int,kind:string,args:string,override:{_OVERRIDE}>>"
+
+    def step(state, x):
+        line, own = x["line"], trimmed(x["line"])
+        body = F.size(state["open"]) > 0  # in a here-document
+        going = ~body & (state["begun"] > 0)
+        blank, comment = ~going & (own == ""), ~going & own.startswith("#")
+        text = F.when(going, F.concat(state["text"], F.lit(" "), own)).otherwise(line)
+        folds = text.rlike(r"\\[ \t]*\z") & ~x["last"]
+        code = ~body & ~blank & ~comment & ~(x["last"] & ~going)
+        ends = code & ~folds
+        whole = trimmed(F.regexp_replace(text, r"\\[ \t]*\z", ""))
+        begun = F.when(going, state["begun"]).otherwise(x["no"])
+        at = F.array_position(state["open"], own)
+        left = F.when(at > 0, F.concat(F.slice(state["open"], F.lit(1), (at - 1).cast("int")), F.slice(state["open"], (at + 1).cast("int"), F.size(state["open"])))).otherwise(state["open"])
+        opened = F.regexp_extract_all(whole, F.lit(r"<<-?\s*[\"']?([A-Za-z_][A-Za-z0-9_]*)[\"']?"), F.lit(1))
+        said = F.regexp_extract(own, rf"(?s)^#\s*{marker}:\s*ignore\s+(.*)\z", 1)
+        pending = F.when(body | going & ~ends, state["pending"]).when(blank | ends, nothing).when(comment, F.coalesce(_override(said, x["no"]), state["pending"])).otherwise(state["pending"])
+        next_ = F.struct(
+            F.when(body, left).when(ends, opened).otherwise(closed).alias("open"), F.when(code & folds, begun).otherwise(0).alias("begun"),
+            F.when(code & folds, F.regexp_replace(text, r"\\[ \t]*\z", "")).otherwise("").alias("text"), pending.alias("pending"),
+        )
+        args = trimmed(F.regexp_extract(whole, r"(?s)^[^ \t]+[ \t](.*)\z", 1))
+        found = F.struct(begun.alias("line"), x["no"].alias("end_line"), F.upper(F.regexp_extract(whole, r"^([^ \t]+)", 1)).alias("kind"), args.alias("args"), state["pending"].alias("override"))
+        return next_, F.when(ends & (whole != ""), F.array(found)).otherwise(F.array().cast(kind))
+
+    lines = F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n", -1)
+    # a last piece without text ends an instruction that goes on
+    numbered = lambda ls: F.transform(F.concat(ls, F.array(F.lit(""))), lambda x, i: F.struct(x.alias("line"), F.least(i + 1, F.size(ls)).alias("no"), (i == F.size(ls)).alias("last")))
+    start = F.struct(closed.alias("open"), F.lit(0).alias("begun"), F.lit("").alias("text"), nothing.alias("pending"))
+    found = X.scan(F.transform(F.array(lines), numbered)[0], start, F.array().cast(kind), step)
+    return files.where(F.col("text").isNotNull()).select(*_FILE, F.posexplode(found).alias("pos", "i")).select(*_FILE, "pos", "i.*")
+
+
+def dockerfile_findings(files: DataFrame) -> DataFrame:
+    """dockerfile_lint's findings with reason and override_severity (see apply_overrides) of the override of their instruction."""
     before, so_far = _ordered("stage").rowsBetween(W.unboundedPreceding, -1), _ordered().rowsBetween(W.unboundedPreceding, 0)
     kind, start = F.col("kind"), F.col("kind").isin("CMD", "ENTRYPOINT")
     words = F.filter(F.split("args", r"\s+"), lambda w: ~w.startswith("--platform="))
@@ -69,13 +107,21 @@ def dockerfile_lint(files: DataFrame) -> DataFrame:
     own = own.withColumn("done", F.coalesce(F.max((start | (kind == "USER")).cast("int")).over(before), F.lit(0)))
     tag = F.regexp_extract(F.split("image", "@")[0], r":([^:]*)\z", 1)
     user = F.regexp_extract("args", r"^([^:]*)", 1)
-    return _fired(own, {
+    fired = _fired(own, {
         "from_untagged": (kind == "FROM") & ~F.col("image").contains(":") & ~F.array_contains("aliases", F.lower("image")),
         "from_latest": (kind == "FROM") & (tag == "latest"),
         "add_instruction": kind == "ADD",
         "missing_user": start & (F.col("stage") > 0) & (F.col("done") == 0),
         "user_root": (kind == "USER") & user.isin("root", "0"),
-    })
+    }, more=("override",))
+    meant = F.array_contains("override.ids", F.col("rule")) | F.array_contains("override.ids", "*")
+    reason = F.when(meant, F.col("override.reason"))
+    return fired.select(*_FILE, "line", "rule", reason.alias("reason"), F.when(reason.isNotNull(), F.when(reason == "", "warning").otherwise("info")).alias("override_severity"))
+
+
+def dockerfile_lint(files: DataFrame) -> DataFrame:
+    """from_untagged, from_latest, add_instruction, missing_user (first CMD or ENTRYPOINT of a stage), user_root."""
+    return dockerfile_findings(files).select(*_FILE, "line", "rule")
 
 
 # HTML
@@ -256,15 +302,16 @@ def markdown_lint(files: DataFrame, enabled: tuple[str, ...] = (), existing: Dat
 # Inline overrides
 
 
-def overrides(files: DataFrame, marker: str = "quarry") -> DataFrame:
+def overrides(files: DataFrame, marker: str = "quarry", inline: bool = False) -> DataFrame:
     """(project, path, o_line, ids, reason) of comments `# marker: ignore id[, id] [reason: text]`, also in <!-- --> and /* */.
 
-    Without ids a comment overrides nothing; * stands for all rules.
+    Without ids a comment overrides nothing; * stands for all rules. inline: the comment may stand behind other text, as in
+    YAML, at the line's first #.
     """
-    comment = F.regexp_extract("token", rf"(?:^\s*#|<!--|/\*)\s*{marker}:\s*ignore\s+(.*?)\s*(?:-->|\*/|\n|\z)", 1)
-    own = tokens(files.where(F.col("text").contains(marker + ":")), r"[^\n]*(?:\n|\z)").withColumn("c", comment).where("c <> ''")
-    ids = F.filter(F.transform(F.split(F.split("c", "reason:")[0], ","), lambda x: F.trim(x)), lambda x: x != "")
-    return own.select(*_FILE, F.col("line").alias("o_line"), ids.alias("ids"), F.trim(F.regexp_extract("c", "reason:(.*)", 1)).alias("reason")).where(F.size("ids") > 0)
+    lead = r"^[^#]*#" if inline else r"^\s*#"
+    comment = F.regexp_extract("token", rf"(?:{lead}|<!--|/\*)\s*{marker}:\s*ignore\s+(.*?)\s*(?:-->|\*/|\n|\z)", 1)
+    own = tokens(files.where(F.col("text").contains(marker + ":")), r"[^\n]*(?:\n|\z)").withColumn("o", _override(comment, F.col("line")))
+    return own.where("o IS NOT NULL").select(*_FILE, "o.o_line", "o.ids", "o.reason")
 
 
 def apply_overrides(findings: DataFrame, over: DataFrame, reach: int = 6) -> DataFrame:

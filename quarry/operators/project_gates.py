@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import rules as R
 from ..sources.tables import ancestor_dirs
+from .lines import own_options
 
 
 def _in(folders: tuple[str, ...]) -> Column:
@@ -95,7 +96,8 @@ def _over(sized: DataFrame, most: int, thresholds: DataFrame | None) -> DataFram
 
 def large_files(files: DataFrame, most: int = 5 << 20, thresholds: DataFrame | None = None) -> DataFrame:
     """(project, path, size) of large files that are not in large-file storage."""
-    own = files.where((F.col("size") > 1) & ~P.subsumed_by_vendored()).select("project", "path", "size")
+    skipped = P.should_skip(scan=own_options(files, "large_file_tracked")) | P.subsumed_by_vendored()
+    own = files.where((F.col("size") > 1) & ~skipped).select("project", "path", "size")
     return _over(own, most, thresholds).join(lfs_managed(files), ["project", "path"], "left_anti")
 
 
@@ -105,14 +107,14 @@ def executable_bits(files: DataFrame) -> DataFrame:
     script = F.lit(False)
     for d in R.SCRIPT_DIRS:
         script = script | F.col("path").startswith(d)
-    return files.where((F.col("mode") == "100755") & text & ~script & ~P.subsumed_by_vendored()).select("project", "path")
+    return files.where((F.col("mode") == "100755") & text & ~script & ~P.subsumed_by_vendored() & ~P.should_skip(scan=own_options(files, "unexpected_executable_bit"))).select("project", "path")
 
 
 def ide_artifacts(files: DataFrame) -> DataFrame:
     b = P.base()
     folder = F.exists(P.dirs(), lambda d: F.concat(d, F.lit("/")).isin(R.IDE_DIRS))
     shared = F.array_contains(P.dirs(), ".vscode") & (b.isin(R.SHARED_EDITOR_FILES) | b.endswith(".code-snippets"))
-    return files.where((b.isin(R.IDE_NAMES) | b.rlike(r"\.sw[po]$|~$") | folder) & ~shared).select("project", "path")
+    return files.where((b.isin(R.IDE_NAMES) | b.rlike(r"\.sw[po]$|~$") | folder) & ~shared & ~P.should_skip(scan=own_options(files, "ide_artifact_tracked"))).select("project", "path")
 
 
 _ODD = (("spaces", " "), ("control characters", r"[\x00-\x1F\x7F-\x9F]"), ("bidirectional characters", r"[؜‎‏‪-‮⁦-⁩]"), ("zero-width characters", r"[­͏᠎​-‍⁠﻿]"))
@@ -121,7 +123,8 @@ _ODD = (("spaces", " "), ("control characters", r"[\x00-\x1F\x7F-\x9F]"), ("bidi
 def odd_names(files: DataFrame) -> DataFrame:
     """(project, path, problems): comma-joined kinds of odd characters in the base name."""
     found = F.array_compact(F.array(*[F.when(P.base().rlike(p), F.lit(n)) for n, p in _ODD]))
-    return files.select("project", "path", F.array_join(found, ", ").alias("problems")).where("problems <> ''")
+    own = files.where(~P.should_skip(scan=own_options(files, "filename_quality")) & ~P.subsumed_by_vendored())
+    return own.select("project", "path", F.array_join(found, ", ").alias("problems")).where("problems <> ''")
 
 
 def vendored_dirs(files: DataFrame) -> DataFrame:
@@ -135,7 +138,7 @@ def vendored_dirs(files: DataFrame) -> DataFrame:
     for p in reversed(R.VENDORED_PREFIXES):
         name = p.rstrip("/").replace(".", r"\.")
         out = F.when(F.concat(F.lit("/"), F.col("path")).contains("/" + p), F.regexp_extract("path", rf"^((?:.*?/)?{name})/", 1)).otherwise(out)
-    keys = files.where(~P.should_skip()).select("project", out.alias("key")).where(F.col("key").isNotNull()).distinct()
+    keys = files.where(~P.should_skip(scan=own_options(files, "vendored_dir_tracked"))).select("project", out.alias("key")).where(F.col("key").isNotNull()).distinct()
     keys = keys.where(~F.arrays_overlap(F.split("key", "/"), F.lit(R.SERVED_ROOTS))).withColumn("name", F.element_at(F.split("key", "/"), -1))
     has = lambda path: F.max(F.coalesce(path, F.lit(False)))
     path = F.col("path")
@@ -157,7 +160,7 @@ def vendored_dirs(files: DataFrame) -> DataFrame:
 
 def presence_hints(projects: DataFrame, files: DataFrame) -> DataFrame:
     """(project, gate_id, file_path): projects without a container file, and without a Compose file. For those that asked."""
-    own = files.where(~P.should_skip_content()).select("project", P.file_kind().alias("kind")).where("kind IN ('dockerfile', 'compose')").distinct()
+    own = files.where(~P.should_skip_content(scan=own_options(files, "dockerfile_lint"))).select("project", P.file_kind().alias("kind")).where("kind IN ('dockerfile', 'compose')").distinct()
     wanted = projects.select("project").distinct().withColumn("kind", F.explode(F.array(F.lit("dockerfile"), F.lit("compose"))))
     without = wanted.join(own, ["project", "kind"], "left_anti")
     return without.select("project", F.concat("kind", F.lit("_lint")).alias("gate_id"), F.when(F.col("kind") == "compose", "compose.yml").otherwise("Dockerfile").alias("file_path"))
@@ -167,25 +170,38 @@ def presence_hints(projects: DataFrame, files: DataFrame) -> DataFrame:
 MANIFESTS = ("package.json", "Cargo.toml", "pyproject.toml", "mix.exs", "pom.xml", "VERSION", "version.txt")
 
 
-def _in_section(name: str) -> Column:
-    """The version in a section of a TOML file."""
-    section = F.regexp_extract("text", rf"(?ms)^\s*\[{name}\][^\n]*\n(.*?)(?=^\s*\[|\z)", 1)
-    return F.regexp_extract(section, r"(?m)^\s*version\s*=\s*[\"']([^\"']*)[\"']", 1)
+def _in_sections(*names: str) -> Column:
+    """The first version, in double quotes, in any of these sections of a TOML file."""
+    wanted = F.lit([f"[{n}]" for n in names])
+
+    def step(state, line):
+        own = F.regexp_replace(line, r"^\s+|\s+\z", "")
+        header = own.startswith("[") & own.endswith("]")
+        here = F.when(header, F.array_contains(wanted, own)).otherwise(state["here"])
+        found = F.when(here & ~header, F.regexp_extract(line, r"^\s*version\s*=\s*\"([^\"]+)\"", 1)).otherwise("")
+        return F.struct(here.alias("here"), F.when(state["version"] == "", found).otherwise(state["version"]).alias("version"))
+
+    return F.aggregate(F.split("text", "\n", -1), F.struct(F.lit(False).alias("here"), F.lit("").alias("version")), step, lambda state: state["version"])
 
 
 def manifest_versions(files: DataFrame) -> DataFrame:
-    """(project, path, version) declared by root manifests, without a leading v."""
-    own = files.where(F.col("path").isin(*MANIFESTS))
+    """(project, path, version) declared by root manifests, without a leading v.
+
+    Of a JSON, Elixir or XML manifest the first that stands anywhere in it, of a TOML one the first in the package's
+    section; a plain file must hold nothing else.
+    """
+    own, path = files.where(F.col("path").isin(*MANIFESTS)), F.col("path")
+    plain = F.regexp_replace("text", r"^\s+|\s+\z", "")
     raw = (
-        F.when(F.col("path") == "package.json", F.get_json_object("text", "$.version"))
-        .when(F.col("path") == "Cargo.toml", _in_section("package"))
-        .when(F.col("path") == "pyproject.toml", F.coalesce(F.nullif(_in_section("project"), F.lit("")), _in_section(r"tool\.poetry")))
-        .when(F.col("path") == "mix.exs", F.regexp_extract("text", r"\bversion:\s*\"([^\"]*)\"", 1))
-        .when(F.col("path") == "pom.xml", F.regexp_extract(F.regexp_replace("text", r"(?s)<parent>.*?</parent>", ""), r"<version>([^<]*)</version>", 1))
-        .otherwise(F.trim(F.substring_index("text", "\n", 1)))
+        F.when(path == "package.json", F.regexp_extract("text", r"\"version\"\s*:\s*\"([^\"]+)\"", 1))
+        .when(path == "Cargo.toml", _in_sections("package", "workspace.package"))
+        .when(path == "pyproject.toml", _in_sections("project", "tool.poetry"))
+        .when(path == "mix.exs", F.regexp_extract("text", r"@version\s+\"([^\"]+)\"", 1))
+        .when(path == "pom.xml", F.regexp_extract("text", r"<version>\s*([^<\s]+)\s*</version>", 1))
+        .otherwise(F.when(~plain.rlike(r"[\n#]"), plain))
     )
-    version = F.regexp_replace(raw, "^v", "")
-    return own.select("project", "path", version.alias("version")).where(F.col("version").rlike(r"^\d+(\.\d+){1,3}([-+][0-9A-Za-z.+-]*)?\z"))
+    version = F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+\z", ""), "^v", "")
+    return own.select("project", "path", version.alias("version")).where(F.col("version").rlike(r"^\d+(\.\d+){1,3}([-+][0-9A-Za-z_.-]+)?\z"))
 
 
 def version_drift(files: DataFrame) -> DataFrame:
@@ -197,7 +213,8 @@ def version_drift(files: DataFrame) -> DataFrame:
 
 
 def large_blobs(blobs: DataFrame, most: int = 5 << 20, thresholds: DataFrame | None = None) -> DataFrame:
-    return _over(blobs.select("project", "sha", "size"), most, thresholds).select("project", F.concat(F.lit("history:"), F.left("sha", F.lit(8))).alias("file_path"), "size").distinct()
+    own = blobs.where(~P.should_skip(scan=own_options(blobs, "large_blob_in_history"))) if "path" in blobs.columns else blobs
+    return _over(own.select("project", "sha", "size"), most, thresholds).select("project", F.concat(F.lit("history:"), F.left("sha", F.lit(8))).alias("file_path"), "size").distinct()
 
 
 def existing(files: DataFrame) -> DataFrame:
@@ -220,14 +237,19 @@ def _own_lines(files: DataFrame, name: str) -> DataFrame:
     return each.select("project", F.trim(F.regexp_replace("l", r"\r\z", "")).alias("rule_line")).where("rule_line <> '' AND NOT startswith(rule_line, '#')")
 
 
-def gitignore_coverage(files: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
+def gitignore_coverage(files: DataFrame, disabled: tuple[str, ...] = (), own_disabled: DataFrame | None = None) -> DataFrame:
     """(project, pattern): what a project's stack asks .gitignore to cover and it doesn't. Silent without .gitignore.
 
+    own_disabled: (project, off) of projects that switch patterns off.
+
     One join by project: a project's required patterns are few, its lines are one file.
     """
     root = files.where(F.col("path").isin(*R.STACK_MARKERS, ".gitignore")).groupBy("project").agg(F.collect_set("path").alias("names"))
     asks = F.array_union(F.lit(list(R.IGNORE_ALWAYS)), F.flatten(F.filter(F.array(*[F.when(F.array_contains("names", m), F.lit(list(p))) for m, p in R.IGNORE_BY_MARKER.items()]), lambda x: x.isNotNull())))
     off = F.lit([d.strip("/") for d in disabled]) if disabled else F.array().cast("array<string>")
+    if own_disabled is not None:
+        root = root.join(own_disabled, "project", "left")
+        off = F.array_union(off, F.transform(F.coalesce("off", F.array().cast("array<string>")), lambda x: F.regexp_replace(F.trim(x), "^/+|/+$", "")))
     wanted = root.where(F.array_contains("names", ".gitignore") & F.arrays_overlap("names", F.lit(list(R.STACK_MARKERS)))).select("project", F.explode(F.array_distinct(F.array_except(asks, off))).alias("pattern"))
     has = ignore_lines(files)
     whole, last = F.col("pattern"), F.substring_index("pattern", "/", -1)

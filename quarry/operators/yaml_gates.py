@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import rules as R
+from .lines import own_options
 from .markup import apply_overrides, overrides
 
 NODES = "project string, path string, doc int, key_path array<string>, kind string, scalar string, line int"
@@ -274,13 +275,14 @@ def _is_item(k: int) -> Column:
     return F.get("key_path", F.lit(k)).rlike(r"^\[[0-9]+\]\z")
 
 
-def compose_lint(files: DataFrame, disabled: tuple[str, ...] = (), orchestrators: tuple[str, ...] = ()) -> DataFrame:
+def compose_lint(files: DataFrame, disabled: tuple[str, ...] = (), orchestrators: tuple[str, ...] = (), own_images: DataFrame | None = None) -> DataFrame:
     """(project, path, line, rule) over Compose files: yaml_invalid, privileged_true, network_mode_host,
     docker_socket_mount (.._orchestrator for images that need it), missing_memory_limit.
 
-    One aggregate a service over the file's nodes; only the first document counts.
+    One aggregate a service over the file's nodes; only the first document counts. own_images: (project, images) of
+    projects with more images that need the socket.
     """
-    composes = files.where(P.base().isin(R.COMPOSE_NAMES) & ~P.should_skip_content())
+    composes = files.where(P.base().isin(R.COMPOSE_NAMES) & ~P.should_skip_content(scan=own_options(files, "compose_lint")))
     nodes = yaml_nodes(composes).where("doc = 0")
     scalar = F.col("kind") == "scalar"
     bad = (F.col("kind") == "error") | (_at() & (F.col("kind") != "map"))
@@ -305,6 +307,9 @@ def compose_lint(files: DataFrame, disabled: tuple[str, ...] = (), orchestrators
     known = F.lit(False)
     for o in (*R.ORCHESTRATOR_IMAGES, *(x.lower() for x in orchestrators)):
         known = known | (name == o) | name.endswith("/" + o)
+    if own_images is not None:
+        mounts = mounts.join(own_images, "project", "left")
+        known = known | F.exists(F.coalesce("images", F.array().cast("array<string>")), lambda i: (name == F.lower(i)) | name.endswith(F.concat(F.lit("/"), F.lower(i))))
     rule = F.when(F.coalesce(known, F.lit(False)), "docker_socket_mount_orchestrator").otherwise("docker_socket_mount")
     row = lambda line, r: F.struct(F.col(line).alias("line"), F.lit(r).alias("rule"))
     found = F.array_compact(F.array(
@@ -320,7 +325,7 @@ def compose_lint(files: DataFrame, disabled: tuple[str, ...] = (), orchestrators
 
 def compose_overridden(findings: DataFrame, files: DataFrame) -> DataFrame:
     """Findings of compose_lint as inline overrides change them; one of docker_socket_mount covers orchestrators too."""
-    over = overrides(files)
+    over = overrides(files.where(P.base().isin(R.COMPOSE_NAMES)), inline=True)
     both = F.array_union("ids", F.array(F.lit("docker_socket_mount_orchestrator")))
     return apply_overrides(findings, over.withColumn("ids", F.when(F.array_contains("ids", "docker_socket_mount"), both).otherwise(F.col("ids"))))
 
@@ -336,5 +341,5 @@ def branch_protection_missing(projects: DataFrame, files: DataFrame) -> DataFram
 def yaml_parse_errors(files: DataFrame, most: int = 5 << 20) -> DataFrame:
     """(project, path) of YAML files that don't parse; templates are not YAML yet and are left out."""
     template = F.col("text").rlike(r"\{\{|\{%|<%")
-    own = files.where((P.config_kind() == "yaml") & (F.col("size") > 0) & (F.col("size") <= most) & ~P.should_skip_content() & ~template)
+    own = files.where((P.config_kind() == "yaml") & (F.col("size") > 0) & (F.col("size") <= most) & ~P.should_skip_content(scan=own_options(files, "config_parse_error")) & ~template)
     return yaml_nodes(own).where("kind = 'error'").select(*_FILE)

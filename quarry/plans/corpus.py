@@ -11,7 +11,7 @@ PATHS = (
     "conf-backup-20240131/c{}.yml package-lock.json web/app{}.js.map api/p{}.pb.go node_modules/m{}/index.js ios/Pods/p{}/a.m .cargo/registry/r{}.rs .yarn/cache/z{}.zip .next/b{}.js my_cache/f{}.bin "
     "web/site{}.min.js img/logo{}.png target/debug/d{}.o CHANGELOG.md LICENSE.md LICENSE-MIT rules/r{}.yaml sig{}.yar TODO.md docs/guide{}.rst tsconfig.{}.json .vscode/s{}.json .vscode/settings.json "
     "deploy/k{}.yml www/p{}.html www/s{}.css docs/page {}.md Dockerfile compose.yaml .github/workflows/ci{}.yml .gitignore CONTRIBUTING.md .github/SECURITY.md .github/CODEOWNERS "
-    ".github/ISSUE_TEMPLATE/bug{}.md docs/CODE_OF_CONDUCT.md .idea/w{}.xml x{}.swp pkg/vendor/lib{}.go vendor/v{}.go dist/bundle{}.js .env.example go.mod package.json lib/conftest.py a{}/b/c.toml scripts/run{}.sh config/net{}.conf"
+    ".github/ISSUE_TEMPLATE/bug{}.md docs/CODE_OF_CONDUCT.md .idea/w{}.xml x{}.swp pkg/vendor/lib{}.go vendor/v{}.go dist/bundle{}.js .env.example go.mod package.json lib/conftest.py a{}/b/c.toml scripts/run{}.sh config/net{}.conf www/t{}.scss"
 ).replace("page {}.md", "page\x00{}.md").split()
 PATHS = [p.replace("\x00", " ") for p in PATHS]
 #: Lines put after a document's text, by id.

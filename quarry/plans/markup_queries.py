@@ -105,10 +105,13 @@ def secrets_scan(spark, sf_dir):
 
 
 def overridden(spark, sf_dir):
-    """Findings over Dockerfiles with a comment above the fourth line, as the override changes them."""
-    note = "# quarry: ignore from_untagged, user_root reason: base of ours\nFROM node\nUSER root\n\n\n\n\n\nUSER root\n"
-    f = _sampled(spark, sf_dir, ((note, []),), "/Dockerfile", "RUN ")
-    return M.apply_overrides(M.dockerfile_lint(f), M.overrides(f))
+    """Findings over Dockerfiles as comments above instructions change them: one is cut off by a blank line if the document has a certain word."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("text", F.coalesce("text", F.lit("")))
+    text = F.concat(
+        F.lit("# quarry: ignore from_untagged, user_root reason: base of ours\n"), F.when(F.col("text").contains("the "), " \n").otherwise("# plain\n"),
+        F.lit("FROM node\n# quarry: ignore *\n# why\nUSER root\nRUN cat <<A <<-'B' \\\n  # goes on\nUSER root\nB\nFROM x\nA\nUSER root\n"), F.regexp_replace("text", "(?m)^", "RUN "),
+    )
+    return M.dockerfile_findings(d.select(F.col("source").alias("project"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), text.alias("text")))
 
 
 def gitignore_coverage(spark, sf_dir):
@@ -184,7 +187,9 @@ SQL = {
     "page_links": r"""SELECT page_id::VARCHAR AS path, len(t) AS n_links, len(list_filter(t, lambda x: regexp_matches(x, '\shref[\s=>]'))) AS n_href
 FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<textarea\b.*?</textarea\s*>', '', 'g'), '(?i)<a(?:\s[^>]*)?>') AS t FROM pages) WHERE len(t) > 0""",
     "secrets_scan": _expected(SECRETS, "/conf.txt", rule="pattern", line="line_no"),
-    "overridden": "SELECT source AS project, 'd' || doc_id || '/Dockerfile' AS path, line, rule, reason, CASE WHEN reason IS NOT NULL THEN 'info' END AS override_severity FROM documents, (VALUES (2, 'from_untagged', 'base of ours'), (3, 'user_root', 'base of ours'), (9, 'user_root', NULL)) v(line, rule, reason)",
+    "overridden": """SELECT source AS project, 'd' || doc_id AS path, line, rule, CASE WHEN line = 3 AND contains(coalesce(text, ''), 'the ') THEN NULL ELSE reason END AS reason,
+  CASE WHEN line = 6 THEN 'warning' WHEN line = 3 AND NOT contains(coalesce(text, ''), 'the ') THEN 'info' END AS override_severity
+FROM documents, (VALUES (3, 'from_untagged', 'base of ours'), (6, 'user_root', ''), (13, 'user_root', NULL)) v(line, rule, reason)""",
     "gitignore_coverage": """SELECT 'r' || doc_id AS project, pattern FROM (SELECT doc_id, unnest(list_concat(['.DS_Store'], ([['node_modules'], ['__pycache__', '.venv'], ['.bundle', 'vendor/bundle'], []])[doc_id % 4 + 1])) AS pattern FROM documents)
 WHERE NOT list_contains(([['node_modules', '.DS_Store'], ['__pycache__'], ['.DS_Store', '.bundle']])[doc_id % 3 + 1], pattern)""",
     "lfs_managed": "SELECT DISTINCT source AS project, (['art/', 'a/b/', '', 'raw/', ''])[doc_id % 5 + 1] || doc_id || (['.psd', '.bin', '', '/x.dat', ''])[doc_id % 5 + 1] AS path FROM documents WHERE doc_id % 5 IN (0, 1, 3)",

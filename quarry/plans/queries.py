@@ -102,19 +102,19 @@ def vendored_dirs(spark, sf_dir):
 
 
 def version_drift(spark, sf_dir):
-    f = files(spark, sf_dir)
-    path = F.get(F.array(*[F.lit(m) for m in G.MANIFESTS]), (F.col("seq") % len(G.MANIFESTS)).cast("int"))
-    version = F.concat_ws(".", F.lit("v1"), (F.col("seq") % 3).cast("string"), F.lit("0"))
-    whole = lambda before, after: F.concat(F.lit(before), version, F.lit(after), F.col("text"))  # noqa: E731  each document's text goes along
+    """Manifests that hold each document's text, before or behind the version, by id."""
+    f = files(spark, sf_dir).withColumn("t", F.regexp_replace(F.coalesce("text", F.lit("")), r'["\\<>]', " "))
+    path = F.get(F.lit(list(G.MANIFESTS)), (F.col("seq") % len(G.MANIFESTS)).cast("int"))
+    version = F.concat(F.lit("v1."), (F.col("seq") % 3).cast("string"), F.when(F.length("t") % 5 == 0, "-rc_1").otherwise(".0"))
     text = (
-        F.when(path == "package.json", F.concat(F.lit('{"version": "'), version, F.lit('", "description": '), F.to_json(F.struct("text")), F.lit("}")))
-        .when(path == "Cargo.toml", whole('[package]\nversion = "', '"\n[dependencies]\nversion = "9.9.9"\n'))
-        .when(path == "pyproject.toml", whole('[project]\nname = "x"\nversion = "', '"\n[tool.x]\nversion = "9.9.9"\n'))
-        .when(path == "mix.exs", whole('[app: :x, version: "', '"]\n'))
-        .when(path == "pom.xml", whole("<parent><version>9.9.9</version></parent><version>", "</version>"))
-        .otherwise(whole("", "\n"))
+        F.when(path == "package.json", F.concat(F.lit('{"name": "'), F.regexp_replace("t", r"\s", " "), F.lit('", "version" : "'), version, F.lit('", "engines": {"version": "9.9.9"}}')))
+        .when(path == "Cargo.toml", F.concat(F.lit('[dependencies]\nversion = "9.9.9"\n[workspace.package]\n'), F.col("t"), F.lit('\n  version="'), version, F.lit('"\n')))
+        .when(path == "pyproject.toml", F.concat(F.lit('[tool.x]\nversion = "9.9.9"\n[tool.poetry]\nname = "x"\nversion = "'), version, F.lit('"\n[project]\nversion = "8.8.8"\n'), F.col("t")))
+        .when(path == "mix.exs", F.concat(F.col("t"), F.lit('\n[app: :x, version: "9.9.9"]\n  @version "'), version, F.lit('"\n')))
+        .when(path == "pom.xml", F.concat(F.lit("<parent><version>\n"), version, F.lit("\n</version></parent><version>9.9.9</version>"), F.col("t")))
+        .otherwise(F.concat(F.lit("\n "), version, F.lit("\n"), F.when(F.length("t") % 2 == 0, F.lit("")).otherwise(F.col("t"))))
     )
-    return G.version_drift(f.select(F.concat(F.lit("g"), F.expr("seq div 7").cast("string")).alias("project"), path.alias("path"), text.alias("text")))
+    return G.version_drift(f.select(F.concat(F.lit("g"), F.expr("seq div 14").cast("string"), F.when(F.col("seq") % 2 == 0, "").otherwise("b")).alias("project"), path.alias("path"), text.alias("text")))
 
 
 def large_blobs(spark, sf_dir):
@@ -259,7 +259,7 @@ p2 AS (SELECT *,
   lbase IN {_in(R.PLACEHOLDER_REGISTERS)} AS is_placeholder_register, ext IN {_in(R.PROSE_EXTENSIONS)} AS is_prose,
   CASE WHEN ext = '.json' AND NOT (lbase IN ('devcontainer.json', '.devcontainer.json') OR regexp_matches(lbase, '^[tj]sconfig\\..*json$') OR list_has_any(lparts, ['.vscode', '.devcontainer'])) THEN 'json'
     WHEN ext IN ('.yml', '.yaml') THEN 'yaml' ELSE 'none' END AS config_kind,
-  CASE WHEN ext IN ('.html', '.htm') THEN 'html' WHEN ext = '.css' AND NOT ends_with(lbase, '.min.css') THEN 'css' WHEN ext IN ('.md', '.markdown') THEN 'markdown'
+  CASE WHEN ext IN ('.html', '.htm') THEN 'html' WHEN ext IN {_in(R.STYLESHEET_EXTENSIONS)} AND NOT ends_with(lbase, '.min.css') THEN 'css' WHEN ext IN ('.md', '.markdown') THEN 'markdown'
     WHEN base = 'Dockerfile' OR starts_with(base, 'Dockerfile.') THEN 'dockerfile' WHEN base IN {_in(R.COMPOSE_NAMES)} THEN 'compose' ELSE 'none' END AS file_kind
   FROM p1),
 p3 AS (SELECT *, is_test_file OR base = 'conftest.py' OR {_any(R.FIXTURE_DIRS)} OR len(list_filter(dirs, lambda d: regexp_matches(d, '.Tests?$'))) > 0 AS is_fixture_path,
@@ -340,13 +340,16 @@ SELECT project, category, count(*) AS n FROM (SELECT project, {_CATEGORY} AS cat
     "tests_missing": _WITH_P
     + f", q AS (SELECT * FROM p WHERE NOT regexp_matches(path, '^(tests/|lib/conftest|src/)')), h AS (SELECT project FROM q WHERE NOT (list_has_any(dirs, {_arr(R.PRUNED_DIRS)}) OR len(list_filter(dirs, lambda d: starts_with(d, '.'))) > 0) AND ({_TESTS})) "
     + f"SELECT DISTINCT project, CASE WHEN project IN (SELECT project FROM q WHERE path IN {_in(R.PROJECT_MARKERS)}) THEN 'warning' ELSE 'info' END AS severity FROM q WHERE project NOT IN (SELECT project FROM h)",
-    "large_files": _WITH_P + "SELECT project, path, size FROM p WHERE size > 5242880 AND NOT subsumed_by_vendored",
+    "large_files": _WITH_P + "SELECT project, path, size FROM p WHERE size > 5242880 AND NOT (subsumed_by_vendored OR should_skip)",
     "executable_bits": _WITH_P
-    + f"SELECT project, path FROM p WHERE mode = '100755' AND (ext IN {_in(R.EXEC_TEXT_EXTENSIONS)} OR lbase IN {_in(_LOCKS)}) AND NOT ({' OR '.join(f'starts_with(path, {chr(39)}{d}{chr(39)})' for d in R.SCRIPT_DIRS)}) AND NOT subsumed_by_vendored",
+    + f"SELECT project, path FROM p WHERE mode = '100755' AND (ext IN {_in(R.EXEC_TEXT_EXTENSIONS)} OR lbase IN {_in(_LOCKS)}) AND NOT ({' OR '.join(f'starts_with(path, {chr(39)}{d}{chr(39)})' for d in R.SCRIPT_DIRS)}) AND NOT (subsumed_by_vendored OR should_skip)",
     "ide_artifacts": _WITH_P
-    + f"SELECT project, path FROM p WHERE (base IN {_in(R.IDE_NAMES)} OR regexp_matches(base, '\\.sw[po]$|~$') OR list_has_any(dirs, {_arr(d.rstrip('/') for d in R.IDE_DIRS)})) AND NOT (list_contains(dirs, '.vscode') AND (base IN {_in(R.SHARED_EDITOR_FILES)} OR ends_with(base, '.code-snippets')))",
-    "odd_names": _WITH_P + "SELECT project, path, 'spaces' AS problems FROM p WHERE contains(base, ' ')",
-    "version_drift": f"""WITH v AS (SELECT 'g' || (doc_id // 7) AS project, ({_arr(G.MANIFESTS)})[doc_id % 7 + 1] AS path, '1.' || (doc_id % 3) || '.0' AS version FROM documents)
+    + f"SELECT project, path FROM p WHERE (base IN {_in(R.IDE_NAMES)} OR regexp_matches(base, '\\.sw[po]$|~$') OR list_has_any(dirs, {_arr(d.rstrip('/') for d in R.IDE_DIRS)})) AND NOT (list_contains(dirs, '.vscode') AND (base IN {_in(R.SHARED_EDITOR_FILES)} OR ends_with(base, '.code-snippets'))) AND NOT should_skip",
+    "odd_names": _WITH_P + "SELECT project, path, 'spaces' AS problems FROM p WHERE contains(base, ' ') AND NOT (should_skip OR subsumed_by_vendored)",
+    # a plain file counts if nothing but blanks stands behind the version; all others give it whatever the text is
+    "version_drift": f"""WITH {FILES_SQL}, t AS (SELECT seq, regexp_replace(coalesce(text, ''), '["\\\\<>]', ' ', 'g') AS t FROM files),
+v AS (SELECT 'g' || (seq // 14) || CASE WHEN seq % 2 = 0 THEN '' ELSE 'b' END AS project, ({_arr(G.MANIFESTS)})[seq % 7 + 1] AS path, '1.' || (seq % 3) || CASE WHEN length(t) % 5 = 0 THEN '-rc_1' ELSE '.0' END AS version
+  FROM t WHERE seq % 7 < 5 OR length(t) % 2 = 0 OR NOT regexp_matches(t, '[^\\s]'))
 SELECT project, path, version, leader FROM (SELECT *, first_value(version) OVER (PARTITION BY project ORDER BY path) AS leader FROM v) WHERE version <> leader""",
     "large_blobs": _WITH_P + "SELECT DISTINCT project, 'history:' || left(sha256(seq::VARCHAR), 8) AS file_path, size FROM p WHERE size > 5242880",
     "ancestor_dirs": _WITH_P + "SELECT DISTINCT project, array_to_string(parts[1:k], '/') AS path FROM (SELECT project, parts, unnest(generate_series(1, len(parts))) AS k FROM p)",

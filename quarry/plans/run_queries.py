@@ -94,12 +94,31 @@ def run_gates(spark, sf_dir):
 def run_all_gates(spark, sf_dir):
     """Findings of all gates by gate, with a config in each project that asks for the opt-in ones."""
     f = files(spark, sf_dir)
-    config = '{"ignore": ["filename_quality"], "severity": {"readme_present": "error"}, "gate_options": {"branch_protection_declared": {"enabled": true}, "compose_lint": {"suggest_when_missing": true}}}'
+    config = '{"ignore": ["filename_quality"], "severity": {"readme_present": "error"}, "gate_options": {"branch_protection_declared": {"enabled": true}, "compose_lint": {"suggest_when_missing": true}, "large_blob_in_history": {"enabled": true}, "secrets_scan_history": {"enabled": true}}}'
     configs = C.load_configs(projects(f).select("project", F.lit(C.CONFIG).alias("path"), F.lit(config).alias("text")))
     blobs = f.select("project", F.sha2(F.col("seq").cast("string").cast("binary"), 256).alias("sha"), "path", "seq", "size", "text")
     return registry.run_gates(f, projects(f), NOW, None, blobs, configs).groupBy("gate_id", "severity").agg(F.count("*").alias("n"))
 
 
+#: Configs of projects by the last part of their name; others have none.
+RUN_CONFIGS = (
+    '{"exclude_paths": ["docs/*", "*.md", "["], "gate_options": {"dead_placeholders": {"disabled_patterns": ["todo"], "skip_default_fixture_paths": false}}}',
+    '{"gate_options": {"network_scan": {"report_loopback": true}, "large_file_tracked": {"threshold_mb": 9, "skip_default_fixture_paths": false}, "dead_placeholders": {"skip_default_dependency_paths": false, "skip_default_generated_dirs": false}}}',
+    '{"gate_options": {"dead_placeholders": {"skip_default_data_files": false, "skip_default_backup_paths": false, "skip_default_generated_files": false, "skip_default_data_dirs": false}, "merge_conflict_markers": {"skip_default_fixture_paths": false}, "unexpected_executable_bit": {"exclude_paths": ["conf*/*"]}}}',
+)
+OPTIONED = ("dead_placeholders", "merge_conflict_markers", "large_file_tracked", "unexpected_executable_bit", "filename_quality")
+
+
+def run_with_options(spark, sf_dir):
+    """Findings of some gates, each project by its own path filters, patterns and thresholds; one project in five is no repository."""
+    f = files(spark, sf_dir)
+    n = F.regexp_extract("project", "[0-9]+", 0).cast("int")
+    text = F.get(F.lit(list(RUN_CONFIGS)), n % 4)
+    own = projects(f).withColumn("is_repo", n % 5 != 4)
+    configs = C.load_configs(own.select("project", F.lit(C.CONFIG).alias("path"), text.alias("text")).where("text IS NOT NULL"))
+    return registry.run_gates(f, own, NOW, OPTIONED, None, configs).select("project", "gate_id", "file_path", "severity", "title")
+
+
 _LISTED = list(registry.REGISTRY)
 
 
@@ -133,7 +152,7 @@ def remediations(spark, sf_dir):
     return out.select("id", "confidence", joined("commands", "run").alias("commands"), joined("edits", "path", "op", "content").alias("edits"), F.size("caveats").alias("n_caveats"))
 
 
-QUERIES = {f.__name__: f for f in (config_parse_errors, compose_lint, yaml_nodes, branch_protection, presence_hints, run_gates, run_all_gates, gate_catalogue, find_findings, remediations)}
+QUERIES = {f.__name__: f for f in (config_parse_errors, compose_lint, yaml_nodes, branch_protection, presence_hints, run_gates, run_with_options, run_all_gates, gate_catalogue, find_findings, remediations)}
 
 
 def _in(names) -> str:
@@ -175,6 +194,33 @@ AND (name NOT IN (SELECT mark FROM m) OR EXISTS (SELECT 1 FROM p f JOIN m ON f.b
     )
 
 
+def _with_options(with_p: str, known: dict[str, str]) -> str:
+    """The same gates over files that are skipped by each project's options; o: the number of its config."""
+    excluded = "(o = 0 AND (regexp_matches(path, '^docs/[^/]*$') OR regexp_matches(path, '^[^/]*\\.md$')))"
+    content = f"""{excluded} OR (o <> 0 AND is_fixture_path) OR is_binary_path
+      OR (o <> 2 AND (is_data_file OR is_backup_path OR is_generated_file OR is_noisy_data_file OR is_minified)) OR (o <> 1 AND (is_dependency_path OR is_generated_dir_path))"""
+    skip = {
+        "dead_placeholders": ("should_skip_content", content), "merge_conflict_markers": ("should_skip", f"{excluded} OR (o <> 2 AND is_fixture_path)"),
+        "large_files": ("should_skip", f"{excluded} OR (o <> 1 AND is_fixture_path)"), "executable_bits": ("should_skip", f"{excluded} OR is_fixture_path OR (o = 2 AND regexp_matches(path, '^conf[^/]*/[^/]*$'))"),
+        "odd_names": ("should_skip", f"{excluded} OR is_fixture_path"),
+    }
+    places = {q: (gate, place) for q, gate, place in _FOUND}
+    number = "regexp_extract(project, '[0-9]+')::INT"
+    parts = []
+    for query, (column, condition) in skip.items():
+        body = known[query].removeprefix(with_p)
+        body = body.replace(" FROM p ", " FROM w ").replace(" FROM p)", " FROM w)").replace("size > 5242880", "size > CASE WHEN o = 1 THEN 9 ELSE 5 END * 1048576")
+        body = body.replace("FROM l, r WHERE", "FROM l, r WHERE NOT (o = 0 AND rule = 'todo') AND")
+        own = f"w AS (SELECT * REPLACE (({condition}) AS {column}) FROM (SELECT *, {number} % 4 AS o FROM p) WHERE {number} % 5 <> 4)"
+        gate, place = places[query]
+        rest = body.lstrip(", ")
+        parts.append(f"SELECT project, {gate} AS gate_id, {place} AS file_path FROM (WITH {own}{', ' if body.startswith(',') else ' '}{rest})")
+    listed = ", ".join(f"('{g[0]}', '{g[1]}', '{g[2]}')" for g in R.GATES if g[0] in OPTIONED)
+    return f"""{with_p}, found AS ({' UNION '.join(parts)}), g(gate_id, title, severity) AS (VALUES {listed})
+SELECT project, gate_id, file_path, severity, title FROM found JOIN g USING (gate_id)
+UNION ALL SELECT project, gate_id, '.git', 'info', gate_id || ' skipped (not a git repository)' FROM (SELECT DISTINCT project FROM p WHERE {number} % 5 = 4), g"""
+
+
 _Q = "''"  # a quote inside a literal
 
 
@@ -204,6 +250,7 @@ SELECT project, path, line, rule FROM f""",
 SELECT a.own AS project, kind || '_lint' AS gate_id, CASE kind WHEN 'compose' THEN 'compose.yml' ELSE 'Dockerfile' END AS file_path FROM (SELECT DISTINCT own FROM q) a, (SELECT unnest(['dockerfile', 'compose']) AS kind)
 WHERE NOT EXISTS (SELECT 1 FROM q f WHERE f.own = a.own AND f.file_kind = kind AND NOT f.should_skip_content)""",
         "run_gates": f"WITH found AS ({found}), g(gate_id, severity, n_tags) AS (VALUES {listed}) SELECT project, gate_id, file_path, severity, 'open' AS status, {NOW} AS created_at FROM found JOIN g USING (gate_id)",
+        "run_with_options": _with_options(with_p, known),
         "gate_catalogue": f"{e}, g(gate_id, severity, n_tags) AS (VALUES {listed}) SELECT gate_id, severity, n_tags, count(*) AS n FROM (SELECT ({_arr(_LISTED)})[id % {len(_LISTED)} + 1] AS gate_id FROM emissions) JOIN g USING (gate_id) GROUP BY ALL",
         "find_findings": f"{e} SELECT id, project, gate_id, file_path, status FROM emissions WHERE id < 500 AND id % 7 = 0",
         "remediations": rf"""{e}, e AS (SELECT id, id + 1 AS i, project, id % 9 AS k FROM emissions)

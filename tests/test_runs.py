@@ -108,8 +108,8 @@ def test_run_with_excludes_and_thresholds(spark):
     f = spark.createDataFrame([(p, x, t, True, "100644", (3 << 20) if x == "big.dat" else 9) for p in "abc" for x, t in texts.items()], "project string, path string, text string, tracked boolean, mode string, size long")
     blobs = f.select("project", F.md5("path").alias("sha"), "path", F.lit(1).alias("seq"), "size", "text")
     bodies = {
-        "a": '{"exclude_paths": ["gen/*", "[^]", "[z-a]", "["], "gate_options": {"dockerfile_lint": {"exclude_paths": ["k/*"]}, "large_file_tracked": {"threshold_mb": 2}, "large_blob_in_history": {"threshold_mb": 3}}}',
-        "b": '{"gate_options": {"dead_placeholders": {"exclude_paths": ["*/*.p[xy]"]}, "large_file_tracked": {"threshold_mb": -1}, "large_blob_in_history": {"threshold_mb": 1}}}',
+        "a": '{"exclude_paths": ["gen/*", "[^]", "[z-a]", "["], "gate_options": {"dockerfile_lint": {"exclude_paths": ["k/*"]}, "large_file_tracked": {"threshold_mb": 2}, "large_blob_in_history": {"threshold_mb": 3, "enabled": true}}}',
+        "b": '{"gate_options": {"dead_placeholders": {"exclude_paths": ["*/*.p[xy]"]}, "large_file_tracked": {"threshold_mb": -1}, "large_blob_in_history": {"threshold_mb": 1, "enabled": true}}}',
     }
     configs = C.load_configs(spark.createDataFrame([(p, C.CONFIG, t) for p, t in bodies.items()], "project string, path string, text string"))
     gates = ["dead_placeholders", "dockerfile_lint", "large_file_tracked", "large_blob_in_history", "filename_quality"]
