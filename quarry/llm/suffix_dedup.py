@@ -170,9 +170,9 @@ def _long(packed: bytes) -> np.ndarray:
 
 
 _ANCHORS = "shard int, docs binary, keys binary, contents binary, at binary, number binary, known_at binary, known binary, solved_at binary, solved binary"
-_MARKS = "doc long, row long, marks binary, spans binary"
+_FOUND = "bucket int, docs binary, mark_at binary, marks binary, span_at binary, spans binary"
 _TEXTS = "shard int, docs binary, texts binary, sizes binary, anchor binary, at binary, place binary, solved_at binary, solved binary"
-_SPANS = "doc long, row long, spans binary"
+_BY_DOCUMENT = "doc long, row long, marks binary, spans binary"
 
 
 def _sent(schema: str, rows: list[dict]):
@@ -234,13 +234,48 @@ def _anchor_sender(shards: int, sizes: Sizes):
     return send
 
 
-def _by_document(docs: np.ndarray, of: np.ndarray, values: np.ndarray, name: str) -> list[dict]:
-    """A row for each document that has values."""
-    values = np.asarray(values, dtype=np.uint32)
-    order = np.argsort(of, kind="stable")
-    of, values = of[order], values[order]
-    cuts = np.r_[np.flatnonzero(np.r_[True, of[1:] != of[:-1]]), len(of)] if len(of) else [0]
-    return [{"doc": int(docs[of[a], 0]), "row": int(docs[of[a], 1]), "marks": None, "spans": None, name: values[a:b].tobytes()} for a, b in zip(cuts[:-1], cuts[1:])]
+def _found_rows(docs: np.ndarray, marks: tuple | None, spans: list[tuple], buckets: int):
+    """Marks and spans, as (places in docs, values), in a row for each bucket of documents."""
+    import pyarrow as pa
+
+    mark_at, mark = marks if marks else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint32))
+    span_at, span = np.concatenate([a for a, _ in spans]).astype(np.int64), np.concatenate([np.asarray(v, dtype=np.uint32).reshape(-1, 2) for _, v in spans])
+    bucket, rows = docs[:, 1] % buckets, []
+    for s, x, y in _shares((np.arange(len(mark_at)), bucket[mark_at]), (np.arange(len(span_at)), bucket[span_at])) if len(mark_at) + len(span_at) else ():
+        used, at = np.unique(np.r_[mark_at[x], span_at[y]], return_inverse=True)
+        rows.append({"bucket": s, "docs": _packed(docs[used], np.int64), "mark_at": _packed(at[: len(x)], np.uint32), "marks": _packed(mark[x], np.uint32), "span_at": _packed(at[len(x) :], np.uint32), "spans": _packed(span[y], np.uint32)})
+    return pa.Table.from_batches([_sent(_FOUND, rows)])
+
+
+def _runs_of(of: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, first, end) of the stretches of equal values."""
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]][: len(of)])
+    return list(zip(of[first].tolist(), first.tolist(), np.r_[first[1:], len(of)].tolist()))
+
+
+def _gather_documents(table):
+    """A row for each document of a bucket: its marks, each once, compressed, and its spans, joined where they touch."""
+    import pyarrow as pa
+
+    docs, before = _docs_of(table)
+    own, place = np.unique(docs, axis=0, return_inverse=True)
+    place = place.reshape(-1)
+    mark_at, mark = place[_unpacked(table, "mark_at", np.uint32, before)], _unpacked(table, "marks", np.uint32)
+    span_at, span = place[_unpacked(table, "span_at", np.uint32, before)], _unpacked(table, "spans", np.uint32).reshape(-1, 2)
+    rows = [{"doc": d, "row": r, "marks": None, "spans": None} for d, r in own.tolist()]
+    by = np.unique((mark_at.astype(np.uint64) << np.uint64(32)) | mark)
+    mark = (by & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    for d, a, b in _runs_of((by >> np.uint64(32)).astype(np.int64)):
+        rows[d]["marks"] = zlib.compress(_packed(np.diff(mark[a:b], prepend=np.uint32(0)), np.uint32), 1)
+    order = np.lexsort((span[:, 0], span_at))
+    span_at, span = span_at[order], span[order].astype(np.int64)
+    far = int(span.max(initial=0)) + 1
+    reach = np.maximum.accumulate(span[:, 1] + span_at * far) - span_at * far if len(span) else span[:, 1]
+    new = np.flatnonzero(np.r_[True, (span_at[1:] != span_at[:-1]) | (span[1:, 0] > reach[:-1])][: len(span)])
+    joined = np.stack([span[new, 0], reach[np.r_[new[1:], len(span)] - 1]], axis=1).astype(np.uint32) if len(new) else span.astype(np.uint32)
+    for d, a, b in _runs_of(span_at[new]):
+        rows[d]["spans"] = joined[a:b].tobytes()
+    return pa.Table.from_batches([_sent(_BY_DOCUMENT, rows)])
 
 
 def _unpacked(table, name: str, kind, docs_before=None) -> np.ndarray:
@@ -256,14 +291,13 @@ def _docs_of(table):
     return np.concatenate(parts), np.cumsum([0, *map(len, parts)])[:-1]
 
 
-def _mark_shared(table, hot_all: int):
+def _mark_shared(table, hot_all: int, buckets: int):
     """By document the stretches that a smaller one has as well, those that may share windows with another one, and spans that are known."""
-    import pyarrow as pa
-
     docs, before = _docs_of(table)
     key, content = (np.concatenate([_long(x) for x in table.column(c).to_pylist()]) for c in ("keys", "contents"))
     at, number = _unpacked(table, "at", np.uint32, before), _unpacked(table, "number", np.uint32)
-    rows = []
+    known = (_unpacked(table, "known_at", np.uint32, before), _unpacked(table, "known", np.uint32))
+    marks = known
     if len(key):
         doc = docs[at, 0]
         order = np.lexsort((doc, content, key))
@@ -279,21 +313,8 @@ def _mark_shared(table, hot_all: int):
         several = (contents > 1) & (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))
         number = np.where(solved, (number & ~_HOT_BIT) | _SOLVED_BIT, np.where(spread(hot), number | _HOT_BIT, number))
         wanted = solved | spread(several | hot)
-        rows = _by_document(docs, at[wanted], number[wanted], "marks")
-    rows += _by_document(docs, _unpacked(table, "known_at", np.uint32, before), _unpacked(table, "known", np.uint32), "marks")
-    rows += _by_document(docs, _unpacked(table, "solved_at", np.uint32, before), _unpacked(table, "solved", np.uint32).reshape(-1, 2), "spans")
-    return pa.Table.from_batches([_sent(_MARKS, rows)])
-
-
-def _joined_marks(lists):
-    """A document's marks, each once, compressed; null for none."""
-    import pyarrow as pa
-
-    out = []
-    for own in lists.to_pylist():
-        marks = np.unique(np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in own])) if own else []
-        out.append(zlib.compress(_packed(np.diff(marks, prepend=np.uint32(0)), np.uint32), 1) if len(marks) else None)
-    return pa.array(out, type=pa.binary())
+        marks = (np.r_[at[wanted], known[0]], np.r_[number[wanted], known[1]])
+    return _found_rows(docs, marks, [(_unpacked(table, "solved_at", np.uint32, before), _unpacked(table, "solved", np.uint32))], buckets)
 
 
 def _marks_of(packed: bytes) -> np.ndarray:
@@ -307,9 +328,9 @@ def _text_sender(shards: int, sizes: Sizes):
         ids, rows = np.array(ids, dtype=np.int64).reshape(-1, 2), []
         shard, spans = np.array([f[0] for f in found], dtype=np.int64), np.array(solved, dtype=np.int64).reshape(-1, 3)
         for s, x, y in _shares((np.arange(len(found)), shard), (np.arange(len(spans)), spans[:, 0] % shards)):
-            own = [found[i] for i in x.tolist()]
+            own = sorted((found[i] for i in x.tolist()), key=lambda f: f[1])  # like texts compress well side by side
             used, at = np.unique(np.r_[np.array([f[3] for f in own], dtype=np.int64), spans[y, 0]], return_inverse=True)
-            rows.append({"shard": s, "docs": _packed(ids[used], np.int64), "texts": b"".join(f[1] for f in own), "sizes": _packed([len(f[1]) for f in own], np.uint32), "anchor": _packed([f[2] for f in own], np.uint32), "at": _packed(at[: len(own)], np.uint32), "place": _packed([f[4] for f in own], np.uint32), "solved_at": _packed(at[len(own) :], np.uint32), "solved": _packed(spans[y, 1:], np.uint32)})
+            rows.append({"shard": s, "docs": _packed(ids[used], np.int64), "texts": zlib.compress(b"".join(f[1] for f in own), 1), "sizes": _packed([len(f[1]) for f in own], np.uint32), "anchor": _packed([f[2] for f in own], np.uint32), "at": _packed(at[: len(own)], np.uint32), "place": _packed([f[4] for f in own], np.uint32), "solved_at": _packed(at[len(own) :], np.uint32), "solved": _packed(spans[y, 1:], np.uint32)})
         return _sent(_TEXTS, rows)
 
     def send(batches):
@@ -345,7 +366,9 @@ def _lowest(texts: list[bytes], low: np.ndarray, begin: np.ndarray, n_windows: i
     """For all windows of some texts, each with its smallest document, the smallest document that has the window.
     begin: the number of each text's first window."""
     out = np.empty(n_windows, dtype=np.int64)
-    joined = np.frombuffer(b"\0".join(texts) + b"\0\0", dtype=np.uint8).astype(np.uint16) + 2
+    joined = np.frombuffer(b"\0".join(texts) + b"\0\0", dtype=np.uint8)
+    symbols = np.cumsum(np.bincount(joined, minlength=256) > 0) + 1  # those in use, from 2
+    joined = symbols[joined].astype(np.uint16)
     sizes = np.array([len(x) for x in texts])
     at = np.cumsum(sizes + 1) - sizes - 1
     joined[at + sizes], joined[-1] = 1, 0
@@ -360,7 +383,7 @@ def _lowest(texts: list[bytes], low: np.ndarray, begin: np.ndarray, n_windows: i
         if whole.any():
             out[(begin[text] + inside)[whole]] = low[text[whole]].min()
 
-    for block in suffixes(joined, 258, LENGTH, held):
+    for block in suffixes(joined, int(symbols[-1]) + 1, LENGTH, held):
         block = block[block["pos"] < len(of)]
         cuts = np.flatnonzero(block["lcp"] < LENGTH)
         if len(cuts) and pending:
@@ -384,23 +407,22 @@ def _lowest(texts: list[bytes], low: np.ndarray, begin: np.ndarray, n_windows: i
     return out
 
 
-def _settle_shard(table, held: int):
+def _settle_shard(table, held: int, buckets: int):
     """Spans to remove, by document."""
-    import pyarrow as pa
-
     docs, before = _docs_of(table)
     at, place = _unpacked(table, "at", np.uint32, before), _unpacked(table, "place", np.uint32).astype(np.int64)
     number: dict[bytes, int] = {}
     anchor, of = [], []
     for joined, sizes, anchors in zip(*(table.column(c).to_pylist() for c in ("texts", "sizes", "anchor"))):
-        ends = np.cumsum(_numbers(sizes, np.uint32)).tolist()
+        joined, ends = zlib.decompress(joined), np.cumsum(_numbers(sizes, np.uint32)).tolist()
         mine = np.empty(len(ends), dtype=np.int64)
         for i, (a, b, x) in enumerate(zip([0, *ends], ends, _numbers(anchors, np.uint32).tolist())):
             mine[i] = number.setdefault(joined[a:b], len(number))
             if mine[i] == len(anchor):
                 anchor.append(x)
         of.append(mine)
-    of, texts, rows = np.concatenate(of), list(number), []
+    of, texts = np.concatenate(of), list(number)
+    found = [(_unpacked(table, "solved_at", np.uint32, before), _unpacked(table, "solved", np.uint32))]
     if texts:
         low = np.full(len(texts), np.iinfo(np.int64).max)
         np.minimum.at(low, of, docs[at, 0])
@@ -425,9 +447,8 @@ def _settle_shard(table, held: int):
         ends = np.flatnonzero(gone & (np.r_[~gone[1:], True] | np.r_[inside[1:] == 0, True]))
         owner = np.repeat(np.arange(len(of)), n)[starts]
         spans = np.stack([place[owner] + inside[starts], place[owner] + inside[ends] + LENGTH], axis=1).astype(np.uint32)
-        rows = _by_document(docs, at[owner], spans, "spans")
-    rows += _by_document(docs, _unpacked(table, "solved_at", np.uint32, before), _unpacked(table, "solved", np.uint32).reshape(-1, 2), "spans")
-    return pa.Table.from_batches([_sent(_SPANS, rows)])
+        found.append((at[owner], spans))
+    return _found_rows(docs, None, found, buckets)
 
 
 def _cut(texts, spans):
@@ -482,16 +503,15 @@ def remove_repeats(docs: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
     def hint(df: DataFrame, size: Column) -> DataFrame:
         return F.broadcast(df) if (df.agg(F.sum(size + 64)).first()[0] or 0) <= BROADCAST else df
 
+    gathered = lambda df: checkpointed(df.groupBy("bucket").applyInArrow(_gather_documents, _BY_DOCUMENT))
     anchors = slim.mapInArrow(_anchor_sender(shards, sizes), _ANCHORS)
-    shared = anchors.groupBy("shard").applyInArrow(lambda t: _mark_shared(t, sizes.hot_all), _MARKS).groupBy("doc", "row")
-    shared = shared.agg(F.collect_list("marks").alias("marks"), F.collect_list("spans").alias("spans"))
-    shared = checkpointed(shared.withColumn("marks", F.arrow_udf(_joined_marks, T.BinaryType())("marks")))
+    shared = gathered(anchors.groupBy("shard").applyInArrow(lambda t: _mark_shared(t, sizes.hot_all, shards), _FOUND))
     marks = hint(shared.where("marks IS NOT NULL").select("doc", "row", "marks"), F.octet_length("marks"))
     sent = slim.join(marks, ["doc", "row"]).select("doc", "row", "text", "marks").mapInArrow(_text_sender(shards, sizes), _TEXTS)
-    found = sent.groupBy("shard").applyInArrow(lambda t: _settle_shard(t, sizes.held), _SPANS)
-    known = shared.select("doc", "row", F.explode("spans").alias("spans"))
-    spans = checkpointed(found.union(known).groupBy("doc", "row").agg(F.collect_list("spans").alias("spans")))
-    spans = hint(spans, F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + 32 + F.octet_length(x)))
+    found = gathered(sent.groupBy("shard").applyInArrow(lambda t: _settle_shard(t, sizes.held, shards), _FOUND))
+    both = found.select("doc", "row", "spans").union(shared.where("spans IS NOT NULL").select("doc", "row", "spans"))
+    spans = both.groupBy("doc", "row").agg(F.collect_list("spans").alias("spans"))
+    spans = hint(spans, F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     cut = F.arrow_udf(_cut, T.StructType([T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())]))
     out = keyed.join(spans.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("spans").alias("_spans")), ["_doc", "_row"], "left")
