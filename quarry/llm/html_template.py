@@ -12,7 +12,12 @@ The main slot is found from the root of the tree down: into the element of a cla
 page, as long as one holds at least half of what varies below. Tags, roles and whole class
 names that mean menus, headers, footers, sidebars, notices, adverts, forms or comments only
 break ties: such elements are no main slot where another one varies, and are left out where
-they stand in it. An element that the main slot stands in is not asked for its name.
+they stand in it. An element that the main slot stands in is not asked for its name. What stands
+in boxes that repeat in a page, as reader comments do whatever their name, counts for little
+in the choice.
+
+Within the main slot fixed texts stay, such as headings that all articles of a host have; only
+a box that holds nothing but fixed texts is left out.
 """
 
 from __future__ import annotations
@@ -27,8 +32,10 @@ from xxhash import xxh64_intdigest
 
 from .common import checkpointed, small_batches, text_bytes, without
 
-#: A class is valid if it covers this share of the host's different pages, of which there are at least PAGES: one page alone shows no repetition.
-PAGES, SHARE = 2, 0.9
+#: A class is valid if it covers this share of the host's different pages, of which there are at least PAGES: a few pages may be near copies, whose texts repeat without being fixed.
+PAGES, SHARE = 5, 0.9
+#: What stands in boxes that repeat in a page counts with one part in so many for the choice of the main slot.
+REPEATED = 16
 #: The main slot is an element that holds this share of what varies in the element around it.
 HOLDS = 0.5
 #: Templates of up to so many texts in all are broadcast; larger ones are joined by shuffle.
@@ -46,7 +53,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Words of class and id names that say what an element is for ...
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert disclaimer sidebar aside "
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer comment comments reply replies disqus share sharing social related recommended newsletter subscribe signup "
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer comment comments reply replies disqus share sharing social related recommended newsletter subscribe signup discussion discussions responses feedback talkback "
     "login popup modal overlay widget widgets pagination pager toolbar search form copyright skip".split()
 )
 #: ... and words that may stand beside them. A name counts if all its words are of these two kinds.
@@ -110,6 +117,9 @@ def parse(html: str) -> Page:
             continue
         tag, closing, attrs = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         inline = tag in INLINE
+        if tag == "br":
+            text.append(" ")
+            continue
         if closing:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
@@ -123,7 +133,7 @@ def parse(html: str) -> Page:
             continue
         if not inline:
             flush()
-            if tag not in ("br", "hr"):
+            if tag != "hr":
                 while len(stack) > 1 and (stack[-1][0] == "p" or stack[-1][0] in INLINE):
                     stack.pop()
                 own = CLOSES.get(tag)
@@ -168,10 +178,11 @@ def text_token(text: str, element: int) -> int:
 
 
 def tokens(page: Page) -> dict[int, tuple[int, int, int, int, int]]:
-    """token -> (token of the element that it stands in, kind or -1 for a text, occurrences, characters in and below it, those of elements by name).
+    """token -> (token of the element that it stands in, kind or -1 for a text, occurrences, characters in and below it, those that count for a slot).
 
     Characters of an element are those of the texts below it; the last number leaves out what
-    stands in elements that are no main text by name (below the element itself).
+    stands in elements that are no main text by name, and most of what stands in boxes that
+    repeat in the page (below the element itself).
     """
     n = len(page.token)
     below, clean = [0] * n, [0] * n
@@ -181,11 +192,15 @@ def tokens(page: Page) -> dict[int, tuple[int, int, int, int, int]]:
         clean[e] += len(s)
         t = text_token(s, page.token[e])
         out[t] = (page.token[e], -1, out.get(t, (0, 0, 0))[2] + 1, len(s), len(s))
+    often: dict[int, int] = {}
+    for t in page.token:
+        often[t] = often.get(t, 0) + 1
     for e in range(n - 1, 0, -1):  # an element comes after the one around it
         p = page.parent[e]
         below[p] += below[e]
         if not page.kind[e] & BY_NAME:
-            clean[p] += clean[e]
+            box = often[page.token[e]] > 1 and not page.kind[e] & (IN_TEXT | ARTICLE)
+            clean[p] += clean[e] // REPEATED if box else clean[e]
     for e in range(n):
         t, old = page.token[e], out.get(page.token[e], (0, 0, 0, 0, 0))
         out[t] = (page.token[page.parent[e]] if e else 0, page.kind[e], old[2] + 1, old[3] + below[e], old[4] + clean[e])
@@ -229,7 +244,9 @@ def main_slot(own: list[tuple[int, int, int, int, int, int, int]]) -> int:
 
 
 def main_text(page: Page, slot: int | None, fixed: frozenset) -> str:
-    """Text of the main slot, less fixed texts and elements that are no main text by name.
+    """Text of the main slot, less boxes of fixed texts only and elements that are no main text by name.
+
+    A box is an element in the slot that is no part of a text (TEXTUAL).
 
     slot None, or one that the page lacks: the slot of the page as a template of its own. Of several articles
     in one place the longest is the main one.
@@ -238,13 +255,20 @@ def main_text(page: Page, slot: int | None, fixed: frozenset) -> str:
         slot = main_slot([(t, p, k, 1, n, b, c) for t, (p, k, n, b, c) in tokens(page).items() if k >= 0])
     n = len(page.token)
     root, out = [-1] * n, [False] * n
+    varies = [False] * n  # a text in or below it isn't fixed
+    for s, e in page.texts:
+        if fixed and text_token(s, page.token[e]) not in fixed:
+            varies[e] = True
+    for e in range(n - 1, 0, -1):
+        varies[page.parent[e]] |= varies[e]
     for e in range(n):
         if root[page.parent[e]] >= 0 and e:
             p = page.parent[e]
-            root[e], out[e] = root[p], out[p] or bool(page.kind[e] & BY_NAME)
+            box = bool(fixed) and not varies[e] and not page.kind[e] & IN_TEXT
+            root[e], out[e] = root[p], out[p] or bool(page.kind[e] & BY_NAME) or box
         elif page.token[e] == slot:
             root[e] = e
-    own = [(s, root[e]) for s, e in page.texts if root[e] >= 0 and not out[e] and text_token(s, page.token[e]) not in fixed]
+    own = [(s, root[e]) for s, e in page.texts if root[e] >= 0 and not out[e]]
     if own and page.kind[own[0][1]] & ARTICLE:
         size: dict[int, int] = {}
         for s, r in own:
@@ -321,8 +345,9 @@ def extract_main_text(pages: DataFrame, template: DataFrame | None = None) -> Da
 
     template: of `templates()`, made from all of pages if not given. Null html is an empty
     page; a null url, or one without a host, is of the host without a name. Copies of a page
-    are one page of their host. A host with one different page has no template: there the
-    page's own elements decide. Very long pages are read whole. Repeated rows are extracted
+    are one page of their host. A host with fewer than PAGES different pages has no template:
+    there the page's own elements decide. Of slots with equally much text the one with the
+    larger token hash is taken, of articles the first. Very long pages are read whole. Repeated rows are extracted
     alike and stay; an empty table gives an empty one; input columns named like the added
     ones are replaced.
     """
