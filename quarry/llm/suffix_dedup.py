@@ -39,7 +39,7 @@ class Sizes:
     #: Bytes of text that a task reads before it sends its records, that are hashed at once (half), and that a shard stands for, about.
     flush: int = 16 << 20
     piece: int = 1 << 20
-    shard: int = 32 << 20
+    shard: int = 8 << 20
     #: An anchor of so many contents in a task, or of so many tasks' contents, is sent window by window.
     hot: int = 32
     hot_all: int = 4096
@@ -62,17 +62,19 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
+def _gram_hashes(values: np.ndarray, gram: int) -> np.ndarray:
     """Hash of the gram at each place, put together from those of powers of two."""
-    out, used, power, m = None, 0, _RANDOM[text], 1
-    n = max(0, len(text) - gram + 1)
+    out, used, power, m = None, 0, values, 1
+    n = max(0, len(values) - gram + 1)
     while used < gram:
         if gram & m:
-            out = power[:n] if out is None else _mixed(out, power[used : used + n])
+            out = power[:n] if out is None else out * _BASE + power[used : used + n]
             used += m
         if used < gram:
-            power, m = _mixed(power[: max(0, len(power) - m)], power[m:]), 2 * m
-    return out
+            low = power[: max(0, len(power) - m)] * (_MIX + np.uint64(2 * m))
+            low += power[m:]
+            power, m = low, 2 * m
+    return _mixed(out, np.uint64(gram))
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -82,13 +84,14 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: max(0, len(x) - (width - m))], x[width - m :]) if m < width else x
 
 
-def _stretches(pieces: list[bytes]):
-    """(piece, first window, last window, anchor's place, anchor's hash, content's hash) of the windows in a row with one anchor."""
+def _stretches(pieces: list[bytes], contents: bool):
+    """(piece, first window, last window, anchor's place, anchor's hash, content's hash if asked for) of the windows in a row with one anchor."""
     text = np.frombuffer(b"".join(pieces), dtype=np.uint8)
     sizes = np.array([len(p) for p in pieces])
     begin = np.cumsum(sizes) - sizes
     of = np.repeat(np.arange(len(pieces)), sizes)
-    h = _gram_hashes(text, GRAM)
+    values = _RANDOM[text]
+    h = _gram_hashes(values, GRAM)
     low = np.uint64((1 << 24) - 1)
     least = _sliding_min((h & ~low) | np.arange(len(h), dtype=np.uint64), LENGTH - GRAM + 1)
     at = (least & low).astype(np.int64)
@@ -96,23 +99,24 @@ def _stretches(pieces: list[bytes]):
     change = at[1:] != at[:-1]
     first = np.flatnonzero(inside & np.r_[True, change | ~inside[:-1]])
     last = np.flatnonzero(inside & np.r_[change | ~inside[1:], True])
-    # the sum of place's power times byte, moved to one place
-    n = len(text)
-    power = np.multiply.accumulate(np.full(n, _BASE, dtype=np.uint64))
-    sums = np.r_[np.uint64(0), np.cumsum(_RANDOM[text] * power, dtype=np.uint64)]
-    content = _mixed((sums[last + LENGTH] - sums[first]) * power[n - 1 - first], (last - first).astype(np.uint64))
-    piece = of[first]
+    piece, content = of[first], first
+    if contents:  # the sum of place's power times byte, moved to one place
+        n = len(text)
+        power = np.multiply.accumulate(np.full(n, _BASE, dtype=np.uint64))
+        values *= power
+        sums = np.r_[np.uint64(0), np.cumsum(values, dtype=np.uint64)]
+        content = _mixed((sums[last + LENGTH] - sums[first]) * power[n - 1 - first], (last - first).astype(np.uint64))
     return piece, first - begin[piece], last - begin[piece], at[first] - begin[piece], h[at[first]], content
 
 
-def _read_anchors(docs, piece: int):
+def _read_anchors(docs, piece: int, contents: bool = True):
     """For documents (doc, row, text, further), in batches: their list, and arrays (place in the list, number of the
     stretch in its document, first window, last window, anchor's place, its hash, the content's). Long texts are read
     in pieces that share LENGTH - 1 bytes, so every window is in one."""
     held, counted, place, shift, pieces, size = [], [], [], [], [], 0
 
     def drained():
-        p, first, last, at, h, content = _stretches(pieces)
+        p, first, last, at, h, content = _stretches(pieces, contents)
         where, by = np.array(place)[p], np.array(shift)[p]
         begin = np.flatnonzero(np.r_[True, where[1:] != where[:-1]][: len(where)])
         n = np.diff(np.r_[begin, len(where)])
@@ -335,7 +339,7 @@ def _text_sender(shards: int, sizes: Sizes):
 
     def send(batches):
         ids, found, solved = [], [], []
-        for held, where, number, first, last, at, h, _ in _read_anchors(_rows_of(batches), sizes.piece):
+        for held, where, number, first, last, at, h, _ in _read_anchors(_rows_of(batches), sizes.piece, contents=False):
             begin = np.searchsorted(where, np.arange(len(held) + 1))
             for k, (doc, row, text, own) in enumerate(held):
                 a, b = begin[k], begin[k + 1]
