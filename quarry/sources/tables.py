@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .checkout import Checkouts
+from .store import Store
+
 #: Larger files are not scanned as text.
 TEXT_BYTES = 2 << 20
 
 
-def load_files(spark: SparkSession, root: str) -> DataFrame:
-    """(project, path, tracked, mode, size, content) of a folder of checkouts: the first folder below root is the project.
-
-    Spark reads content only where a query uses it.
-    """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.substring_index(F.col("path"), root.rstrip("/") + "/", -1)
-    return raw.select(F.substring_index(rel, "/", 1).alias("project"), F.expr("substring(substring_index(path, '" + root.rstrip("/").replace("'", "''") + "/', -1), 1 + length(substring_index(substring_index(path, '" + root.rstrip("/").replace("'", "''") + "/', -1), '/', 1)) + 1)").alias("path"), F.lit(True).alias("tracked"), F.lit("100644").alias("mode"), F.col("length").alias("size"), "content")
+def load_files(spark: SparkSession, root: str, most: int = TEXT_BYTES) -> DataFrame:
+    """(project, path, tracked, mode, size, content) of a folder of checkouts (see checkout.Checkouts)."""
+    spark.dataSource.register(Checkouts)
+    return spark.read.format("checkouts").option("most", most).load(root)
 
 
 def text_files(files: DataFrame, most: int = TEXT_BYTES) -> DataFrame:
@@ -43,9 +42,9 @@ def skip_non_repo(projects: DataFrame, gate: str) -> DataFrame:
     return projects.where(~F.col("is_repo")).select("project", F.lit(gate).alias("gate_id"), F.lit("info").alias("severity"), F.lit(f"{gate} skipped (not a git repository)").alias("title"), F.lit(".git").alias("file_path"))
 
 
-def write_findings(findings: DataFrame, path: str) -> None:
-    """A new version of the findings table, laid out by project."""
-    findings.write.partitionBy("project").parquet(path)
+def write_findings(findings: DataFrame, path: str) -> int:
+    """A new version of the findings table, whole; its number (see store.Store)."""
+    return Store(findings.sparkSession, path, findings.schema).write(findings).number
 
 
 def export_json(df: DataFrame, path: str) -> None:
