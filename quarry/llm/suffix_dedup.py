@@ -51,6 +51,8 @@ class Sizes:
 
 #: Bytes of marks or spans up to which these, and not the texts, are copied to all executors.
 BROADCAST = 32 << 20
+#: Bytes of texts that are suffix-sorted together, about.
+LOT = 1 << 20
 _HOT_BIT, _SOLVED_BIT = np.uint32(1 << 31), np.uint32(1 << 30)
 _BASE = np.uint64(0xD1342543DE82EF95)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -438,10 +440,18 @@ def _settle_shard(table, held: int, buckets: int):
         for g in grams:
             many[g] = many.get(g, 0) + 1
         compare = np.array([i for i, g in enumerate(grams) if g is not None and many[g] > 1], dtype=np.int64)
-        if len(compare):
-            n = windows[compare]
-            own = np.cumsum(n) - n
-            lowest[np.repeat(begin[compare] - own, n) + np.arange(n.sum())] = _lowest([texts[i] for i in compare], low[compare], own, int(n.sum()), held)
+        # texts of one anchor stay together; each lot of them has a suffix array
+        compare = compare[np.argsort([zlib.crc32(grams[i]) for i in compare], kind="stable")] if len(compare) else compare
+        held_bytes, lot = 0, []
+        for k, i in enumerate(compare.tolist()):
+            lot.append(i)
+            held_bytes += len(texts[i])
+            ends = k + 1 == len(compare) or grams[i] != grams[compare[k + 1]]
+            if ends and (held_bytes >= LOT or k + 1 == len(compare)):
+                n = windows[lot]
+                own = np.cumsum(n) - n
+                lowest[np.repeat(begin[lot] - own, n) + np.arange(n.sum())] = _lowest([texts[i] for i in lot], low[lot], own, int(n.sum()), held)
+                held_bytes, lot = 0, []
         # a row for each window of each place
         n = windows[of]
         first = np.cumsum(n) - n
