@@ -76,6 +76,11 @@ def claimed(spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.flatten(F.transform(groups, chosen))).otherwise(none)
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), where the value is computed once and not at each use (as the item of an array of one)."""
+    return F.transform(F.array(value), of)[0]
+
+
 def _half(groups: Column) -> Column:
     """Four groups of hexadecimal digits as a number."""
     return F.aggregate(groups, F.lit(0).cast("long"), lambda n, g: F.shiftleft(n, 16).bitwiseOR(F.conv(g, 16, 10).cast("long")))
@@ -84,18 +89,24 @@ def _half(groups: Column) -> Column:
 def ipv6(text: Column) -> Column:
     """(high, low) of an IPv6 address, its 128 bits as two longs; null if it is none. A zone behind % is passed over; the last
     two groups may be a dotted quad."""
-    own = F.regexp_replace(text, r"%[0-9A-Za-z._~-]+\z", "")
-    quad = F.regexp_extract(own, r"(?:^|:)([0-9]+(?:\.[0-9]+){3})\z", 1)
-    n = ipv4(quad)
-    hexed = F.concat_ws(":", F.lower(F.hex(F.shiftright(n, 16))), F.lower(F.hex(n.bitwiseAND(0xFFFF))))
-    plain = F.when(quad == "", own).when(n.isNotNull(), F.concat(F.left(own, F.length(own) - F.length(quad)), hexed))
-    shape = plain.rlike(r"^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?(?:::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)?\z")
+    quad = r"(?:^|:)([0-9]+(?:\.[0-9]+){3})\z"
+    shape = r"^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?(?:::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)?\z"
+
+    def plain(own: Column) -> Column:  # the quad as two groups
+        hexed = lambda n: F.concat_ws(":", F.lower(F.hex(F.shiftright(n, 16))), F.lower(F.hex(n.bitwiseAND(0xFFFF))))
+        replaced = lambda q: let(ipv4(q), lambda n: F.when(n.isNotNull(), F.concat(F.left(own, F.length(own) - F.length(q)), hexed(n))))
+        return F.when(own.rlike(quad), let(F.regexp_extract(own, quad, 1), replaced)).otherwise(own)
+
     groups = lambda s: F.filter(F.split(s, ":"), lambda g: g != "")
-    front, back = groups(F.substring_index(plain, "::", 1)), F.when(plain.contains("::"), groups(F.substring_index(plain, "::", -1))).otherwise(F.array().cast("array<string>"))
-    gap = 8 - F.size(front) - F.size(back)
-    whole = F.when(plain.contains("::"), F.concat(front, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), back)).otherwise(front)
-    valid = shape & F.when(plain.contains("::"), gap >= 1).otherwise(gap == 0)
-    return F.when(valid, F.struct(_half(F.slice(whole, 1, 4)).alias("high"), _half(F.slice(whole, 5, 4)).alias("low")))
+
+    def whole(own: Column) -> Column:  # eight groups, or null
+        both = F.struct(groups(F.substring_index(own, "::", 1)).alias("front"), groups(F.substring_index(own, "::", -1)).alias("back"))
+        gap = lambda x: 8 - F.size(x["front"]) - F.size(x["back"])
+        filled = let(both, lambda x: F.when(gap(x) >= 1, F.concat(x["front"], F.array_repeat(F.lit("0"), gap(x)), x["back"])))
+        return F.when(own.rlike(shape), F.when(own.contains("::"), filled).otherwise(let(groups(own), lambda g: F.when(F.size(g) == 8, g))))
+
+    halves = lambda g: F.when(g.isNotNull(), F.struct(_half(F.slice(g, 1, 4)).alias("high"), _half(F.slice(g, 5, 4)).alias("low")))
+    return let(F.regexp_replace(text, r"%[0-9A-Za-z._~-]+\z", ""), lambda own: let(plain(own), lambda p: let(whole(p), halves)))
 
 
 def _v6_range(net: str) -> tuple[int, int, int, int]:

@@ -49,10 +49,14 @@ def is_list(lines: Column, item) -> Column:
 
 def bare_address(t: Column) -> Column:
     """One IPv4 or IPv6 address or network, before a comment."""
-    t = F.trim(F.regexp_replace(t, "[#;].*$", ""))
-    host, bits = F.regexp_extract(t, r"^([0-9A-Fa-f.:]+)(?:/(?:0|[1-9][0-9]{0,2}))?\z", 1), F.regexp_extract(t, r"/([0-9]+)\z", 1)
-    within = lambda most: F.when(bits == "", True).otherwise(bits.cast("int") <= most)
-    return F.when(host.contains(":"), X.ipv6(host).isNotNull() & within(128)).otherwise(X.ipv4(host).isNotNull() & within(32))
+    shape = r"^([0-9A-Fa-f.:]+)(?:/((?:0|[1-9][0-9]{0,2})))?\z"
+    within = lambda own, most: F.coalesce(F.nullif(F.regexp_extract(own, shape, 2), F.lit("")).cast("int") <= most, F.lit(True))
+
+    def of(own: Column) -> Column:
+        v6 = F.when(own.contains(":"), X.ipv6(F.regexp_extract(own, shape, 1)).isNotNull() & within(own, 128))
+        return own.rlike(shape) & F.coalesce(v6, X.ipv4(F.regexp_extract(own, shape, 1)).isNotNull() & within(own, 32))
+
+    return X.let(F.trim(F.regexp_replace(t, "[#;].*$", "")), of)
 
 
 def bare_url(t: Column) -> Column:
@@ -94,9 +98,13 @@ def _connection_hits(line: Column, line_no: Column) -> Column:
     uri_host = lambda c: F.regexp_replace(rest(c), r"^[^@/]*@", "")
     before = lambda c: F.substring(line, F.lit(1), c["start"])
     http = len(R.CONNECTION_PATTERNS) - 1
-    markup = lambda c: line.rlike(R.MARKUP_LINE) & (before(c).rlike(R.MARKUP_ATTRIBUTE) | before(c).rlike(R.DOCTYPE))
-    exempt = lambda c: ((c["rank"] > 0) & (c["rank"] < 7) & X.host_exempt(rest(c))) | ((c["rank"] == http) & (X.host_exempt(rest(c)) | markup(c))) | (c["rank"].isin(7, 8) & ~rest(c).contains("@") & c["text"].contains("://") & X.host_exempt(uri_host(c)))
-    kept = X.claimed(F.filter(candidates, lambda c: ~exempt(c)))
+    markup = lambda c: before(c).rlike(R.MARKUP_ATTRIBUTE) | before(c).rlike(R.DOCTYPE)
+    own_host = lambda c: ((c["rank"] > 0) & (c["rank"] < 7) & X.host_exempt(rest(c))) | ((c["rank"] == http) & X.host_exempt(rest(c)))
+    exempt = lambda c: own_host(c) | (c["rank"].isin(7, 8) & ~rest(c).contains("@") & c["text"].contains("://") & X.host_exempt(uri_host(c)))
+    left = F.filter(candidates, lambda c: ~exempt(c))
+    # what stands before a match is looked at only in lines that may hold markup
+    left = F.when(line.rlike(R.MARKUP_LINE), F.filter(left, lambda c: (c["rank"] != http) | ~markup(c))).otherwise(left)
+    kept = X.claimed(left)
     real = F.filter(kept, lambda c: ~((c["rank"] == 0) & X.creds_non_secret(c["text"])))
     names, severities = (F.lit([x[k] for x in R.CONNECTION_PATTERNS]) for k in (0, 1))
     return F.transform(real, lambda c: _entry("connection_strings", line_no, F.get(names, c["rank"]), c["text"], F.get(severities, c["rank"])))
