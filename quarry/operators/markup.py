@@ -1,4 +1,4 @@
-"""Gates over files with a grammar: Dockerfiles, HTML, stylesheets, Markdown.
+"""Gates over files with a grammar: Dockerfiles, HTML, stylesheets.
 
 files: (project, path, text), one row a path. Each text is cut into tokens by one regular
 expression that covers every character; line numbers, nesting and state are windows over the
@@ -12,9 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import paths as P
 from ..functions import text as X
-from ..sources.tables import ancestor_dirs
 
 _FILE = ["project", "path"]
 
@@ -234,71 +232,6 @@ def css_lint(files: DataFrame) -> DataFrame:
     return part("hidden_scrollbar", F.col("hidden"), s.contains("::-webkit-scrollbar")).unionByName(thin).unionByName(part("justified_text", F.col("justified"), ~print_or_part))
 
 
-# Markdown
-
-MD_TOKEN = r" {0,3}(`{3,}|~{3,})[^\n]*(?:\n[\s\S]*?)??(?:\n {0,3}\1[`~]*[ \t]*(?:\n|\z)|\z)|[ \t]*+[^\s][^\n]*+\n {0,3}(?:=+|-+)[ \t]*(?:\n|\z)|[^\n]*+(?:\n|\z)"
-
-
-def md_blocks(files: DataFrame) -> DataFrame:
-    """(project, path, pos, line, kind, token): kind is fence, heading or line; code spans are blank outside fences."""
-    t = F.col("token")
-    fence = t.rlike(r"^ {0,3}(?:`{3}|~{3})")
-    heading = t.rlike(r"^ {0,3}#{1,6}[ \t]") | t.rlike(r"^[^\n]*+\n {0,3}(?:=+|-+)[ \t]*\n?\z")
-    kind = F.when(fence, "fence").when(heading, "heading").otherwise("line")
-    return tokens(files, MD_TOKEN).select(*_FILE, "pos", "line", kind.alias("kind"), "token")
-
-
-def _resolved(folder: Column, target: Column) -> Column:
-    """Path of a link's target with . and .. worked out; null if it leaves the project."""
-    parts = F.filter(F.split(F.concat_ws("/", folder, target), "/"), lambda p: ~p.isin("", "."))
-    step = lambda acc, p: F.when(p == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))).otherwise(F.concat(acc, F.array(p)))
-    return F.array_join(F.aggregate(parts, F.filter(parts, lambda p: F.lit(False)), step), "/")
-
-
-def markdown_lint(files: DataFrame, enabled: tuple[str, ...] = (), existing: DataFrame | None = None) -> DataFrame:
-    """image_no_alt, link_local_broken, link_anchor_broken, codeblock_invalid_payload (JSON), and if enabled codeblock_no_language.
-
-    existing: (project, path) of all files and folders that a link may lead to; by default those of files.
-    """
-    blocks = md_blocks(files)
-    prose = blocks.where("kind <> 'fence'").withColumn("token", F.regexp_replace("token", r"`+[^`\n]*`+", "x"))
-    images = prose.select(*_FILE, "line", F.explode(F.regexp_extract_all("token", F.lit(r"!\[([^\]]*)\]\("), F.lit(1))).alias("alt"))
-    no_alt = images.where("trim(alt) = ''").select(*_FILE, "line", F.lit("image_no_alt").alias("rule"))
-
-    linked = F.regexp_replace("token", r"!\[[^\]]*\]\([^)]*\)", "i")
-    links = prose.select(*_FILE, "line", F.explode(F.regexp_extract_all(linked, F.lit(r"\[[^\[\]]*\]\(\s*<?([^)\s>]+)"), F.lit(1))).alias("to"))
-    to = F.col("to")
-
-    title = F.regexp_replace(F.regexp_extract("token", r"^ {0,3}(?:#{1,6}[ \t]+)?([^\n]*)", 1), r"\s+#+\s*\z", "")
-    # Links give their text to a heading's slug, code spans theirs.
-    plain = F.regexp_replace(F.regexp_replace(title, r"!?\[([^\]]*)\]\([^)]*\)", "$1"), r"[*`]", "")
-    slugs = blocks.where("kind = 'heading'").select(*_FILE, X.heading_slug(plain).alias("anchor"))
-    raw = prose.select(*_FILE, F.explode(F.regexp_extract_all(F.lower("token"), F.lit(r"""<[^>]*\b(?:id|name)\s*=\s*["']([^"']+)["']"""), F.lit(1))).alias("anchor"))
-    wanted = links.where(to.startswith("#")).withColumn("anchor", F.lower(F.substr("to", F.lit(2))))
-    no_anchor = wanted.join(slugs.unionByName(raw).distinct(), [*_FILE, "anchor"], "left_anti").select(*_FILE, "line", F.lit("link_anchor_broken").alias("rule"))
-
-    local = links.where(~to.rlike(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:|[#~/]|[?#])")).withColumn("goal", F.regexp_extract("to", r"^([^?#]*)", 1)).where("goal <> ''")
-    decoded = F.coalesce(F.try_url_decode(F.replace("goal", F.lit("+"), F.lit("%2B"))), F.col("goal"))
-    local = local.withColumn("goal", decoded).withColumn("full", _resolved(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.col("goal")))
-    tails = F.when(F.col("goal").rlike(r"\.[^/.]*\z"), F.array(F.lit(""))).otherwise(F.array(*[F.lit(x) for x in ("", ".md", ".markdown", "/index.md", "/index.markdown")]))
-    there = (ancestor_dirs(files) if existing is None else existing).select("project", F.col("path").alias("full_path"))
-    local = local.withColumn("link", F.struct("path", "line", "to"))
-    tried = local.select("project", "link", F.explode(F.transform(tails, lambda x: F.ltrim(F.concat(F.coalesce("full", F.lit("\x00")), x), F.lit("/")))).alias("full_path"))
-    # An empty path is the project's own folder.
-    found = tried.where("full_path = ''").select("project", "link").unionByName(tried.join(there, ["project", "full_path"], "left_semi").select("project", "link")).distinct()
-    broken = local.join(found, ["project", "link"], "left_anti").select(*_FILE, "line", F.lit("link_local_broken").alias("rule"))
-
-    info = F.trim(F.regexp_extract("token", r"^ {0,3}[`~]+([^\n]*)", 1))
-    body = F.regexp_extract("token", r"^[^\n]*\n([\s\S]*?)(?:\n? {0,3}(?:`{3,}|~{3,})\s*)?\z", 1)
-    shown = body.contains("...") | body.rlike(r"//|/\*")
-    valid = X.valid_json(body) | X.valid_json(F.concat(F.lit("{"), body, F.lit("}"))) | X.valid_json(F.concat(F.lit("["), body, F.lit("]")))
-    fences = blocks.where("kind = 'fence'")
-    code = {"codeblock_invalid_payload": (F.lower(F.split(info, r"[\s{]")[0]) == "json") & F.trim(body).rlike(r"\S") & ~shown & ~valid}
-    if "codeblock_no_language" in enabled:
-        code["codeblock_no_language"] = (info == "") & ~P.is_changelog()
-    return no_alt.unionByName(no_anchor).unionByName(broken).unionByName(_fired(fences, code))
-
-
 # Inline overrides
 
 

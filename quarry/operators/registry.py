@@ -12,6 +12,7 @@ from ..functions import rules as R
 from . import config as C
 from . import lifecycle as L
 from . import lines as N
+from . import markdown as D
 from . import markup as M
 from . import project_gates as G
 from . import yaml_gates as Y
@@ -138,7 +139,7 @@ REGISTRY: dict[str, Callable[[Inputs], DataFrame | None]] = {g: _missing(g) for
     "compose_lint": _composes,
     "html_lint": _commented("html_lint", lambda f: M.html_lint(_of_kind(f, "html_lint"))),
     "css_lint": _commented("css_lint", lambda f: M.css_lint(_of_kind(f, "css_lint"))),
-    "markdown_lint": _commented("markdown_lint", lambda f: M.markdown_lint(_of_kind(f, "markdown_lint"), OPT_IN, G.existing(f))),
+    "markdown_lint": _commented("markdown_lint", lambda f: D.markdown_lint(_of_kind(f, "markdown_lint"), OPT_IN, G.existing(f))),
     "branch_protection_declared": _protection,
 }
 #: Rules that a project must switch on.

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import config as C
 from ..operators import lines as N
+from ..operators import markdown as D
 from ..operators import markup as M
 from ..operators import project_gates as G
 from .corpus import pick
@@ -86,7 +87,19 @@ def css_lint(spark, sf_dir):
 
 
 def markdown_lint(spark, sf_dir):
-    return M.markdown_lint(_sampled(spark, sf_dir, MARKDOWN, "/here.md"), ("codeblock_no_language",))
+    return D.markdown_lint(_sampled(spark, sf_dir, MARKDOWN, "/here.md"), ("codeblock_no_language",))
+
+
+def markdown_links(spark, sf_dir):
+    """Links and images by line of documents whose word pairs are links: the label holds the first word, the target is the second.
+
+    A pair gives `[first [x]](second.md)`, or with a capital an image; each document ends with two links by reference.
+    """
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    linked = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), " ([A-Z][a-z]+) ([a-z]+)", " ![$1]($2.png)"), " ([a-z]+) ([a-z]+)", " [$1 [x]]($2.md)")
+    text = F.concat(linked, F.lit("\n\n[the\nend][Last One] ![last  one] [no][last]\n\n[last one]: "), F.coalesce("lang", F.lit("x")), F.lit(".md 'T'\n"))
+    found = D.md_links(d.select(F.lit("web").alias("project"), F.col("doc_id").cast("string").alias("path"), text.alias("text")))
+    return found.groupBy("path", "line", "kind").agg(F.count("*").alias("n"), F.min("target").alias("first_target"), F.max("target").alias("last_target"))
 
 
 def html_lint(spark, sf_dir):
@@ -178,11 +191,16 @@ def _by_config(values) -> str:
     return ", ".join("(" + ", ".join(map(sql, row)) + ")" for row in values)
 
 
-QUERIES = {f.__name__: f for f in (dockerfile_lint, css_lint, markdown_lint, html_lint, page_links, secrets_scan, overridden, gitignore_coverage, lfs_managed, secrets_history, project_configs, config_problems, config_excludes, configured_findings)}
+QUERIES = {f.__name__: f for f in (dockerfile_lint, css_lint, markdown_lint, markdown_links, html_lint, page_links, secrets_scan, overridden, gitignore_coverage, lfs_managed, secrets_history, project_configs, config_problems, config_excludes, configured_findings)}
 SQL = {
     "dockerfile_lint": _expected(DOCKER, "/Dockerfile"),
     "css_lint": _expected(CSS, "/a.css"),
     "markdown_lint": _expected(MARKDOWN, "/here.md"),
+    "markdown_links": r"""WITH l AS (SELECT doc_id, lang, len(string_split(coalesce(text, ''), chr(10))) AS n_lines, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
+i AS (SELECT *, regexp_extract_all(t, ' [A-Z][a-z]+ ([a-z]+)', 1) AS images, regexp_extract_all(regexp_replace(t, ' [A-Z][a-z]+ [a-z]+', ' ![]()', 'g'), ' [a-z]+ ([a-z]+)', 1) AS links FROM l),
+f AS (SELECT doc_id, line, 'image' AS kind, unnest(images) || '.png' AS target FROM i UNION ALL SELECT doc_id, line, 'link', unnest(links) || '.md' FROM i
+  UNION ALL SELECT DISTINCT doc_id, n_lines + 2, 'link', coalesce(lang, 'x') || '.md' FROM l UNION ALL SELECT DISTINCT doc_id, n_lines + 3, 'image', coalesce(lang, 'x') || '.md' FROM l)
+SELECT doc_id::VARCHAR AS path, line::INT AS line, kind, count(*) AS n, min(target) AS first_target, max(target) AS last_target FROM f GROUP BY doc_id, line, kind""",
     "html_lint": _expected(HTML, "/a.html"),
     "page_links": r"""SELECT page_id::VARCHAR AS path, len(t) AS n_links, len(list_filter(t, lambda x: regexp_matches(x, '\shref[\s=>]'))) AS n_href
 FROM (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<title\b.*?</title\s*>|<textarea\b.*?</textarea\s*>', '', 'g'), '(?i)<a(?:\s[^>]*)?>') AS t FROM pages) WHERE len(t) > 0""",
