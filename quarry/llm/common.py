@@ -27,6 +27,13 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*clash) if clash else df
 
 
+def row_key() -> Column:
+    """128 bits that stand for doc_id and text, nulls told apart from empty values; rows that repeat both share them."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    nulls = F.concat(F.col("doc_id").isNull().cast("string"), F.col("text").isNull().cast("string"), F.octet_length(own).cast("string"), F.lit(" "))
+    return F.unhex(F.md5(F.concat(nulls, own, F.coalesce("text", F.lit(""))).cast("binary")))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the cluster's shared checkpoint folder."""
     sc = df.sparkSession.sparkContext

@@ -78,7 +78,7 @@ def bands_of(text: Column) -> Column:
 def near_copy_rows(docs: DataFrame, banded: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(_row) of the documents of banded (_row, key: one of its bands) that are near copies of others
     of banded: in each group the one with the smallest id isn't listed, those without an id last.
-    docs: doc_id, text, _row, a hash of both, which repeated rows share. Texts without words are no
+    docs: doc_id, text, _row, a key of both, which repeated rows share. Texts without words are no
     copies here.
     """
 

@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, html_template, periodic, subvectors, suffix_dedup
+from quarry.llm import chat, decontaminate, html_template, periodic, subvectors, suffix_dedup
 from quarry.llm import queries as Q
+from quarry.llm.common import row_key
 from quarry.llm.induced import suffixes
 
 SF = "/root/testdata/sf0.001"
@@ -206,3 +207,18 @@ def test_pairs_with_null_or_far_turns_are_one_row(spark):
     b = a.withColumn("text", F.when(F.col("role") == "assistant", "no").otherwise(F.col("text")))
     got = {r.pair_id: (r.block, r.n_prompt, r.n_chosen, r.n_rejected) for r in chat.format_preferences(a, b).collect()}
     assert got == {1: (0, 1, 1, 1), 2: (0, 1, 1, 1)}
+
+
+def test_row_keys_tell_nulls_and_borders_apart(spark):
+    rows = [(None, None), (None, ""), ("", None), ("", ""), ("1", "2x"), ("12", "x"), ("1", "1 2x"), (None, "x"), ("1", "2x")]
+    d = spark.createDataFrame(rows, "doc_id string, text string").select(row_key().alias("k"))
+    keys = [bytes(r["k"]) for r in d.collect()]
+    assert len(set(keys)) == len(rows) - 1 and keys[4] == keys[-1] and {len(k) for k in keys} == {16}
+
+
+def test_decontamination_in_passes_takes_maps_repeats_and_null_texts(spark):
+    words = " ".join(f"w{k}" for k in range(14))
+    docs = spark.createDataFrame([(1, f"a {words} b", {"k": 1}), (2, f"a {words} b", {"k": 2}), (2, f"a {words} b", {"k": 2}), (3, None, None), (4, "", {}), (5, "other text", None)], "doc_id long, text string, more map<string,int>")
+    items = spark.createDataFrame([("i", words), ("j", "other text"), ("n", None)], "item_id string, text string")
+    one, many = (sorted(map(repr, decontaminate.decontaminate(docs, items, limit=k).collect())) for k in (10_000, 20))
+    assert one == many and len(one) == 6 and sum("contaminated=True" in r for r in one) == 4
