@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, line_templates, mixing, shingles, simhash, toxicity
-from quarry.llm.common import checkpointed, read, shared_dir, small_batches, without
+from quarry.llm.common import checkpointed, read, row_key, shared_dir, small_batches, without
 
 
 def _apart(docs: DataFrame, *used: str) -> tuple[DataFrame, list[Column]]:
@@ -47,7 +47,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     own, restored = _apart(docs, "doc_id", "text")
     small_batches(spark)
-    own = own.withColumn("_row", F.xxhash64("doc_id", "text"))
+    own = own.withColumn("_row", row_key())
     # both from one pass over the texts
     marked = checkpointed(own.select("doc_id", "_row", simhash.fingerprint_of(F.col("text")).alias("fingerprint"), shingles.bands_of(F.col("text")).alias("bands")))
     group = simhash.linked(marked.drop("bands"), group="near_group")
