@@ -243,9 +243,16 @@ def line_gates(files: DataFrame, gates: Iterable[str] = LINE_GATES, disabled: tu
     return out.where(~address | wanted).select("project", "path", "gate_id", "line_no", "rule", "text", severity.alias("severity"), "category")
 
 
+def first_of_path(found: DataFrame) -> DataFrame:
+    """Findings of line gates with one merge marker a path, its first, where several rows share a path. Only findings move."""
+    marker = F.col("gate_id") == "merge_conflict_markers"
+    own = found.groupBy("project", "path", "gate_id", "rule", "text", "severity", F.when(~marker, F.col("line_no")).alias("_at"))
+    return own.agg(F.min("line_no").alias("line_no")).drop("_at")
+
+
 def merge_conflict_markers(files: DataFrame) -> DataFrame:
-    """(project, path, line_no) of the first marker line of each file."""
-    return line_gates(files, ("merge_conflict_markers",)).select("project", "path", "line_no")
+    """(project, path, line_no) of the first marker line of each path."""
+    return first_of_path(line_gates(files, ("merge_conflict_markers",))).select("project", "path", "line_no")
 
 
 def dead_placeholders(files: DataFrame, disabled: tuple[str, ...] = ()) -> DataFrame:
