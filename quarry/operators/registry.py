@@ -108,6 +108,8 @@ _LINE_PLACES = {
 def _line_findings(x: Inputs, gates: list[str]) -> DataFrame:
     """(project, file_path, severity, rule, title, gate_id) of the gates over lines: one pass over the texts."""
     found = N.line_gates(x["files"], gates)
+    if "merge_conflict_markers" in gates:
+        found = N.first_of_path(found)
     if "secrets_scan" in gates and "tracked" in x["files"].columns:
         env = N.tracked_env(x["files"]).select("project", "path", F.lit("secrets_scan").alias("gate_id"), F.col("line_no").cast("int").alias("line_no"), F.col("pattern").alias("rule"))
         found = found.unionByName(env, allowMissingColumns=True)

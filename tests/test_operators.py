@@ -154,3 +154,9 @@ def test_one_merge_marker_a_path(spark):
     """Rows that share a path are one file: its first marker counts."""
     f = spark.createDataFrame(_SHARED, "project string, path string, text string")
     assert sorted(tuple(r) for r in N.merge_conflict_markers(f).collect()) == [("p", "LICENSE", 2), ("q", "LICENSE", 1)]
+
+
+def test_runs_have_one_merge_marker_a_path(spark):
+    f = spark.createDataFrame(_SHARED, "project string, path string, text string")
+    found = registry.run_gates(f, f.select("project").distinct(), 0, ["merge_conflict_markers", "dead_placeholders"])
+    assert sorted((r.project, r.file_path) for r in found.collect()) == [("p", "LICENSE:2"), ("q", "LICENSE:1")]
