@@ -94,9 +94,14 @@ def _over(sized: DataFrame, most: int, thresholds: DataFrame | None) -> DataFram
     return sized.join(own, "project", "left").where(F.col("size") > F.coalesce("_most", F.lit(most))).drop("_most")
 
 
-def large_files(files: DataFrame, most: int = 5 << 20, thresholds: DataFrame | None = None) -> DataFrame:
-    """(project, path, size) of large files that are not in large-file storage."""
-    skipped = P.should_skip(scan=own_options(files, "large_file_tracked")) | P.subsumed_by_vendored()
+def _skipped(files: DataFrame, gate: str, fixtures: bool) -> Column:
+    """Paths that a gate over metadata passes over; fixtures: it reads those of tests and fixtures, whatever the options say."""
+    return P.should_skip(fixtures=F.lit(False) if fixtures else None, scan=own_options(files, gate))
+
+
+def large_files(files: DataFrame, most: int = 5 << 20, thresholds: DataFrame | None = None, fixtures: bool = False) -> DataFrame:
+    """(project, path, size) of large files that are not in large-file storage; with fixtures, those of tests and fixtures too."""
+    skipped = _skipped(files, "large_file_tracked", fixtures) | P.subsumed_by_vendored()
     own = files.where((F.col("size") > 1) & ~skipped).select("project", "path", "size")
     return _over(own, most, thresholds).join(lfs_managed(files), ["project", "path"], "left_anti")
 

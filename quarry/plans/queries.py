@@ -82,7 +82,7 @@ def tests_missing(spark, sf_dir):
 
 
 def large_files(spark, sf_dir):
-    return G.large_files(files(spark, sf_dir))
+    return G.large_files(files(spark, sf_dir), fixtures=True)
 
 
 def executable_bits(spark, sf_dir):
@@ -340,7 +340,7 @@ SELECT project, category, count(*) AS n FROM (SELECT project, {_CATEGORY} AS cat
     "tests_missing": _WITH_P
     + f", q AS (SELECT * FROM p WHERE NOT regexp_matches(path, '^(tests/|lib/conftest|src/)')), h AS (SELECT project FROM q WHERE NOT (list_has_any(dirs, {_arr(R.PRUNED_DIRS)}) OR len(list_filter(dirs, lambda d: starts_with(d, '.'))) > 0) AND ({_TESTS})) "
     + f"SELECT DISTINCT project, CASE WHEN project IN (SELECT project FROM q WHERE path IN {_in(R.PROJECT_MARKERS)}) THEN 'warning' ELSE 'info' END AS severity FROM q WHERE project NOT IN (SELECT project FROM h)",
-    "large_files": _WITH_P + "SELECT project, path, size FROM p WHERE size > 5242880 AND NOT (subsumed_by_vendored OR should_skip)",
+    "large_files": _WITH_P + "SELECT project, path, size FROM p WHERE size > 5242880 AND NOT subsumed_by_vendored",
     "executable_bits": _WITH_P
     + f"SELECT project, path FROM p WHERE mode = '100755' AND (ext IN {_in(R.EXEC_TEXT_EXTENSIONS)} OR lbase IN {_in(_LOCKS)}) AND NOT ({' OR '.join(f'starts_with(path, {chr(39)}{d}{chr(39)})' for d in R.SCRIPT_DIRS)}) AND NOT (subsumed_by_vendored OR should_skip)",
     "ide_artifacts": _WITH_P
@@ -383,4 +383,6 @@ SELECT id, hash, author, author_time FROM t LEFT JOIN b USING (project, file, li
 
 QUERIES |= markup_queries.QUERIES | run_queries.QUERIES
 SQL |= markup_queries.SQL
-SQL |= run_queries.sql(_WITH_P, SQL)
+# runs skip fixtures by default
+_RUN_SQL = SQL | {"large_files": SQL["large_files"].replace("NOT subsumed_by_vendored", "NOT (subsumed_by_vendored OR should_skip)")}
+SQL |= run_queries.sql(_WITH_P, _RUN_SQL)

@@ -177,3 +177,15 @@ def test_checkouts_with_modes_and_index(spark, tmp_path):
     for version in ("3", "4"):
         git("update-index", "--index-version", version)
         assert {r.path for r in load_files(spark, str(tmp_path)).where("project = 'one' AND tracked").collect()} == {".gitignore", "docs/a.md", "src/é.py"}
+
+
+def _tree(spark):
+    rows = [("a", p, "100755", 9 << 20) for p in ("tests/big.md", "big.md", "node_modules/a b.md")]
+    return spark.createDataFrame(rows, "project string, path string, mode string, size long").withColumns({"text": F.lit(""), "tracked": F.lit(True)})
+
+
+def test_large_files_of_fixtures(spark, monkeypatch):
+    from quarry.plans import queries as Q
+
+    monkeypatch.setattr(Q, "files", lambda *_: _tree(spark))
+    assert sorted(r.path for r in Q.large_files(spark, "").collect()) == ["big.md", "tests/big.md"]
