@@ -106,13 +106,14 @@ def large_files(files: DataFrame, most: int = 5 << 20, thresholds: DataFrame | N
     return _over(own, most, thresholds).join(lfs_managed(files), ["project", "path"], "left_anti")
 
 
-def executable_bits(files: DataFrame) -> DataFrame:
+def executable_bits(files: DataFrame, fixtures: bool = False) -> DataFrame:
+    """(project, path) of executable files of text and data; with fixtures, those of tests and fixtures too."""
     locks = [x for x in R.GENERATED_FILES if not x.endswith((".lock", ".sum"))]
     text = P.ext().isin(R.EXEC_TEXT_EXTENSIONS) | F.lower(P.base()).isin(locks)
     script = F.lit(False)
     for d in R.SCRIPT_DIRS:
         script = script | F.col("path").startswith(d)
-    return files.where((F.col("mode") == "100755") & text & ~script & ~P.subsumed_by_vendored() & ~P.should_skip(scan=own_options(files, "unexpected_executable_bit"))).select("project", "path")
+    return files.where((F.col("mode") == "100755") & text & ~script & ~P.subsumed_by_vendored() & ~_skipped(files, "unexpected_executable_bit", fixtures)).select("project", "path")
 
 
 def ide_artifacts(files: DataFrame) -> DataFrame:

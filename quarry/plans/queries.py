@@ -86,7 +86,7 @@ def large_files(spark, sf_dir):
 
 
 def executable_bits(spark, sf_dir):
-    return G.executable_bits(files(spark, sf_dir))
+    return G.executable_bits(files(spark, sf_dir), fixtures=True)
 
 
 def ide_artifacts(spark, sf_dir):
@@ -342,7 +342,7 @@ SELECT project, category, count(*) AS n FROM (SELECT project, {_CATEGORY} AS cat
     + f"SELECT DISTINCT project, CASE WHEN project IN (SELECT project FROM q WHERE path IN {_in(R.PROJECT_MARKERS)}) THEN 'warning' ELSE 'info' END AS severity FROM q WHERE project NOT IN (SELECT project FROM h)",
     "large_files": _WITH_P + "SELECT project, path, size FROM p WHERE size > 5242880 AND NOT subsumed_by_vendored",
     "executable_bits": _WITH_P
-    + f"SELECT project, path FROM p WHERE mode = '100755' AND (ext IN {_in(R.EXEC_TEXT_EXTENSIONS)} OR lbase IN {_in(_LOCKS)}) AND NOT ({' OR '.join(f'starts_with(path, {chr(39)}{d}{chr(39)})' for d in R.SCRIPT_DIRS)}) AND NOT (subsumed_by_vendored OR should_skip)",
+    + f"SELECT project, path FROM p WHERE mode = '100755' AND (ext IN {_in(R.EXEC_TEXT_EXTENSIONS)} OR lbase IN {_in(_LOCKS)}) AND NOT ({' OR '.join(f'starts_with(path, {chr(39)}{d}{chr(39)})' for d in R.SCRIPT_DIRS)}) AND NOT subsumed_by_vendored",
     "ide_artifacts": _WITH_P
     + f"SELECT project, path FROM p WHERE (base IN {_in(R.IDE_NAMES)} OR regexp_matches(base, '\\.sw[po]$|~$') OR list_has_any(dirs, {_arr(d.rstrip('/') for d in R.IDE_DIRS)})) AND NOT (list_contains(dirs, '.vscode') AND (base IN {_in(R.SHARED_EDITOR_FILES)} OR ends_with(base, '.code-snippets'))) AND NOT should_skip",
     "odd_names": _WITH_P + "SELECT project, path, 'spaces' AS problems FROM p WHERE contains(base, ' ') AND NOT (should_skip OR subsumed_by_vendored)",
@@ -384,5 +384,5 @@ SELECT id, hash, author, author_time FROM t LEFT JOIN b USING (project, file, li
 QUERIES |= markup_queries.QUERIES | run_queries.QUERIES
 SQL |= markup_queries.SQL
 # runs skip fixtures by default
-_RUN_SQL = SQL | {"large_files": SQL["large_files"].replace("NOT subsumed_by_vendored", "NOT (subsumed_by_vendored OR should_skip)")}
+_RUN_SQL = SQL | {q: SQL[q].replace("NOT subsumed_by_vendored", "NOT (subsumed_by_vendored OR should_skip)") for q in ("large_files", "executable_bits")}
 SQL |= run_queries.sql(_WITH_P, _RUN_SQL)

@@ -189,3 +189,10 @@ def test_large_files_of_fixtures(spark, monkeypatch):
 
     monkeypatch.setattr(Q, "files", lambda *_: _tree(spark))
     assert sorted(r.path for r in Q.large_files(spark, "").collect()) == ["big.md", "tests/big.md"]
+
+
+def test_executable_bits_of_fixtures(spark, monkeypatch):
+    from quarry.plans import queries as Q
+
+    monkeypatch.setattr(Q, "files", lambda *_: _tree(spark))
+    assert sorted(r.path for r in Q.executable_bits(spark, "").collect()) == ["big.md", "tests/big.md"]
