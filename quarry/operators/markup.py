@@ -1,18 +1,21 @@
 """Gates over files with a grammar: Dockerfiles, HTML, stylesheets.
 
-files: (project, path, text), one row a path. Each text is cut into tokens by one regular
-expression that covers every character; line numbers, nesting and state are windows over the
+files: (project, path, text), one row a path. Texts of HTML and stylesheets are cut into tokens by one regular
+expression that covers every character; Dockerfiles are read by line, once; line numbers, nesting and state are windows over the
 tokens of a file, whose size the text cap of the sources bounds. Null and empty texts have
 no findings. Every lint returns (project, path, line, rule).
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text as X
+from ..functions.batches import read_rows
 
 _FILE = ["project", "path"]
 
@@ -50,47 +53,81 @@ def _override(comment: Column, line: Column) -> Column:
     return F.when(F.size(ids) > 0, F.struct(ids.alias("ids"), reason.alias("reason"), line.cast("int").alias("o_line")))
 
 
-def docker_instructions(files: DataFrame, marker: str = "quarry") -> DataFrame:
+_FOLDS = re.compile(r"\\[ \t]*\Z")
+_HERE = re.compile(r"<<-?\s*[\"']?([A-Za-z_][A-Za-z0-9_]*)[\"']?", re.A)
+_SPACE = " \t\n\x0b\f\r"
+_INSTRUCTIONS = f"project string, path string, pos int, line int, end_line int, kind string, args string, override {_OVERRIDE}"
+
+
+def _said(comment: str, number: int) -> dict | None:
+    """_override of a comment's text."""
+    ids = [x for x in (i.strip(" ") for i in comment.split("reason:", 1)[0].split(",")) if x]
+    return {"ids": ids, "reason": comment.partition("reason:")[2].strip(" "), "o_line": number} if ids else None
+
+
+def _instructions(text: str, ignore: re.Pattern) -> Iterator[tuple[int, int, str, str, dict | None]]:
+    """(line, end_line, kind, args, override) of the instructions of a Dockerfile."""
+    lines = text.replace("\r\n", "\n").split("\n")
+    pending, parts, begun = None, [], 0  # the pieces so far of an instruction that goes on, and its first line
+    open_: list[str] = []  # ends of the here-documents that are open
+    for number, line in enumerate(lines, 1):
+        own = line.strip(_SPACE)
+        if open_:
+            if own in open_:
+                open_.remove(own)
+            continue
+        if not parts:
+            if not own:
+                pending = None
+                continue
+            if own[0] == "#":
+                said = ignore.match(own)
+                pending = (_said(said.group(1), number) if said else None) or pending
+                continue
+            begun = number
+        piece = own if parts else line
+        if piece.rstrip(" \t").endswith("\\"):
+            parts.append(piece.rstrip(" \t")[:-1])
+            continue
+        whole = " ".join([*parts, piece])
+        if not piece and (folds := _FOLDS.search(whole)):  # a blank line behind two backslashes
+            parts = [whole[: folds.start()]]
+            continue
+        whole = whole.strip(_SPACE)
+        if whole:
+            yield begun, number, *_split(whole), pending
+        parts, pending = [], None
+        open_ = _HERE.findall(whole) if "<<" in whole else []
+    if parts and (whole := _FOLDS.sub("", " ".join([*parts, ""])).strip(_SPACE)):  # the text's end ends it
+        yield begun, len(lines), *_split(whole), pending
+
+
+def _split(whole: str) -> tuple[str, str]:
+    """Kind and arguments of an instruction."""
+    m = _KIND.match(whole)
+    return m.group(1).upper(), (m.group(2) or "").strip(_SPACE)
+
+
+_KIND = re.compile(r"([^ \t]+)(?:[ \t](.*))?\Z", re.S)
+
+
+def docker_instructions(files: DataFrame, marker: str = "quarry", kinds: tuple[str, ...] | None = None) -> DataFrame:
     """(project, path, pos, line, end_line, kind, args, override): continued lines folded, comments and blank lines dropped,
     the bodies of here-documents, of which an instruction may open several, kept out.
 
     override is that of the last comment `# marker: ignore id[, id] [reason: text]` right above: other comments may stand
-    between, but a blank line or another instruction ends it. One fold over a file's lines.
+    between, but a blank line or another instruction ends it. kinds: give these only; pos counts all. A small reader goes
+    over a file's lines once, in Arrow batches.
     """
-    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
-    nothing, closed = F.lit(None).cast(_OVERRIDE), F.array().cast("array<string>")
-    kind = f"array<struct<line:int,end_line:int,kind:string,args:string,override:{_OVERRIDE}>>"
-
-    def step(state, x):
-        line, own = x["line"], trimmed(x["line"])
-        body = F.size(state["open"]) > 0  # in a here-document
-        going = ~body & (state["begun"] > 0)
-        blank, comment = ~going & (own == ""), ~going & own.startswith("#")
-        text = F.when(going, F.concat(state["text"], F.lit(" "), own)).otherwise(line)
-        folds = text.rlike(r"\\[ \t]*\z") & ~x["last"]
-        code = ~body & ~blank & ~comment & ~(x["last"] & ~going)
-        ends = code & ~folds
-        whole = trimmed(F.regexp_replace(text, r"\\[ \t]*\z", ""))
-        begun = F.when(going, state["begun"]).otherwise(x["no"])
-        at = F.array_position(state["open"], own)
-        left = F.when(at > 0, F.concat(F.slice(state["open"], F.lit(1), (at - 1).cast("int")), F.slice(state["open"], (at + 1).cast("int"), F.size(state["open"])))).otherwise(state["open"])
-        opened = F.regexp_extract_all(whole, F.lit(r"<<-?\s*[\"']?([A-Za-z_][A-Za-z0-9_]*)[\"']?"), F.lit(1))
-        said = F.regexp_extract(own, rf"(?s)^#\s*{marker}:\s*ignore\s+(.*)\z", 1)
-        pending = F.when(body | going & ~ends, state["pending"]).when(blank | ends, nothing).when(comment, F.coalesce(_override(said, x["no"]), state["pending"])).otherwise(state["pending"])
-        next_ = F.struct(
-            F.when(body, left).when(ends, opened).otherwise(closed).alias("open"), F.when(code & folds, begun).otherwise(0).alias("begun"),
-            F.when(code & folds, F.regexp_replace(text, r"\\[ \t]*\z", "")).otherwise("").alias("text"), pending.alias("pending"),
-        )
-        args = trimmed(F.regexp_extract(whole, r"(?s)^[^ \t]+[ \t](.*)\z", 1))
-        found = F.struct(begun.alias("line"), x["no"].alias("end_line"), F.upper(F.regexp_extract(whole, r"^([^ \t]+)", 1)).alias("kind"), args.alias("args"), state["pending"].alias("override"))
-        return next_, F.when(ends & (whole != ""), F.array(found)).otherwise(F.array().cast(kind))
-
-    lines = F.split(F.replace("text", F.lit("\r\n"), F.lit("\n")), "\n", -1)
-    # a last piece without text ends an instruction that goes on
-    numbered = lambda ls: F.transform(F.concat(ls, F.array(F.lit(""))), lambda x, i: F.struct(x.alias("line"), F.least(i + 1, F.size(ls)).alias("no"), (i == F.size(ls)).alias("last")))
-    start = F.struct(closed.alias("open"), F.lit(0).alias("begun"), F.lit("").alias("text"), nothing.alias("pending"))
-    found = X.scan(F.transform(F.array(lines), numbered)[0], start, F.array().cast(kind), step)
-    return files.where(F.col("text").isNotNull()).select(*_FILE, F.posexplode(found).alias("pos", "i")).select(*_FILE, "pos", "i.*")
+    ignore = re.compile(rf"#\s*{marker}:\s*ignore\s+(.*)\Z", re.S | re.A)
+
+    def read(project: str, path: str, text: str) -> Iterator[tuple]:
+        for pos, (line, end, kind, args, over) in enumerate(_instructions(text, ignore)):
+            if kinds is None or kind in kinds:
+                yield project, path, pos, line, end, kind, args, over
+
+    own = files.where(F.col("text").isNotNull())
+    return read_rows(own, [*[F.col(c).cast("string") for c in _FILE], "text"], read, _INSTRUCTIONS, (6,))
 
 
 def dockerfile_findings(files: DataFrame) -> DataFrame:
@@ -98,7 +135,7 @@ def dockerfile_findings(files: DataFrame) -> DataFrame:
     before, so_far = _ordered("stage").rowsBetween(W.unboundedPreceding, -1), _ordered().rowsBetween(W.unboundedPreceding, 0)
     kind, start = F.col("kind"), F.col("kind").isin("CMD", "ENTRYPOINT")
     words = F.filter(F.split("args", r"\s+"), lambda w: ~w.startswith("--platform="))
-    own = docker_instructions(files).withColumn("stage", F.sum((kind == "FROM").cast("int")).over(so_far))
+    own = docker_instructions(files, kinds=("FROM", "CMD", "ENTRYPOINT", "USER", "ADD")).withColumn("stage", F.sum((kind == "FROM").cast("int")).over(so_far))
     own = own.withColumn("image", F.when(kind == "FROM", F.get(words, F.lit(0))))
     own = own.withColumn("alias", F.when(kind == "FROM", F.nullif(F.lower(F.regexp_extract("args", r"(?i)\sas\s+(\S+)", 1)), F.lit(""))))
     own = own.withColumn("aliases", F.collect_set("alias").over(W.partitionBy(*_FILE)))

@@ -196,3 +196,12 @@ def test_executable_bits_of_fixtures(spark, monkeypatch):
 
     monkeypatch.setattr(Q, "files", lambda *_: _tree(spark))
     assert sorted(r.path for r in Q.executable_bits(spark, "").collect()) == ["big.md", "tests/big.md"]
+
+
+def test_long_dockerfiles_are_read_in_one_pass(spark):
+    """Lines that a rule doesn't ask for don't leave the reader, and time is in proportion to them."""
+    text = "FROM node\n" + "RUN a b\n# c\nRUN d \\\n  e\n" * 100_000 + "USER root\n"
+    f = spark.createDataFrame([("a", "Dockerfile", text)], "project string, path string, text string")
+    began = time.time()
+    assert [(r.pos, r.line, r.kind) for r in M.docker_instructions(f, kinds=("FROM", "USER")).collect()] == [(0, 1, "FROM"), (200_001, 400_002, "USER")]
+    assert sorted((r.line, r.rule) for r in M.dockerfile_lint(f).collect()) == [(1, "from_untagged"), (400_002, "user_root")] and time.time() - began < 30
