@@ -23,8 +23,8 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
-def read_rows(files: DataFrame, columns: Iterable[Column | str], read: Callable[..., Iterable[tuple]], schema: str, sizes: tuple[int, ...] = ()) -> DataFrame:
-    """The rows that `read` gives for each row of these columns; sizes: places of the strings that may be long, or lists, in a row."""
+def read_rows(files: DataFrame, columns: Iterable[Column | str], read: Callable[..., Iterable[tuple]], schema: str, weigh: Callable[[tuple], int] = lambda row: 0) -> DataFrame:
+    """The rows that `read` gives for each row of these columns; weigh: about the characters of those that may be long."""
     small_batches(files.sparkSession)
     arrow = to_arrow_schema(DataType.fromDDL(schema))
 
@@ -37,7 +37,7 @@ def read_rows(files: DataFrame, columns: Iterable[Column | str], read: Callable[
             for own in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for row in read(*own):
                     rows.append(row)
-                    held += 1 + sum(len(row[k] or "") for k in sizes)
+                    held += weigh(row)
                     if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
                         yield lot(rows)
                         rows, held = [], 0

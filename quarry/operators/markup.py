@@ -127,7 +127,7 @@ def docker_instructions(files: DataFrame, marker: str = "quarry", kinds: tuple[s
                 yield project, path, pos, line, end, kind, args, over
 
     own = files.where(F.col("text").isNotNull())
-    return read_rows(own, [*[F.col(c).cast("string") for c in _FILE], "text"], read, _INSTRUCTIONS, (6,))
+    return read_rows(own, [*[F.col(c).cast("string") for c in _FILE], "text"], read, _INSTRUCTIONS, lambda row: len(row[6]))
 
 
 def dockerfile_findings(files: DataFrame) -> DataFrame:

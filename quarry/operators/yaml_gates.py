@@ -238,6 +238,11 @@ class _Reader:
         self.waits = False
 
 
+def breaks_off(text: str) -> bool:
+    """Whether the first document of a YAML text doesn't parse."""
+    return any(doc == 0 and kind == "error" for doc, _, kind, _, _ in _Reader(text).nodes())
+
+
 def yaml_nodes(files: DataFrame) -> DataFrame:
     """(project, path, doc, key_path, kind, scalar, line) of YAML files (project, path, text).
 

@@ -67,7 +67,8 @@ GATES = (("dockerfile_lint", _RULES), ("css_lint", _RULES), ("html_lint", _RULES
 def _sampled(spark: SparkSession, sf_dir: str, samples, name: str, before: str = "") -> DataFrame:
     """before: put before each line of the document, so that it reads as what such a file may hold."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lines = F.regexp_replace(F.coalesce("text", F.lit("")), "(?m)^", before)
+    lines = F.coalesce("text", F.lit(""))
+    lines = F.regexp_replace(lines, "(?m)^", before) if before else lines
     text = F.concat(pick([s for s, _ in samples], F.col("doc_id")), lines)
     return d.select(F.col("source").alias("project"), F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(name)).alias("path"), text.alias("text"))
 

@@ -80,3 +80,20 @@ def test_queries_equal_their_sql(spark, name):
     assert names == sorted(want.columns)
     at = [want.columns.index(n) for n in names]
     assert sorted(repr(tuple(r[n] for n in names)) for r in got.collect()) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
+def test_blocks_are_read_without_sorting_lines(spark):
+    f = files(spark, "# A\n[x [y]](#a) [z](#b)\n```\nx\n```\n" + "line\n" * 1000)
+    plan = D.markdown_lint(f, ("codeblock_no_language",))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+    assert sorted((r.line, r.rule) for r in D.markdown_lint(f, ("codeblock_no_language",)).collect()) == [(2, "link_anchor_broken"), (3, "codeblock_no_language")]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("[a [x]](b.md)\n", [(1, "link", "b.md", True)]),
+    ("[a [x]](b.md)\n\n[x]: c.md\n", [(1, "link", "c.md", True)]),
+    ("![a ![x]](b.md) [ ](c)\n", [(1, "image", "b.md", True), (1, "link", "c", False)]),
+    ("[![i](j.png)](k.md) [a [b](c)](d)\n", [(1, "image", "j.png", True), (1, "link", "k.md", True), (1, "link", "c", True)]),
+])
+def test_brackets_in_brackets(text, want):
+    assert D._links(text) == want
