@@ -10,19 +10,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import rules as R
+from ..functions.batches import read_rows
 from .lines import own_options
 from .markup import apply_overrides, overrides
 
 NODES = "project string, path string, doc int, key_path array<string>, kind string, scalar string, line int"
 _FILE = ["project", "path"]
-#: Rows of nodes in one batch that goes back to the JVM.
-_BATCH = 20_000
 
 _DOUBLE, _SINGLE = r'"(?:[^"\\]|\\.)*"', r"'(?:[^']|'')*'"
 _PLAIN = r"(?:[^\s\-?:,\[\]{}#&*!|>'\"%@`]|[-?:](?=\S))(?:[^:#]|:(?=\S)|(?<=\S)#)*?"
@@ -243,28 +242,21 @@ def breaks_off(text: str) -> bool:
     return any(doc == 0 and kind == "error" for doc, _, kind, _, _ in _Reader(text).nodes())
 
 
-def yaml_nodes(files: DataFrame) -> DataFrame:
+def yaml_nodes(files: DataFrame, roots: tuple[str, ...] | None = None) -> DataFrame:
     """(project, path, doc, key_path, kind, scalar, line) of YAML files (project, path, text).
 
     kind: map, seq, scalar, null, or error, whose scalar is the problem and with which a file
     ends. Items of a sequence are [0], [1] in a key path; the root's is empty. A null text reads
     as an empty one, which is one null node. Collections have the line of their first entry.
+    roots: of the nodes below the root only those under these keys leave the reader.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["project", "path", "doc", "key_path", "kind", "scalar", "line"]
-        rows: list[tuple] = []
-        for batch in batches:
-            for project, path, text in zip(batch["project"], batch["path"], batch["text"], strict=True):
-                for doc, keys, kind, scalar, line in _Reader(text or "").nodes():
-                    rows.append((project, path, doc, list(keys), kind, scalar, line))
-                    if len(rows) >= _BATCH:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
+    def read(project: str, path: str, text: str | None) -> Iterator[tuple]:
+        for doc, keys, kind, scalar, line in _Reader(text or "").nodes():
+            if roots is None or not keys or keys[0] in roots:
+                yield project, path, doc, keys, kind, scalar, line
 
-    return files.select(*[F.col(c).cast("string") for c in _FILE], "text").mapInPandas(read, NODES)
+    return read_rows(files, [*[F.col(c).cast("string") for c in _FILE], "text"], read, NODES, lambda row: len(row[5] or ""))
 
 
 def _at(*keys: str | None) -> Column:
@@ -284,47 +276,47 @@ def compose_lint(files: DataFrame, disabled: tuple[str, ...] = (), orchestrators
     """(project, path, line, rule) over Compose files: yaml_invalid, privileged_true, network_mode_host,
     docker_socket_mount (.._orchestrator for images that need it), missing_memory_limit.
 
-    One aggregate a service over the file's nodes; only the first document counts. own_images: (project, images) of
+    One aggregate a service over the file's nodes, which are read once; only the first document counts. own_images: (project, images) of
     projects with more images that need the socket.
     """
     composes = files.where(P.base().isin(R.COMPOSE_NAMES) & ~P.should_skip_content(scan=own_options(files, "compose_lint")))
-    nodes = yaml_nodes(composes).where("doc = 0")
+    nodes = yaml_nodes(composes, ("services",)).where("doc = 0")
     scalar = F.col("kind") == "scalar"
     bad = (F.col("kind") == "error") | (_at() & (F.col("kind") != "map"))
-    invalid = nodes.where(bad).select(*_FILE).distinct().withColumns({"line": F.lit(1), "rule": F.lit("yaml_invalid")})
-    broken = invalid.select(*_FILE)
     first = lambda c, v: F.min(F.when(c, v))
     sock = F.col("scalar").contains("/var/run/docker.sock") & scalar & _is_item(3)
     mounted = (_at("services", None, "volumes", None) & sock) | (_at("services", None, "volumes", None, "source") & sock)
-    service = nodes.where((F.size("key_path") >= 2) & (F.get("key_path", F.lit(0)) == "services")).withColumn("service", F.get("key_path", F.lit(1)))
-    each = service.groupBy(*_FILE, "service").agg(
+    item = F.struct(F.get("key_path", F.lit(3)).alias("item"), "line")
+    # a file's row without a service says whether it is one
+    each = nodes.where(bad | (F.size("key_path") >= 2)).withColumn("service", F.get("key_path", F.lit(1))).groupBy(*_FILE, "service").agg(
+        F.max(bad).alias("bad"),
         first(_at("services", None) & (F.col("kind") == "map"), F.col("line")).alias("own"),
         first(_at("services", None, "privileged") & scalar & F.lower(F.trim("scalar")).isin("true", "yes", "on"), F.col("line")).alias("privileged"),
         first(_at("services", None, "network_mode") & (F.col("scalar") == "host"), F.col("line")).alias("host"),
         first(mounted, F.struct("line", F.get("key_path", F.lit(3)).alias("item"))).alias("mount"),
+        F.collect_list(F.when(_at("services", None, "volumes", None), item)).alias("items"),
         first(_at("services", None, "image") & scalar, F.lower("scalar")).alias("image"),
         F.max(_at("services", None, "image") | _at("services", None, "command") | _at("services", None, "entrypoint")).alias("runs"),
         F.max(_at("services", None, "mem_limit") | _at("services", None, "deploy", "resources", "limits", "memory")).alias("limited"),
-    ).where("own IS NOT NULL")
-    items = service.where(_at("services", None, "volumes", None)).select(*_FILE, "service", F.get("key_path", F.lit(3)).alias("item"), F.col("line").alias("item_line"))
-    mounts = each.where("mount IS NOT NULL").withColumn("item", F.col("mount.item")).join(items, [*_FILE, "service", "item"])
+    ).withColumn("broken", F.max("bad").over(W.partitionBy(*_FILE)))
     name = F.regexp_extract("image", "^([^:@]*)", 1)
     known = F.lit(False)
     for o in (*R.ORCHESTRATOR_IMAGES, *(x.lower() for x in orchestrators)):
         known = known | (name == o) | name.endswith("/" + o)
     if own_images is not None:
-        mounts = mounts.join(own_images, "project", "left")
+        each = each.join(own_images, "project", "left")
         known = known | F.exists(F.coalesce("images", F.array().cast("array<string>")), lambda i: (name == F.lower(i)) | name.endswith(F.concat(F.lit("/"), F.lower(i))))
     rule = F.when(F.coalesce(known, F.lit(False)), "docker_socket_mount_orchestrator").otherwise("docker_socket_mount")
-    row = lambda line, r: F.struct(F.col(line).alias("line"), F.lit(r).alias("rule"))
-    found = F.array_compact(F.array(
-        F.when(F.col("privileged").isNotNull(), row("privileged", "privileged_true")),
-        F.when(F.col("host").isNotNull(), row("host", "network_mode_host")),
-        F.when(F.col("runs") & ~F.col("limited"), row("own", "missing_memory_limit")),
-    ))
-    lints = each.select(*_FILE, F.explode(found).alias("f")).select(*_FILE, "f.line", "f.rule")
-    lints = lints.unionByName(mounts.select(*_FILE, F.col("item_line").alias("line"), rule.alias("rule")))
-    out = invalid.unionByName(lints.join(broken, _FILE, "left_anti"))
+    row = lambda line, r: F.struct(line.cast("int").alias("line"), r.alias("rule"))
+    named = lambda line, r: F.when(F.col(line).isNotNull(), row(F.col(line), F.lit(r)))
+    mounts = F.transform(F.filter("items", lambda i: i["item"] == F.col("mount.item")), lambda i: row(i["line"], rule))
+    found = F.concat(
+        F.array_compact(F.array(named("privileged", "privileged_true"), named("host", "network_mode_host"), F.when(F.col("runs") & ~F.col("limited"), row(F.col("own"), F.lit("missing_memory_limit"))))),
+        F.coalesce(mounts, F.array().cast("array<struct<line:int,rule:string>>")),
+    )
+    invalid = F.when(F.col("service").isNull() & F.col("bad"), F.array(row(F.lit(1), F.lit("yaml_invalid"))))
+    lints = F.when(~F.col("broken") & F.col("own").isNotNull(), found)
+    out = each.select(*_FILE, F.inline(F.coalesce(invalid, lints)))
     return out.where(~F.col("rule").isin(*disabled)) if disabled else out
 
 
@@ -337,7 +329,7 @@ def compose_overridden(findings: DataFrame, files: DataFrame) -> DataFrame:
 
 def branch_protection_missing(projects: DataFrame, files: DataFrame) -> DataFrame:
     """Projects without a settings file, or whose file has no entry of `branches` with a protection mapping."""
-    nodes = yaml_nodes(files.where(F.col("path") == ".github/settings.yml")).where("doc = 0")
+    nodes = yaml_nodes(files.where(F.col("path") == ".github/settings.yml"), ("branches",)).where("doc = 0")
     broken = nodes.where("kind = 'error'").select("project")
     have = nodes.where(_at("branches", None, "protection") & _is_item(1) & (F.col("kind") == "map")).select("project").distinct()
     return projects.select("project").distinct().join(have.join(broken, "project", "left_anti"), "project", "left_anti")
@@ -347,4 +339,4 @@ def yaml_parse_errors(files: DataFrame, most: int = 5 << 20) -> DataFrame:
     """(project, path) of YAML files that don't parse; templates are not YAML yet and are left out."""
     template = F.col("text").rlike(r"\{\{|\{%|<%")
     own = files.where((P.config_kind() == "yaml") & (F.col("size") > 0) & (F.col("size") <= most) & ~P.should_skip_content(scan=own_options(files, "config_parse_error")) & ~template)
-    return yaml_nodes(own).where("kind = 'error'").select(*_FILE)
+    return yaml_nodes(own, ()).where("kind = 'error'").select(*_FILE)

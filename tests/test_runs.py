@@ -120,3 +120,12 @@ def test_run_with_excludes_and_thresholds(spark):
     assert got("dockerfile_lint") == {"a": [], "b": ["k/Dockerfile:1:from_latest"], "c": ["k/Dockerfile:1:from_latest"]}
     assert got("large_file_tracked") == {"a": ["big.dat"], "b": [], "c": []}
     assert {p: len(x) for p, x in got("large_blob_in_history").items()} == {"a": 0, "b": 1, "c": 0}
+
+
+def test_yaml_batches_are_bounded(spark):
+    """Long scalars come back in several batches, and only nodes that a gate asks for come back."""
+    f = spark.range(0, 40, 1, 1).selectExpr("cast(id as string) AS project", "'compose.yml' AS path", "concat('services:\\n  a:\\n    image: x\\nx-text: |\\n  ', repeat('y', 1000000)) AS text")
+    assert Y.yaml_nodes(f).selectExpr("max(length(scalar)) AS n").first().n == 1_000_000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) <= 4 << 20
+    assert Y.yaml_nodes(f, ("services",)).where("scalar like 'yy%'").count() == 0
+    plan = Y.compose_lint(f)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and Y.compose_lint(f).count() == 40
