@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions.shared import checkpointed
 
 CONFIG = ".quarry.json"
 FIELDS = ("ignore", "severity", "gate_options", "exclude_paths")
@@ -186,6 +187,6 @@ def with_options(files: DataFrame, options: DataFrame) -> DataFrame:
 
     The table of options is copied to where the files lie if it is small, else joined by shuffle.
     """
-    own = project_options(options)
+    own = checkpointed(project_options(options))  # every gate's plan holds it
     size = own.agg(F.sum(F.octet_length(F.to_json("_options")))).first()[0] or 0
     return files.join(F.broadcast(own) if size <= BROADCAST else own, "project", "left")

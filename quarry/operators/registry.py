@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
+from ..functions.shared import checkpointed
 from . import config as C
 from . import lifecycle as L
 from . import lines as N
@@ -152,6 +153,8 @@ OF_REPOSITORY = (
     "vendored_dir_tracked", "ide_artifact_tracked", "filename_quality", "html_lint", "css_lint", "markdown_lint", "dead_placeholders", "secrets_scan_history", "large_blob_in_history",
 )
 _HISTORY = ("secrets_scan_history", "large_blob_in_history")
+#: Gates whose findings are computed in one job.
+LOT = 5
 
 
 def _of_kind(files: DataFrame, gate: str) -> DataFrame:
@@ -179,6 +182,12 @@ def _skipped(x: Inputs, gates: list[str]) -> DataFrame:
     return out.select("project", F.lit(".git").alias("file_path"), F.lit("info").alias("severity"), F.lit("").alias("rule"), F.concat("gate_id", F.lit(" skipped (not a git repository)")).alias("title"), "gate_id")
 
 
+def _kept(found: list[DataFrame]) -> DataFrame:
+    """All these findings, computed in lots: one plan over all gates takes the driver minutes, whatever the tables' size."""
+    lots = [reduce(DataFrame.unionByName, found[at : at + LOT]) for at in range(0, len(found), LOT)]
+    return reduce(DataFrame.unionByName, [checkpointed(lot) for lot in lots]) if len(lots) > 1 else lots[0]
+
+
 def run_gates(files: DataFrame, projects: DataFrame, now: int, gates: Iterable[str] | None = None, blobs: DataFrame | None = None, configs: DataFrame | None = None) -> DataFrame:
     """Findings (id, project, gate_id, file_path, severity, title, tags, status, created_at, updated_at), one row a key.
 
@@ -194,7 +203,10 @@ def run_gates(files: DataFrame, projects: DataFrame, now: int, gates: Iterable[s
     if unknown:
         raise ValueError(f"unknown gates: {', '.join(unknown)}")
     spark = files.sparkSession
-    options = None if configs is None else C.effective_options(configs, C.validate_gate_options(configs, C.options_of_gates(spark, list(REGISTRY))))
+    # tables with a row a project that the plan of every gate holds: computed once, so that plans stay small
+    projects = checkpointed(projects)
+    configs = None if configs is None else checkpointed(configs)
+    options = None if configs is None else checkpointed(C.effective_options(configs, C.validate_gate_options(configs, C.options_of_gates(spark, list(REGISTRY)))))
     if options is not None:
         files = C.with_options(files, options)
         blobs = None if blobs is None else C.with_options(blobs, options)
@@ -211,7 +223,7 @@ def run_gates(files: DataFrame, projects: DataFrame, now: int, gates: Iterable[s
         found.append(absent.selectExpr("project", "place AS file_path", f"{none} AS severity", f"{none} AS rule", f"{none} AS title", "gate_id"))
     if not found:
         found = [spark.createDataFrame([], "project string, file_path string, severity string, rule string, title string, gate_id string")]
-    out = reduce(DataFrame.unionByName, found)
+    out = _kept(found)
     if configs is not None:
         out = C.switch_rules(out.withColumn("rule", F.coalesce("rule", F.lit(""))), options, OPT_IN)
     else:
