@@ -22,7 +22,7 @@ from ..sources.tables import ancestor_dirs
 from .markup import _FILE, _fired
 from .yaml_gates import breaks_off
 
-_LINKS = "project string, path string, links array<struct<line:int,kind:string,target:string,has_text:boolean>>"
+_LINKS = "project string, path string, line array<int>, kind array<string>, target array<string>, has_text array<boolean>"
 _ITEM = "struct<item:string,line:int,info:string,language:string,body:string,broken:boolean>"
 _ITEMS = f"project string, path string, items array<{_ITEM}>, titles array<string>, marked array<string>"
 #: About the characters that an entry of a list takes.
@@ -71,6 +71,8 @@ _INLINE = re.compile(
     rf"(?P<whole>!?\[({_PLAIN})(?:\[({_PLAIN})\](?![(\[]){_PLAIN})?\]\(([^\s()<>\\]*+)\))|(?P<short>!?\[({_PLAIN})\](?![(\[]))|"
     r"(?P<open>!?\[)|(?P<close>\])|(?P<seen>[^\s\\`<!\[\]][^\\`<!\[\]]*+|\S)|\s+"
 )
+#: The whole form alone: its groups are the sign, the text, and of a pair in it the label and what follows, and the target.
+_WHOLE = re.compile(rf"(!?)\[({_PLAIN})(?:\[({_PLAIN})\](?![(\[])({_PLAIN}))?\]\(([^\s()<>\\]*+)\)")
 _ESCAPED = re.compile(r"\\([!-/:-@\[-`{-~])")
 #: Lines that begin a block of their own, and those that end one.
 _BEGINS = re.compile(r"[ \t>]*(?:#{1,6}[ \t]|[-*+][ \t]|[0-9]{1,9}[.)][ \t])")
@@ -169,11 +171,36 @@ def _inlines(first: int, text: str, defined: dict[str, str]) -> Iterator[tuple[i
             seen += 1
 
 
+def _simple_inlines(first: int, text: str, defined: dict[str, str]) -> list[tuple[int, str, str, bool]] | None:
+    """_inlines of a paragraph whose brackets are all those of whole forms within a line, a line at a time; None if it has others."""
+    if "\\" in text or "`" in text or "<" in text:
+        return None
+    out = []
+    for line, own in enumerate(text.split("\n"), first):
+        if "[" not in own:
+            if "]" in own:
+                return None
+            continue
+        pieces = _WHOLE.split(own)
+        rest, says, inner = "".join(pieces[::6]), pieces[2::6], pieces[3::6]
+        if "[" in rest or "]" in rest or any(i is not None and _label(i) in defined for i in set(inner)):
+            return None
+        has = [i is not None or bool(t.strip()) for t, i in zip(says, inner, strict=True)]
+        kinds = ["image" if sign else "link" for sign in pieces[1::6]]
+        out += zip([line if h else first for h in has], kinds, pieces[5::6], has, strict=True)
+    return out
+
+
 def _links(prose: str) -> list[tuple[int, str, str, bool]]:
     """_inlines of all paragraphs."""
     defined: dict[str, str] = {}
     own = [(line, _without_definitions(p, defined)) for line, p in _paragraphs(prose)]
-    return [found for line, p in own if "[" in p for found in _inlines(line, p, defined)]
+    out = []
+    for line, p in own:
+        if "[" in p:
+            simple = _simple_inlines(line, p, defined)
+            out += _inlines(line, p, defined) if simple is None else simple
+    return out
 
 
 def _texts(files: DataFrame) -> list[Column]:
@@ -190,9 +217,11 @@ def md_links(files: DataFrame) -> DataFrame:
     def read(project: str, path: str, text: str | None) -> Iterator[tuple]:
         found = _links(_prose(text)) if text and "[" in text else None
         if found:
-            yield project, path, found
+            yield project, path, *zip(*found, strict=True)
 
-    return read_rows(files, _texts(files), read, _LINKS, lambda row: _ENTRY * len(row[2])).select(*_FILE, F.inline("links"))
+    # lists of values are far cheaper to hand over than a list of structs
+    found = read_rows(files, _texts(files), read, _LINKS, lambda row: _ENTRY * len(row[2]))
+    return found.select(*_FILE, F.inline(F.arrays_zip("line", "kind", "target", "has_text")))
 
 
 def _items(text: str) -> tuple[list[tuple], list[str], list[str]]:
