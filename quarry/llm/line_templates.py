@@ -23,6 +23,7 @@ several. DataFrame functions only.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,10 +89,10 @@ def _leaves(variants: DataFrame, depth: int, similar: float) -> DataFrame:
     word = lambda j: F.shiftright(F.col(f"w{j // 2}"), 32 * (j % 2)).bitwiseAND(F.lit((1 << 32) - 1))
     open_at = lambda i: F.xxhash64("n", F.lit(i), *[word(j) for j in range(depth) if j != i])
     keys = variants.where(_most(F.col("n"), similar) > 0).select("h", F.explode(F.array(*[open_at(i) for i in range(depth)])).alias("key"))
-    several = keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    held = checkpointed(keys.join(several, "key"))
-    named = held.groupBy("key").agg(F.count("*").alias("k"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("s"), F.bit_xor("h").alias("x"))
-    return held.join(named.select("key", F.xxhash64("k", "s", "x").alias("leaf")), "key").select("h", "leaf").distinct()
+    # a window moves the keys once, where an aggregate and a join move them twice
+    own = W.partitionBy("key")
+    held = keys.select("h", F.count("*").over(own).alias("k"), *[f("h").over(own).alias(f.__name__) for f in (F.min, F.max, F.bit_xor)]).where("k > 1")
+    return held.select("h", F.xxhash64("k", "min", "max", "bit_xor").alias("leaf")).distinct()
 
 
 def _templates(text: DataFrame, leaves: DataFrame, depth: int, similar: float) -> DataFrame:
@@ -102,9 +103,8 @@ def _templates(text: DataFrame, leaves: DataFrame, depth: int, similar: float) -
     segment = lambda w, i: F.xxhash64("leaf", i, F.array_join(F.slice(w, begin(i) + 1, begin(i + 1) - begin(i)), " "))
     # the array of one array: words are split once a line, not once a segment
     keys = F.flatten(F.transform(F.array(F.split("m", " ")), lambda w: F.transform(F.sequence(F.lit(0), most), lambda i: segment(w, i))))
-    keyed = checkpointed(text.join(leaves, "h").select("h", F.md5(F.col("m").cast("binary")).alias("tie"), F.explode(keys).alias("key")))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
-    keyed = checkpointed(keyed.join(shared, "key"))
+    keyed = text.join(leaves, "h").select("h", F.unhex(F.md5(F.col("m").cast("binary"))).alias("tie"), F.explode(keys).alias("key"))
+    keyed = checkpointed(keyed.withColumn("k", F.count("*").over(W.partitionBy("key"))).where("k > 1"))
     who = keyed.groupBy("h").agg(F.struct((-F.sum("k")).alias("rank"), F.min("tie").alias("tie")).alias("who"))
     ranked = keyed.select("h", "key").join(who, "h")
     chief = ranked.groupBy("key").agg(F.min(F.struct("who", "h")).alias("chief"))

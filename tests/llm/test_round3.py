@@ -222,3 +222,15 @@ def test_decontamination_in_passes_takes_maps_repeats_and_null_texts(spark):
     items = spark.createDataFrame([("i", words), ("j", "other text"), ("n", None)], "item_id string, text string")
     one, many = (sorted(map(repr, decontaminate.decontaminate(docs, items, limit=k).collect())) for k in (10_000, 20))
     assert one == many and len(one) == 6 and sum("contaminated=True" in r for r in one) == 4
+
+
+def test_line_leaves_move_their_keys_once(spark):
+    """op2: keys of leaves went through an aggregate, two joins and a checkpoint; leaves of the same lines are still one."""
+    from quarry.llm import line_templates
+
+    rows = [(h, 10, h, 7) for h in (1, 2)] + [(9, 10, 50, 51), (8, 3, 1, 1)]
+    leaves = line_templates._leaves(spark.createDataFrame(rows, "h long, n int, w0 long, w1 long"), 4, 0.8)
+    plan = leaves._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") <= 2
+    got = leaves.collect()
+    assert sorted(r["h"] for r in got) == [1, 2] and len({r["leaf"] for r in got}) == 1
